@@ -44,6 +44,11 @@ def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
     partition_cols = list(partition_cols or [])
     keys = _sort_cols(partition_cols) + _sort_cols(order_cols)
     n = df.count()
+    if n <= rows_per_range:
+        # Bounded input: one ordered window over at most ``rows_per_range`` rows.
+        w = Window.partitionBy(*partition_cols).orderBy(*keys) if partition_cols \
+            else Window.orderBy(*keys)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     n_ranges = max(1, math.ceil(n / rows_per_range))
     ranged = df.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
     frozen = cut_lineage(ranged)
