@@ -108,3 +108,27 @@ def rolling(w: Window, value: Column, size: int, how: str) -> Column:
     stat = {"mean": F.avg(value), "std": F.stddev_samp(value), "sum": F.sum(value),
             "min": F.min(value), "max": F.max(value)}[how].over(frame)
     return F.when(full, stat)
+
+
+def prefix_sums(df: DataFrame, idx_col: str, value_cols, block: int = 100_000,
+                suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``idx_col`` order.
+
+    Block totals (one row per block of ``block`` index values, so their number
+    is n / block) give each block's offset; inside a block a window partitioned
+    by block adds the running part. No task sees more than one block.
+    """
+    value_cols = list(value_cols)
+    blk = F.floor(F.col(idx_col) / F.lit(block)).cast("bigint")
+    with_blk = df.withColumn("__blk", blk)
+    totals = with_blk.groupBy("__blk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    before = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    # ``totals`` has one row per block (n / block rows): small by construction.
+    offsets = totals.select("__blk", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0))
+                                       .alias(f"__o_{v}") for v in value_cols])
+    w = (Window.partitionBy("__blk").orderBy(idx_col)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = with_blk.join(F.broadcast(offsets), "__blk", "left")
+    for v in value_cols:
+        out = out.withColumn(v + suffix, F.sum(v).over(w) + F.col(f"__o_{v}"))
+    return out.drop("__blk", *[f"__o_{v}" for v in value_cols])
