@@ -16,13 +16,13 @@ from .registry import register
 SCHEMAS = {
     "orders": [("o_orderkey", "bigint", "numeric"), ("o_custkey", "bigint", "numeric"),
                ("o_orderstatus", "string", "categorical"), ("o_totalprice", "double", "numeric"),
-               ("o_orderdate", "timestamp", "datetime"), ("o_orderpriority", "string", "categorical")],
+               ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "categorical")],
     "documents": [("doc_id", "bigint", "numeric"), ("text", "string", "categorical"),
                   ("lang", "string", "categorical"), ("source", "string", "categorical"),
                   ("n_chars", "bigint", "numeric")],
     "conversations": [("conv_id", "bigint", "numeric"), ("turn", "bigint", "numeric"),
                       ("role", "string", "categorical"), ("text", "string", "categorical")],
-    "events": [("event_id", "bigint", "numeric"), ("ts", "timestamp", "datetime"),
+    "events": [("event_id", "bigint", "numeric"), ("ts", "timestamp_ntz", "datetime"),
                ("user_id", "bigint", "numeric"), ("event_type", "string", "categorical"),
                ("value", "double", "numeric"), ("props", "string", "categorical")],
     "lineitem": [("l_orderkey", "bigint", "numeric"), ("l_partkey", "bigint", "numeric"),
@@ -30,7 +30,7 @@ SCHEMAS = {
                  ("l_quantity", "double", "numeric"), ("l_extendedprice", "double", "numeric"),
                  ("l_discount", "double", "numeric"), ("l_tax", "double", "numeric"),
                  ("l_returnflag", "string", "categorical"), ("l_linestatus", "string", "categorical"),
-                 ("l_shipdate", "timestamp", "datetime")],
+                 ("l_shipdate", "timestamp_ntz", "datetime")],
     "supplier": [("s_suppkey", "bigint", "numeric"), ("s_name", "string", "categorical"),
                  ("s_nationkey", "int", "numeric"), ("s_acctbal", "double", "numeric")],
     "nation": [("n_nationkey", "int", "numeric"), ("n_name", "string", "categorical"),
