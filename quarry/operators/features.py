@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import c, categorical_columns, numeric_columns
 from ..sources.scan import normalise_missing
 from .ordering import row_index
+from .quantiles import quantiles
 
 MISSING_TOKEN = "__MISSING__"  # fixed value: class name given to missing categories
 BROADCAST_ROWS = 1_000_000     # code tables up to this many rows are broadcast
@@ -33,8 +34,7 @@ def fit_medians(df: DataFrame, cols) -> dict:
     """Exact median per numeric column, one aggregation."""
     if not cols:
         return {}
-    row = df.agg(*[F.median(c(x).cast("double")).alias(f"m{i}") for i, x in enumerate(cols)]).first()
-    return {x: row[f"m{i}"] for i, x in enumerate(cols)}
+    return {x: v[0] for x, v in quantiles(df, cols, [0.5]).items()}
 
 
 def fit_scaling(df: DataFrame, cols, medians: dict) -> dict:

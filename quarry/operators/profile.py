@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (c, categorical_columns, numeric_columns, type_class,
                                  value_comparable)
 from ..sources.scan import normalise_missing
+from .quantiles import quantiles
 
 
 def _schema_kinds(df: DataFrame) -> dict:
@@ -128,33 +129,32 @@ def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- describe
-def describe(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: str = "auto") -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column.
 
-    One wide aggregation. ``percentile`` is exact (it keeps a value->count map
-    per column); ``approx=True`` switches to ``percentile_approx`` for columns
-    with very many distinct values.
+    Moments come from one wide aggregation; quartiles from :func:`quantiles.quantiles`
+    (exact: a value map for moderate cardinality, distributed selection beyond;
+    ``approx=True`` uses ``percentile_approx``). Only 3 numbers per column
+    reach the driver.
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column string, ordinal int, count bigint, mean double, std double, min double, "
+                "q25 double, q50 double, q75 double, max double")
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method)
     aggs, structs = [], []
     for i, name in enumerate(cols):
         x = c(name).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 q.alias(f"q{i}"), F.max(x).alias(f"max{i}")]
+                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        q = [F.lit(v).cast("double") for v in qs[name]]
         structs.append(F.struct(
             F.lit(name).alias("column"), F.lit(i).alias("ordinal"),
             F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
             F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-            F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"),
-            F.col(f"q{i}")[2].alias("q75"), F.col(f"max{i}").alias("max")))
-    if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, ordinal int, count bigint, mean double, std double, min double, "
-                "q25 double, q50 double, q75 double, max double")
+            q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"max{i}").alias("max")))
     return _explode_rows(df.agg(*aggs), structs)
 
 
@@ -163,26 +163,29 @@ def correlations(df: DataFrame, cols=None) -> DataFrame:
     """Pearson r of every numeric pair on pairwise-complete rows.
 
     ``covar_samp / (stddev_samp(x | y present) * stddev_samp(y | x present))``;
-    NULL (not an error) when a column is constant. One wide aggregation with
-    three aggregates per pair. Output (pair, feature1, feature2, correlation).
+    NULL (not an error) when a column is constant. Each row is expanded to one
+    (pair, x, y) row per pair and grouped by pair: one scan, partial
+    aggregation per task with one group per pair, and code generation stays on
+    however many columns there are. Output (pair, feature1, feature2, correlation).
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    aggs, structs, p = [], [], 0
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            x, y = c(a).cast("double"), c(b).cast("double")
-            xp, yp = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            aggs += [F.covar_samp(x, y).alias(f"cv{p}"), F.stddev_samp(xp).alias(f"sx{p}"),
-                     F.stddev_samp(yp).alias(f"sy{p}")]
-            r = F.try_divide(F.col(f"cv{p}"), F.nullif(F.col(f"sx{p}") * F.col(f"sy{p}"), F.lit(0.0)))
-            structs.append(F.struct(F.lit(p).alias("pair"), F.lit(a).alias("feature1"),
-                                    F.lit(b).alias("feature2"), r.alias("correlation")))
-            p += 1
-    if not structs:
-        return df.sparkSession.createDataFrame(
-            [], "pair int, feature1 string, feature2 string, correlation double")
-    return _explode_rows(df.agg(*aggs), structs)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    spark = df.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], "pair int, feature1 string, feature2 string, correlation double")
+    structs = [F.struct(F.lit(p).alias("pair"), c(a).cast("double").alias("x"),
+                        c(b).cast("double").alias("y")) for p, (a, b) in enumerate(pairs)]
+    long = df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    x, y = F.col("x"), F.col("y")
+    stats = long.groupBy("pair").agg(
+        F.covar_samp(x, y).alias("cv"), F.stddev_samp(F.when(y.isNotNull(), x)).alias("sx"),
+        F.stddev_samp(F.when(x.isNotNull(), y)).alias("sy"))
+    r = F.try_divide(F.col("cv"), F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)))
+    names = F.create_map(*[v for p, (a, b) in enumerate(pairs)
+                           for v in (F.lit(p), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    return stats.select("pair", names[F.col("pair")]["a"].alias("feature1"),
+                        names[F.col("pair")]["b"].alias("feature2"), r.alias("correlation"))
 
 
 def top_correlations(df: DataFrame, cols=None, k: int = 10) -> DataFrame:
@@ -228,24 +231,15 @@ def categorical_summary(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- outliers
 def iqr_bounds(df: DataFrame, cols=None, approx: bool = False) -> dict:
-    """Fit step: {column: (q1, q3, lower, upper)}; one aggregation, bounded by #columns."""
+    """Fit step: {column: (q1, q3, lower, upper)}; bounded by the number of columns."""
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if not cols:
-        return {}
-    aggs = []
-    for i, name in enumerate(cols):
-        x = c(name).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-        aggs.append(q.alias(f"q{i}"))
-    row = df.agg(*aggs).first()
+    qs = quantiles(df, cols, [0.25, 0.75], "approx" if approx else "auto")
     out = {}
-    for i, name in enumerate(cols):
-        q = row[f"q{i}"]
-        if q is None or q[0] is None:
+    for name in cols:
+        q1, q3 = qs[name]
+        if q1 is None:
             continue
-        q1, q3 = float(q[0]), float(q[1])
         iqr = q3 - q1
         out[name] = (q1, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr)
     return out
