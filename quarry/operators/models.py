@@ -412,6 +412,36 @@ def weighted_average_predict(models: dict, df: DataFrame, key: str, weights: dic
     return ensemble(frames, key, weights=weights or {n: 1.0 for n in models})
 
 
+# ---------------------------------------------------------------- tuning
+def tune(estimator: Estimator, grid: dict, df: DataFrame, task: str, fold_col: str,
+         metric: str | None = None, parallelism: int = 2):
+    """Grid search with ``pyspark.ml.tuning.CrossValidator`` on a hash fold column.
+
+    ``grid`` maps parameter name -> candidate values. Folds come from
+    :mod:`splits` (``foldCol``), so the search is deterministic. Returns
+    (best model, DataFrame(params, avg_metric)).
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator as SparkCV
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(estimator.getParam(name), list(values))
+    maps = builder.build()
+    if task == REGRESSION:
+        ev = RegressionEvaluator(metricName=metric or "r2", labelCol=estimator.getLabelCol())
+    else:
+        ev = MulticlassClassificationEvaluator(metricName=metric or "accuracy",
+                                               labelCol=estimator.getLabelCol())
+    cv = SparkCV(estimator=estimator, estimatorParamMaps=maps, evaluator=ev,
+                 foldCol=fold_col, parallelism=parallelism)
+    model = cv.fit(df.withColumn(fold_col, F.col(fold_col).cast("int")))
+    rows = [(str({p.name: v for p, v in m.items()}), float(a)) for m, a in zip(maps, model.avgMetrics)]
+    spark = df.sparkSession
+    return model.bestModel, spark.createDataFrame(rows, "params string, avg_metric double")
+
+
 # ---------------------------------------------------------------- persistence
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)

@@ -208,10 +208,13 @@ def top_values(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else categorical_columns(df)
-    vc = value_counts(df, cols).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
+    vc = value_counts(df, cols)
+    # NULL groups rank last and are dropped after the window, so this plan shares
+    # its value-count exchange with other consumers of ``value_counts``.
+    w = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.col("count").desc(),
+                                             F.col("value").asc())
     return (vc.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rank") <= k))
+            .where((F.col("rank") <= k) & F.col("value").isNotNull()))
 
 
 def categorical_summary(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
@@ -223,10 +226,12 @@ def categorical_summary(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
         F.count_if(F.col("value").isNotNull()).alias("n_unique"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).cast("bigint")
          .alias("n_missing"))
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    top = (vc.where(F.col("value").isNotNull())
-           .withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k))
-    return top.join(per_col, "column")
+    w = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.col("count").desc(),
+                                             F.col("value").asc())
+    top = (vc.withColumn("rank", F.row_number().over(w).cast("bigint"))
+           .where((F.col("rank") <= k) & F.col("value").isNotNull()))
+    # ``per_col`` has one row per column.
+    return top.join(F.broadcast(per_col), "column")
 
 
 # ---------------------------------------------------------------- outliers

@@ -71,3 +71,11 @@ def test_hybrid_adds_residual_model(spark):
     out = MD.hybrid_fit(df, base, MD.GroupMeanRegressor(groupCol="g")).transform(df)
     r = out.select((F.col("prediction") - F.col("base_prediction") - F.col("residual_prediction")).alias("d"))
     assert r.agg(F.max(F.abs("d"))).first()[0] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_tune_grid(spark):
+    df, _, _ = _xy(spark)
+    df = SP.kfold(MD.assemble(df, ["x"]), "id", 3)
+    est = MD.make_estimator("ridge_regression", MD.REGRESSION, MD.data_stats(df))
+    best, table = MD.tune(est, {"regParam": [0.0, 0.1, 10.0]}, df, MD.REGRESSION, "fold")
+    assert table.count() == 3 and best is not None
