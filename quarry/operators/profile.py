@@ -132,30 +132,31 @@ def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: str = "auto") -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column.
 
-    Moments come from one wide aggregation; quartiles from :func:`quantiles.quantiles`
-    (exact: a value map for moderate cardinality, distributed selection beyond;
-    ``approx=True`` uses ``percentile_approx``). Only 3 numbers per column
-    reach the driver.
+    Two passes over the data: one wide aggregation for the moments (plus an
+    approximate distinct count per column that sizes the quantile method),
+    then the quartiles from :func:`quantiles.quantiles` (exact: a value map for
+    moderate cardinality, distributed selection beyond; ``approx=True`` uses
+    ``percentile_approx``). Only a few numbers per column reach the driver.
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
+    schema = ("column string, ordinal int, count bigint, mean double, std double, min double, "
+              "q25 double, q50 double, q75 double, max double")
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, ordinal int, count bigint, mean double, std double, min double, "
-                "q25 double, q50 double, q75 double, max double")
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method)
-    aggs, structs = [], []
+        return spark.createDataFrame([], schema)
+    aggs = []
     for i, name in enumerate(cols):
         x = c(name).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-        q = [F.lit(v).cast("double") for v in qs[name]]
-        structs.append(F.struct(
-            F.lit(name).alias("column"), F.lit(i).alias("ordinal"),
-            F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
-            F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-            q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"max{i}").alias("max")))
-    return _explode_rows(df.agg(*aggs), structs)
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+                 F.approx_count_distinct(x).alias(f"d{i}")]
+    m = df.agg(*aggs).first()
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method,
+                   distinct_estimates={x: m[f"d{i}"] for i, x in enumerate(cols)})
+    rows = [(name, i, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], *qs[name], m[f"max{i}"])
+            for i, name in enumerate(cols)]
+    return spark.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------- correlations

@@ -56,8 +56,12 @@ def select_quantiles(df: DataFrame, col: str, probs) -> list:
 
 
 def quantiles(df: DataFrame, cols, probs, method: str = "auto",
-              max_map_distinct: int = MAX_MAP_DISTINCT) -> dict:
-    """{column: [quantile per prob]} exact; ``method`` auto / map / select / approx."""
+              max_map_distinct: int = MAX_MAP_DISTINCT, distinct_estimates: dict | None = None) -> dict:
+    """{column: [quantile per prob]} exact; ``method`` auto / map / select / approx.
+
+    ``distinct_estimates`` (column -> approximate distinct count) saves the
+    sizing pass when the caller already aggregated it.
+    """
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
@@ -66,8 +70,10 @@ def quantiles(df: DataFrame, cols, probs, method: str = "auto",
                        for i, x in enumerate(cols)]).first()
         return {x: list(row[f"q{i}"] or [None] * len(probs)) for i, x in enumerate(cols)}
     if method == "auto":
-        est = df.agg(*[F.approx_count_distinct(c(x)).alias(f"d{i}") for i, x in enumerate(cols)]).first()
-        small = [x for i, x in enumerate(cols) if est[f"d{i}"] <= max_map_distinct]
+        if distinct_estimates is None:
+            est = df.agg(*[F.approx_count_distinct(c(x)).alias(f"d{i}") for i, x in enumerate(cols)]).first()
+            distinct_estimates = {x: est[f"d{i}"] for i, x in enumerate(cols)}
+        small = [x for x in cols if distinct_estimates[x] <= max_map_distinct]
     elif method == "map":
         small = cols
     elif method == "select":
