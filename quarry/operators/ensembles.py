@@ -33,7 +33,9 @@ def combine(long: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     if weights is None:
         return long.groupBy("key").agg(F.avg("prediction").alias("prediction"),
                                        F.count(F.lit(1)).alias("n_models"))
-    w = F.broadcast(weights.select("model", F.col("weight").cast("double")))
+    from .features import sized
+    # One row per model; the hint is still behind a row-count check.
+    w = sized(weights.select("model", F.col("weight").cast("double")), 100_000)
     j = long.join(w, "model", "inner")
     return j.groupBy("key").agg(
         (F.sum(F.col("weight") * F.col("prediction")) / F.sum("weight")).alias("prediction"),

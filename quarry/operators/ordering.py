@@ -110,20 +110,27 @@ def rolling(w: Window, value: Column, size: int, how: str) -> Column:
     return F.when(full, stat)
 
 
+MAX_BLOCKS = 100_000  # offsets table size bound (it is broadcast)
+
+
 def prefix_sums(df: DataFrame, idx_col: str, value_cols, block: int = 100_000,
-                suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ``idx_col`` order.
+                suffix: str = "_cum", n: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``idx_col`` order (0-based, dense).
 
-    Block totals (one row per block of ``block`` index values, so their number
-    is n / block) give each block's offset; inside a block a window partitioned
-    by block adds the running part. No task sees more than one block.
+    Block totals (one row per block of ``block`` index values) give each
+    block's offset; inside a block a window partitioned by block adds the
+    running part. The block size grows with n so there are never more than
+    ``MAX_BLOCKS`` blocks: the offsets table that is broadcast stays bounded.
     """
     value_cols = list(value_cols)
+    if n is None:
+        n = df.count()
+    block = max(block, -(-n // MAX_BLOCKS))
     blk = F.floor(F.col(idx_col) / F.lit(block)).cast("bigint")
     with_blk = df.withColumn("__blk", blk)
     totals = with_blk.groupBy("__blk").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     before = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    # ``totals`` has one row per block (n / block rows): small by construction.
+    # ``totals`` has at most MAX_BLOCKS rows.
     offsets = totals.select("__blk", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0))
                                        .alias(f"__o_{v}") for v in value_cols])
     w = (Window.partitionBy("__blk").orderBy(idx_col)

@@ -19,10 +19,11 @@ def best_runs(runs: DataFrame, metric: str, higher_is_better: bool = True,
     if version is not None:
         r = r.where(F.col("version") == version)
     order = F.col("value").desc() if higher_is_better else F.col("value").asc()
-    w = (Window.partitionBy("version") if per_version else Window.partitionBy(F.lit(0))) \
-        .orderBy(order, F.col("run_id"))
-    return (r.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
-            .select("version", "run_id", "model", F.col("value").alias(metric)))
+    cols = ["version", "run_id", "model", F.col("value").alias(metric)]
+    if not per_version:
+        return r.orderBy(order, F.col("run_id")).limit(1).select(*cols)
+    w = Window.partitionBy("version").orderBy(order, F.col("run_id"))
+    return r.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).select(*cols)
 
 
 def runs_by(runs: DataFrame, version: str | None = None, model: str | None = None) -> DataFrame:
