@@ -67,7 +67,7 @@ def fit_modes(df: DataFrame, cols) -> dict:
         return {}
     vc = value_counts_long(df, cols)
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    top = vc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).collect()
+    top = vc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 1).collect()
     out = {x: None for x in cols}
     out.update({r["column"]: r["value"] for r in top})
     return out

@@ -71,8 +71,9 @@ def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
     if partition_cols:
         # Position inside the group = global position - first global position of the group.
         # The group table is aggregated map-side; AQE splits a skewed group in the join.
+        from .features import sized
         starts = indexed.groupBy(*partition_cols).agg(F.min(out).alias("__start"))
-        indexed = (indexed.join(starts, partition_cols, "inner")
+        indexed = (indexed.join(sized(starts), partition_cols, "inner")
                    .withColumn(out, F.col(out) - F.col("__start")).drop("__start"))
     return indexed.drop("__pid", "__pos")
 

@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.columns import ID_NAMES, c
 
 
+def with_synthetic_id(df: DataFrame, how: str = "index", out: str = "id") -> DataFrame:
+    """Row ids when the data has none (P12): ``index`` = 0..n-1 in the order of
+    all columns (distributed row index; identical rows are interchangeable), or
+    ``hash`` = xxhash64 of the whole row (no sort, not dense)."""
+    if how == "hash":
+        return df.withColumn(out, F.xxhash64(*[c(x) for x in df.columns]))
+    from .ordering import row_index
+    return row_index(df, list(df.columns), out=out)
+
+
 def score(model, df: DataFrame, target: str, id_col: str | None = None,
-          label_names: list | None = None) -> DataFrame:
+          label_names: list | None = None, synthetic_ids: str = "index") -> DataFrame:
     """(id, <target>) for every row of ``df``.
 
-    The id column is one of id / Id / ID / index when present, else a
-    synthetic ``id`` = a stable hash of the whole row (a distributed table has
-    no row positions). The id is carried through ``transform`` (J7), never
-    re-attached by position. ``label_names`` maps class indexes back to labels.
+    The id column is one of id / Id / ID / index when present, else synthetic
+    (:func:`with_synthetic_id`). The id is carried through ``transform`` (J7),
+    never re-attached by position. ``label_names`` maps class indexes back to labels.
     """
     id_col = id_col or next((n for n in ID_NAMES if n in df.columns), None)
     if id_col is None:
-        df = df.withColumn("id", F.xxhash64(*[c(x) for x in df.columns]))
+        df = with_synthetic_id(df, synthetic_ids)
         id_col = "id"
     pred = model.transform(df)
     p = F.col("prediction")
