@@ -38,6 +38,12 @@ def vocab_tokens(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(text), NON_WORD, ""))
 
 
+def vocab_split(text: Column) -> Column:
+    """Like :func:`vocab_tokens` but may contain empty strings; for callers that
+    explode and filter rows anyway (cheaper than the array filter)."""
+    return F.split(F.regexp_replace(F.lower(text), NON_WORD, ""), WS_RUN)
+
+
 def is_blank(text: Column) -> Column:
     """``s.strip() == ''`` (NULL counts as blank)."""
     return text.isNull() | text.rlike("^" + WS + "*$")

@@ -56,18 +56,21 @@ def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
     # Position inside the range: monotonically_increasing_id is (pid << 33) + position.
     pos = F.monotonically_increasing_id() - (pid.cast("bigint") * F.lit(1 << 33))
     with_pos = frozen.withColumn("__pid", pid).withColumn("__pos", pos)
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    with_pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = {}, 0
-    for p, k in counts:
-        offsets[p] = run
-        run += k
-    if offsets:
-        off = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))])
-        idx = off[F.col("__pid")] + F.col("__pos")
+    counts = with_pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"))
+    if n_ranges <= 1000:
+        offsets, run = {}, 0
+        for p, k in sorted((r["__pid"], r["n"]) for r in counts.collect()):
+            offsets[p] = run
+            run += k
+        off = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]) \
+            if offsets else F.create_map(F.lit(0), F.lit(0))
+        indexed = with_pos.withColumn(out, (off[F.col("__pid")] + F.col("__pos")).cast("bigint"))
     else:
-        idx = F.col("__pos")
-    indexed = with_pos.withColumn(out, idx.cast("bigint"))
+        # One row per range (n / rows_per_range rows): a bounded table, broadcast.
+        before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+        offs = counts.select("__pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
+        indexed = (with_pos.join(F.broadcast(offs), "__pid")
+                   .withColumn(out, (F.col("__off") + F.col("__pos")).cast("bigint")).drop("__off"))
     if partition_cols:
         # Position inside the group = global position - first global position of the group.
         # The group table is aggregated map-side; AQE splits a skewed group in the join.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TEXT_COLUMN_PREFERENCE, TEXT_LABEL_NAMES, c, categorical_columns
-from ..functions.text import STOP_WORDS, is_blank, vocab_tokens, word_count
+from ..functions.text import STOP_WORDS, is_blank, vocab_split, word_count
 
 
 def detect_text_column(df: DataFrame, min_avg_len: float = 50.0) -> str:
@@ -56,7 +56,7 @@ def text_lengths(df: DataFrame, text_col: str) -> DataFrame:
 
 def word_counts(df: DataFrame, text_col: str, stop_words=None, min_len: int = 0) -> DataFrame:
     """(word, count) over the whole corpus, optionally without stop words and short words."""
-    words = df.select(F.explode(vocab_tokens(c(text_col))).alias("word"))
+    words = df.select(F.explode(vocab_split(c(text_col))).alias("word")).where(F.col("word") != "")
     if stop_words:
         words = words.where(~F.col("word").isin(list(stop_words)))
     if min_len:
