@@ -1,9 +1,10 @@
 """Isolation forest (M2 isolation_forest): anomaly scores for every row.
 
-Fit: every tree gets its own subsample of ``max_samples`` rows chosen by the
-lowest hashes of (tree, key) - one ``row_number() <= max_samples`` per tree,
-with a partial group limit before the shuffle - and grows in a grouped
-``applyInPandas`` task (one task per tree). Trees are small
+Fit: a uniform pool of about 4 x max_samples x n_trees rows is kept by a
+per-row hash threshold in the scan; every tree then takes the ``max_samples``
+pool rows with the lowest hashes of (tree, key) - one ``row_number() <=
+max_samples`` per tree, with a partial group limit before the shuffle - and
+grows in a grouped ``applyInPandas`` task (one task per tree). Trees are small
 (< 2 * max_samples nodes), so the forest is broadcast.
 Score: ``mapInPandas`` walks every tree for each Arrow batch; score =
 2 ** (-mean path length / c(max_samples)).

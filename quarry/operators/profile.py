@@ -371,25 +371,41 @@ def null_patterns(df: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame) -> DataFrame:
     """Quality report (V10): one row combining A2-A8.
 
-    Three aggregation jobs over the data; the per-column results (bounded by
-    the schema) are assembled on the driver.
+    Two jobs over the data: the long value-count aggregation gives rows,
+    missing and distinct counts for every column at once (NULL groups are the
+    missing values), and the duplicate count groups by all columns. The
+    per-column results (bounded by the schema) are assembled on the driver.
     """
     df = normalise_missing(df)
     spark = df.sparkSession
-    miss = missing_counts(df).orderBy("ordinal").collect()
+    kinds = _schema_kinds(df)
+    names = [f.name for f in df.schema.fields if value_comparable(df, f.name) is not None]
+    nested = [f.name for f in df.schema.fields if f.name not in names]
+    prof = {r["column"]: r for r in value_counts(df, names).groupBy("column").agg(
+        F.sum("count").alias("n_rows"), F.count_if(F.col("value").isNotNull()).alias("n_distinct"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("n_missing")
+    ).collect()}
+    nested_missing = {}
+    if nested:
+        row = df.agg(*[F.count_if(c(x).isNull()).alias(f"m{i}") for i, x in enumerate(nested)]).first()
+        nested_missing = {x: row[f"m{i}"] for i, x in enumerate(nested)}
     dup = duplicate_counts(df).first()
-    dist = distinct_profile(df).orderBy("ordinal").collect()
     n = dup["n_rows"]
     ncols = len(df.columns)
-    total_missing = sum(r["n_missing"] for r in miss)
-    with_missing = [r["column"] for r in miss if r["n_missing"] > 0]
-    row = (n, ncols,
-           (total_missing * 100.0 / (n * ncols)) if n and ncols else None,
-           len(with_missing), ",".join(with_missing),
-           dup["n_duplicates"], (dup["n_duplicates"] * 100.0 / n) if n else None,
-           ",".join(r["column"] for r in dist if r["is_constant"]),
-           ",".join(r["column"] for r in dist if r["is_high_cardinality"]),
-           ",".join(r["column"] for r in dist if r["is_potential_id"]))
+    missing = {x: (prof[x]["n_missing"] if x in prof else nested_missing.get(x, 0)) for x in df.columns}
+    total_missing = sum(missing.values())
+    with_missing = [x for x in df.columns if missing[x] > 0]
+
+    def distinct(x):
+        return prof[x]["n_distinct"] if x in prof else None
+
+    constant = [x for x in names if distinct(x) <= 1] if n else list(names)
+    high = [x for x in names if kinds[x] == "categorical" and n and distinct(x) > n * 0.5]
+    ids = [x for x in names if n and distinct(x) == n]
+    row = (n, ncols, (total_missing * 100.0 / (n * ncols)) if n and ncols else None,
+           len(with_missing), ",".join(with_missing), dup["n_duplicates"],
+           (dup["n_duplicates"] * 100.0 / n) if n else None,
+           ",".join(constant), ",".join(high), ",".join(ids))
     schema = ("n_rows bigint, n_columns int, missing_cell_pct double, n_columns_with_missing int, "
               "columns_with_missing string, n_duplicates bigint, duplicate_pct double, "
               "constant_features string, high_cardinality_features string, potential_id_columns string")

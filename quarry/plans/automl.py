@@ -42,7 +42,11 @@ def build_features(df: DataFrame, target: str | None = None, strategy: str = "ba
 
 
 def with_row_key(df: DataFrame, key: str = "__row") -> DataFrame:
-    """Row identity when the table has no key (D3): a 64-bit hash of all columns."""
+    """Row identity when the table has no key (D3): a 64-bit hash of all columns.
+
+    Identical rows share a key, so hash splits keep copies on the same side
+    (no duplicate leaks from training into validation); nothing joins on it.
+    """
     return df.withColumn(key, F.xxhash64(*[c(x) for x in df.columns]))
 
 
@@ -80,8 +84,10 @@ def auto_train(df: DataFrame, target: str | None = None, models=None, metric: st
         codes = FE.fit_category_codes(df, target)
         label_names = [r["value"] for r in codes.orderBy("code").collect()] \
             if codes.count() <= 10_000 else None
-        t = FE.category_codes(df.select(key, target), [target], fitted={target: codes})
-        labelled = df.drop(target).join(t.select(key, c(target).cast("double").alias("label")), key)
+        # Codes replace the target in place (a join on the value, never on the row key,
+        # so identical rows sharing a hash key cannot multiply).
+        labelled = (FE.category_codes(df, [target], fitted={target: codes})
+                    .withColumn("label", c(target).cast("double")).drop(target))
     else:
         labelled = df.withColumn("label", c(target).cast("double"))
     x = feats.transform(labelled, keep=(key, "label"))

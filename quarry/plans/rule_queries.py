@@ -226,3 +226,53 @@ def preprocessing_flags(spark, sf):
         part = R.preprocessing_steps(_load(spark, sf, t)).select(F.lit(t).alias("table_name"), "code", "detail")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---------------------------------------------------------------- eda_flags (V6)
+EDA_TABLES = {"dirty_events": "props", "orders": "o_orderpriority"}
+
+
+def _outlier_cols_sql(table):
+    parts = []
+    for i, (col, _, kind) in enumerate(_schema(table)):
+        if kind != "numeric":
+            continue
+        x = f"CAST({q(col)} AS DOUBLE)"
+        parts.append(
+            f"SELECT {i} AS ordinal, {lit(col)} AS column_name, count(*) FILTER (WHERE {x} < b.lo OR {x} > b.hi) AS k "
+            f"FROM {_src(table)}, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+            f"(SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {_src(table)})) b")
+    return f"(SELECT string_agg(column_name, ',' ORDER BY ordinal) AS cols FROM ({union_all(parts)}) WHERE k > 0)"
+
+
+def _eda_flags_sql(table, target):
+    kinds = [k for _, _, k in _schema(table)]
+    tgt_kind = dict((c_, k) for c_, _, k in _schema(table))[target]
+    cat_target = tgt_kind == "categorical"
+    if not cat_target:
+        imb = "FALSE"
+    else:
+        imb = (f"(SELECT max(n) * 1.0 / min(n) > 3 FROM (SELECT count(*) AS n FROM {_src(table)} "
+               f"WHERE {q(target)} IS NOT NULL GROUP BY {q(target)}))")
+    body = f"""
+  SELECT 'handle_missing' AS code, columns_with_missing AS detail FROM qr WHERE n_columns_with_missing > 0
+  UNION ALL SELECT 'remove_duplicates', CAST(n_duplicates AS VARCHAR) FROM qr WHERE n_duplicates > 0
+  UNION ALL SELECT 'review_outliers', cols FROM {_outlier_cols_sql(table)} o WHERE cols IS NOT NULL
+  UNION ALL SELECT 'address_imbalance', {lit(target)} WHERE {imb}
+  UNION ALL SELECT 'encode_categorical', '{kinds.count('categorical')}' WHERE {kinds.count('categorical')} > 0
+  UNION ALL SELECT 'scale_numeric', '{kinds.count('numeric')}' WHERE {kinds.count('numeric')} > 0"""
+    return f"""
+SELECT {lit(table)} AS table_name, code, detail FROM (
+  SELECT * FROM ({body}) f
+  UNION ALL SELECT 'clean', '' WHERE NOT EXISTS (SELECT 1 FROM ({body}) g)
+) r"""
+
+
+@register("eda_flags",
+          union_all([f"SELECT * FROM {_with_qr(t, _eda_flags_sql(t, tg))}" for t, tg in EDA_TABLES.items()]))
+def eda_flags(spark, sf):
+    out = None
+    for t, tg in EDA_TABLES.items():
+        part = R.eda_flags(_load(spark, sf, t), tg).select(F.lit(t).alias("table_name"), "code", "detail")
+        out = part if out is None else out.unionByName(part)
+    return out
