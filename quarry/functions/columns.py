@@ -86,3 +86,8 @@ def find_id_column(columns: list[str]) -> str | None:
         if name in columns:
             return name
     return None
+
+
+def normalise_name(col):
+    """Case-folded name with '-' and ' ' turned into '_' (F14)."""
+    return F.translate(F.lower(col), "- ", "__")

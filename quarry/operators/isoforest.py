@@ -126,3 +126,26 @@ def score(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+class IsolationForestEstimator:
+    """Catalogue wrapper: ``fit(df)`` grows the forest, the model's ``transform``
+    adds ``anomaly_score`` (no label is used)."""
+
+    def __init__(self, featureCols=None, keyCol: str = "id", n_trees: int = 100,
+                 max_samples: int = 256, seed: int = 42):
+        self.feature_cols, self.key_col = featureCols, keyCol
+        self.n_trees, self.max_samples, self.seed = n_trees, max_samples, seed
+
+    def fit(self, df: DataFrame):
+        from ..functions.columns import numeric_columns
+        cols = self.feature_cols or numeric_columns(df, (self.key_col,))
+        return IsolationForestModel(fit(df, cols, self.key_col, self.n_trees, self.max_samples, self.seed))
+
+
+class IsolationForestModel:
+    def __init__(self, forest: dict):
+        self.forest = forest
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return score(df, self.forest)

@@ -34,6 +34,7 @@ from . import metrics as M
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
+ANOMALY = "anomaly"
 
 
 @dataclass
@@ -95,11 +96,21 @@ def _catalogue():
         "catboost": ((CLASSIFICATION, REGRESSION), None),
         "gbt_regressor": ((REGRESSION,), lambda s, **kw: GBTRegressor(
             maxIter=kw.pop("maxIter", 100), stepSize=kw.pop("stepSize", 0.1), seed=42, **kw)),
+        "tfidf_logistic": ((CLASSIFICATION,), lambda s, **kw: tfidf_estimator(
+            kw.pop("textCol", "text"), kw.pop("labelCol", "label"), "logistic", n=s.n, **kw)),
+        "tfidf_svm": ((CLASSIFICATION,), lambda s, **kw: tfidf_estimator(
+            kw.pop("textCol", "text"), kw.pop("labelCol", "label"), "svm", **kw)),
+        "isolation_forest": ((ANOMALY,), lambda s, **kw: _iforest(**kw)),
         "knn_classifier": ((CLASSIFICATION,), lambda s, **kw: _knn(CLASSIFICATION, **kw)),
         "knn_regressor": ((REGRESSION,), lambda s, **kw: _knn(REGRESSION, **kw)),
     }
 
 
+def _iforest(**kw):
+    from .isoforest import IsolationForestEstimator
+    return IsolationForestEstimator(**kw)
+
+
 def _knn(task, **kw):
     from .knn import KNNEstimator
     return KNNEstimator(task=task, k=kw.pop("k", 5), **kw)

@@ -99,3 +99,9 @@ def label_distribution(df: DataFrame, label_col: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("count")))
     k = counts.count()
     return counts.withColumn("n_classes", F.lit(k).cast("bigint"))
+
+
+def word_count_histogram(df: DataFrame, text_col: str, bins: int = 50) -> DataFrame:
+    """Distribution of words per text in equal-width bins (A27, 50 bins for word counts)."""
+    from .profile import histogram
+    return histogram(df.select(word_count(c(text_col)).alias("n_words")), "n_words", bins)

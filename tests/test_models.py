@@ -79,3 +79,17 @@ def test_tune_grid(spark):
     est = MD.make_estimator("ridge_regression", MD.REGRESSION, MD.data_stats(df))
     best, table = MD.tune(est, {"regParam": [0.0, 0.1, 10.0]}, df, MD.REGRESSION, "fold")
     assert table.count() == 3 and best is not None
+
+
+def test_catalogue_builds_every_name(spark):
+    stats = MD.DataStats(n=100, label_std=2.0, n_classes=2)
+    for name, (tasks, factory) in MD.CATALOGUE.items():
+        for task in tasks:
+            assert MD.make_estimator(name, task, stats) is not None, name
+
+
+def test_word_count_histogram(spark):
+    from quarry.operators import text as X
+    df = spark.createDataFrame([("a b c",), ("a",), ("",)], "text string")
+    h = X.word_count_histogram(df, "text", 3).where("count > 0").collect()
+    assert sum(r["count"] for r in h) == 3
