@@ -93,12 +93,17 @@ def blocked_window(df: DataFrame, idx_col: str, halo: int, columns: dict,
         block = halo
     partition_cols = list(partition_cols or [])
     idx = F.col(idx_col)
-    base = df.withColumn("__blk", F.floor(idx / F.lit(block)).cast("bigint")).withColumn(
-        "__copy", F.lit(False))
+    blk = F.floor(idx / F.lit(block)).cast("bigint")
+    own = F.struct(blk.alias("b"), F.lit(False).alias("c"))
     if halo > 0:
-        tail = (base.where((idx % F.lit(block)) >= F.lit(block - halo))
-                .withColumn("__blk", F.col("__blk") + 1).withColumn("__copy", F.lit(True)))
-        base = base.unionByName(tail)
+        # One pass: rows in the last ``halo`` places of a block also emit a copy
+        # for the next block (no union, so the input is computed once).
+        copy = F.struct((blk + 1).alias("b"), F.lit(True).alias("c"))
+        tags = F.when((idx % F.lit(block)) >= F.lit(block - halo), F.array(own, copy)).otherwise(F.array(own))
+    else:
+        tags = F.array(own)
+    base = (df.withColumn("__halo", F.explode(tags))
+            .withColumn("__blk", F.col("__halo.b")).withColumn("__copy", F.col("__halo.c")).drop("__halo"))
     w = Window.partitionBy(*(partition_cols + ["__blk"])).orderBy(idx_col)
     for name, fn in columns.items():
         base = base.withColumn(name, fn(w))
