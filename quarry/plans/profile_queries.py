@@ -262,3 +262,12 @@ SELECT {', '.join(f'{q(col)} IS NULL AS {q(col + "_missing")}' for col in EVENTS
 FROM {DIRTY_EVENTS_NORM_SQL} GROUP BY ALL""")
 def null_patterns(spark, sf):
     return P.null_patterns(dirty_events(spark, sf))
+
+
+@register("outlier_rows", """
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, user_id, event_type, value FROM events, b
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def outlier_rows(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return P.outlier_rows(ev, "value")

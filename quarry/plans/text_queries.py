@@ -88,3 +88,19 @@ def text_label_dist(spark, sf):
     text_col = X.detect_text_column(joined)
     label_col = X.detect_label_column(joined, text_col)
     return X.label_distribution(joined, label_col)
+
+
+@register("text_word_histogram", f"""
+WITH w AS (SELECT CAST(len({words_sql("text")}) AS DOUBLE) AS n FROM documents),
+mm AS (SELECT min(n) AS mn, max(n) AS mx FROM w),
+b AS (SELECT CASE WHEN mx = mn THEN 0 ELSE CAST(least(floor((n - mn) / (mx - mn) * 50.0), 49) AS INTEGER) END
+             AS bin, count(*) AS count
+      FROM w, mm WHERE n IS NOT NULL GROUP BY 1),
+bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50))
+SELECT bins.bin, {rnd('mn + bins.bin * ((mx - mn) / 50.0)')} AS bin_lo,
+       {rnd('mn + (bins.bin + 1) * ((mx - mn) / 50.0)')} AS bin_hi,
+       CAST(coalesce(b.count, 0) AS BIGINT) AS count
+FROM bins CROSS JOIN mm LEFT JOIN b ON bins.bin = b.bin""")
+def text_word_histogram(spark, sf):
+    docs, t = _documents(spark, sf)
+    return round_doubles(X.word_count_histogram(docs, t, 50))
