@@ -1,19 +1,19 @@
 """Exact k-nearest-neighbour classification / regression (M2 knn_*).
 
-Exact search compares every query with every training vector; the work is a
-block nested loop that never materialises the pairs:
-
-* training rows get a block ``tb`` (hash of id mod T) and query rows a block
-  ``qb`` (hash mod Q), each block bounded by ``block_rows``;
-* a training block meets a query block in one ``cogroup`` group (training rows
-  replicated Q times, query rows T times - the same volume a broadcast
-  would move, but spread over tasks);
-* each group computes the distances with NumPy in chunks and emits only the
-  k nearest per query (ties by training id);
-* one ``row_number() <= k`` per query merges the T partial lists, then a vote
-  (most neighbours, smallest label on ties) or the mean label.
-
-Nothing is collected to the driver and no task holds more than two blocks.
+Two exact methods; neither materialises query-training pairs as rows, nor
+sends data through the driver:
+
+* ``blocks`` - a block nested loop: training rows get a block ``tb`` (hash of
+  id mod T), query rows a block ``qb``; each (tb, qb) meets in one ``cogroup``
+  group, NumPy computes the distances in chunks and only the k nearest per
+  query are emitted (ties by training id). Work is O(train x queries).
+* ``pivots`` - the same groups, but a query only meets the training cells
+  that can hold one of its neighbours (triangle-inequality bound against
+  pivots that are themselves training rows), so the work shrinks with data
+  locality while staying exact. Used for large training sets.
+
+One ``row_number() <= k`` per query merges the partial lists, then a vote
+(most neighbours, smallest label on ties) or the mean label.
 """
 
 from __future__ import annotations
@@ -39,20 +39,7 @@ def _block(df: DataFrame, key: str, rows: int, out: str, seed: int):
     return df.withColumn(out, (key_hash(c(key), seed) % blocks).cast("int")), blocks
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str = "id",
-               query_key: str = "id", vec: str = "features", label: str = "label",
-               block_rows: int = 4096, chunk: int = 64) -> DataFrame:
-    """(qid, tid, label, dist, rank) for the k nearest training rows of every query."""
-    t = train.select(c(train_key).cast("long").alias("tid"),
-                     F.col(vec).cast("array<double>").alias("tv"), c(label).alias("tlabel"))
-    q = queries.select(c(query_key).cast("long").alias("qid"),
-                       F.col(vec).cast("array<double>").alias("qv"))
-    t, n_tb = _block(t, "tid", block_rows, "tb", 7)
-    q, n_qb = _block(q, "qid", block_rows, "qb", 11)
-    t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
-    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))))
-    label_type = train.schema[label].dataType.simpleString()
-
+def _local_topk_fn(k: int, chunk: int):
     def local_topk(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "tid", "label", "dist"]
         if tp.empty or qp.empty:
@@ -77,14 +64,140 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str
                 out_d.append(d[r][order])
         return pd.DataFrame({"qid": np.concatenate(out_q), "tid": np.concatenate(out_t),
                              "label": np.concatenate(out_l), "dist": np.concatenate(out_d)})
+    return local_topk
 
-    schema = f"qid long, tid long, label {label_type}, dist double"
-    partial = (t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb"))
-               .applyInPandas(local_topk, schema))
+
+def _merge_topk(partial: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy("dist", "tid")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _prepare(train, queries, train_key, query_key, vec, label):
+    t = train.select(c(train_key).cast("long").alias("tid"),
+                     F.col(vec).cast("array<double>").alias("tv"), c(label).alias("tlabel"))
+    q = queries.select(c(query_key).cast("long").alias("qid"),
+                       F.col(vec).cast("array<double>").alias("qv"))
+    return t, q, train.schema[label].dataType.simpleString()
+
+
+def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str = "id",
+               query_key: str = "id", vec: str = "features", label: str = "label",
+               block_rows: int = 4096, chunk: int = 64, method: str = "auto",
+               pivot_threshold: int = 50_000) -> DataFrame:
+    """(qid, tid, label, dist, rank) for the k nearest training rows of every query.
+
+    ``method``: 'blocks' (every training block meets every query block),
+    'pivots' (exact pruning, see :func:`neighbours_pivots`) or 'auto'
+    (pivots when the training side has more than ``pivot_threshold`` rows).
+    """
+    if method == "auto":
+        method = "pivots" if train.count() > pivot_threshold else "blocks"
+    if method == "pivots":
+        return neighbours_pivots(train, queries, k, train_key, query_key, vec, label,
+                                 block_rows=block_rows, chunk=chunk)
+    t, q, label_type = _prepare(train, queries, train_key, query_key, vec, label)
+    t, n_tb = _block(t, "tid", block_rows, "tb", 7)
+    q, n_qb = _block(q, "qid", block_rows, "qb", 11)
+    t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
+    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))))
+    schema = f"qid long, tid long, label {label_type}, dist double"
+    partial = (t.groupBy("tb", "qb").cogroup(q.groupBy("tb", "qb"))
+               .applyInPandas(_local_topk_fn(k, chunk), schema))
+    return _merge_topk(partial, k)
+
+
+def _dists_to(x: np.ndarray, piv: np.ndarray, chunk: int = 256) -> np.ndarray:
+    out = np.empty((len(x), len(piv)))
+    for s in range(0, len(x), chunk):
+        diff = x[s:s + chunk, None, :] - piv[None, :, :]
+        out[s:s + chunk] = np.sqrt(np.einsum("qpd,qpd->qp", diff, diff))
+    return out
+
+
+def neighbours_pivots(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str = "id",
+                      query_key: str = "id", vec: str = "features", label: str = "label",
+                      n_pivots: int | None = None, block_rows: int = 4096, chunk: int = 64,
+                      max_pivots: int = 4096) -> DataFrame:
+    """Exact k nearest neighbours with pivot pruning (one round).
+
+    * Pivots are the P training rows with the lowest hash of their id; every
+      training row joins the cell of its nearest pivot and keeps that distance;
+      a cell's radius is its largest member distance (one aggregation, P rows).
+    * Pivots are training rows, so the k-th nearest pivot of a query bounds its
+      k-th neighbour distance U. By the triangle inequality a cell can hold a
+      neighbour only if d(q, pivot) - radius <= U; only those (query, cell)
+      pairs are formed - the result is exact, the work shrinks with locality.
+    * Large cells are split into sub-blocks of ``block_rows`` training rows and
+      popular cells into query chunks, so every ``cogroup`` group stays bounded
+      even when one cell holds a third of the data.
+    Only the pivot vectors (P x dim) and per-cell numbers (P rows) are collected.
+    """
+    t, q, label_type = _prepare(train, queries, train_key, query_key, vec, label)
+    spark = t.sparkSession
+    n_train = t.count()
+    if n_train == 0:
+        return spark.createDataFrame([], f"qid long, tid long, label {label_type}, dist double, rank int")
+    p = n_pivots or int(min(max_pivots, max(k + 1, round(math.sqrt(n_train)))))
+    p = min(p, n_train)
+    piv_rows = (t.withColumn("__h", key_hash(F.col("tid"), 17)).orderBy("__h", "tid").limit(p)
+                .select("tv").collect())
+    piv = np.array([r["tv"] for r in piv_rows], dtype=np.float64)
+    bpiv = spark.sparkContext.broadcast(piv)
+
+    def assign(batches):
+        pv = bpiv.value
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(cell=pd.Series([], dtype="int32"), dcell=pd.Series([], dtype="float64"))
+                continue
+            d = _dists_to(np.vstack(pdf["tv"].to_numpy()).astype(np.float64), pv)
+            cell = d.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype("int32"), dcell=d[np.arange(len(d)), cell])
+
+    tc = t.mapInPandas(assign, f"tid long, tv array<double>, tlabel {label_type}, cell int, dcell double")
+    cells = tc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("radius")).collect()
+    radius = np.full(len(piv), -np.inf)
+    for r in cells:
+        radius[r["cell"]] = r["radius"]
+    bradius = spark.sparkContext.broadcast(radius)
+    kk = min(k, len(piv))
+
+    def route(batches):
+        pv, rad = bpiv.value, bradius.value
+        live = np.isfinite(rad)
+        for pdf in batches:
+            if pdf.empty:
+                yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "qv": pd.Series([], dtype=object),
+                                    "cell": pd.Series([], dtype="int32")})
+                continue
+            d = _dists_to(np.vstack(pdf["qv"].to_numpy()).astype(np.float64), pv)
+            u = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            slack = 1e-9 * (np.abs(u) + 1.0)
+            ok = (d - np.where(live, rad, np.inf)[None, :]) <= (u + slack)[:, None]
+            qi, ci = np.nonzero(ok)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "qv": pdf["qv"].to_numpy()[qi],
+                                "cell": ci.astype("int32")})
+
+    pairs = q.mapInPandas(route, "qid long, qv array<double>, cell int")
+    qcounts = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = [(r["cell"], max(1, math.ceil(r["n"] / block_rows)), max(1, math.ceil(qcounts.get(r["cell"], 0) / block_rows)))
+            for r in cells]
+    # One row per cell (P rows): a bounded table.
+    cell_plan = F.broadcast(spark.createDataFrame(plan, "cell int, n_sub int, n_qchunk int"))
+    tk = (tc.join(cell_plan, "cell")
+          .withColumn("sub", (key_hash(F.col("tid"), 7) % F.col("n_sub")).cast("int"))
+          .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("n_qchunk") - 1)))
+          .select("cell", "sub", "qchunk", "tid", "tv", "tlabel"))
+    qk = (pairs.join(cell_plan, "cell")
+          .withColumn("qchunk", (key_hash(F.col("qid"), 11) % F.col("n_qchunk")).cast("int"))
+          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
+          .select("cell", "sub", "qchunk", "qid", "qv"))
+    schema = f"qid long, tid long, label {label_type}, dist double"
+    partial = (tk.groupBy("cell", "sub", "qchunk").cogroup(qk.groupBy("cell", "sub", "qchunk"))
+               .applyInPandas(_local_topk_fn(k, chunk), schema))
+    return _merge_topk(partial, k)
+
+
 def vote(nbrs: DataFrame, task: str = CLASSIFICATION) -> DataFrame:
     """(qid, prediction): majority label, smallest on ties; or mean label."""
     if task == REGRESSION:

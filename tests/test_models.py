@@ -93,3 +93,24 @@ def test_word_count_histogram(spark):
     df = spark.createDataFrame([("a b c",), ("a",), ("",)], "text string")
     h = X.word_count_histogram(df, "text", 3).where("count > 0").collect()
     assert sum(r["count"] for r in h) == 3
+
+
+def test_knn_pivots_exact_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(6, 3)) * 10
+    pts = np.vstack([c + rng.normal(size=(60, 3)) for c in centers])
+    pts[:90] = pts[0]  # one heavy cell: many identical vectors (hot key)
+    labels = rng.integers(0, 4, len(pts))
+    rows = [(i, [float(v) for v in p], int(l)) for i, (p, l) in enumerate(zip(pts, labels))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    train, test = df.where("id % 7 <> 0"), df.where("id % 7 = 0")
+    nb = KNN.neighbours_pivots(train, test, 5, "id", "id", "vec", "label", n_pivots=12, block_rows=8)
+    got = {}
+    for r in nb.collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["tid"], round(r["dist"], 9)))
+    tr_ids = np.array([i for i in range(len(pts)) if i % 7 != 0])
+    for q in [i for i in range(len(pts)) if i % 7 == 0]:
+        d = np.sqrt(((pts[tr_ids] - pts[q]) ** 2).sum(axis=1))
+        order = np.lexsort((tr_ids, d))[:5]
+        want = [(i + 1, int(tr_ids[j]), round(float(d[j]), 9)) for i, j in enumerate(order)]
+        assert sorted(got[q]) == want
