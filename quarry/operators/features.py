@@ -7,6 +7,10 @@ Fitted state is split by size:
   so they stay DataFrames and are joined back: broadcast only when the counted
   table size is under ``broadcast_rows``, else a shuffle join.
 
+Fitted tables are materialised once with a reliable checkpoint (shared
+checkpoint folder), so the size check and every later transform read the
+stored table instead of recomputing the fit.
+
 Transform is one projection plus one left join per categorical column.
 """
 
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, categorical_columns, numeric_columns
 from ..sources.scan import normalise_missing
+from ..session import cut_lineage
 from .ordering import row_index
 from .quantiles import quantiles
 
@@ -243,10 +248,10 @@ def fit(df: DataFrame, target: str | None = None, strategy: str = "basic",
         if strategy == "target_encoding":
             if target is None:
                 raise ValueError("target_encoding needs a target column")
-            m.target_tables = {x: fit_target_means(df, x, target) for x in cat}
+            m.target_tables = {x: cut_lineage(fit_target_means(df, x, target)) for x in cat}
             m.global_mean = df.agg(F.avg(c(target).cast("double"))).first()[0]
         else:
-            m.code_tables = {x: fit_label_codes(df, x) for x in cat}
+            m.code_tables = {x: cut_lineage(fit_label_codes(df, x)) for x in cat}
     return m
 
 
@@ -264,7 +269,7 @@ def category_codes(df: DataFrame, cols=None, fitted: dict | None = None, keep=()
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else categorical_columns(df)
-    fitted = fitted or {x: fit_category_codes(df, x) for x in cols}
+    fitted = fitted or {x: cut_lineage(fit_category_codes(df, x)) for x in cols}
     out = df
     for x in cols:
         out = join_code(out, c(x).cast("string"), fitted[x], "code", "__cc_" + x, -1)
