@@ -27,26 +27,26 @@ def _lineitem_xy(spark, sf):
 
 
 def _coef_frame(spark, name, model, digits=4):
-    return spark.createDataFrame(
-        [(name, round(float(model.coefficients[0]), digits), round(float(model.intercept), digits))],
-        "model string, slope double, intercept double")
+    raw = spark.createDataFrame([(name, float(model.coefficients[0]), float(model.intercept))],
+                                "model string, slope double, intercept double")
+    return round_doubles(raw, digits)
 
 
-@register("linreg_one_feature", """
-SELECT 'linear_regression' AS model, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+@register("linreg_one_feature", f"""
+SELECT 'linear_regression' AS model, {rnd('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope,
+       {rnd('regr_intercept(l_extendedprice, l_quantity)', 4)} AS intercept FROM lineitem""")
 def linreg_one_feature(spark, sf):
     df = _lineitem_xy(spark, sf)
     est = MD.make_estimator("linear_regression", MD.REGRESSION, MD.data_stats(df))
     return _coef_frame(spark, "linear_regression", est.fit(df))
 
 
-@register("ridge_one_feature", """
+@register("ridge_one_feature", f"""
 WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy,
                   var_pop(l_quantity) * count(*) AS sxx, avg(l_quantity) AS mx,
                   avg(l_extendedprice) AS my FROM lineitem)
-SELECT 'ridge_regression' AS model, round(sxy / (sxx + 1.0), 4) AS slope,
-       round(my - sxy / (sxx + 1.0) * mx, 4) AS intercept FROM s""")
+SELECT 'ridge_regression' AS model, {rnd('sxy / (sxx + 1.0)', 4)} AS slope,
+       {rnd('my - sxy / (sxx + 1.0) * mx', 4)} AS intercept FROM s""")
 def ridge_one_feature(spark, sf):
     df = _lineitem_xy(spark, sf)
     est = MD.make_estimator("ridge_regression", MD.REGRESSION, MD.data_stats(df))
@@ -99,14 +99,14 @@ def knn_vote(spark, sf):
     return KNN.vote(nb).select(F.col("qid").alias("vec_id"), F.col("prediction").alias("predicted_label"))
 
 
-@register("hybrid_residual", """
+@register("hybrid_residual", f"""
 WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s,
                   regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem),
 r AS (SELECT l.*, l_extendedprice - (b.i + b.s * l_quantity) AS resid, b.i + b.s * l_quantity AS base
       FROM lineitem l, b),
 g AS (SELECT l_returnflag, avg(resid) AS m FROM r GROUP BY l_returnflag)
-SELECT l_orderkey, l_linenumber, round(base, 4) AS base_prediction,
-       round(g.m, 4) AS residual_prediction, round(base + g.m, 4) AS prediction
+SELECT l_orderkey, l_linenumber, {rnd('base', 4)} AS base_prediction,
+       {rnd('g.m', 4)} AS residual_prediction, {rnd('base + g.m', 4)} AS prediction
 FROM r JOIN g USING (l_returnflag)""")
 def hybrid_residual(spark, sf):
     df = _lineitem_xy(spark, sf)

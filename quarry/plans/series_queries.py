@@ -1,4 +1,10 @@
-"""Contract queries for time-series profiling on the daily orders series."""
+"""Contract queries for time-series profiling on the daily orders series.
+
+Outputs are rounded to 10 significant digits. The oracle's rolling means use
+``list_avg`` over the window frame, which sums the frame in row order as
+Spark's sliding frame does (DuckDB's windowed ``avg`` uses a different
+summation order and differs in the last bits).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import series as S
 from ..sources.scan import read_table
-from .common import rnd, round_doubles
+from .common import round_sig_doubles as round_doubles
+from .common import rsig as rnd
 from .registry import register
 
 
@@ -81,7 +88,7 @@ def ts_stationarity(spark, sf):
 WITH n AS (SELECT count(*) AS n FROM {IDX_SQL})
 SELECT ts, {rnd('value')} AS value, idx,
        CASE WHEN count(*) OVER w >= least(30, n.n // 5)
-            THEN {rnd('avg(value) OVER w')} END AS rolling_mean,
+            THEN {rnd('list_avg(list(value) OVER w)')} END AS rolling_mean,
        CASE WHEN count(*) OVER w >= least(30, n.n // 5)
             THEN {rnd('stddev_samp(value) OVER w')} END AS rolling_std,
        CAST(least(30, n.n // 5) AS INTEGER) AS "window"
@@ -95,7 +102,7 @@ def ts_rolling30(spark, sf):
 SELECT ts, {rnd('value')} AS value, idx,
        {rnd('lag(value, 1) OVER (ORDER BY idx)')} AS lag_1,
        {rnd('lag(value, 7) OVER (ORDER BY idx)')} AS lag_7,
-       CASE WHEN count(*) OVER w7 >= 7 THEN {rnd('avg(value) OVER w7')} END AS rolling_mean_7,
+       CASE WHEN count(*) OVER w7 >= 7 THEN {rnd('list_avg(list(value) OVER w7)')} END AS rolling_mean_7,
        CAST(dayofweek(ts) + 1 AS INTEGER) AS day_of_week, CAST(month(ts) AS INTEGER) AS month
 FROM {IDX_SQL}
 WINDOW w7 AS (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
