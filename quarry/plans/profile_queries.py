@@ -271,3 +271,21 @@ WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
 def outlier_rows(spark, sf):
     ev = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     return P.outlier_rows(ev, "value")
+
+
+@register("label_balance", """
+WITH v AS (SELECT 'quality' AS column_name, CAST(quality AS VARCHAR) AS value FROM labels WHERE quality IS NOT NULL
+           UNION ALL
+           SELECT 'toxic', CAST(toxic AS VARCHAR) FROM labels WHERE toxic IS NOT NULL),
+c AS (SELECT column_name, value, count(*) AS count FROM v GROUP BY ALL),
+s AS (SELECT column_name, count(*) AS n_classes, max(count) * 1.0 / min(count) > 3 AS is_imbalanced
+      FROM c GROUP BY column_name)
+SELECT column_name, value, count, n_classes, is_imbalanced FROM c JOIN s USING (column_name)""")
+def label_balance(spark, sf):
+    """Class distribution and imbalance flag of each label column of ``labels``."""
+    labels = read_table(spark, sf, "labels")
+    out = None
+    for col in ["quality", "toxic"]:
+        part = P.target_distribution(labels, col).select(F.lit(col).alias("column_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

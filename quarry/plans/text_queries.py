@@ -104,3 +104,34 @@ FROM bins CROSS JOIN mm LEFT JOIN b ON bins.bin = b.bin""")
 def text_word_histogram(spark, sf):
     docs, t = _documents(spark, sf)
     return round_doubles(X.word_count_histogram(docs, t, 50))
+
+
+# Tables with a text column and how the detection rules apply to each.
+TEXT_TABLES = ["documents", "conversations", "benchmark", "pages"]
+
+
+@register("text_columns", f"""
+SELECT 'documents' AS table_name, 'text' AS text_column, 'n_chars' AS label_column,
+       {rnd('avg(length(text))')} AS avg_text_length FROM documents
+UNION ALL
+SELECT 'conversations', 'text', 'role', {rnd('avg(length(text))')} FROM conversations
+UNION ALL
+SELECT 'benchmark', 'text', 'item_id', {rnd('avg(length(text))')} FROM benchmark
+UNION ALL
+SELECT 'pages', tc, CASE WHEN tc = 'html' THEN 'url' ELSE 'html' END,
+       CASE WHEN tc = 'html' THEN {rnd('lh')} ELSE {rnd('lu')} END
+FROM (SELECT CASE WHEN avg(length(url)) > 50 THEN 'url' WHEN avg(length(html)) > 50 THEN 'html'
+                  ELSE 'url' END AS tc, avg(length(url)) AS lu, avg(length(html)) AS lh FROM pages)""")
+def text_columns(spark, sf):
+    """Text and label column chosen by the name / mean-length rules for each text table."""
+    from pyspark.sql import functions as F
+    out = None
+    for t in TEXT_TABLES:
+        df = read_table(spark, sf, t)
+        text_col = X.detect_text_column(df)
+        label_col = X.detect_label_column(df, text_col)
+        part = df.agg(F.avg(F.length(text_col)).alias("avg_text_length")).select(
+            F.lit(t).alias("table_name"), F.lit(text_col).alias("text_column"),
+            F.lit(label_col).alias("label_column"), "avg_text_length")
+        out = part if out is None else out.unionByName(part)
+    return round_doubles(out)
