@@ -44,7 +44,8 @@ FROM d, med, sc"""
 @register("feat_impute_scale", _impute_scale_sql())
 def feat_impute_scale(spark, sf):
     df = _keyed_events(spark, sf)
-    model = FE.fit(df, strategy="basic", exclude=("key",))
+    # Only the numeric part is reported, so only it is fitted.
+    model = FE.fit(df, strategy="basic", exclude=("key", *EV_CAT))
     return round_doubles(model.transform(df, keep=("key",)).select("key", *EV_NUM))
 
 
@@ -72,7 +73,7 @@ SELECT d.event_id AS key, {sel} FROM d {joins}"""
 @register("feat_label_codes", _label_codes_sql())
 def feat_label_codes(spark, sf):
     df = _keyed_events(spark, sf)
-    model = FE.fit(df, strategy="basic", exclude=("key",))
+    model = FE.fit(df, strategy="basic", exclude=("key", *EV_NUM))
     return model.transform(df, keep=("key",)).select("key", *EV_CAT)
 
 
@@ -96,7 +97,7 @@ SELECT d.event_id AS key, {sel} FROM d CROSS JOIN g {joins}"""
 @register("feat_target_encode", _target_encode_sql())
 def feat_target_encode(spark, sf):
     df = _keyed_events(spark, sf)
-    model = FE.fit(df, target="value", strategy="target_encoding", exclude=("key",))
+    model = FE.fit(df, target="value", strategy="target_encoding", exclude=("key", "event_id", "user_id"))
     return round_doubles(model.transform(df, keep=("key",)).select("key", *EV_CAT))
 
 
