@@ -46,9 +46,14 @@ class DataStats:
 
 
 def data_stats(df: DataFrame, label: str = "label", task: str = REGRESSION) -> DataStats:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(c(label).cast("double")).alias("s"),
-                 F.countDistinct(c(label)).alias("k")).first()
-    return DataStats(row["n"], row["s"] or 1.0, row["k"] or 2)
+    """Row count and label population std in one aggregation; the class count
+    (an exact distinct count) only for classification."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.stddev_pop(c(label).cast("double")).alias("s")]
+    if task == CLASSIFICATION:
+        aggs.append(F.countDistinct(c(label)).alias("k"))
+    row = df.agg(*aggs).first()
+    k = row["k"] if task == CLASSIFICATION else None
+    return DataStats(row["n"], row["s"] or 1.0, k or 2)
 
 
 def _gbt_classifier(stats: DataStats, **kw):
@@ -316,7 +321,9 @@ class GroupMeanRegressor(Estimator, HasLabelCol, HasPredictionCol):
         means = df.groupBy(c(self.group_col).alias("__g")).agg(
             F.avg(c(self.getLabelCol()).cast("double")).alias("__m"))
         overall = df.agg(F.avg(c(self.getLabelCol()).cast("double"))).first()[0]
-        return GroupMeanModel(self.group_col, means, overall, self.getPredictionCol())
+        from ..session import cut_lineage
+        # Fitted state is materialised once (one row per group).
+        return GroupMeanModel(self.group_col, cut_lineage(means), overall, self.getPredictionCol())
 
 
 class GroupMeanModel(Model):
