@@ -100,3 +100,13 @@ def image_report(spark, root: str) -> DataFrame:
     inv = image_inventory(spark, root)
     return _union([to_long(IM.class_counts(inv), "class_distribution", "class"),
                    to_long(IM.image_stats(inv), "image_stats")])
+
+
+def strategy_report(df: DataFrame, target: str | None = None) -> DataFrame:
+    """Detect -> summarise -> quality -> risks and preprocessing steps, as one long
+    frame (the reference's planning entry point, without its fixed model lists)."""
+    from ..operators import profile as P2
+    return _union([to_long(R.dataset_summary(df, target), "summary"),
+                   to_long(P2.quality_report(df), "quality"),
+                   to_long(R.risks(df, target), "risks", "code"),
+                   to_long(R.preprocessing_steps(df, target), "preprocessing", "code")])

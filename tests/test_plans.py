@@ -69,3 +69,11 @@ def test_streaming_scoring_equals_batch(spark, tmp_dir):
     batch, _ = A.submission(res, test, "id")
     assert got.count() == test.count()
     assert got.exceptAll(batch).count() == 0
+
+
+def test_strategy_report(spark):
+    nation = read_table(spark, SF0001, "nation")
+    rep = RP.strategy_report(nation)
+    rows = {(r["section"], r["subject"], r["metric"]): r["value"] for r in rep.collect()}
+    assert rows[("summary", None, "n_samples")] == "25"
+    assert ("risks", "very_small_dataset", "detail") in rows
