@@ -24,7 +24,8 @@ WORDS_SQL = f"(SELECT unnest({vocab_sql('text')}) AS word FROM documents)"
 
 
 def _documents(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    # Tokenising is the CPU-heavy step: spread a small single-file table over all cores.
+    docs = read_table(spark, sf, "documents", spread=True)
     return docs, X.detect_text_column(docs)
 
 
