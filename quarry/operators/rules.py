@@ -71,20 +71,40 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
                       F.lit(numeric).alias("is_numeric"), t.alias("task_type"))
 
 
+def _task_label(numeric: bool, k: int, n: int) -> str:
+    if numeric:
+        if k <= 10:
+            return "binary_classification" if k == 2 else "multiclass_classification"
+        return "multiclass_classification" if n and k / n < 0.05 else "regression"
+    return "binary_classification" if k == 2 else "multiclass_classification"
+
+
 def dataset_summary(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Modality, task, counts per type class, target (V9); one row."""
-    roles = column_roles(df).collect()
-    modality = detect_modality(df, roles)
+    """Modality, task, counts per type class, target (V9); one row.
+
+    One aggregation: mean length of every string column (for the modality
+    rule), row count and distinct count of the target (for the task rule).
+    """
+    df = normalise_missing(df)
     target = target or guess_target(df.columns)
-    kinds = [r["type_class"] for r in roles]
-    tt = task_type(df, target)
-    return tt.select(
-        F.lit(modality).alias("modality"), "task_type", F.col("n_rows").alias("n_samples"),
-        F.lit(len(df.columns) - (1 if target else 0)).alias("n_features"),
-        F.lit(target).alias("target_column"),
-        F.lit(kinds.count("numeric")).alias("numeric_features"),
-        F.lit(kinds.count("categorical")).alias("categorical_features"),
-        F.lit(kinds.count("datetime")).alias("datetime_features"))
+    fields = df.schema.fields
+    kinds = {f.name: type_class(f.dataType) for f in fields}
+    strings = [f.name for f in fields if kinds[f.name] == "categorical"]
+    row = df.agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(c(target)).alias("__k"),
+                 *[F.avg(F.length(c(x))).alias(f"l{i}") for i, x in enumerate(strings)]).first()
+    roles = [{"is_time_name": f.name.lower() in TIME_NAMES, "is_text_name": f.name.lower() in TEXT_NAMES,
+              "type_class": kinds[f.name],
+              "avg_length": row[f"l{strings.index(f.name)}"] if f.name in strings else None}
+             for f in fields]
+    modality = detect_modality(df, roles)
+    numeric = kinds[target] in ("numeric", "boolean")
+    n, k = row["__n"], row["__k"]
+    counts = list(kinds.values())
+    out = [(modality, _task_label(numeric, k, n), n, len(df.columns) - 1, target,
+            counts.count("numeric"), counts.count("categorical"), counts.count("datetime"))]
+    return df.sparkSession.createDataFrame(
+        out, "modality string, task_type string, n_samples bigint, n_features int, target_column string, "
+             "numeric_features int, categorical_features int, datetime_features int")
 
 
 def _report(spark, rows):
@@ -116,7 +136,7 @@ def risks(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def preprocessing_steps(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Suggested preprocessing (V4) and EDA recommendations (V6) as code rows."""
+    """Suggested preprocessing steps (V4) as code rows; see :func:`eda_flags` for V6."""
     s = dataset_summary(df, target).first()
     qr = P.quality_report(df).first()
     out = []
