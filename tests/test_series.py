@@ -76,3 +76,16 @@ def test_frequency_daily(spark):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i),) for i in range(20)]
     f = S.frequency(spark.createDataFrame(rows, "ts timestamp"), "ts").first()
     assert f["frequency"] == "daily" and f["step_seconds"] == 86400.0
+
+
+def test_row_index_hot_group_large_path(spark):
+    # One group holds a third of the rows; the range path must still index it exactly.
+    rows = [(i, 0 if i % 3 == 0 else i % 7 + 1, float(i * 13 % 97)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, g int, v double")
+    big = O.row_index(df, ["v", "id"], partition_cols=["g"], rows_per_range=50)
+    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1)
+    assert big.join(ref, ["id", "g"]).where(F.col("__idx") != F.col("ref")).count() == 0
+    # The hot group is spread over several ranges instead of one task.
+    ranged = df.repartitionByRange(18, "g", "v", "id")
+    per_task = ranged.where("g = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) >= 5
