@@ -32,13 +32,19 @@ def detect_time_column(df: DataFrame) -> str | None:
     return None
 
 
-def as_series(df: DataFrame, ts: str | None = None, value: str | None = None) -> DataFrame:
-    """(ts, value) with the time column parsed and rows without a value dropped."""
+def as_series(df: DataFrame, ts: str | None = None, value: str | None = None,
+              series_cols=()) -> DataFrame:
+    """(series..., ts, value) with the time column parsed (P6 drops missing values later).
+
+    ``series_cols`` name a series key when the table holds several series; the
+    reference profiles one series, which is the default.
+    """
     df = normalise_missing(df)
     ts = ts or detect_time_column(df)
-    value = value or numeric_columns(df)[0]
+    value = value or numeric_columns(df, tuple(series_cols))[0]
     t = c(ts) if ts in datetime_columns(df) else F.try_to_timestamp(c(ts).cast("string"))
-    return df.select(t.cast("timestamp").alias("ts"), c(value).cast("double").alias("value"))
+    return df.select(*[c(x) for x in series_cols], t.cast("timestamp").alias("ts"),
+                     c(value).cast("double").alias("value"))
 
 
 def date_range(df: DataFrame, ts: str) -> DataFrame:
@@ -81,10 +87,11 @@ def value_stats(series: DataFrame) -> DataFrame:
         F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
 
 
-def indexed(series: DataFrame) -> DataFrame:
-    """Series rows with a value, each with its position in time order."""
+def indexed(series: DataFrame, series_cols=()) -> DataFrame:
+    """Series rows with a value, each with its position in time order (W3),
+    counted within each series when ``series_cols`` are given."""
     s = series.where(F.col("value").isNotNull())
-    return row_index(s, ["ts", "value"])
+    return row_index(s, ["ts", "value"], partition_cols=list(series_cols) or None)
 
 
 def trend(series: DataFrame) -> DataFrame:
@@ -118,28 +125,40 @@ def stationarity(series: DataFrame) -> DataFrame:
                       F.when(ok, ratio < 2).alias("likely_stationary"))
 
 
-def rolling_stats(series: DataFrame, window: int | None = None, block: int = 100_000) -> DataFrame:
+def rolling_stats(series: DataFrame, window: int | None = None, block: int = 100_000,
+                  series_cols=()) -> DataFrame:
     """Rolling mean and std (n-1) over ``min(30, n div 5)`` rows, only when
-    n > 30; NULL until the window is full (W2)."""
-    ix = indexed(series)
-    n = ix.count()
-    size = window or min(30, n // 5)
-    if n <= 30 and window is None:
-        return ix.limit(0).select("ts", "value", F.col(IDX).alias("idx"),
-                                  F.lit(None).cast("double").alias("rolling_mean"),
-                                  F.lit(None).cast("double").alias("rolling_std"),
-                                  F.lit(size).alias("window"))
+    n > 30; NULL until the window is full (W2). With ``series_cols`` the
+    window runs within each series (``window`` must then be given)."""
+    series_cols = list(series_cols)
+    ix = indexed(series, series_cols)
+    keys = [c(x) for x in series_cols]
+    if window is None:
+        if series_cols:
+            raise ValueError("give the window size when rolling several series")
+        n = ix.count()
+        size = min(30, n // 5)
+        if n <= 30:
+            return ix.limit(0).select("ts", "value", F.col(IDX).alias("idx"),
+                                      F.lit(None).cast("double").alias("rolling_mean"),
+                                      F.lit(None).cast("double").alias("rolling_std"),
+                                      F.lit(size).alias("window"))
+    else:
+        size = window
     v = F.col("value")
     out = blocked_window(ix, IDX, size - 1, {
         "rolling_mean": lambda w: rolling(w, v, size, "mean"),
-        "rolling_std": lambda w: rolling(w, v, size, "std")}, block=block)
-    return out.select("ts", "value", F.col(IDX).alias("idx"), "rolling_mean", "rolling_std",
+        "rolling_std": lambda w: rolling(w, v, size, "std")}, partition_cols=series_cols, block=block)
+    return out.select(*keys, "ts", "value", F.col(IDX).alias("idx"), "rolling_mean", "rolling_std",
                       F.lit(size).alias("window"))
 
 
-def lag_features(series: DataFrame, lags=(1, 7), windows=(7,), block: int = 100_000) -> DataFrame:
-    """Lag values, rolling means and calendar indicators."""
-    ix = indexed(series)
+def lag_features(series: DataFrame, lags=(1, 7), windows=(7,), block: int = 100_000,
+                 series_cols=()) -> DataFrame:
+    """Lag values, rolling means and calendar indicators (W8), per series when
+    ``series_cols`` are given."""
+    series_cols = list(series_cols)
+    ix = indexed(series, series_cols)
     v = F.col("value")
     cols = {}
     for k in lags:
@@ -147,6 +166,6 @@ def lag_features(series: DataFrame, lags=(1, 7), windows=(7,), block: int = 100_
     for size in windows:
         cols[f"rolling_mean_{size}"] = (lambda s: (lambda w: rolling(w, v, s, "mean")))(size)
     halo = max(list(lags) + [s - 1 for s in windows] + [0])
-    out = blocked_window(ix, IDX, halo, cols, block=block)
-    return out.select("ts", "value", F.col(IDX).alias("idx"), *cols.keys(),
+    out = blocked_window(ix, IDX, halo, cols, partition_cols=series_cols, block=block)
+    return out.select(*[c(x) for x in series_cols], "ts", "value", F.col(IDX).alias("idx"), *cols.keys(),
                       F.dayofweek("ts").alias("day_of_week"), F.month("ts").alias("month"))

@@ -108,3 +108,25 @@ FROM {IDX_SQL}
 WINDOW w7 AS (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def ts_lag_features(spark, sf):
     return round_doubles(S.lag_features(S.as_series(daily_orders(spark, sf))))
+
+
+def daily_orders_by_status(spark, sf):
+    """Fixture: one daily series per order status -> (o_orderstatus, o_orderdate, value)."""
+    orders = read_table(spark, sf, "orders")
+    return orders.groupBy("o_orderstatus", "o_orderdate").agg(F.sum("o_totalprice").alias("value"))
+
+
+@register("ts_rolling_by_series", f"""
+WITH d AS (SELECT o_orderstatus, o_orderdate AS ts, sum(o_totalprice) AS value
+           FROM orders GROUP BY o_orderstatus, o_orderdate),
+ix AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ts, value) - 1 AS idx
+       FROM d WHERE value IS NOT NULL)
+SELECT o_orderstatus, ts, {rnd('value')} AS value, idx,
+       CASE WHEN count(*) OVER w >= 7 THEN {rnd('list_avg(list(value) OVER w)')} END AS rolling_mean,
+       CASE WHEN count(*) OVER w >= 7 THEN {rnd('stddev_samp(value) OVER w')} END AS rolling_std,
+       7 AS "window"
+FROM ix WINDOW w AS (PARTITION BY o_orderstatus ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+def ts_rolling_by_series(spark, sf):
+    """7-row rolling mean and std within each order-status series (W1, W2 per series)."""
+    s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
+    return round_doubles(S.rolling_stats(s, window=7, series_cols=["o_orderstatus"]))

@@ -89,3 +89,19 @@ def test_row_index_hot_group_large_path(spark):
     ranged = df.repartitionByRange(18, "g", "v", "id")
     per_task = ranged.where("g = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_task) >= 5
+
+
+def test_rolling_per_series_blocked(spark, monkeypatch):
+    import numpy as np
+    rows = []
+    for g, n in (("a", 300), ("b", 40), ("c", 5)):   # one series dominates
+        for i in range(n):
+            rows.append((g, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), float((i * 17 + len(g)) % 23)))
+    df = spark.createDataFrame(rows, "g string, ts timestamp, value double")
+    monkeypatch.setattr(O, "ROWS_PER_RANGE", 40)
+    out = S.rolling_stats(df, window=5, block=16, series_cols=["g"]).toPandas()
+    for g, part in out.groupby("g"):
+        part = part.sort_values("idx")
+        want = part["value"].rolling(5).mean().to_numpy()
+        assert np.allclose(part["rolling_mean"].to_numpy(dtype=float), want, equal_nan=True)
+        assert part["idx"].tolist() == list(range(len(part)))
