@@ -39,8 +39,9 @@ def _sort_cols(cols):
 
 
 def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
-              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+              rows_per_range: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position by ``order_cols`` (within ``partition_cols``)."""
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     partition_cols = list(partition_cols or [])
     keys = _sort_cols(partition_cols) + _sort_cols(order_cols)
     n = df.count()
