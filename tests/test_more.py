@@ -94,3 +94,29 @@ def test_image_report(spark, tmp_dir):
     _png(f"{tmp_dir}/a/x.png", 2, 2)
     rep = RP.image_report(spark, tmp_dir)
     assert rep.where("section = 'image_stats' AND metric = 'n_images'").first()["value"] == "1"
+
+
+def test_cross_validate_expanding_window(spark):
+    from quarry.operators import splits as SP
+    df = _reg(spark, 60)
+    folds = SP.time_series_folds(df, ["id"], 3)
+    stats = MD.data_stats(folds)
+    fs, summary = MD.cross_validate(folds, lambda: MD.make_estimator("linear_regression", MD.REGRESSION, stats),
+                                    "test_fold", MD.REGRESSION, k=3, ordered=True)
+    assert summary.first()["n_folds"] == 3
+    # fold i trains only on rows before its test block
+    n, size = 60, 60 // 4
+    for i in range(3):
+        start = n - (3 - i) * size
+        tr = folds.where((F.col("train_from_fold") >= 0) & (F.col("train_from_fold") <= i))
+        assert tr.agg(F.max("idx")).first()[0] == start - 1
+
+
+def test_score_weighted_ensemble(spark):
+    from quarry.operators import ensembles as EN
+    a = spark.createDataFrame([(1, 10.0)], "k int, prediction double")
+    b = spark.createDataFrame([(1, 20.0)], "k int, prediction double")
+    out = EN.ensemble({"a": a, "b": b}, "k", "weighted", scores={"a": 0.75, "b": 0.25}).first()
+    assert out["prediction"] == pytest.approx(12.5)
+    avg = EN.ensemble({"a": a, "b": b}, "k", "stacking").first()
+    assert avg["prediction"] == pytest.approx(15.0)
