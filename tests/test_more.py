@@ -120,3 +120,19 @@ def test_score_weighted_ensemble(spark):
     assert out["prediction"] == pytest.approx(12.5)
     avg = EN.ensemble({"a": a, "b": b}, "k", "stacking").first()
     assert avg["prediction"] == pytest.approx(15.0)
+
+
+def test_operators_on_empty_frames(spark):
+    from quarry.operators import metrics as MM
+    from quarry.operators import profile as P
+    from quarry.operators import series as S
+    from quarry.operators import text as X
+    e = spark.createDataFrame([], "label int, score double, prediction int")
+    assert MM.roc_auc(e).first()["auc"] is None
+    assert MM.classification_metrics(e).first()["n"] is None
+    t = spark.createDataFrame([], "text string")
+    assert X.vocabulary(t, "text").first()["total_words"] == 0
+    assert X.top_words(t, "text").count() == 0
+    s = spark.createDataFrame([], "ts timestamp, value double")
+    assert S.trend(s).first()["n"] == 0
+    assert P.quality_report(spark.createDataFrame([], "a int, b string")).first()["n_rows"] == 0
