@@ -160,6 +160,34 @@ def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: st
 
 
 # ---------------------------------------------------------------- correlations
+WIDE_CORRELATION_COLUMNS = 30  # above this, MLlib's Gram-matrix correlation on complete rows
+
+
+def correlations_wide(df: DataFrame, cols) -> DataFrame:
+    """Pearson r of all pairs from ``pyspark.ml.stat.Correlation`` (D7, many columns).
+
+    One tree-aggregated covariance over an assembled vector: cost per row is
+    one k x k BLAS update instead of k^2 / 2 generated rows. Rows with any
+    missing value are skipped (complete-case, not pairwise - the stated
+    difference; equal when nothing is missing). Only the k x k matrix reaches
+    the driver. Constant columns give NULL.
+    """
+    import math
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    spark = df.sparkSession
+    vec = VectorAssembler(inputCols=list(cols), outputCol="__v",
+                          handleInvalid="skip").transform(df.select(*[c(x).cast("double").alias(x) for x in cols]))
+    m = Correlation.corr(vec, "__v", "pearson").head()[0].toArray()
+    rows, p = [], 0
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            r = float(m[i][j])
+            rows.append((p, a, cols[j], None if math.isnan(r) else r))
+            p += 1
+    return spark.createDataFrame(rows, "pair int, feature1 string, feature2 string, correlation double")
+
+
 def correlations(df: DataFrame, cols=None) -> DataFrame:
     """Pearson r of every numeric pair on pairwise-complete rows.
 
@@ -171,6 +199,8 @@ def correlations(df: DataFrame, cols=None) -> DataFrame:
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if len(cols) > WIDE_CORRELATION_COLUMNS:
+        return correlations_wide(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     spark = df.sparkSession
     if not pairs:

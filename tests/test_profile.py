@@ -112,3 +112,19 @@ def test_target_profile_kind(spark):
     df2 = spark.createDataFrame([("a",), ("a",), ("a",), ("a",), ("b",)], "y string")
     kind2, prof = P.target_profile(df2, "y")
     assert kind2 == "categorical" and prof.first()["is_imbalanced"]
+
+
+def test_wide_correlation_path_matches_pairwise_on_complete_rows(spark):
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(200, 5))
+    data[:, 3] = data[:, 0] * 2 + rng.normal(size=200) * 0.1
+    data[:, 4] = 1.0  # constant column
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], "a double, b double, c double, d double, e double")
+    narrow = {(r["feature1"], r["feature2"]): r["correlation"] for r in P.correlations(df).collect()}
+    wide = {(r["feature1"], r["feature2"]): r["correlation"] for r in P.correlations_wide(df, df.columns).collect()}
+    assert narrow.keys() == wide.keys()
+    for k, v in narrow.items():
+        if v is None:
+            assert wide[k] is None
+        else:
+            assert wide[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
