@@ -58,21 +58,51 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- duplicates
-def duplicate_counts(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group (A4), NULLs compare equal.
+def _groupable(df: DataFrame) -> list:
+    cols = [c(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    cols += [F.to_json(c(f.name)).alias(f.name) for f in df.schema.fields
+             if isinstance(f.dataType, T.MapType)]
+    return cols
 
-    One shuffle: group by all columns with map-side partial counts, so a hot
-    duplicate group collapses before it is shuffled.
-    """
-    df = normalise_missing(df)
-    groupable = [c(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    groupable += [F.to_json(c(f.name)).alias(f.name) for f in df.schema.fields
-                  if isinstance(f.dataType, T.MapType)]
-    groups = df.groupBy(*groupable).agg(F.count(F.lit(1)).alias("__k"))
+
+def _dup_summary(groups: DataFrame) -> DataFrame:
     return (groups.agg(F.coalesce(F.sum("__k"), F.lit(0)).cast("bigint").alias("n_rows"),
                        F.coalesce(F.sum(F.col("__k") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"))
-            .withColumn("duplicate_pct",
-                        F.try_divide(F.col("n_duplicates") * 100.0, F.col("n_rows"))))
+            .withColumn("duplicate_pct", F.try_divide(F.col("n_duplicates") * 100.0, F.col("n_rows"))))
+
+
+def duplicate_counts(df: DataFrame, method: str = "hash") -> DataFrame:
+    """Rows beyond the first of each identical group (A4), NULLs compare equal. Exact.
+
+    ``direct``: group by all columns (every full row is shuffled once, map-side
+    partial counts collapse a hot duplicate group first).
+    ``hash`` (default): group by two independent row hashes (96 bits) - a few
+    bytes per row cross the shuffle. Rows with a unique hash are unique rows;
+    only rows whose hash repeats are grouped exactly by all columns (semi-join
+    on the repeated hashes, broadcast only under the size check), so hash
+    collisions cannot change the result.
+    """
+    df = normalise_missing(df)
+    cols = _groupable(df)
+    if method == "direct":
+        return _dup_summary(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__k")))
+    hashed = df.select(*cols).withColumn("__h1", F.xxhash64(*cols)).withColumn("__h2", F.hash(*cols))
+    by_hash = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__k"))
+    totals = by_hash.agg(F.coalesce(F.sum("__k"), F.lit(0)).cast("bigint").alias("n"),
+                         F.count_if(F.col("__k") > 1).alias("n_rep")).first()
+    n, n_rep = totals["n"], totals["n_rep"]
+    spark = df.sparkSession
+    if not n_rep:
+        dups = 0
+    else:
+        from ..session import cut_lineage
+        from .features import sized
+        repeated = cut_lineage(by_hash.where(F.col("__k") > 1).select("__h1", "__h2"))
+        cand = hashed.join(sized(repeated), ["__h1", "__h2"], "left_semi").drop("__h1", "__h2")
+        exact = cand.groupBy(*cand.columns).agg(F.count(F.lit(1)).alias("__k"))
+        dups = exact.agg(F.coalesce(F.sum(F.col("__k") - 1), F.lit(0))).first()[0]
+    return spark.createDataFrame([(n, dups, (dups * 100.0 / n) if n else None)],
+                                 "n_rows bigint, n_duplicates bigint, duplicate_pct double")
 
 
 # ---------------------------------------------------------------- value counts

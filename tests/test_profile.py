@@ -128,3 +128,13 @@ def test_wide_correlation_path_matches_pairwise_on_complete_rows(spark):
             assert wide[k] is None
         else:
             assert wide[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("method", ["hash", "direct"])
+def test_duplicates_methods_agree(spark, method):
+    rows = [(i % 7, None if i % 5 == 0 else str(i % 3), float(i % 2)) for i in range(300)]
+    rows += [(None, "1", 1.0), (1, None, None), (None, "1", 1.0)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    import pandas as pd
+    want = int(pd.DataFrame(rows, columns=list("abc")).duplicated().sum())
+    assert P.duplicate_counts(df, method).first()["n_duplicates"] == want
