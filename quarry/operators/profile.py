@@ -124,6 +124,59 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+HASH_MIN_LENGTH = 32  # strings longer than this travel as hashes in distinct counting
+
+
+def column_counts(df: DataFrame, cols=None) -> DataFrame:
+    """(column, n_rows, n_missing, n_distinct) per column, exact, one shuffle of short keys.
+
+    Short values (numbers, dates, strings up to ``HASH_MIN_LENGTH`` characters)
+    are grouped by value. Long strings travel as two independent hashes (96
+    bits) instead, so long unique texts never cross a shuffle. Only when a hash
+    of a long value repeats (copies, or a collision) are those rows' values
+    grouped exactly (semi-join on the repeated hashes, broadcast only under the
+    size check); each such hash adds its distinct values minus one.
+    """
+    df = normalise_missing(df)
+    cols = [x for x in (list(cols) if cols is not None else df.columns) if value_comparable(df, x) is not None]
+    spark = df.sparkSession
+    schema = "column string, n_rows bigint, n_missing bigint, n_distinct bigint"
+    if not cols:
+        return spark.createDataFrame([], schema)
+    exprs = []
+    for x in cols:
+        v = value_comparable(df, x)
+        if type_class(df.schema[x].dataType) == "categorical":
+            long_v = F.length(v) > F.lit(HASH_MIN_LENGTH)
+        else:
+            long_v = F.lit(False)
+        exprs.append(F.struct(F.lit(x).alias("column"), v.alias("value"),
+                              F.when(~long_v | v.isNull(), v).alias("key"),
+                              F.when(long_v, F.xxhash64(v)).alias("h1"),
+                              F.when(long_v, F.hash(v)).alias("h2")))
+    long = df.select(F.explode(F.array(*exprs)).alias("kv")).select("kv.*")
+    g = (long.groupBy("column", "key", "h1", "h2", F.col("value").isNull().alias("is_null"))
+         .agg(F.count(F.lit(1)).alias("k")))
+    per_col = {r["column"]: r for r in g.groupBy("column").agg(
+        F.sum("k").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("is_null"), F.col("k"))), F.lit(0)).alias("n_missing"),
+        F.count_if(~F.col("is_null")).alias("n_groups"),
+        F.count_if(F.col("h1").isNotNull() & (F.col("k") > 1)).alias("n_repeated")).collect()}
+    extra = {}
+    if any(r["n_repeated"] for r in per_col.values()):
+        from ..session import cut_lineage
+        from .features import sized
+        repeated = cut_lineage(g.where(F.col("h1").isNotNull() & (F.col("k") > 1)).select("column", "h1", "h2"))
+        cand = long.where(F.col("h1").isNotNull()).join(sized(repeated), ["column", "h1", "h2"], "left_semi")
+        verified = (cand.groupBy("column", "h1", "h2", "value").agg(F.count(F.lit(1)).alias("_c"))
+                    .groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("dv"))
+                    .groupBy("column").agg(F.sum(F.col("dv") - 1).alias("extra")))
+        extra = {r["column"]: r["extra"] for r in verified.collect()}
+    rows = [(x, per_col[x]["n_rows"], per_col[x]["n_missing"], per_col[x]["n_groups"] + (extra.get(x) or 0))
+            for x in cols if x in per_col]
+    return spark.createDataFrame(rows, schema)
+
+
 def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, n_rows, n_distinct, is_constant, is_high_cardinality, is_potential_id).
 
@@ -141,11 +194,8 @@ def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
                                              F.col(f"d{i}").cast("bigint").alias("n_distinct"))
                                     for i, n in enumerate(names)])
     else:
-        # Value counts keep NULL groups, so the counts of one column add up to n_rows.
         ordinal = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-        prof = (value_counts(df, names).groupBy("column")
-                .agg(F.sum("count").cast("bigint").alias("n_rows"),
-                     F.count_if(F.col("value").isNotNull()).cast("bigint").alias("n_distinct"))
+        prof = (column_counts(df, names)
                 .withColumn("ordinal", ordinal[F.col("column")])
                 .select("column", "ordinal", "n_rows", "n_distinct"))
     kind_map = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(kinds[n]))]) if names \
@@ -431,20 +481,17 @@ def null_patterns(df: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame) -> DataFrame:
     """Quality report (V10): one row combining A2-A8.
 
-    Two jobs over the data: the long value-count aggregation gives rows,
-    missing and distinct counts for every column at once (NULL groups are the
-    missing values), and the duplicate count groups by all columns. The
-    per-column results (bounded by the schema) are assembled on the driver.
+    :func:`column_counts` gives rows, missing and distinct counts for every
+    column at once (hashed values, exact), :func:`duplicate_counts` the
+    duplicate rows. The per-column results (bounded by the schema) are
+    assembled on the driver.
     """
     df = normalise_missing(df)
     spark = df.sparkSession
     kinds = _schema_kinds(df)
     names = [f.name for f in df.schema.fields if value_comparable(df, f.name) is not None]
     nested = [f.name for f in df.schema.fields if f.name not in names]
-    prof = {r["column"]: r for r in value_counts(df, names).groupBy("column").agg(
-        F.sum("count").alias("n_rows"), F.count_if(F.col("value").isNotNull()).alias("n_distinct"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("n_missing")
-    ).collect()}
+    prof = {r["column"]: r for r in column_counts(df, names).collect()}
     nested_missing = {}
     if nested:
         row = df.agg(*[F.count_if(c(x).isNull()).alias(f"m{i}") for i, x in enumerate(nested)]).first()

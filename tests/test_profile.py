@@ -138,3 +138,20 @@ def test_duplicates_methods_agree(spark, method):
     import pandas as pd
     want = int(pd.DataFrame(rows, columns=list("abc")).duplicated().sum())
     assert P.duplicate_counts(df, method).first()["n_duplicates"] == want
+
+
+def test_column_counts_exact(spark):
+    rows = [(i % 4, None if i % 9 == 0 else "t" * (i % 13), f"u{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c string")
+    got = {r["column"]: (r["n_rows"], r["n_missing"], r["n_distinct"]) for r in P.column_counts(df).collect()}
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=list("abc"))
+    for col in "abc":
+        assert got[col] == (500, int(pdf[col].isna().sum()), int(pdf[col].nunique()))
+
+
+def test_column_counts_long_texts_with_copies(spark):
+    texts = [("x" * 40 + str(i % 50)) for i in range(300)] + ["y" * 100] * 3 + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = P.column_counts(df).first()
+    assert (r["n_rows"], r["n_missing"], r["n_distinct"]) == (304, 1, 51)
