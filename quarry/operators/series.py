@@ -64,19 +64,27 @@ def _classify(micros: F.Column) -> F.Column:
             .otherwise("monthly or longer"))
 
 
-def frequency(df: DataFrame, ts: str, tiebreak: list[str] | None = None) -> DataFrame:
+def frequency(df: DataFrame, ts: str, tiebreak: list[str] | None = None, series_cols=()) -> DataFrame:
     """Most common step between successive timestamps (smallest on ties) and its
-    class (A16, W1). One row: (step_seconds, n_steps, frequency)."""
-    t = df.select(c(ts).cast("timestamp").alias("__t"), *[c(x) for x in (tiebreak or [])]) \
-        .where(F.col("__t").isNotNull())
-    indexed = row_index(t, ["__t"] + list(tiebreak or []))
+    class (A16, W1). One row: (step_seconds, n_steps, frequency); one row per
+    series when ``series_cols`` are given (steps never cross series)."""
+    series_cols = list(series_cols)
+    t = df.select(*[c(x) for x in series_cols], c(ts).cast("timestamp").alias("__t"),
+                  *[c(x) for x in (tiebreak or [])]).where(F.col("__t").isNotNull())
+    indexed = row_index(t, ["__t"] + list(tiebreak or []), partition_cols=series_cols or None)
     diffs = blocked_window(indexed, IDX, 1, {
-        "__d": lambda w: F.unix_micros("__t") - F.unix_micros(F.lag("__t", 1).over(w))})
-    counts = (diffs.where(F.col("__d").isNotNull()).groupBy("__d")
+        "__d": lambda w: F.unix_micros("__t") - F.unix_micros(F.lag("__t", 1).over(w))},
+        partition_cols=series_cols)
+    counts = (diffs.where(F.col("__d").isNotNull()).groupBy(*series_cols, "__d")
               .agg(F.count(F.lit(1)).alias("n_steps")))
-    top = counts.orderBy(F.col("n_steps").desc(), F.col("__d").asc()).limit(1)
-    return top.select((F.col("__d") / F.lit(1_000_000.0)).alias("step_seconds"), "n_steps",
-                      _classify(F.col("__d")).alias("frequency"))
+    out = [(F.col("__d") / F.lit(1_000_000.0)).alias("step_seconds"), "n_steps",
+           _classify(F.col("__d")).alias("frequency")]
+    if not series_cols:
+        return counts.orderBy(F.col("n_steps").desc(), F.col("__d").asc()).limit(1).select(*out)
+    from pyspark.sql import Window
+    w = Window.partitionBy(*series_cols).orderBy(F.col("n_steps").desc(), F.col("__d").asc())
+    return (counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 1)
+            .select(*series_cols, *out))
 
 
 def value_stats(series: DataFrame) -> DataFrame:
@@ -94,16 +102,19 @@ def indexed(series: DataFrame, series_cols=()) -> DataFrame:
     return row_index(s, ["ts", "value"], partition_cols=list(series_cols) or None)
 
 
-def trend(series: DataFrame) -> DataFrame:
-    """Least-squares slope of value on position; class when more than 10 rows."""
-    ix = indexed(series)
-    agg = ix.agg(F.count(F.lit(1)).alias("n"),
-                 F.regr_slope(F.col("value"), F.col(IDX).cast("double")).alias("slope"),
-                 F.stddev_samp("value").alias("std"))
+def trend(series: DataFrame, series_cols=()) -> DataFrame:
+    """Least-squares slope of value on position; class when more than 10 rows.
+    One row, or one row per series (a grouped aggregate) with ``series_cols``."""
+    series_cols = list(series_cols)
+    ix = indexed(series, series_cols)
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.regr_slope(F.col("value"), F.col(IDX).cast("double")).alias("slope"),
+            F.stddev_samp("value").alias("std")]
+    agg = ix.groupBy(*series_cols).agg(*aggs) if series_cols else ix.agg(*aggs)
     label = (F.when(F.col("n") <= 10, F.lit(None).cast("string"))
              .when(F.abs("slope") < F.col("std") * 0.01, "no clear trend")
              .when(F.col("slope") > 0, "upward trend").otherwise("downward trend"))
-    return agg.select("n", "slope", "std", label.alias("trend"))
+    return agg.select(*series_cols, "n", "slope", "std", label.alias("trend"))
 
 
 def stationarity(series: DataFrame) -> DataFrame:

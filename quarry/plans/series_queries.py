@@ -130,3 +130,38 @@ def ts_rolling_by_series(spark, sf):
     """7-row rolling mean and std within each order-status series (W1, W2 per series)."""
     s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
     return round_doubles(S.rolling_stats(s, window=7, series_cols=["o_orderstatus"]))
+
+
+@register("ts_frequency_by_series", """
+WITH d AS (SELECT o_orderstatus, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL
+           GROUP BY o_orderstatus, o_orderdate),
+s AS (SELECT o_orderstatus, epoch_us(o_orderdate)
+             - epoch_us(lag(o_orderdate) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate)) AS d FROM d),
+c AS (SELECT o_orderstatus, d, count(*) AS n_steps FROM s WHERE d IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n_steps DESC, d) AS rn FROM c)
+SELECT o_orderstatus, d / 1000000.0 AS step_seconds, n_steps,
+       CASE WHEN d = 0 THEN NULL WHEN d <= 3600000000 THEN 'hourly'
+            WHEN d <= 86400000000 THEN 'daily' WHEN d <= 604800000000 THEN 'weekly'
+            ELSE 'monthly or longer' END AS frequency
+FROM r WHERE rn = 1""")
+def ts_frequency_by_series(spark, sf):
+    """Most common step of each order-status daily series (A16, W1 per series)."""
+    d = daily_orders_by_status(spark, sf)
+    return S.frequency(d, "o_orderdate", series_cols=["o_orderstatus"])
+
+
+@register("ts_trend_by_series", f"""
+WITH d AS (SELECT o_orderstatus, o_orderdate AS ts, sum(o_totalprice) AS value
+           FROM orders GROUP BY o_orderstatus, o_orderdate),
+ix AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ts, value) - 1 AS idx
+       FROM d WHERE value IS NOT NULL)
+SELECT o_orderstatus, count(*) AS n, {rnd('regr_slope(value, idx)')} AS slope,
+       {rnd('stddev_samp(value)')} AS std,
+       CASE WHEN count(*) <= 10 THEN NULL
+            WHEN abs(regr_slope(value, idx)) < stddev_samp(value) * 0.01 THEN 'no clear trend'
+            WHEN regr_slope(value, idx) > 0 THEN 'upward trend' ELSE 'downward trend' END AS trend
+FROM ix GROUP BY o_orderstatus""")
+def ts_trend_by_series(spark, sf):
+    """Least-squares trend of each order-status daily series (A18 per series)."""
+    s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
+    return round_doubles(S.trend(s, ["o_orderstatus"]))
