@@ -63,3 +63,27 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(total_cores: int, input_bytes: int | None = None) -> dict:
+    """Settings for a large cluster, sized from the core count (and input size).
+
+    * shuffle partitions: 3 x cores as the starting point; AQE coalesces small
+      ones and splits skewed ones, so the initial number only has to be large
+      enough that no partition spills badly;
+    * scan splits of 256 MB: 100 TB reads as ~400k tasks, a few waves over 1000
+      executors, each task well inside executor memory;
+    * Arrow batches of 10k rows bound the memory of the pandas functions
+      (kNN groups, isolation-forest scoring).
+    """
+    parts = max(200, 3 * total_cores)
+    if input_bytes:
+        parts = max(parts, input_bytes // (512 << 20))  # about 512 MB of input per shuffle partition
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
