@@ -19,11 +19,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import profile_queries  # noqa: F401
-    for mod in ("series_queries", "text_queries", "feature_queries", "split_queries",
-                "metric_queries", "model_queries", "rule_queries", "run_queries"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+    """Import every query module (each registers its queries on import)."""
+    from . import (feature_queries, metric_queries, model_queries, profile_queries,  # noqa: F401
+                   report_queries, rule_queries, run_queries, series_queries, split_queries,
+                   text_queries)
