@@ -15,7 +15,7 @@ from ..sources.scan import read_table
 def order_status_predictions(spark, sf):
     """(o_orderkey, label, prediction) for o_orderstatus from a date/price rule."""
     o = read_table(spark, sf, "orders")
-    pred = (F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"), "F")
+    pred = (F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast(o.schema["o_orderdate"].dataType), "F")
             .when(F.col("o_totalprice") > 200000, "P").otherwise("O"))
     return o.select("o_orderkey", F.col("o_orderstatus").alias("label"), pred.alias("prediction"))
 

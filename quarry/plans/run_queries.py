@@ -20,7 +20,7 @@ def runs_table(spark, sf):
     """
     o = SP.kfold(read_table(spark, sf, "orders"), "o_orderkey", 5)
     rules = {
-        "date_rule": F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"), "F")
+        "date_rule": F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast(o.schema["o_orderdate"].dataType), "F")
                       .when(F.col("o_totalprice") > 200000, "P").otherwise("O"),
         "price_rule": F.when(F.col("o_totalprice") < 100000, "F")
                        .when(F.col("o_totalprice") < 200000, "O").otherwise("P"),
