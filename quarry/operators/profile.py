@@ -177,6 +177,71 @@ def column_counts(df: DataFrame, cols=None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _long_values(df: DataFrame, col: str):
+    v = value_comparable(df, col)
+    return df.select(v.alias("value")).where(F.length("value") > F.lit(HASH_MIN_LENGTH)) \
+        .withColumn("h1", F.xxhash64("value")).withColumn("h2", F.hash("value"))
+
+
+def top_values_hashed(df: DataFrame, col: str, k: int = 5) -> DataFrame:
+    """Exact top ``k`` (value, count) of one string column, count desc then value
+    asc, without shuffling long values.
+
+    Counts come from hash groups (long strings) and value groups (short ones),
+    as in :func:`column_counts`. The k-th largest count c splits the answer:
+    groups counted above c are in it, and the remaining places go to the
+    smallest values among groups counted exactly c. Long values are only read
+    back through ordered top-N scans (each task keeps N rows) and lookups of a
+    few hashes, never grouped by value.
+    """
+    from ..session import cut_lineage
+    df = normalise_missing(df)
+    spark = df.sparkSession
+    v = value_comparable(df, col)
+    long_v = F.length(v) > F.lit(HASH_MIN_LENGTH)
+    g = cut_lineage(df.where(v.isNotNull()).select(
+        F.when(~long_v, v).alias("key"), F.when(long_v, F.xxhash64(v)).alias("h1"),
+        F.when(long_v, F.hash(v)).alias("h2")).groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt")))
+    top = g.orderBy(F.col("cnt").desc()).limit(k).collect()
+    if not top:
+        return spark.createDataFrame([], "value string, count bigint")
+    c = min(r["cnt"] for r in top) if len(top) == k else 0
+    above = g.where(F.col("cnt") > c).collect()          # fewer than k groups
+    need = k - len(above)
+    rows = []
+    long_hashes = [(r["h1"], r["h2"], r["cnt"]) for r in above if r["key"] is None]
+    rows += [(r["key"], r["cnt"]) for r in above if r["key"] is not None]
+    if long_hashes:
+        hs = spark.createDataFrame([(a, b) for a, b, _ in long_hashes], "h1 long, h2 int")
+        vals = (_long_values(df, col).join(F.broadcast(hs), ["h1", "h2"], "left_semi")
+                .groupBy("h1", "h2").agg(F.min("value").alias("value")).collect())
+        cnt = {(a, b): n for a, b, n in long_hashes}
+        rows += [(r["value"], cnt[(r["h1"], r["h2"])]) for r in vals]
+    if need > 0 and c > 0:
+        # Smallest short values counted exactly c.
+        rows += [(r["key"], r["cnt"]) for r in
+                 g.where((F.col("cnt") == c) & F.col("key").isNotNull()).orderBy("key").limit(need).collect()]
+        # Smallest long values counted exactly c: scan the sorted prefix of long values.
+        n_scan, found = need, []
+        while True:
+            prefix = (_long_values(df, col).orderBy("value").limit(n_scan)
+                      .select("value", "h1", "h2").collect())
+            distinct = []
+            for r in prefix:
+                if not distinct or distinct[-1]["value"] != r["value"]:
+                    distinct.append(r)
+            hs = spark.createDataFrame([(r["h1"], r["h2"]) for r in distinct] or [(0, 0)], "h1 long, h2 int")
+            counts = {(r["h1"], r["h2"]): r["cnt"] for r in
+                      g.join(F.broadcast(hs), ["h1", "h2"], "left_semi").collect()}
+            found = [(r["value"], c) for r in distinct if counts.get((r["h1"], r["h2"])) == c]
+            if len(found) >= need or len(prefix) < n_scan:
+                break
+            n_scan *= 2
+        rows += found[:need]
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(rows[:k], "value string, count bigint")
+
+
 def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, n_rows, n_distinct, is_constant, is_high_cardinality, is_potential_id).
 
@@ -328,21 +393,54 @@ def top_values(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
             .where((F.col("rank") <= k) & F.col("value").isNotNull()))
 
 
-def categorical_summary(df: DataFrame, cols=None, k: int = 5) -> DataFrame:
-    """Top values with the column's distinct and missing counts attached."""
+LONG_TEXT_AVG_LENGTH = 64.0  # "auto": columns with a longer mean length use the hashed top values
+
+
+def categorical_summary(df: DataFrame, cols=None, k: int = 5, hashed_cols=None) -> DataFrame:
+    """Top values with the column's distinct and missing counts attached.
+
+    ``hashed_cols`` (a list, or "auto" = string columns whose mean length
+    exceeds 64) take :func:`top_values_hashed` and :func:`column_counts`, so
+    long texts are not shuffled; the other columns share one value-count frame.
+    """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else categorical_columns(df)
-    vc = value_counts(df, cols)
-    per_col = vc.groupBy("column").agg(
-        F.count_if(F.col("value").isNotNull()).alias("n_unique"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).cast("bigint")
-         .alias("n_missing"))
-    w = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.col("count").desc(),
-                                             F.col("value").asc())
-    top = (vc.withColumn("rank", F.row_number().over(w).cast("bigint"))
-           .where((F.col("rank") <= k) & F.col("value").isNotNull()))
-    # ``per_col`` has one row per column.
-    return top.join(F.broadcast(per_col), "column")
+    if hashed_cols == "auto":
+        strings = [x for x in cols if type_class(df.schema[x].dataType) == "categorical"]
+        hashed_cols = []
+        if strings:
+            row = df.agg(*[F.avg(F.length(c(x))).alias(f"l{i}") for i, x in enumerate(strings)]).first()
+            hashed_cols = [x for i, x in enumerate(strings)
+                           if row[f"l{i}"] is not None and row[f"l{i}"] > LONG_TEXT_AVG_LENGTH]
+    hashed_cols = [x for x in (hashed_cols or []) if x in cols]
+    plain = [x for x in cols if x not in hashed_cols]
+    out = None
+    if plain:
+        vc = value_counts(df, plain)
+        per_col = vc.groupBy("column").agg(
+            F.count_if(F.col("value").isNotNull()).alias("n_unique"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).cast("bigint")
+             .alias("n_missing"))
+        w = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.col("count").desc(),
+                                                 F.col("value").asc())
+        top = (vc.withColumn("rank", F.row_number().over(w).cast("bigint"))
+               .where((F.col("rank") <= k) & F.col("value").isNotNull()))
+        # ``per_col`` has one row per column.
+        out = top.join(F.broadcast(per_col), "column")
+    if hashed_cols:
+        spark = df.sparkSession
+        counts = {r["column"]: r for r in column_counts(df, hashed_cols).collect()}
+        rows = []
+        for x in hashed_cols:
+            for i, r in enumerate(top_values_hashed(df, x, k).collect()):
+                rows.append((x, r["value"], r["count"], i + 1, counts[x]["n_distinct"], counts[x]["n_missing"]))
+        part = spark.createDataFrame(rows, "column string, value string, count bigint, rank bigint, "
+                                           "n_unique bigint, n_missing bigint")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame(
+            [], "column string, value string, count bigint, rank bigint, n_unique bigint, n_missing bigint")
+    return out
 
 
 # ---------------------------------------------------------------- outliers

@@ -46,7 +46,7 @@ def tabular_report(df: DataFrame, target: str | None = None) -> DataFrame:
         to_long(P.top_correlations(df).withColumn(
             "pair", F.concat_ws("~", "feature1", "feature2")).drop("feature1", "feature2"),
             "correlations", "pair"),
-        to_long(P.categorical_summary(df).withColumn(
+        to_long(P.categorical_summary(df, hashed_cols="auto").withColumn(
             "subject", F.concat_ws("=", "column", "value")).drop("column", "value"), "categorical", "subject"),
         to_long(P.iqr_outliers(df), "outliers", "column"),
         to_long(tprof, f"target_{kind}", "value" if kind == "categorical" else "column"),

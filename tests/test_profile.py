@@ -155,3 +155,31 @@ def test_column_counts_long_texts_with_copies(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     r = P.column_counts(df).first()
     assert (r["n_rows"], r["n_missing"], r["n_distinct"]) == (304, 1, 51)
+
+
+@pytest.mark.parametrize("case", ["unique", "copies", "mixed"])
+def test_top_values_hashed_matches_brute_force(spark, case):
+    from collections import Counter
+    rng = np.random.default_rng({"unique": 1, "copies": 2, "mixed": 3}[case])
+    base = ["L" * 40 + f"{i:04d}" for i in range(120)]
+    if case == "unique":
+        vals = base
+    elif case == "copies":
+        vals = [base[int(j)] for j in rng.integers(0, 30, 400)]
+    else:
+        vals = base[:60] + [base[int(j)] for j in rng.integers(0, 10, 50)] + ["s%d" % (j % 7) for j in range(40)]
+    vals = vals + [None]
+    df = spark.createDataFrame([(x,) for x in vals], "t string")
+    got = [(r["value"], r["count"]) for r in P.top_values_hashed(df, "t", 5).collect()]
+    cnt = Counter(x for x in vals if x is not None)
+    want = sorted(cnt.items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+    assert got == want
+
+
+def test_categorical_summary_hashed_equals_plain(spark):
+    rows = [("L" * 70 + str(i % 9), "s" + str(i % 4)) for i in range(200)] + [(None, None)]
+    df = spark.createDataFrame(rows, "long string, short string")
+    cols = ["column", "value", "count", "rank", "n_unique", "n_missing"]
+    plain = sorted(tuple(r) for r in P.categorical_summary(df).select(*cols).collect())
+    auto = sorted(tuple(r) for r in P.categorical_summary(df, hashed_cols="auto").select(*cols).collect())
+    assert plain == auto
