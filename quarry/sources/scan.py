@@ -35,24 +35,16 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-SPREAD_MIN_BYTES = 4 << 20     # below this a single task is fine
-SPREAD_MAX_BYTES = 2 << 30     # above this the scan is already split into many tasks
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """A file written as one row group is read by one task whatever its size.
-    For inputs of a few MB to 2 GB, a round-robin repartition over the default
-    parallelism lets the CPU-heavy first stage (tokenising, exploding, partial
-    aggregation) use every core; larger inputs are left alone - they are
-    already read by many tasks and a full shuffle would only cost."""
-    size = estimated_bytes(df)
-    if SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    When the scan has fewer input partitions than the cluster has cores, a
+    round-robin repartition over the default parallelism lets the CPU-heavy
+    first stage (tokenising, exploding, partial aggregation) use every core.
+    A large input is already read by many tasks and is left alone - a full
+    shuffle would only cost. (Planning only; no job runs.)"""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
     return df
 
 
@@ -64,8 +56,9 @@ def read_parquet(spark: SparkSession, path: str, normalise: bool = True) -> Data
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, normalise: bool = True,
                spread: bool = False) -> DataFrame:
-    """One test table; ``spread=True`` spreads a small single-file table over all cores
-    (:func:`spread_small`) before CPU-heavy per-row work such as tokenising."""
+    """One test table; ``spread=True`` spreads a table read by fewer tasks than
+    there are cores (:func:`spread_small`) before CPU-heavy per-row work such as
+    tokenising."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
         df = spread_small(df)
