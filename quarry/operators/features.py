@@ -42,6 +42,30 @@ def fit_medians(df: DataFrame, cols) -> dict:
     return {x: v[0] for x, v in quantiles(df, cols, [0.5]).items()}
 
 
+def fit_numeric(df: DataFrame, cols) -> tuple[dict, dict]:
+    """Medians and post-imputation mean / population std in at most three passes.
+
+    Pass 1 counts missing values, sizes the quantile method and, for columns
+    without missing values (imputation changes nothing there), already gives
+    mean and std. Pass 2 computes the exact medians. Pass 3 runs only for
+    columns with missing values, on the median-imputed values.
+    """
+    if not cols:
+        return {}, {}
+    aggs = []
+    for i, x in enumerate(cols):
+        v = c(x).cast("double")
+        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
+                 F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}")]
+    row = df.agg(*aggs).first()
+    medians = {x: v[0] for x, v in quantiles(df, cols, [0.5], distinct_estimates={
+        x: row[f"d{i}"] for i, x in enumerate(cols)}).items()}
+    scaling = {x: (row[f"a{i}"], row[f"s{i}"]) for i, x in enumerate(cols) if row[f"m{i}"] == 0}
+    with_missing = [x for i, x in enumerate(cols) if row[f"m{i}"] > 0]
+    scaling.update(fit_scaling(df, with_missing, medians))
+    return medians, scaling
+
+
 def fit_scaling(df: DataFrame, cols, medians: dict) -> dict:
     """Mean and population std after median imputation, one aggregation."""
     if not cols:
@@ -241,8 +265,7 @@ def fit(df: DataFrame, target: str | None = None, strategy: str = "basic",
     num = numeric_columns(df, skip)
     cat = categorical_columns(df, skip)
     m = FeatureModel(strategy, num, cat)
-    m.medians = fit_medians(df, num)
-    m.scaling = fit_scaling(df, num, m.medians)
+    m.medians, m.scaling = fit_numeric(df, num)
     m.modes = fit_modes(df, cat)
     if cat:
         if strategy == "target_encoding":
