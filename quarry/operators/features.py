@@ -36,7 +36,7 @@ STRATEGIES = ("basic", "advanced", "target_encoding", "custom")
 
 # ---------------------------------------------------------------- fitted pieces
 def fit_medians(df: DataFrame, cols) -> dict:
-    """Exact median per numeric column, one aggregation."""
+    """Exact median per numeric column (A35), via :func:`quantiles.quantiles`."""
     if not cols:
         return {}
     return {x: v[0] for x, v in quantiles(df, cols, [0.5]).items()}

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, guess_target, type_class
+from ..functions.columns import ID_NAMES, c, guess_target, type_class
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
@@ -132,8 +132,7 @@ def submission(result: AutoTrainResult, test: DataFrame, id_col: str | None = No
     best = result.best()
     x = normalise_missing(test)
     keep = tuple(k for k in ([id_col] if id_col else []) if k in x.columns)
-    feats = result.features.transform(x, keep=keep or tuple(
-        n for n in ("id", "Id", "ID", "index") if n in x.columns))
+    feats = result.features.transform(x, keep=keep or tuple(n for n in ID_NAMES if n in x.columns))
     feats = MD.assemble(feats, result.feature_cols)
     sub = SC.score(best.model, feats, result.target, id_col, label_names=result.label_names)
     report = SC.validate(sub)
