@@ -87,12 +87,13 @@ def frequency(df: DataFrame, ts: str, tiebreak: list[str] | None = None, series_
             .select(*series_cols, *out))
 
 
-def value_stats(series: DataFrame) -> DataFrame:
-    """mean, std (n-1), min, max, median of ``value``."""
+def value_stats(series: DataFrame, series_cols=()) -> DataFrame:
+    """mean, std (n-1), min, max, median of ``value`` (A17); per series with ``series_cols``."""
     v = F.col("value")
-    return series.where(v.isNotNull()).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median")]
+    s = series.where(v.isNotNull())
+    return s.groupBy(*series_cols).agg(*aggs) if series_cols else s.agg(*aggs)
 
 
 def indexed(series: DataFrame, series_cols=()) -> DataFrame:
@@ -117,11 +118,30 @@ def trend(series: DataFrame, series_cols=()) -> DataFrame:
     return agg.select(*series_cols, "n", "slope", "std", label.alias("trend"))
 
 
-def stationarity(series: DataFrame) -> DataFrame:
+def stationarity(series: DataFrame, series_cols=()) -> DataFrame:
     """Variance (n-1) of the first n div 2 values against the rest.
 
     ratio = max / (min + 1e-10); likely stationary when < 2; needs > 20 rows.
+    With ``series_cols`` each series is split at its own half: its length joins
+    back from a grouped count (size-checked broadcast, one row per series).
     """
+    series_cols = list(series_cols)
+    if series_cols:
+        from .features import sized
+        ix = indexed(series, series_cols)
+        n = ix.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("n"))
+        j = ix.join(sized(n), series_cols)
+        first = F.col(IDX) < F.floor(F.col("n") / 2)
+        agg = j.groupBy(*series_cols).agg(
+            F.first("n").alias("n"),
+            F.var_samp(F.when(first, F.col("value"))).alias("first_half_var"),
+            F.var_samp(F.when(~first, F.col("value"))).alias("second_half_var"))
+        ratio = (F.greatest("first_half_var", "second_half_var") /
+                 (F.least("first_half_var", "second_half_var") + F.lit(1e-10)))
+        ok = F.col("n") > 20
+        return agg.select(*series_cols, F.col("n").cast("bigint").alias("n"), "first_half_var",
+                          "second_half_var", F.when(ok, ratio).alias("variance_ratio"),
+                          F.when(ok, ratio < 2).alias("likely_stationary"))
     ix = indexed(series)
     total = ix.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     half = total // 2

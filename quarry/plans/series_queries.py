@@ -165,3 +165,36 @@ def ts_trend_by_series(spark, sf):
     """Least-squares trend of each order-status daily series (A18 per series)."""
     s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
     return round_doubles(S.trend(s, ["o_orderstatus"]))
+
+
+IDX_BY_STATUS_SQL = """(SELECT o_orderstatus, ts, value,
+       row_number() OVER (PARTITION BY o_orderstatus ORDER BY ts, value) - 1 AS idx
+  FROM (SELECT o_orderstatus, o_orderdate AS ts, sum(o_totalprice) AS value FROM orders
+        GROUP BY o_orderstatus, o_orderdate) WHERE value IS NOT NULL)"""
+
+
+@register("ts_value_stats_by_series", f"""
+SELECT o_orderstatus, count(value) AS n, {rnd('avg(value)')} AS mean, {rnd('stddev_samp(value)')} AS std,
+       {rnd('min(value)')} AS min, {rnd('max(value)')} AS max, {rnd('median(value)')} AS median
+FROM {IDX_BY_STATUS_SQL} GROUP BY o_orderstatus""")
+def ts_value_stats_by_series(spark, sf):
+    """Value statistics of each order-status daily series (A17 per series)."""
+    s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
+    return round_doubles(S.value_stats(s, ["o_orderstatus"]))
+
+
+@register("ts_stationarity_by_series", f"""
+WITH ix AS {IDX_BY_STATUS_SQL},
+n AS (SELECT o_orderstatus, count(*) AS n FROM ix GROUP BY o_orderstatus),
+v AS (SELECT o_orderstatus, any_value(n.n) AS n,
+             var_samp(value) FILTER (WHERE idx < n.n // 2) AS a,
+             var_samp(value) FILTER (WHERE idx >= n.n // 2) AS b
+      FROM ix JOIN n USING (o_orderstatus) GROUP BY o_orderstatus)
+SELECT o_orderstatus, CAST(n AS BIGINT) AS n, {rnd('a')} AS first_half_var, {rnd('b')} AS second_half_var,
+       CASE WHEN n > 20 THEN {rnd('greatest(a, b) / (least(a, b) + 1e-10)')} END AS variance_ratio,
+       CASE WHEN n > 20 THEN greatest(a, b) / (least(a, b) + 1e-10) < 2 END AS likely_stationary
+FROM v""")
+def ts_stationarity_by_series(spark, sf):
+    """Half-against-half variance check of each order-status daily series (A19 per series)."""
+    s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
+    return round_doubles(S.stationarity(s, ["o_orderstatus"]))
