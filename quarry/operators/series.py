@@ -47,12 +47,14 @@ def as_series(df: DataFrame, ts: str | None = None, value: str | None = None,
                      c(value).cast("double").alias("value"))
 
 
-def date_range(df: DataFrame, ts: str) -> DataFrame:
-    """start, end and whole elapsed days (floor, not calendar days)."""
+def date_range(df: DataFrame, ts: str, series_cols=()) -> DataFrame:
+    """start, end and whole elapsed days (floor, not calendar days) (A15);
+    one row per series with ``series_cols``."""
     t = c(ts).cast("timestamp")
-    mm = df.agg(F.min(t).alias("start"), F.max(t).alias("end"))
+    aggs = [F.min(t).alias("start"), F.max(t).alias("end")]
+    mm = df.groupBy(*series_cols).agg(*aggs) if series_cols else df.agg(*aggs)
     days = F.floor((F.unix_micros("end") - F.unix_micros("start")) / F.lit(MICROS_PER_DAY))
-    return mm.select(F.lit(ts).alias("time_column"), "start", "end",
+    return mm.select(*series_cols, F.lit(ts).alias("time_column"), "start", "end",
                      days.cast("bigint").alias("duration_days"))
 
 

@@ -198,3 +198,27 @@ def ts_stationarity_by_series(spark, sf):
     """Half-against-half variance check of each order-status daily series (A19 per series)."""
     s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
     return round_doubles(S.stationarity(s, ["o_orderstatus"]))
+
+
+@register("ts_date_range_by_series", """
+SELECT o_orderstatus, 'o_orderdate' AS time_column, min(o_orderdate) AS start, max(o_orderdate) AS "end",
+       CAST(floor((epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 86400000000.0) AS BIGINT)
+         AS duration_days
+FROM orders GROUP BY o_orderstatus""")
+def ts_date_range_by_series(spark, sf):
+    """Date range of each order-status daily series (A15 per series)."""
+    return S.date_range(daily_orders_by_status(spark, sf), "o_orderdate", ["o_orderstatus"])
+
+
+@register("ts_lag_by_series", f"""
+SELECT o_orderstatus, ts, {rnd('value')} AS value, idx,
+       {rnd('lag(value, 1) OVER (PARTITION BY o_orderstatus ORDER BY idx)')} AS lag_1,
+       {rnd('lag(value, 7) OVER (PARTITION BY o_orderstatus ORDER BY idx)')} AS lag_7,
+       CASE WHEN count(*) OVER w7 >= 7 THEN {rnd('list_avg(list(value) OVER w7)')} END AS rolling_mean_7,
+       CAST(dayofweek(ts) + 1 AS INTEGER) AS day_of_week, CAST(month(ts) AS INTEGER) AS month
+FROM {IDX_BY_STATUS_SQL}
+WINDOW w7 AS (PARTITION BY o_orderstatus ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+def ts_lag_by_series(spark, sf):
+    """Lag 1 / 7, 7-row rolling mean and calendar fields within each order-status series."""
+    s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
+    return round_doubles(S.lag_features(s, series_cols=["o_orderstatus"]))
