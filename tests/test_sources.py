@@ -41,3 +41,20 @@ def test_nan_normalised_at_scan(spark, tmp_dir):
     p = os.path.join(tmp_dir, "n")
     df.write.parquet(p)
     assert SC.read_parquet(spark, p).where("x IS NULL").count() == 1
+
+
+def test_spread_small_only_when_fewer_partitions_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert SC.spread_small(one).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores * 2)
+    assert SC.spread_small(many).rdd.getNumPartitions() == cores * 2
+
+
+def test_cluster_conf_sizes_partitions():
+    from quarry.session import cluster_conf
+    small = cluster_conf(8)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    big = cluster_conf(16000, 100 * 10**12)
+    assert int(big["spark.sql.shuffle.partitions"]) >= 48000
+    assert big["spark.ui.enabled"] == "false" and big["spark.sql.adaptive.enabled"] == "true"
