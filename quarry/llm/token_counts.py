@@ -15,6 +15,7 @@ lengths are the library's, whichever tier gives them.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from itertools import islice
 
@@ -122,10 +123,6 @@ class _Lengths(dict):
         return n
 
 
-def _texts(batch):
-    return batch.column(1).to_pylist()
-
-
 def frequent_lengths(docs: DataFrame, text_col: str, tokenizer_json: str,
                      table_size: int = 65_536, per_task: int = 4_096) -> dict[str, int]:
     """Tier one: {frequent pre-token: token count} from all texts of ``docs``.
@@ -181,13 +178,14 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: st
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((tokenizer_json, frequent_lengths(docs, text_col, tokenizer_json, table_size)))
+    run = uuid.uuid4().hex
 
     def count(batches):
         import pyarrow as pa
 
         source, frequent = shared.value
         state = worker_state(("counter", hash(source)), lambda: _Counter(source))
-        cache = worker_state(("lengths", shared.id), lambda: _Lengths(frequent, state.tok))
+        cache = worker_state(("lengths", run), lambda: _Lengths(frequent, state.tok))
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),

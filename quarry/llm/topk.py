@@ -35,10 +35,11 @@ def build_blocks(vectors: DataFrame, block_rows: int = 256, blocks_per_task: int
     """The index: one row per block. Rows are range-partitioned by (dim, strongest term, its
     sign, second strongest, id), so that rows of a block lean the same way and its bounds are
     tight; the id splits any number of equal vectors over ranges and blocks."""
-    strongest = F.array_sort(F.transform(F.col("v"), lambda c, i: F.struct(-F.abs(c), i, F.signum(c))))
-    keyed = vectors.withColumn("_s", strongest[0]).withColumn("_t", strongest[1])
-    keys = ["dim", F.col("_s.col2"), F.col("_s.col3"), F.col("_t.col2"), F.col("_t.col3"), "id"]
-    keyed = keyed.select("id", "dim", "v", *[k.alias(f"_k{i}") for i, k in enumerate(keys[1:5])])
+    strongest = F.array_sort(F.transform(F.col("v"), lambda c, i: F.struct(
+        (-F.abs(c)).alias("size"), i.alias("term"), F.signum(c).alias("sign"))))
+    keyed = (vectors.withColumn("_s", F.get(strongest, F.lit(0))).withColumn("_t", F.get(strongest, F.lit(1)))
+             .select("id", "dim", "v", F.col("_s.term").alias("_k0"), F.col("_s.sign").alias("_k1"),
+                     F.col("_t.term").alias("_k2"), F.col("_t.sign").alias("_k3")))
     order = ["dim", "_k0", "_k1", "_k2", "_k3", "id"]
     placed = (keyed.repartitionByRange(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
               .sortWithinPartitions(*order).select("id", "dim", "v", F.spark_partition_id().alias("part")))
@@ -48,10 +49,10 @@ def build_blocks(vectors: DataFrame, block_rows: int = 256, blocks_per_task: int
         import pyarrow as pa
 
         held: list = []  # rows of the block being filled
-        made, group = 0, 0
+        made = 0
 
         def close():
-            nonlocal made, group
+            nonlocal made
             ids, dim, part = [h[0] for h in held], held[0][1], held[0][3]
             m = np.array([h[2] for h in held], dtype=np.int64)
             group = (part << 32) + made // blocks_per_task
@@ -126,7 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
     chunks = max(1, -(-n // queries_per_task))
     asked = queries.select("dim", F.pmod(chunk, F.lit(chunks)).alias("_chunk"), F.col("id"), F.col("v"))
     blocks_by = index.join(asked.select("dim", "_chunk").distinct(), "dim")
-    asked_by = asked.join(tasks, "dim")
+    asked_by = asked.join(tasks, "dim").select(
+        F.col("dim").alias("q_dim"), F.col("_group").alias("q_group"), F.col("_chunk").alias("q_chunk"), "id", "v")
 
     def search(key, left, right):
         import numpy as np
@@ -142,8 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
         rows, _ = visit(right["id"].to_numpy(), q, found, k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    by = ["dim", "_group", "_chunk"]
-    found = (blocks_by.groupBy(*by).cogroup(asked_by.groupBy(*by))
+    found = (blocks_by.groupBy("dim", "_group", "_chunk").cogroup(asked_by.groupBy("q_dim", "q_group", "q_chunk"))
              .applyInPandas(search, "query_id bigint, vec_id bigint, score bigint"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
