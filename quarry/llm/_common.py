@@ -54,3 +54,13 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
             .groupBy(F.col(id_col).alias("_id"))
             .agg(F.min(y).alias("_lo"), F.max(y).alias("_y"))
             .where("_lo = _y").select("_id", "_y"))
+
+
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, folds: int, held_out: int,
+                    max_rows: int) -> DataFrame:
+    """(_id, _y): labels of the training folds, at most ``max_rows`` of them.
+
+    The rows with the smallest id hashes are taken, so the choice does not depend on the
+    order or the partitions; the row bound makes the result fit for a broadcast."""
+    train = one_label(labels, id_col, label_col).where(fold(F.col("_id"), folds) != held_out)
+    return train.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)

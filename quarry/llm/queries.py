@@ -78,3 +78,44 @@ def op10_chat_format(spark, sf):
                                   "conv_id bigint, turn bigint, role string, text string")
     turns = chat.format_turns(rows.unionByName(extra), "conv_id", "turn", "role", "text")
     return chat.read_back(turns, "conv_id")
+
+
+@_query("op2_quality")
+def op2_quality(spark, sf):
+    """Quality scores of every whole text of ``documents``, learned from ``labels.quality``."""
+    from . import quality
+
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "text")
+
+
+_OP3_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(coalesce(text, ''), chr(10)) AS lines
+           FROM documents),
+p AS (SELECT DISTINCT host, coalesce(text, '') AS text, lines FROM d),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+l AS (SELECT host, line, count(*) AS n
+      FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) WHERE trim(line) <> '' GROUP BY host, line),
+b AS (SELECT host, list(line) AS bad FROM l JOIN t USING (host) WHERE n >= 5 AND n > 0.1 * pages GROUP BY host),
+k AS (SELECT d.*, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept
+      FROM d LEFT JOIN b USING (host))
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END AS BIGINT) AS n_dropped
+FROM k"""
+
+
+@_query("op3_line_dedup", _OP3_SQL)
+def op3_line_dedup(spark, sf):
+    """``documents`` without the lines that stand in over a tenth of their source's pages."""
+    from . import line_dedup
+
+    out = line_dedup.drop_lines(table(spark, sf, "documents"), "source", "text", ratio=0.1, min_pages=5)
+    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+
+
+@_query("op4_toxicity")
+def op4_toxicity(spark, sf):
+    """Toxicity scores of every whole text of ``documents``, learned from ``labels.toxic``."""
+    from . import toxicity
+
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "text")
