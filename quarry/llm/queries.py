@@ -119,3 +119,11 @@ def op4_toxicity(spark, sf):
     from . import toxicity
 
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "text")
+
+
+@_query("op7_near_dup")
+def op7_near_dup(spark, sf):
+    """Near-duplicate components of all ``documents``: three words, similarity 0.85."""
+    from . import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", shingle=3, similarity=0.85)
