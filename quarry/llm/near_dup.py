@@ -12,10 +12,11 @@ below ``miss``, so:
   the collisions is counted by comparing the two signatures of a pair;
 * pairs with at least ``t`` collisions are confirmed on the full shingle sets.
 
-A list never gives all its pairs at once. Its members are paired with its first member, then,
-in rounds, the next 2, 4, 8 ... members are paired with the later ones, but only with those of
-other components by then. Every two members end up compared or connected, and a group of many
-copies costs about one comparison per copy.
+A list never gives all its pairs at once. Its members are paired with its first member alone,
+which connects most groups of copies at one comparison per copy. Members of lists that still have
+two components are posted anew under the rarest shingles of their full sets, as few as the
+similarity allows for each two sizes, and members of different components meet there, in rounds
+of 4, 32, 256 ... heads per list. Every two members end up compared, connected or ruled out.
 """
 
 from __future__ import annotations
@@ -197,54 +198,95 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = state
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that collide in t coordinates and are similar on their full sets."""
-    side = lambda df, col, x: df.select(F.col("cid").alias(x), F.col(col).alias(f"{col}_{x}"))
-    near = (pairs.join(side(classes, "tokens", "a"), "a").join(side(classes, "tokens", "b"), "b")
+def _collide(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least t coordinates."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= t).select("a", "b"))
-    near = write_stage(near, "collisions")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets."""
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"shingles_{x}"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("bigint")
     union = F.size("shingles_a") + F.size("shingles_b") - common
-    percent = round(similarity * 100)
-    return (near.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b")
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(F.lit(100) * common >= F.lit(percent) * union).select("a", "b"))
 
 
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the current component of each ``cid`` as ``label``."""
+    members = members.drop("label")
+    if labels is None:
+        return members.withColumn("label", F.col("cid"))
+    return (members.join(labels, members["cid"] == labels["node"], "left")
+            .withColumn("label", F.coalesce("label", "cid")).drop("node"))
+
+
+def _open_lists(members: DataFrame, key: str, tried: int) -> DataFrame:
+    """Members of the lists that have two components and a member that has not been a head."""
+    mixed = (members.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                      F.max("place").alias("last"))
+             .where(F.col("last") > tried).where("lo < hi").select(key))
+    return members.join(mixed, key, "left_semi")
+
+
+def _set_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, cid, n, label, rank, place): members under the rarest shingles of their sets.
+
+    Sets of n and m shingles with the wanted similarity have ``need`` = percent * (n + m) /
+    (100 + percent) of them in common, so in any order of shingles they share one among the first
+    n - need + 1 and m - need + 1. ``rank`` is a shingle's place in its set, rare ones first;
+    those of one member alone come first and are not posted."""
+    who = members.groupBy("cid").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    held = sets.join(who, "cid").select("cid", "n", "label", F.explode("shingles").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # The most a partner of any size allows, for a start: n - percent * n / 100 + 1.
+    ranked = (held.join(counts, "shingle")
+              .withColumn("rank", F.expr("n - count(*) over (partition by cid) + "
+                                         "row_number() over (partition by cid order by df, shingle)"))
+              .where(F.lit(100) * (F.col("n") - F.col("rank") + 1) >= F.lit(percent) * F.col("n")).drop("df"))
+    return ranked.withColumn("place", F.expr("row_number() over (partition by shingle order by rank, cid)"))
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int,
                  similarity: float, coordinates: int, miss: float) -> DataFrame | None:
-    """(node, label) of the classes that are linked with others; None if no list has two."""
+    """(node, label) of the classes that are linked with others; None if none is."""
     t = match_threshold(similarity, coordinates, miss)
-    postings = _prefix_postings(classes, coordinates, t)
-    sets = write_stage(_sets(docs, id_col, text_col, k, postings.select("cid").distinct()), "sets")
-    candidates = write_stage(classes.join(postings.select("cid").distinct(), "cid", "left_semi")
-                             .select("cid", "tokens"), "candidates")
-    open_, links, labels, first, leaders = postings, None, None, 1, 1
     percent = round(similarity * 100)
-    while not open_.isEmpty():
-        # Members first .. first + leaders - 1 of each open list meet its later members.
-        size_fits = "100 * least(n, n_b) >= {0} * greatest(n, n_b)".format(percent)
-        if leaders == 1:
-            low = open_.select("*", F.expr("min(cid) over (partition by token order by place)").alias("a"),
-                               F.expr("first(n) over (partition by token order by place)").alias("n_b"),
-                               *([F.expr("first(label) over (partition by token order by place)").alias("label_b")]
-                                 if labels is not None else []))
-            meet = low.where("place > 1")
-        else:
-            heads = open_.where(F.col("place").between(first, first + leaders - 1)).select(
-                "token", F.col("cid").alias("a"), F.col("n").alias("n_b"), F.col("place").alias("place_a"),
-                F.col("label").alias("label_b"))
-            meet = open_.join(heads, "token").where("place > place_a and label <> label_b")
-        pairs = meet.where(size_fits).select("a", F.col("cid").alias("b")).distinct()
-        found = write_stage(_confirmed(pairs, candidates, sets, t, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        first, leaders = first + leaders, leaders * 2
-        # A list stays open while it has members of two components and untried heads.
-        named = (postings.join(labels, postings["cid"] == labels["node"], "left")
-                 .select("token", "cid", "n", "place", "members", F.coalesce("label", "cid").alias("label")))
-        mixed = (named.where(F.col("members") > first).groupBy("token")
-                 .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("token"))
-        open_ = write_stage(named.join(mixed, "token", "left_semi"), "open-lists")
+    postings = _prefix_postings(classes, coordinates, t)
+    ids = postings.select("cid").distinct()
+    sets = write_stage(_sets(docs, id_col, text_col, k, ids), "sets")
+    candidates = classes.join(ids, "cid", "left_semi").select("cid", "tokens")
+    # Every member meets the first of its list.
+    meet = postings.select("cid", "n", F.expr("first(cid) over (partition by token order by place)").alias("a"),
+                           F.expr("first(n) over (partition by token order by place)").alias("m"))
+    pairs = (meet.where("cid <> a").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+             .select("a", F.col("cid").alias("b")).distinct())
+    near = write_stage(_collide(pairs, candidates, t), "collisions")
+    links = write_stage(_confirm(near, sets, percent), "links")
+    labels = None if links.isEmpty() else components(links)
+    # Members of lists with two components are matched by the prefixes of their full sets.
+    rest = write_stage(_open_lists(_labelled(postings, labels), "token", 1), "open-lists")
+    if rest.isEmpty():
+        return labels
+    lists = write_stage(_open_lists(_set_postings(rest, sets, percent), "shingle", 0), "set-postings")
+    tried, heads = 0, 4
+    need = f"{percent} * (n + m) / (100.0 + {percent})"
+    while not lists.isEmpty():
+        # Members tried + 1 .. tried + heads of each open list meet its later members.
+        first = lists.where(F.col("place").between(tried + 1, tried + heads)).select(
+            "shingle", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("rank").alias("rank_a"),
+            F.col("place").alias("place_a"), F.col("label").alias("label_a"))
+        pairs = (lists.join(first, "shingle")
+                 .where(f"place > place_a and label <> label_a and rank - 1 <= n - {need} and rank_a - 1 <= m - {need}")
+                 .select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct())
+        found = write_stage(_confirm(pairs, sets, percent), "links")
+        tried, heads = tried + heads, heads * 8
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        lists = write_stage(_open_lists(_labelled(lists, labels), "shingle", tried), "set-postings")
     return labels
 
 
