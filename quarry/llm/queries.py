@@ -127,3 +127,18 @@ def op7_near_dup(spark, sf):
     from . import near_dup
 
     return near_dup.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", shingle=3, similarity=0.85)
+
+
+def _op8_sql() -> str:
+    from . import decontaminate
+
+    return decontaminate.oracle_sql()
+
+
+@_query("op8_decontaminate", _op8_sql())
+def op8_decontaminate(spark, sf):
+    """Every document of ``documents`` that overlaps an item of ``benchmark``, with the item."""
+    from . import decontaminate
+
+    return decontaminate.overlaps(table(spark, sf, "documents"), "doc_id", "text",
+                                  table(spark, sf, "benchmark"), "item_id", "text").drop("_text_hash")
