@@ -142,3 +142,21 @@ def op8_decontaminate(spark, sf):
 
     return decontaminate.overlaps(table(spark, sf, "documents"), "doc_id", "text",
                                   table(spark, sf, "benchmark"), "item_id", "text").drop("_text_hash")
+
+
+def sentencepiece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """Content of a public SentencePiece model, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@_query("op9_segmentation")
+def op9_segmentation(spark, sf):
+    """Two sampled segmentations of every whole text of ``documents``, without replacement."""
+    from . import segmentation
+
+    out = segmentation.sample_segmentations(table(spark, sf, "documents"), "doc_id", "text", sentencepiece_model(), k=2)
+    return out.select("doc_id", "rank", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed",
+                      "log_inclusion", "round_trip")
