@@ -36,13 +36,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: the document with the smallest id of each component stays.
 
-    Repeated rows of that document count as one; documents without an id stay if they are in
-    nobody's component, one row per text."""
+    Repeated rows of that document count as one. Documents without an id cannot be named, so they
+    stay, one row per text."""
     found = near_dup.near_duplicates(docs, "doc_id", "text", shingle=SHINGLE, similarity=SIMILARITY)
-    gone = write_stage(found.where("not kept").select(F.col("doc_id").alias("_gone"),
-                                                      F.col("component_id").isNotNull().alias("_named")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone"))
-    return docs.join(gone, same & F.col("doc_id").isNotNull(), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = write_stage(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
