@@ -253,8 +253,13 @@ class Lattices:
             back[self.rows + x:self.rows + y] = total
             lp[a:z] = score - np.repeat(total, each)
         np.minimum(lp, 0.0, out=lp)
-        run = np.cumsum(np.exp(lp))
-        upto = run - np.repeat(np.concatenate([[0.0], run])[first], arcs_of)
+        # Running probabilities node by node, so that no other unit's rounding gets in.
+        upto, p = np.empty(n), np.exp(lp)
+        total, some = np.zeros(new), np.arange(new)
+        for i in range(int(arcs_of.max())):
+            some = some[arcs_of[some] > i]
+            total[some] += p[first[some] + i]
+            upto[first[some] + i] = total[some]
         upto[first + arcs_of - 1] = 2.0  # the last arc takes what rounding leaves
         self._grow("first", self.rows + new)[self.rows:self.rows + new] = self.size + first
         for name, rows in (("upto", upto), ("logp", lp), ("to", to), ("code", code)):
@@ -403,17 +408,21 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
         bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(texts_)])]
         count = np.diff(bounds)
         lp = lat.logp[arcs]
-        run = np.cumsum(lp)
-        before = np.concatenate([[0.0], run])[bounds[:-1]]
         base = np.array([h["logp"] for h in heads])
         value = np.array([h["value"] for h in heads])
-        prefix = run - lp - np.repeat(before - base, count)
+        # Log probabilities up to and with each arc, text by text.
+        run = np.empty(len(lp))
+        for x, a, b in zip(base.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            np.cumsum(lp[a:b], out=run[a:b])
+            run[a:b] += x
+        prefix = run - lp
         with np.errstate(divide="ignore"):
             loc = prefix + np.log(-np.expm1(lp))
         u = _mix(_counter(key[of], s, 1, unit[of], at))
         v = _truncated(loc, np.repeat(value, count), u)
-        total = base + np.concatenate([[0.0], run])[bounds[1:]] - before
         full = np.flatnonzero(count)
+        total = base.copy()
+        total[full] = run[bounds[1:][full] - 1]
         best: list[list] = [[] for _ in todo]
         for _ in range(k):  # the k largest sets of each path, one after another
             if not len(full):
@@ -471,7 +480,9 @@ def sample_segmentations(docs: DataFrame, id_col: str, text_col: str, model: byt
     Up to ``k`` distinct segmentations of every text, by falling perturbed value (rank from 1);
     all of them where there are fewer. ``log_inclusion`` is the log of the chance that this
     segmentation's perturbed value exceeds the (k+1)-th largest one; ``round_trip`` is whether its
-    ids decode to the text. Null and empty texts have one segmentation of no pieces. A row's random
+    ids decode to the text. A text that
+    holds the blank mark itself does not, since the model has one piece for both. Null and empty
+    texts have one segmentation of no pieces. A row's random
     key is the hash of its id (as text; null: the empty text) and ``seed``: repeated rows get equal
     samples. Other columns, whatever their names, are not read; an empty table gives an empty
     result. Whole texts are taken; memory grows with the longest text, not with the table.

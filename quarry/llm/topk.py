@@ -112,7 +112,8 @@ def visit(q_ids, q, index: list[tuple], k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 256,
           blocks_per_task: int = 128, queries_per_task: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query row with the
-    rows of other ids, ties to the smaller id; all rows where there are fewer than k.
+    rows of other ids, ties to the smaller id; all rows where there are fewer than k. Equal query
+    rows count once; different vectors under one query id are ranked together.
 
     Both inputs are :func:`quantised` frames. Vectors of different lengths have no product, so
     they never meet. Repeated rows are candidates of their own; a row that shares the query's id
@@ -123,6 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
     index = write_stage(build_blocks(vectors, block_rows, blocks_per_task), "blocks")
     tasks = index.select("dim", "_group").distinct()
     chunk = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    queries = queries.dropDuplicates(["id", "v"])
     n = queries.count()
     chunks = max(1, -(-n // queries_per_task))
     asked = queries.select("dim", F.pmod(chunk, F.lit(chunks)).alias("_chunk"), F.col("id"), F.col("v"))
