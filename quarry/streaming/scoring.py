@@ -4,17 +4,15 @@ The reference scores a file in batch; with Structured Streaming the same
 transform - feature model, assembler, MLlib model - is applied to each
 micro-batch. Feature transforms are stateless projections plus joins with
 static code tables, which Structured Streaming supports (stream-static join).
-The sink's checkpoint goes under the cluster's shared checkpoint folder.
+The sink's checkpoint is an explicit shared path, so that a restarted application goes on
+where the last one ended.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 
 from ..operators import models as MD
-from ..session import ensure_checkpoint_dir
 
 
 def score_stream(stream: DataFrame, features, model, feature_cols, id_col: str,
@@ -26,11 +24,15 @@ def score_stream(stream: DataFrame, features, model, feature_cols, id_col: str,
     return score(model, x, target, id_col, label_names)
 
 
-def start_scoring(scored: DataFrame, out_path: str, name: str = "scoring", trigger_seconds: int | None = None):
-    """Append scored rows as Parquet; exactly-once through the sink checkpoint."""
-    ckpt_root = ensure_checkpoint_dir(scored.sparkSession)
+def start_scoring(scored: DataFrame, out_path: str, checkpoint_path: str, trigger_seconds: int | None = None,
+                  available_now: bool = False):
+    """Append scored rows as Parquet; exactly-once through the checkpoint at ``checkpoint_path``.
+
+    The same path must be given after a restart. ``available_now`` ends after the rows there."""
     w = (scored.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", os.path.join(ckpt_root, f"stream-{name}")))
-    if trigger_seconds:
+         .option("checkpointLocation", checkpoint_path))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start(out_path)

@@ -61,7 +61,7 @@ def test_streaming_scoring_equals_batch(spark, tmp_dir):
     from quarry.streaming.scoring import score_stream
     stream = spark.readStream.schema(test.schema).parquet(src)
     scored = score_stream(stream, res.features, res.best().model, res.feature_cols, "id",
-                          "o_orderstatus", res.label_names)
+                          "o_orderstatus", labels=res.labels)
     q = scored.writeStream.format("memory").queryName("scored_orders").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
