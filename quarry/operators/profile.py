@@ -191,10 +191,12 @@ def top_values_hashed(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     as in :func:`column_counts`. The k-th largest count c splits the answer:
     groups counted above c are in it, and the remaining places go to the
     smallest values among groups counted exactly c. Long values are only read
-    back through ordered top-N scans (each task keeps N rows) and lookups of a
-    few hashes, never grouped by value.
+    back for those groups, through an ordered top-N (each task keeps N rows): at
+    most ``k`` values reach the driver. Their counts are then checked by value, so
+    a hash collision cannot change the result.
     """
     from ..session import cut_lineage
+    from .features import sized
     df = normalise_missing(df)
     spark = df.sparkSession
     v = value_comparable(df, col)
@@ -221,25 +223,22 @@ def top_values_hashed(df: DataFrame, col: str, k: int = 5) -> DataFrame:
         # Smallest short values counted exactly c.
         rows += [(r["key"], r["cnt"]) for r in
                  g.where((F.col("cnt") == c) & F.col("key").isNotNull()).orderBy("key").limit(need).collect()]
-        # Smallest long values counted exactly c: scan the sorted prefix of long values.
-        n_scan, found = need, []
-        while True:
-            prefix = (_long_values(df, col).orderBy("value").limit(n_scan)
-                      .select("value", "h1", "h2").collect())
-            distinct = []
-            for r in prefix:
-                if not distinct or distinct[-1]["value"] != r["value"]:
-                    distinct.append(r)
-            hs = spark.createDataFrame([(r["h1"], r["h2"]) for r in distinct] or [(0, 0)], "h1 long, h2 int")
-            counts = {(r["h1"], r["h2"]): r["cnt"] for r in
-                      g.join(F.broadcast(hs), ["h1", "h2"], "left_semi").collect()}
-            found = [(r["value"], c) for r in distinct if counts.get((r["h1"], r["h2"])) == c]
-            if len(found) >= need or len(prefix) < n_scan:
-                break
-            n_scan *= 2
-        rows += found[:need]
+        # Smallest long values counted exactly c: an ordered top-N of the values of those hashes, one per hash.
+        tied = sized(g.where((F.col("cnt") == c) & F.col("key").isNull()).select("h1", "h2"))
+        held = _long_values(df, col).join(tied, ["h1", "h2"], "left_semi")
+        if c > 1:
+            held = held.groupBy("h1", "h2").agg(F.min("value").alias("value"))
+        rows += [(r["value"], c) for r in held.select("value").orderBy("value").limit(need).collect()]
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(rows[:k], "value string, count bigint")
+    rows = rows[:k]
+    # A hash shared by two long values would show as a count too high: recount the chosen ones by value.
+    chosen = spark.createDataFrame(rows, "value string, expected bigint")
+    seen = {r["value"]: r["n"] for r in df.select(v.alias("value")).join(F.broadcast(chosen), "value")
+            .groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(seen.get(value) != n for value, n in rows):
+        exact = top_values(df, [col], k).select("value", "count")
+        return exact
+    return spark.createDataFrame(rows, "value string, count bigint")
 
 
 def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -274,13 +273,11 @@ def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- describe
-def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: str = "brackets") -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column.
 
-    Two passes over the data: one wide aggregation for the moments (plus an
-    approximate distinct count per column that sizes the quantile method),
-    then the quartiles from :func:`quantiles.quantiles` (exact: a value map for
-    moderate cardinality, distributed selection beyond; ``approx=True`` uses
+    One wide aggregation for the moments, then the quartiles of all columns from
+    :func:`quantiles.quantiles` (exact at any size; ``approx=True`` uses
     ``percentile_approx``). Only a few numbers per column reach the driver.
     """
     df = normalise_missing(df)
@@ -294,74 +291,61 @@ def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: st
     for i, name in enumerate(cols):
         x = c(name).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 F.approx_count_distinct(x).alias(f"d{i}")]
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     m = df.agg(*aggs).first()
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method,
-                   distinct_estimates={x: m[f"d{i}"] for i, x in enumerate(cols)})
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method)
     rows = [(name, i, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], *qs[name], m[f"max{i}"])
             for i, name in enumerate(cols)]
     return spark.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------- correlations
-WIDE_CORRELATION_COLUMNS = 30  # above this, MLlib's Gram-matrix correlation on complete rows
-
-
-def correlations_wide(df: DataFrame, cols) -> DataFrame:
-    """Pearson r of all pairs from ``pyspark.ml.stat.Correlation`` (D7, many columns).
-
-    One tree-aggregated covariance over an assembled vector: cost per row is
-    one k x k BLAS update instead of k^2 / 2 generated rows. Rows with any
-    missing value are skipped (complete-case, not pairwise - the stated
-    difference; equal when nothing is missing). Only the k x k matrix reaches
-    the driver. Constant columns give NULL.
-    """
-    import math
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = df.sparkSession
-    vec = VectorAssembler(inputCols=list(cols), outputCol="__v",
-                          handleInvalid="skip").transform(df.select(*[c(x).cast("double").alias(x) for x in cols]))
-    m = Correlation.corr(vec, "__v", "pearson").head()[0].toArray()
-    rows, p = [], 0
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            r = float(m[i][j])
-            rows.append((p, a, cols[j], None if math.isnan(r) else r))
-            p += 1
-    return spark.createDataFrame(rows, "pair int, feature1 string, feature2 string, correlation double")
-
-
 def correlations(df: DataFrame, cols=None) -> DataFrame:
-    """Pearson r of every numeric pair on pairwise-complete rows.
-
-    ``covar_samp / (stddev_samp(x | y present) * stddev_samp(y | x present))``;
-    NULL (not an error) when a column is constant. Each row is expanded to one
-    (pair, x, y) row per pair and grouped by pair: one scan, partial
-    aggregation per task with one group per pair, and code generation stays on
-    however many columns there are. Output (pair, feature1, feature2, correlation).
+    """Pearson r of every numeric pair on pairwise-complete rows (A10, D7), for any number of columns.
+
+    One cheap pass gives each column's mean, which is taken off before anything is
+    squared. In the second, each task adds up, over Arrow batches, the k x k matrices
+    of counts, sums, squares and products over the rows where both columns are
+    present (four matrix products per batch); one row per pair and task is shuffled
+    and summed. NULL when a column is constant on the pair's rows, or they are fewer
+    than two. Output (pair, feature1, feature2, correlation).
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if len(cols) > WIDE_CORRELATION_COLUMNS:
-        return correlations_wide(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "pair int, feature1 string, feature2 string, correlation double")
-    structs = [F.struct(F.lit(p).alias("pair"), c(a).cast("double").alias("x"),
-                        c(b).cast("double").alias("y")) for p, (a, b) in enumerate(pairs)]
-    long = df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-    x, y = F.col("x"), F.col("y")
-    stats = long.groupBy("pair").agg(
-        F.covar_samp(x, y).alias("cv"), F.stddev_samp(F.when(y.isNotNull(), x)).alias("sx"),
-        F.stddev_samp(F.when(x.isNotNull(), y)).alias("sy"))
-    r = F.try_divide(F.col("cv"), F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)))
-    names = F.create_map(*[v for p, (a, b) in enumerate(pairs)
-                           for v in (F.lit(p), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
-    return stats.select("pair", names[F.col("pair")]["a"].alias("feature1"),
-                        names[F.col("pair")]["b"].alias("feature2"), r.alias("correlation"))
+    numbers = df.select(*[c(x).cast("double").alias(f"v{i}") for i, x in enumerate(cols)])
+    mean = numbers.agg(*[F.avg(x).alias(x) for x in numbers.columns]).first()
+    centre = [m if m is not None else 0.0 for m in mean]
+    k = len(cols)
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns]) - centre
+            here = np.isfinite(x)
+            x = np.where(here, x, 0.0)
+            m = here.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        at = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at[0])), pa.int32()), *[pa.array(t[at]) for t in total]],
+                                         names=["pair", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    fields = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    total = (numbers.mapInArrow(sums, "pair int, " + ", ".join(f"{f} double" for f in fields))
+             .groupBy("pair").agg(*[F.sum(f).alias(f) for f in fields]))
+    vx, vy = F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
+    varies = (F.col("n") > 1) & (vx > F.expr("1e-13 * n * sxx")) & (vy > F.expr("1e-13 * n * syy"))
+    r = F.when(varies, F.expr("n * sxy - sx * sy") / (F.sqrt(vx) * F.sqrt(vy)))
+    names = spark.createDataFrame([(p, cols[i], cols[j]) for p, (i, j) in enumerate(pairs)],
+                                  "pair int, feature1 string, feature2 string")
+    # One row per pair of columns.
+    return total.join(F.broadcast(names), "pair").select("pair", "feature1", "feature2", r.alias("correlation"))
 
 
 def top_correlations(df: DataFrame, cols=None, k: int = 10) -> DataFrame:
@@ -448,7 +432,7 @@ def iqr_bounds(df: DataFrame, cols=None, approx: bool = False) -> dict:
     """Fit step: {column: (q1, q3, lower, upper)}; bounded by the number of columns."""
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
-    qs = quantiles(df, cols, [0.25, 0.75], "approx" if approx else "auto")
+    qs = quantiles(df, cols, [0.25, 0.75], "approx" if approx else "brackets")
     out = {}
     for name in cols:
         q1, q3 = qs[name]

@@ -1,15 +1,15 @@
 """Exact quantiles (linear interpolation, as ``percentile`` / DuckDB ``quantile_cont``).
 
-Spark's exact ``percentile`` keeps a value -> count map per group, and a
-global aggregate merges every map in one task: fine while the number of
-distinct values is moderate, fatal for a continuous column at scale. So:
-
-* ``approx_count_distinct`` (one cheap pass) sizes each column;
-* columns under ``max_map_distinct`` share one ``percentile`` aggregation;
-* larger columns use distributed selection: count per distinct value (a hot
-  value collapses map-side), order the distinct values with the
-  range-partitioned row index, blocked prefix sums give each value's rank
-  range, and only the <= 2 rows per requested probability are collected.
+One path for all columns and sizes. Spark's exact ``percentile`` keeps a value -> count
+map per group and merges every map in one task, which a continuous column fills at scale.
+Instead each wanted rank (two per column and probability) has a bracket of values that holds it:
+
+* first scan: counts, and brackets from ``percentile_approx`` a little below and above the rank;
+* next scan: for all brackets at once, how many values lie below and how many inside;
+* brackets that hold at most ``INSIDE`` values give them, counted, to a grouped sort bounded by
+  that number; the others are narrowed to a part of about 3 / 64, cut by ``percentile_approx``
+  inside. A bracket of one hot value is that value. A column that is not done after ``ROUNDS``
+  scans (values that crowd at a bracket's ends) takes the distributed selection below.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import c
 from .ordering import IDX, prefix_sums, row_index
 
-MAX_MAP_DISTINCT = 1_000_000
+ACCURACY = 2000      # of percentile_approx: brackets of about 1 / 1000 of the values
+ROUNDS = 5           # scans before a column that resists goes through the distributed selection
+INSIDE = 20_000      # values of a bracket that are listed
 
 
 def _interpolate(values_at: dict, n: int, p: float):
@@ -55,13 +57,105 @@ def select_quantiles(df: DataFrame, col: str, probs) -> list:
     return [_interpolate(values_at, n, p) for p in probs]
 
 
-def quantiles(df: DataFrame, cols, probs, method: str = "auto",
-              max_map_distinct: int = MAX_MAP_DISTINCT, distinct_estimates: dict | None = None) -> dict:
-    """{column: [quantile per prob]} exact; ``method`` auto / map / select / approx.
+def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy: int = ACCURACY) -> dict:
+    """{column: [quantile per prob]}, exact, by narrowing brackets (all columns in each scan)."""
+    slack = 2.0 / accuracy
+    wide = df.select(*[c(x).cast("double").alias(f"v{i}") for i, x in enumerate(cols)])
+    steps = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+    first = wide.agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+        F.percentile_approx(f"v{i}", steps, accuracy).alias(f"q{i}"))]).first()
+    ns = {i: first[f"n{i}"] for i in range(len(cols))}
+    found: dict = {}  # (column, rank) -> value
+    # (column, lo, hi, LO, HI) -> ranks wanted: looked for in lo .. hi, known to be in LO .. HI
+    todo: dict = {}
+    for i in range(len(cols)):
+        for j, p in enumerate(probs):
+            if not ns[i]:
+                continue
+            pos = p * (ns[i] - 1)
+            q, low, high = first[f"q{i}"], first[f"lo{i}"], first[f"hi{i}"]
+            # The ends of the column where the bracket may reach past them.
+            lo = low if p - slack <= slack else q[2 * j]
+            hi = high if p + slack >= 1 - slack else q[2 * j + 1]
+            todo.setdefault((i, lo, hi, low, high), set()).update((math.floor(pos), math.ceil(pos)))
+    for _ in range(ROUNDS):
+        if not todo:
+            break
+        brackets = list(todo)
+        scan = wide.agg(*[e for b, (i, lo, hi, _, _) in enumerate(brackets) for e in _bracket_counts(b, i, lo, hi, accuracy)]).first()
+        listed, after = [], {}
+        for b, (i, lo, hi, low, high) in enumerate(brackets):
+            below, held = scan[f"below{b}"], scan[f"held{b}"]
+            for r in todo[brackets[b]]:
+                if r < below:  # the approximate bracket missed the rank: it is in what is left of the known one
+                    after.setdefault((i, low, lo, low, lo), set()).add(r)
+                elif r >= below + held:
+                    after.setdefault((i, hi, high, hi, high), set()).add(r)
+                elif lo == hi:
+                    found[i, r] = lo
+                elif held <= inside:
+                    listed.append((b, i, lo, hi, below, r))
+                else:
+                    after.setdefault((i, *_narrower(lo, hi, scan[f"cuts{b}"], (r - below) / (held - 1)), lo, hi), set()).add(r)
+        if listed:
+            spans = {b: (i, lo, hi) for b, i, lo, hi, _, _ in listed}
+            kept = [F.when(F.col(f"v{i}").between(lo, hi), F.struct(F.lit(b).alias("b"), F.col(f"v{i}").alias("v")))
+                    for b, (i, lo, hi) in spans.items()]
+            any_ = None
+            for i, lo, hi in spans.values():
+                one = F.col(f"v{i}").between(lo, hi)
+                any_ = one if any_ is None else any_ | one
+            values = (wide.where(any_).select(F.explode(F.array(*kept)).alias("x")).where("x is not null")
+                      .groupBy("x.b", "x.v").agg(F.count(F.lit(1)).alias("n"))
+                      .groupBy("b").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("vs")))
+            # The values at the wanted ranks leave each bracket's list, not the list.
+            wanted = {}
+            for b, i, lo, hi, below, r in listed:
+                wanted.setdefault(b, []).append((i, r, r - below))
+            ranks = F.create_map(*[x for b, w in wanted.items() for x in (F.lit(b), F.array(*[F.lit(k).cast("bigint") for _, _, k in w]))])
+            def at_rank(rank):
+                step = lambda a, x: F.struct((a["left"] - x["n"]).alias("left"),
+                                             F.when((a["left"] >= 0) & (a["left"] < x["n"]), x["v"]).otherwise(a["v"]).alias("v"))
+                return F.aggregate("vs", F.struct(rank.alias("left"), F.lit(None).cast("double").alias("v")), step, lambda a: a["v"])
+            for row in values.select("b", F.transform(ranks[F.col("b")], at_rank).alias("v")).collect():
+                for (i, r, _), v in zip(wanted[row["b"]], row["v"], strict=True):
+                    found[i, r] = v
+        todo = after
+    out = {}
+    left = {i for i, *_ in todo}  # columns whose brackets would not narrow
+    for i, x in enumerate(cols):
+        if i in left:
+            out[x] = select_quantiles(df, x, probs)
+            continue
+        out[x] = [_interpolate({r: found[i, r] for r in (math.floor(p * (ns[i] - 1)), math.ceil(p * (ns[i] - 1)))}, ns[i], p)
+                  if ns[i] else None for p in probs]
+    return out
+
+
+def _bracket_counts(b: int, i: int, lo, hi, accuracy: int) -> list:
+    v = F.col(f"v{i}")
+    held = F.when(v.between(lo, hi), v)
+    cuts = [k / 64 for k in range(65)]
+    return [F.count_if(v < lo).alias(f"below{b}"), F.count(held).alias(f"held{b}"),
+            F.percentile_approx(held, cuts, accuracy).alias(f"cuts{b}")]
 
-    ``distinct_estimates`` (column -> approximate distinct count) saves the
-    sizing pass when the caller already aggregated it.
-    """
+
+def _narrower(lo, hi, cuts, at: float) -> tuple:
+    """A part of lo .. hi that should hold the value at this share of the ranks: a few cuts wide,
+    or else one side of a value between."""
+    step = max(0, min(len(cuts) - 2, int(at * (len(cuts) - 1))))
+    near = cuts[max(step - 1, 0)], cuts[min(step + 2, len(cuts) - 1)]
+    if near != (lo, hi):
+        return near
+    inner = [x for x in cuts if lo < x < hi]
+    middle = inner[len(inner) // 2] if inner else (lo if at < 0.5 else hi)
+    return (lo, middle) if at < 0.5 else (middle, hi)
+
+
+def quantiles(df: DataFrame, cols, probs, method: str = "brackets") -> dict:
+    """{column: [quantile per prob]} exact; ``method`` brackets (the default for every size) /
+    select (one column at a time by a range-partitioned index) / approx."""
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
@@ -69,25 +163,8 @@ def quantiles(df: DataFrame, cols, probs, method: str = "auto",
         row = df.agg(*[F.percentile_approx(c(x).cast("double"), probs, 10000).alias(f"q{i}")
                        for i, x in enumerate(cols)]).first()
         return {x: list(row[f"q{i}"] or [None] * len(probs)) for i, x in enumerate(cols)}
-    if method == "auto":
-        if distinct_estimates is None:
-            est = df.agg(*[F.approx_count_distinct(c(x)).alias(f"d{i}") for i, x in enumerate(cols)]).first()
-            distinct_estimates = {x: est[f"d{i}"] for i, x in enumerate(cols)}
-        small = [x for x in cols if distinct_estimates[x] <= max_map_distinct]
-    elif method == "map":
-        small = cols
-    elif method == "select":
-        small = []
-    else:
+    if method == "select":
+        return {x: select_quantiles(df, x, probs) for x in cols}
+    if method != "brackets":
         raise ValueError(method)
-    out = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(c(x).cast("double"), arr).alias(f"q{i}")
-                       for i, x in enumerate(small)]).first()
-        for i, x in enumerate(small):
-            out[x] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    for x in cols:
-        if x not in out:
-            out[x] = select_quantiles(df, x, probs)
-    return out
+    return bracket_quantiles(df, cols, probs)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TS_TIME_NAMES, c, datetime_columns, numeric_columns
 from ..sources.scan import normalise_missing
 from .ordering import IDX, blocked_window, rolling, row_index
+from .quantiles import quantiles
 
 MICROS_PER_DAY = 86_400_000_000
 MICROS_PER_HOUR = 3_600_000_000
@@ -90,12 +91,30 @@ def frequency(df: DataFrame, ts: str, tiebreak: list[str] | None = None, series_
 
 
 def value_stats(series: DataFrame, series_cols=()) -> DataFrame:
-    """mean, std (n-1), min, max, median of ``value`` (A17); per series with ``series_cols``."""
+    """mean, std (n-1), min, max, median of ``value`` (A17); per series with ``series_cols``.
+
+    The median of the whole frame comes from :func:`quantiles.quantiles`; per series it is the
+    middle one or two positions of the distributed row index, so no task holds a series."""
     v = F.col("value")
     aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median")]
+            F.min(v).alias("min"), F.max(v).alias("max")]
     s = series.where(v.isNotNull())
-    return s.groupBy(*series_cols).agg(*aggs) if series_cols else s.agg(*aggs)
+    if not series_cols:
+        median = quantiles(s, ["value"], [0.5])["value"][0]
+        return s.agg(*aggs).withColumn("median", F.lit(median).cast("double"))
+    keys = list(series_cols)
+    stats = s.groupBy(*keys).agg(*aggs)
+    ix = row_index(s.select(*keys, "value"), ["value"], partition_cols=keys)
+    sizes = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    same = None
+    for i, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        same = one if same is None else same & one
+    middle = (ix.join(stats.select(*sizes, F.col("n").alias("__n")), same)
+              .where(F.col(IDX).between(F.floor((F.col("__n") - 1) / 2), F.ceil((F.col("__n") - 1) / 2)))
+              .groupBy(*[f"__k{i}" for i in range(len(keys))])
+              .agg(F.avg(F.col("value").cast("double")).alias("median")))
+    return stats.join(middle, same).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def indexed(series: DataFrame, series_cols=()) -> DataFrame:

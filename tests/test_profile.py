@@ -40,7 +40,7 @@ def test_quartiles_linear(spark):
     assert (d["q25"], d["q50"], d["q75"]) == (1.75, 3.0, 5.0)
 
 
-@pytest.mark.parametrize("method", ["map", "select"])
+@pytest.mark.parametrize("method", ["brackets", "select"])
 def test_quantile_methods_agree_with_numpy(spark, method):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(size=500), np.full(300, 2.5)])  # a hot value
@@ -114,20 +114,53 @@ def test_target_profile_kind(spark):
     assert kind2 == "categorical" and prof.first()["is_imbalanced"]
 
 
-def test_wide_correlation_path_matches_pairwise_on_complete_rows(spark):
+def test_correlations_are_pairwise_complete_at_any_width(spark):
     rng = np.random.default_rng(9)
-    data = rng.normal(size=(200, 5))
-    data[:, 3] = data[:, 0] * 2 + rng.normal(size=200) * 0.1
-    data[:, 4] = 1.0  # constant column
-    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], "a double, b double, c double, d double, e double")
-    narrow = {(r["feature1"], r["feature2"]): r["correlation"] for r in P.correlations(df).collect()}
-    wide = {(r["feature1"], r["feature2"]): r["correlation"] for r in P.correlations_wide(df, df.columns).collect()}
-    assert narrow.keys() == wide.keys()
-    for k, v in narrow.items():
-        if v is None:
-            assert wide[k] is None
-        else:
-            assert wide[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
+    data = rng.normal(size=(400, 36)) + 1e6
+    data[:, 3] = data[:, 0] * 2 + rng.normal(size=400) * 0.1
+    data[:, 4] = 1.25  # constant column
+    data[rng.random(data.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(36)]
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in data], ", ".join(f"{n} double" for n in names))
+    got = {(r["feature1"], r["feature2"]): r["correlation"] for r in P.correlations(df.repartition(5)).collect()}
+    assert len(got) == 36 * 35 // 2
+    for i in range(36):
+        for j in range(i + 1, 36):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            if 4 in (i, j):
+                assert got[names[i], names[j]] is None
+            else:
+                want = np.corrcoef(data[both, i], data[both, j])[0, 1]
+                assert got[names[i], names[j]] == pytest.approx(want, abs=1e-7)
+
+
+def test_correlations_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (None, 3.0, 1.0)], "a double, b double, c double")
+    assert {r["correlation"] for r in P.correlations(df).collect()} == {None}
+    assert {r["correlation"] for r in P.correlations(df.limit(0)).collect()} <= {None}
+
+
+@pytest.mark.parametrize("inside,accuracy", [(20000, 2000), (20, 100)])
+def test_bracket_quantiles_narrow_down(spark, inside, accuracy):
+    from quarry.operators.quantiles import bracket_quantiles
+    rng = np.random.default_rng(5)
+    vals = {"a": rng.normal(size=900), "b": np.concatenate([np.full(600, 7.0), rng.integers(0, 50, 300)]).astype(float),
+            "c": np.where(rng.random(900) < 0.5, np.nan, rng.exponential(size=900)), "d": np.full(900, np.nan), "e": np.full(900, -1.5)}
+    rows = [tuple(None if np.isnan(vals[k][i]) else float(vals[k][i]) for k in vals) for i in range(900)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in vals)).repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.999]
+    got = bracket_quantiles(df, list(vals), probs, inside, accuracy)
+    assert got.pop("d") == [None] * len(probs)
+    for k, q in got.items():
+        assert q == pytest.approx(list(np.quantile(vals[k][~np.isnan(vals[k])], probs)), rel=1e-12), k
+
+
+def test_top_values_of_unique_long_texts_stay_bounded(spark):
+    rows = [("x" * 40 + str(i),) for i in range(3000)] + [("y" * 50,), ("z" * 50,)] * 2 + [("b",)] * 2
+    df = spark.createDataFrame(rows, "t string")
+    assert [tuple(r) for r in P.top_values_hashed(df, "t", 2).collect()] == [("b", 2), ("y" * 50, 2)]
+    got = P.top_values_hashed(df, "t", 5).collect()
+    assert [tuple(r) for r in got] == [("b", 2), ("y" * 50, 2), ("z" * 50, 2), ("x" * 40 + "0", 1), ("x" * 40 + "1", 1)]
 
 
 @pytest.mark.parametrize("method", ["hash", "direct"])
