@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 
 def class_counts(inv: DataFrame) -> DataFrame:
-    """(class, count, n_classes, is_imbalanced) with imbalance = max / (min + 1) > 3."""
+    """(class, count, n_classes, is_imbalanced) by falling count, then class (K5);
+    imbalance = max / (min + 1) > 3."""
     counts = inv.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("count"))
     s = counts.agg(F.count(F.lit(1)).alias("k"), F.max("count").alias("mx"), F.min("count").alias("mn")).first()
     imb = bool(s["k"]) and s["mx"] / (s["mn"] + 1) > 3
     return counts.select("class", "count", F.lit(s["k"]).cast("bigint").alias("n_classes"),
-                         F.lit(imb).alias("is_imbalanced"))
+                         F.lit(imb).alias("is_imbalanced")).orderBy(F.desc("count"), "class")
 
 
 def image_stats(inv: DataFrame) -> DataFrame:

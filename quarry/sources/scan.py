@@ -65,17 +65,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, normalise: bool = Tr
     return normalise_missing(df) if normalise else df
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens=None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, na_tokens=None, delimiter: str = ",") -> DataFrame:
     """CSV scan with type inference.
 
     Spark's ``nullValue`` takes one token, so every column is read as string,
     the pandas missing-token list is mapped to NULL, and each column is cast
     to the narrowest of bigint / double / timestamp / boolean whose
     ``try_cast`` fails on no non-null value (one aggregation job for all
-    columns), else kept as string.
+    columns), else kept as string. Only the words true and false make a boolean
+    column, and only values with a date make a timestamp column; a quote inside a
+    quoted value is written twice.
     """
     na = list(CSV_NA_TOKENS if na_tokens is None else na_tokens)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option(
+        "escape", '"').csv(path)
     cleaned = raw.select(*[
         F.when(~F.col(f"`{c}`").isin(na), F.col(f"`{c}`")).alias(c) for c in raw.columns
     ])
@@ -85,8 +88,12 @@ def read_csv(spark: SparkSession, path: str, na_tokens=None) -> DataFrame:
     for c in cleaned.columns:
         col = F.col(f"`{c}`")
         for name, _ in candidates:
-            bad = F.sum(F.when(col.isNotNull() & F.expr(f"try_cast(`{c}` as {name})").isNull(), 1)
-                        .otherwise(0))
+            fits = F.expr(f"try_cast(`{c}` as {name})").isNotNull()
+            if name == "boolean":
+                fits &= F.lower(F.trim(col)).isin("true", "false")
+            elif name == "timestamp":
+                fits &= F.trim(col).rlike(r"^[+-]?\d{4,}-\d")
+            bad = F.sum(F.when(col.isNotNull() & ~fits, 1).otherwise(0))
             checks.append(bad.alias(f"{c}\u0001{name}"))
     if not checks:
         return cleaned
@@ -105,6 +112,42 @@ def read_csv(spark: SparkSession, path: str, na_tokens=None) -> DataFrame:
     return normalise_missing(cleaned.select(*out))
 
 
+# Suffixes by the way they are read.
+SUFFIXES = {".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".txt": "text"}
+
+
+def path_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(suffix, files) under ``path`` (recursive), listed by Spark; file contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path"))
+    return (files.select(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"))
+            .groupBy("suffix").agg(F.count(F.lit(1)).alias("files")))
+
+
+def path_modality(spark: SparkSession, path: str) -> str:
+    """``vision`` for a folder that holds images, ``nlp`` where over half of the files are text
+    files, else ``tabular`` (to be refined by the columns)."""
+    from .images import IMAGE_EXTENSIONS
+    counts = {r["suffix"]: r["files"] for r in path_listing(spark, path).collect()}
+    if any(counts.get(x) for x in IMAGE_EXTENSIONS):
+        return "vision"
+    return "nlp" if counts.get(".txt", 0) * 2 > sum(counts.values()) else "tabular"
+
+
+def read_path(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the suffix of its path (csv, tsv, parquet, json, jsonl, txt)."""
+    name = path.rstrip("/").lower()
+    kind = next((k for x, k in SUFFIXES.items() if name.endswith(x)), None)
+    if kind in ("csv", "tsv"):
+        return read_csv(spark, path, delimiter="\t" if kind == "tsv" else ",")
+    if kind == "parquet":
+        return read_parquet(spark, path)
+    if kind in ("json", "jsonl"):
+        return normalise_missing(spark.read.option("multiLine", kind == "json").json(path))
+    if kind == "text":
+        return read_text_lines(spark, path)
+    raise ValueError(f"unknown suffix: {path}")
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text-line scan (S3): one row per line in column ``text``.
 

@@ -18,6 +18,37 @@ def test_csv_na_tokens_and_types(spark, tmp_dir):
     assert rows[3]["name"] is None and rows[2]["when"] is None and rows[3]["flag"] is None
 
 
+def test_csv_words_times_and_quotes_stay_strings(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t.tsv")
+    with open(path, "w") as f:
+        f.write('a\tb\tc\td\nyes\t12:30\t"say ""hi"""\tTRUE\nno\t12:45\tx,y\tfalse\n')
+    df = SC.read_path(spark, path)
+    assert dict(df.dtypes) == {"a": "string", "b": "string", "c": "string", "d": "boolean"}
+    assert [tuple(r) for r in df.orderBy("b").collect()] == [("yes", "12:30", 'say "hi"', True), ("no", "12:45", "x,y", False)]
+
+
+def test_paths_are_read_by_suffix(spark, tmp_dir):
+    import pytest
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    SC.write_parquet(df, os.path.join(tmp_dir, "t.parquet"))
+    df.write.json(os.path.join(tmp_dir, "t.jsonl"))
+    df.write.option("header", True).csv(os.path.join(tmp_dir, "t.csv"))
+    for name in ("t.parquet", "t.jsonl", "t.csv"):
+        assert sorted(tuple(r) for r in SC.read_path(spark, os.path.join(tmp_dir, name)).select("k", "v").collect()) == [(1, "a"), (2, None)]
+    with pytest.raises(ValueError):
+        SC.read_path(spark, os.path.join(tmp_dir, "t.xyz"))
+
+
+def test_modality_of_folders(spark, tmp_dir):
+    for folder, names, want in (("i", ["a.txt", "b/c.PNG"], "vision"), ("n", ["a.txt", "b.txt", "c.csv"], "nlp"), ("t", ["a.csv", "b.txt"], "tabular")):
+        for n in names:
+            p = os.path.join(tmp_dir, folder, n)
+            os.makedirs(os.path.dirname(p), exist_ok=True)
+            with open(p, "w") as f:
+                f.write("x")
+        assert SC.path_modality(spark, os.path.join(tmp_dir, folder)) == want
+
+
 def test_text_lines(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t.txt")
     with open(path, "w") as f:
