@@ -4,8 +4,8 @@ Fitted state is split by size:
 * per-column numbers (median, mean, population std, mode) - bounded by the
   number of columns, kept as Python dicts and applied as literals;
 * per-category tables (label codes, target means) - they grow with the data,
-  so they stay DataFrames and are joined back: broadcast only when the counted
-  table size is under ``broadcast_rows``, else a shuffle join.
+  so they stay DataFrames and are joined back: broadcast only when the measured
+  table size is under ``BROADCAST_BYTES``, else a shuffle join.
 
 Fitted tables are materialised once with a reliable checkpoint (shared
 checkpoint folder), so the size check and every later transform read the
@@ -30,7 +30,7 @@ from .ordering import row_index
 from .quantiles import quantiles
 
 MISSING_TOKEN = "__MISSING__"  # fixed value: class name given to missing categories
-BROADCAST_ROWS = 1_000_000     # code tables up to this many rows are broadcast
+BROADCAST_BYTES = 64 << 20     # code tables up to this many bytes of values are broadcast
 STRATEGIES = ("basic", "advanced", "target_encoding", "custom")
 
 
@@ -43,11 +43,11 @@ def fit_medians(df: DataFrame, cols) -> dict:
 
 
 def fit_numeric(df: DataFrame, cols) -> tuple[dict, dict]:
-    """Medians and post-imputation mean / population std in at most three passes.
+    """Medians and post-imputation mean / population std.
 
-    Pass 1 counts missing values, sizes the quantile method and, for columns
+    Pass 1 counts missing values and, for columns
     without missing values (imputation changes nothing there), already gives
-    mean and std. Pass 2 computes the exact medians. Pass 3 runs only for
+    mean and std. Then come the exact medians. A last pass runs only for
     columns with missing values, on the median-imputed values.
     """
     if not cols:
@@ -55,11 +55,9 @@ def fit_numeric(df: DataFrame, cols) -> tuple[dict, dict]:
     aggs = []
     for i, x in enumerate(cols):
         v = c(x).cast("double")
-        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
-                 F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}")]
+        aggs += [F.count_if(v.isNull()).alias(f"m{i}"), F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"s{i}")]
     row = df.agg(*aggs).first()
-    medians = {x: v[0] for x, v in quantiles(df, cols, [0.5], distinct_estimates={
-        x: row[f"d{i}"] for i, x in enumerate(cols)}).items()}
+    medians = fit_medians(df, cols)
     scaling = {x: (row[f"a{i}"], row[f"s{i}"]) for i, x in enumerate(cols) if row[f"m{i}"] == 0}
     with_missing = [x for i, x in enumerate(cols) if row[f"m{i}"] > 0]
     scaling.update(fit_scaling(df, with_missing, medians))
@@ -123,10 +121,16 @@ def fit_target_means(df: DataFrame, col: str, target: str) -> DataFrame:
             .agg(F.avg(c(target).cast("double")).alias("mean")))
 
 
-def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table's row count is proven small."""
-    n = table.count()
-    return F.broadcast(table) if n <= max_rows else table
+def sized(table: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only when the table's measured size is small: the bytes of its
+    string and binary values plus 16 for every other value, over all rows."""
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
+    width = F.lit(16 * len(table.columns))
+    for f in table.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c(f.name)), F.lit(0))
+    n = table.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= limit else table
 
 
 def join_code(df: DataFrame, key: F.Column, table: DataFrame, value_col: str, out: str,
@@ -206,16 +210,18 @@ class FeatureModel:
         spark.createDataFrame(
             rows, "kind string, name string, mode string, median double, mean double, std double"
         ).coalesce(1).write.mode(mode).parquet(f"{path}/columns")
-        for x, t in self.code_tables.items():
-            t.select("value", "code").withColumn("column", F.lit(x)) \
-                .write.mode("append").parquet(f"{path}/codes")
-        for x, t in self.target_tables.items():
-            t.select("value", "mean").withColumn("column", F.lit(x)) \
-                .write.mode("append").parquet(f"{path}/target_means")
+        # One frame per kind of table, written with the given mode: saving twice replaces.
+        schema = "value string, {} , column string"
+        for tables, value, kind, folder in ((self.code_tables, "code", "code bigint", "codes"),
+                                            (self.target_tables, "mean", "mean double", "target_means")):
+            out = spark.createDataFrame([], schema.format(kind))
+            for x, t in tables.items():
+                out = out.unionByName(t.select("value", F.col(value).cast(kind.split()[1]).alias(value),
+                                               F.lit(x).alias("column")))
+            out.write.mode(mode).parquet(f"{path}/{folder}")
 
     @classmethod
     def load(cls, spark, path: str) -> "FeatureModel":
-        import os
         rows = spark.read.parquet(f"{path}/columns").collect()
         meta = [r for r in rows if r["kind"] == "meta"][0]
         numeric = [r for r in rows if r["kind"] == "numeric"]
@@ -225,20 +231,12 @@ class FeatureModel:
         m.scaling = {r["name"]: (r["mean"], r["std"]) for r in numeric}
         m.modes = {r["name"]: r["mode"] for r in cat}
         m.global_mean = meta["median"]
-        if os.path.exists(f"{path}/codes") or not path.startswith("/"):
-            try:
-                codes = spark.read.parquet(f"{path}/codes")
-                m.code_tables = {x: codes.where(F.col("column") == x).drop("column")
-                                 for x in m.categorical_cols}
-            except Exception:  # noqa: BLE001 - no code tables were written
-                pass
-        if os.path.exists(f"{path}/target_means") or not path.startswith("/"):
-            try:
-                means = spark.read.parquet(f"{path}/target_means")
-                m.target_tables = {x: means.where(F.col("column") == x).drop("column")
-                                   for x in m.categorical_cols}
-            except Exception:  # noqa: BLE001
-                pass
+        # Both folders are always written (empty where the strategy has no such table).
+        encoded = m.strategy == "target_encoding"
+        for folder, tables, used in (("codes", m.code_tables, not encoded), ("target_means", m.target_tables, encoded)):
+            stored = spark.read.parquet(f"{path}/{folder}")
+            if used:
+                tables.update({x: stored.where(F.col("column") == x).drop("column") for x in m.categorical_cols})
         return m
 
 
@@ -306,29 +304,35 @@ def _safe(s: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]+", "_", s)
 
 
-def one_hot(df: DataFrame, cols=None, keep=(), max_categories: int = 100) -> DataFrame:
-    """0/1 indicator per category value of low-cardinality columns.
+def one_hot(df: DataFrame, cols=None, keep=(), max_categories: int | None = None) -> DataFrame:
+    """0/1 indicator per category value (one column per value, so the list of values is a schema
+    and reaches the driver).
 
-    The category list is the only thing brought to the driver and is bounded:
-    a column with more than ``max_categories`` values raises (use label or
-    target codes for such columns).
+    ``max_categories``, if given, makes a column with more values raise. Values whose column
+    names would be equal (``a-b`` and ``a_b``) get numbered names, in the order of the values.
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else categorical_columns(df)
     if not cols:
         return df.select(*[c(k) for k in keep])
     vc = value_counts_long(df, cols)
-    sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = [x for x, n in sizes.items() if n > max_categories]
-    if too_big:
-        raise ValueError(f"columns {too_big} have more than {max_categories} categories")
+    if max_categories is not None:
+        sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        too_big = [x for x, n in sizes.items() if n > max_categories]
+        if too_big:
+            raise ValueError(f"columns {too_big} have more than {max_categories} categories")
     values = {}
     for r in vc.select("column", "value").collect():
         values.setdefault(r["column"], []).append(r["value"])
-    out = [c(k) for k in keep]
+    out, used = [c(k) for k in keep], {k.lower() for k in keep}
     for x in cols:
         for v in sorted(values.get(x, [])):
-            out.append(F.when(c(x).cast("string") == F.lit(v), 1).otherwise(0).alias(f"{x}_{_safe(v)}"))
+            name, n = f"{x}_{_safe(v)}", 1
+            while name.lower() in used:
+                n += 1
+                name = f"{x}_{_safe(v)}_{n}"
+            used.add(name.lower())
+            out.append(F.when(c(x).cast("string") == F.lit(v), 1).otherwise(0).alias(name))
     return df.select(*out)
 
 

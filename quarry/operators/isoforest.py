@@ -1,9 +1,10 @@
 """Isolation forest (M2 isolation_forest): anomaly scores for every row.
 
-Fit: a uniform pool of about 4 x max_samples x n_trees rows is kept by a
-per-row hash threshold in the scan; every tree then takes the ``max_samples``
-pool rows with the lowest hashes of (tree, key) - one ``row_number() <=
-max_samples`` per tree, with a partial group limit before the shuffle - and
+Fit: every tree takes the ``max_samples`` rows with the lowest hashes of (tree,
+key) out of all rows. A row is offered to a tree only if that hash is under a
+threshold that far more than ``max_samples`` rows meet (tested in the scan, before
+any row is copied), then one ``row_number() <= max_samples`` per tree, with a
+partial group limit before the shuffle, takes the lowest. The tree
 grows in a grouped ``applyInPandas`` task (one task per tree). Trees are small
 (< 2 * max_samples nodes), so the forest is broadcast.
 Score: ``mapInPandas`` walks every tree for each Arrow batch; score =
@@ -22,6 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c
+from .quantiles import quantiles
+
+
+def _number(x: str):
+    """A column as double; NaN and infinities count as missing."""
+    v = c(x).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
 
 
 def _c(n: float) -> float:
@@ -77,32 +85,32 @@ def _path_lengths(tree, x: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, feature_cols, key: str, n_trees: int = 100, max_samples: int = 256,
         seed: int = 42) -> dict:
-    """Grow ``n_trees`` trees; returns the forest (a small dict)."""
+    """Grow ``n_trees`` trees; returns the forest (a small dict). A missing value counts as the
+    column's median, in fitting and in scoring."""
     cols = list(feature_cols)
     n = df.count()
     m = min(max_samples, n)
     limit = int(math.ceil(math.log2(max(m, 2))))
-    base = df.select(c(key).alias("__key"), *[c(x).cast("double").alias(x) for x in cols])
-    # A uniform pool of about 4 * m * n_trees rows (all rows when fewer) is drawn by a
-    # per-row hash threshold in the scan; only the pool is offered to every tree.
-    pool_target = 4 * m * n_trees
-    if n > pool_target:
-        u = (F.xxhash64(F.col("__key"), F.lit(seed)) & F.lit(0x7FFFFFFF)) / F.lit(float(1 << 31))
-        base = base.where(u < F.lit(pool_target / n))
-    cand = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    h = F.xxhash64(F.col("tree"), F.col("__key"), F.lit(seed))
-    w = Window.partitionBy("tree").orderBy(h, F.col("__key"))
+    medians = {x: v[0] for x, v in quantiles(df.select(*[c(x) for x in cols]), cols, [0.5]).items()}
+    base = df.select(c(key).alias("__key"), *[F.coalesce(_number(x), F.lit(medians[x] or 0.0)).alias(x) for x in cols])
+    # The m lowest hashes of n are all under (m + 12 * sqrt(m) + 60) / n but for a chance below 1e-30.
+    share = min(1.0, (m + 12 * math.sqrt(m) + 60) / max(n, 1))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                         lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.col("__key"), F.lit(seed)).alias("h")))
+    low = F.filter(hashes, lambda x: (x["h"].bitwiseAND(F.lit((1 << 62) - 1)) <= F.lit(int(share * ((1 << 62) - 1)))))
+    cand = base.withColumn("__t", F.explode(low)).select("*", "__t.tree", "__t.h").drop("__t")
+    w = Window.partitionBy("tree").orderBy(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)), F.col("__key"))
     sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree"].iloc[0])
         pdf = pdf.sort_values("__key")
-        x = np.nan_to_num(pdf[cols].to_numpy(dtype=np.float64))
+        x = pdf[cols].to_numpy(dtype=np.float64)
         rng = np.random.default_rng(seed + tree_id)
         return pd.DataFrame({"tree": [tree_id], "model": [json.dumps(_grow(x, rng, limit))]})
 
     grown = sample.groupBy("tree").applyInPandas(grow, "tree int, model string").collect()
-    return {"cols": cols, "m": m, "trees": [json.loads(r["model"]) for r in sorted(grown, key=lambda r: r["tree"])]}
+    return {"cols": cols, "m": m, "medians": medians, "trees": [json.loads(r["model"]) for r in sorted(grown, key=lambda r: r["tree"])]}
 
 
 def score(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
@@ -111,10 +119,13 @@ def score(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
     bc = df.sparkSession.sparkContext.broadcast(trees)
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
 
+    fill = np.array([forest["medians"].get(x) or 0.0 for x in cols])
+
     def run(batches):
         ts = bc.value
         for pdf in batches:
-            x = np.nan_to_num(pdf[cols].to_numpy(dtype=np.float64))
+            x = pdf[cols].to_numpy(dtype=np.float64)
+            x = np.where(np.isfinite(x), x, fill)
             if len(x) == 0:
                 pdf[out] = pd.Series([], dtype="float64")
                 yield pdf

@@ -184,16 +184,27 @@ def default_metric(df: DataFrame, label: str, task: str) -> str:
     return "accuracy"
 
 
+def metric_in_use(pred: DataFrame, task: str, metric: str, label: str = "label") -> str:
+    """The metric that :func:`score_predictions` gives: AUC needs two classes 0 and 1 and a
+    probability; otherwise it is accuracy, under that name."""
+    if task == REGRESSION or metric != "auc":
+        return metric
+    if "probability" not in pred.columns:
+        return "accuracy"
+    plain = pred.where(c(label).isNotNull() & ~c(label).cast("double").isin(0.0, 1.0)).isEmpty()
+    kinds = pred.where(c(label).isNotNull()).select(c(label)).distinct().limit(3).count() if plain else 3
+    return "auc" if kinds == 2 else "accuracy"
+
+
 def score_predictions(pred: DataFrame, task: str, metric: str, label: str = "label") -> float:
-    """One number per fitted model (M5): r2 / -mse / -mae, or accuracy / f1 / auc."""
+    """One number per fitted model (M5): r2 / -mse / -mae, or accuracy / f1 / auc (see
+    :func:`metric_in_use` for the fallback)."""
     if task == REGRESSION:
         m = M.regression_metrics(pred, label, "prediction").first()
         return {"r2": m["r2"], "mse": -m["mse"], "neg_mse": -m["mse"], "mae": -m["mae"]}.get(metric, m["r2"])
+    metric = metric_in_use(pred, task, metric, label)
     if metric == "auc":
-        try:
-            return M.roc_auc(positive_score(pred), label, "score").first()["auc"]
-        except Exception:  # noqa: BLE001 - fall back as the reference does
-            metric = "accuracy"
+        return M.roc_auc(positive_score(pred), label, "score").first()["auc"]
     m = M.classification_metrics(pred, label, "prediction").first()
     return m["f1"] if metric == "f1" else m["accuracy"]
 
@@ -245,7 +256,8 @@ def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: st
     start = time.time()
     for name in names:
         if time_budget_s is not None and time.time() - start > time_budget_s:
-            break
+            run.results.append(TrainResult(name, None, metric, 0.0, error="skipped: time budget used up"))
+            continue
         try:
             est = make_estimator(name, task, stats, features_col, label,
                                  **(overrides or {}).get(name, {}))
@@ -253,8 +265,9 @@ def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: st
             model = est.fit(train)
             fit_s = time.time() - t0
             pred = model.transform(valid)
-            run.results.append(TrainResult(name, score_predictions(pred, task, metric, label),
-                                           metric, fit_s, model, predictions=pred))
+            used = metric_in_use(pred, task, metric, label)
+            run.results.append(TrainResult(name, score_predictions(pred, task, used, label),
+                                           used, fit_s, model, predictions=pred))
         except Exception as e:  # noqa: BLE001 - recorded per model
             run.results.append(TrainResult(name, None, metric, 0.0, error=str(e)[:500]))
     return run

@@ -19,12 +19,14 @@ def with_synthetic_id(df: DataFrame, how: str = "index", out: str = "id") -> Dat
 
 
 def score(model, df: DataFrame, target: str, id_col: str | None = None,
-          label_names: list | None = None, synthetic_ids: str = "index") -> DataFrame:
+          label_names: list | None = None, synthetic_ids: str = "index",
+          labels: DataFrame | None = None) -> DataFrame:
     """(id, <target>) for every row of ``df``.
 
     The id column is one of id / Id / ID / index when present, else synthetic
     (:func:`with_synthetic_id`). The id is carried through ``transform`` (J7),
-    never re-attached by position. ``label_names`` maps class indexes back to labels.
+    never re-attached by position. Class indexes become labels again by ``label_names`` (a short
+    list) or ``labels`` (a table of value and code, joined; broadcast only under the size check).
     """
     id_col = id_col or next((n for n in ID_NAMES if n in df.columns), None)
     if id_col is None:
@@ -34,6 +36,11 @@ def score(model, df: DataFrame, target: str, id_col: str | None = None,
     p = F.col("prediction")
     if label_names is not None:
         p = F.element_at(F.array(*[F.lit(x) for x in label_names]), p.cast("int") + 1)
+    if labels is not None:
+        from .features import sized
+        codes = sized(labels.select(F.col("value").alias("__label"), F.col("code").cast("bigint").alias("__code")))
+        pred = pred.withColumn("__at", p.cast("bigint")).join(codes, F.col("__at") == F.col("__code"), "left")
+        p = F.col("__label")
     return pred.select(c(id_col), p.alias(target))
 
 

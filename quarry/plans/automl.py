@@ -15,6 +15,7 @@ from ..operators import models as MD
 from ..operators import rules as R
 from ..operators import scoring as SC
 from ..operators import splits as SP
+from ..session import cut_lineage
 from ..sources.scan import normalise_missing
 
 # Model lists per task (at most five per automatic run).
@@ -24,8 +25,10 @@ DEFAULT_MODELS = {
     MD.REGRESSION: ["linear_regression", "ridge_regression", "random_forest_regressor",
                     "gbt_regressor", "decision_tree_regressor"],
 }
-BENCHMARK_MODELS = 4
-BENCHMARK_ROWS = 5000
+BENCHMARK_MODELS = {
+    MD.CLASSIFICATION: ["logistic_regression", "random_forest_classifier", "lightgbm", "xgboost"],
+    MD.REGRESSION: ["linear_regression", "random_forest_regressor", "lightgbm", "xgboost"],
+}
 
 
 def build_features(df: DataFrame, target: str | None = None, strategy: str = "basic",
@@ -56,7 +59,7 @@ class AutoTrainResult:
     target: str
     features: FE.FeatureModel
     run: MD.MultiModelRun
-    label_names: list | None
+    labels: DataFrame | None  # (value, code) of a classification target
     feature_cols: list
 
     def best(self):
@@ -78,37 +81,44 @@ def auto_train(df: DataFrame, target: str | None = None, models=None, metric: st
     task = _task_family(task_type)
     if key is None:
         df, key = with_row_key(df), "__row"
+    # Rows without a target train and validate nothing.
+    df = df.where(c(target).isNotNull())
     feats = FE.fit(df, target, "basic", exclude=(key,))
-    label_names = None
+    labels = None
     if task == MD.CLASSIFICATION:
-        codes = FE.fit_category_codes(df, target)
-        label_names = [r["value"] for r in codes.orderBy("code").collect()] \
-            if codes.count() <= 10_000 else None
+        labels = cut_lineage(FE.fit_category_codes(df, target))
         # Codes replace the target in place (a join on the value, never on the row key,
         # so identical rows sharing a hash key cannot multiply).
-        labelled = (FE.category_codes(df, [target], fitted={target: codes})
+        labelled = (FE.category_codes(df, [target], fitted={target: labels})
                     .withColumn("label", c(target).cast("double")).drop(target))
     else:
         labelled = df.withColumn("label", c(target).cast("double"))
     x = feats.transform(labelled, keep=(key, "label"))
     x = MD.assemble(x, feats.feature_names)
-    x = SP.holdout(x, key)
+    # Encoded once, read by every fit.
+    x = cut_lineage(SP.holdout(x, key))
     train, valid = x.where(F.col("split") == "train"), x.where(F.col("split") == "valid")
     names = list(models) if models is not None else DEFAULT_MODELS[task][:5]
+    overrides = dict(overrides or {})
+    for name in names:
+        if name.startswith("knn_"):
+            overrides[name] = {"idCol": key, **overrides.get(name, {})}
     run = MD.train_models(train, valid, names, task, "label", metric=metric, overrides=overrides,
                           time_budget_s=time_budget_s)
-    return AutoTrainResult(task, target, feats, run, label_names, feats.feature_names)
+    if run.best() is None:
+        raise ValueError("no model could be fitted: " + "; ".join(f"{r.model_name}: {r.error}" for r in run.results))
+    return AutoTrainResult(task, target, feats, run, labels, feats.feature_names)
 
 
 def benchmark(df: DataFrame, target: str | None = None, key: str | None = None,
-              overrides: dict | None = None) -> AutoTrainResult:
-    """Benchmark mode (M8): at most 5,000 rows (lowest hashes), four default models."""
+              overrides: dict | None = None, rows: int = 5000) -> AutoTrainResult:
+    """Benchmark mode (M8): four models on at most ``rows`` rows (lowest hashes)."""
     if key is None:
         df, key = with_row_key(df), "__row"
-    sample = SP.sample_rows(df, key, BENCHMARK_ROWS)
+    sample = SP.sample_rows(df, key, rows)
     target = target or guess_target([x for x in df.columns if x != key])
     task = _task_family(R.task_type(sample, target).first()["task_type"])
-    return auto_train(sample, target, DEFAULT_MODELS[task][:BENCHMARK_MODELS],
+    return auto_train(sample, target, BENCHMARK_MODELS[task],
                       overrides=overrides, key=key)
 
 
@@ -128,13 +138,17 @@ def evaluate(pred: DataFrame, task: str, key: str, mode: str = "full") -> dict:
 
 def submission(result: AutoTrainResult, test: DataFrame, id_col: str | None = None,
                out_path: str | None = None):
-    """Score new rows with the best model; validate; optional CSV sink."""
+    """Score new rows with the best model; validate; optional CSV sink.
+
+    Rows without an id column get one from the raw rows, before any encoding: the position in
+    the order of all their columns, which :func:`scoring.with_synthetic_id` gives again."""
     best = result.best()
     x = normalise_missing(test)
-    keep = tuple(k for k in ([id_col] if id_col else []) if k in x.columns)
-    feats = result.features.transform(x, keep=keep or tuple(n for n in ID_NAMES if n in x.columns))
-    feats = MD.assemble(feats, result.feature_cols)
-    sub = SC.score(best.model, feats, result.target, id_col, label_names=result.label_names)
+    id_col = id_col or next((n for n in ID_NAMES if n in x.columns), None)
+    if id_col is None:
+        x, id_col = cut_lineage(SC.with_synthetic_id(x)), "id"
+    feats = MD.assemble(result.features.transform(x, keep=(id_col,)), result.feature_cols)
+    sub = SC.score(best.model, feats, result.target, id_col, labels=result.labels)
     report = SC.validate(sub)
     if out_path:
         SC.write_submission(sub, out_path)

@@ -78,17 +78,31 @@ def test_save_and_load_restore_fitted_state(spark, tmp_dir):
     assert a == b
 
 
-def test_large_code_table_is_not_broadcast(spark):
+def test_large_code_table_is_not_broadcast(spark, monkeypatch):
     from pyspark.sql import functions as F
     df = spark.range(50).select(F.col("id").cast("string").alias("c"))
     table = FE.fit_label_codes(df, "c")
-    joined = FE.join_code(df, F.col("c"), table.select("value", "code"), "code", "out", -1)
-    import quarry.operators.features as mod
-    old = mod.BROADCAST_ROWS
-    try:
-        mod.BROADCAST_ROWS = 10
-        plan_small = FE.join_code(df, F.col("c"), table, "code", "o2", -1)
-        assert plan_small.count() == 50
-    finally:
-        mod.BROADCAST_ROWS = old
-    assert joined.where("out < 0").count() == 0
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    small = FE.join_code(df, F.col("c"), table, "code", "out", -1)
+    assert "strategy=broadcast" in plan(small) and small.where("out < 0").count() == 0
+    monkeypatch.setattr(FE, "BROADCAST_BYTES", 10)
+    large = FE.join_code(df, F.col("c"), table, "code", "out", -1)
+    assert "strategy=broadcast" not in plan(large) and large.where("out < 0").count() == 0
+
+
+def test_save_twice_replaces(spark, tmp_dir):
+    df = spark.createDataFrame([(1.0, "x"), (3.0, "y"), (None, "x")], "n double, c string")
+    for strategy in ("basic", "target_encoding"):
+        m = FE.fit(df, target="n" if strategy == "target_encoding" else None, strategy=strategy)
+        for _ in range(2):
+            m.save(tmp_dir + "/twice", mode="overwrite")
+        again = FE.FeatureModel.load(spark, tmp_dir + "/twice")
+        assert sorted(again.transform(df).collect()) == sorted(m.transform(df).collect())
+        assert again.transform(df).count() == 3
+
+
+def test_one_hot_names_do_not_collide(spark, tmp_dir):
+    df = spark.createDataFrame([("a-b",), ("a_b",), ("A b",)] + [(str(i),) for i in range(120)], "c string")
+    out = FE.one_hot(df, ["c"])
+    assert len({x.lower() for x in out.columns}) == len(out.columns) == 123
+    out.write.parquet(tmp_dir + "/onehot")

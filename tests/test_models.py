@@ -52,6 +52,28 @@ def test_isolation_forest_flags_outlier(spark):
     assert scores[999] == max(scores.values())
 
 
+def test_isolation_forest_samples_the_lowest_hashes_of_all_rows(spark):
+    """With many more rows than a sample, and missing values as the median."""
+    from pyspark.sql import functions as F
+    df = spark.range(6000).select("id", F.when(F.col("id") % 10 != 0, F.col("id") % 7 + F.rand(1)).alias("x"))
+    a = ISO.fit(df, ["x"], "id", n_trees=5, max_samples=16)
+    b = ISO.fit(df.repartition(9), ["x"], "id", n_trees=5, max_samples=16)
+    assert len(a["trees"]) == 5 and all(t["s"][0] == 16 for t in a["trees"])
+    assert [t["s"] for t in a["trees"]] == [t["s"] for t in b["trees"]]
+    scores = ISO.score(df.where("x is null or id = 5"), a).select("anomaly_score").distinct().collect()
+    assert len(scores) <= 2 and a["medians"]["x"] is not None
+
+
+def test_auc_falls_back_by_name(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(float(i % 3), float(i % 3), Vectors.dense([0.1, 0.2, 0.7])) for i in range(9)]
+    pred = spark.createDataFrame(rows, ["label", "prediction", "probability"])
+    assert MD.metric_in_use(pred, MD.CLASSIFICATION, "auc") == "accuracy"
+    assert MD.score_predictions(pred, MD.CLASSIFICATION, "auc") == 1.0
+    two = spark.createDataFrame([(float(i % 2), 0.0, Vectors.dense([1 - i / 9, i / 9])) for i in range(9)], pred.schema)
+    assert MD.metric_in_use(two, MD.CLASSIFICATION, "auc") == "auc"
+
+
 def test_cross_validate_and_ranking(spark):
     df, _, _ = _xy(spark)
     df = SP.kfold(MD.assemble(df, ["x"]), "id", 3)
