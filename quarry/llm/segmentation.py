@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import worker_state
 
 SPACE = "▁"
-ARCS_KEPT = 6_000_000    # arcs in a worker's lattice table before it starts anew
+ARCS_KEPT = 3_000_000    # arcs in a worker's lattice table before it starts anew
 UNITS_TOGETHER = 150_000  # units of several texts rolled on together
 _NEVER = -math.inf
 
