@@ -16,12 +16,12 @@ from ..operators import models as MD
 
 
 def score_stream(stream: DataFrame, features, model, feature_cols, id_col: str,
-                 target: str, label_names: list | None = None) -> DataFrame:
+                 target: str, label_names: list | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Streaming DataFrame of (id, <target>) for each incoming row."""
     from ..operators.scoring import score
     x = features.transform(stream, keep=(id_col,))
     x = MD.assemble(x, feature_cols)
-    return score(model, x, target, id_col, label_names)
+    return score(model, x, target, id_col, label_names, labels=labels)
 
 
 def start_scoring(scored: DataFrame, out_path: str, checkpoint_path: str, trigger_seconds: int | None = None,
