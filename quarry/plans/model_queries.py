@@ -145,16 +145,22 @@ def model_ranking(spark, sf):
     return run.rankings(spark)
 
 
-def _doc_features(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
-    labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return docs.join(labels, "doc_id")
+def _documents(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+
+
+def _doc_labels(spark, sf):
+    return read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
 
 
 @register("stacking_oof")
 def stacking_oof(spark, sf):
-    """5-fold out-of-fold stacking of two classifiers with a logistic meta model."""
-    d = _doc_features(spark, sf).drop("text")
+    """5-fold out-of-fold stacking of two classifiers with a logistic meta model.
+
+    Fitted on the labelled documents; every document gets the stacked prediction, and the
+    labelled ones their out-of-fold predictions too."""
+    docs = _documents(spark, sf).drop("text")
+    d = docs.join(_doc_labels(spark, sf), "doc_id")
     fm = FE.fit(d, target="label", strategy="basic", exclude=("doc_id",))
     t = fm.transform(d, keep=("doc_id", "label"))
     df = SP.kfold(MD.assemble(t, fm.feature_names), "doc_id", 5)
@@ -163,17 +169,20 @@ def stacking_oof(spark, sf):
             "dt": lambda: MD.make_estimator("decision_tree_classifier", MD.CLASSIFICATION, stats,
                                             maxDepth=5)}
     model, oof = MD.stacking_fit(df, base, LogisticRegression(), "fold", MD.CLASSIFICATION, "doc_id")
-    final = model.transform(df).select("doc_id", F.col("prediction").alias("stacked_prediction"))
-    return oof.join(final, "doc_id")
+    whole = MD.assemble(fm.transform(docs, keep=("doc_id",)), fm.feature_names)
+    final = model.transform(whole).select("doc_id", F.col("prediction").alias("stacked_prediction"))
+    return final.join(oof, "doc_id", "left")
 
 
 @register("tfidf_logistic_scores")
 def tfidf_logistic_scores(spark, sf):
-    """tf-idf + logistic regression on document text, class-1 probability per document."""
-    d = _doc_features(spark, sf)
+    """tf-idf + logistic regression on document text, fitted on the labelled documents; class-1
+    probability of every document (null label where there is none)."""
+    docs, labels = _documents(spark, sf).select("doc_id", "text"), _doc_labels(spark, sf)
+    d = docs.join(labels, "doc_id")
     n = d.count()
     model = MD.tfidf_estimator("text", "label", "logistic", num_features=1 << 16, n=n).fit(d)
-    out = MD.positive_score(model.transform(d))
+    out = MD.positive_score(model.transform(docs.join(labels, "doc_id", "left")))
     return out.select("doc_id", "label", "prediction", "score")
 
 
