@@ -29,16 +29,22 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state(key, build):
+def worker_state(operator: str, name: str, key, build):
     """A value kept by one Python worker process across its tasks (caches, tokenizers).
 
-    Functions of this package travel by value, so their module globals are new in
-    each task; this holder lives in ``sys.modules`` of the worker."""
+    Functions of this package travel by value, so their module globals are new in each task;
+    this holder lives in ``sys.modules`` of the worker. It keeps the values of one operator at a
+    time, and of each ``name`` the one for the latest ``key``: a worker that goes on to another
+    stage gives the last one's caches back."""
     holder = sys.modules.setdefault("_quarry_llm_worker", types.ModuleType("_quarry_llm_worker"))
     states = holder.__dict__.setdefault("states", {})
-    if key not in states:
-        states[key] = build()
-    return states[key]
+    if holder.__dict__.get("operator") != operator:
+        states.clear()
+        holder.operator = operator
+    if name not in states or states[name][0] != key:
+        states.pop(name, None)
+        states[name] = (key, build())
+    return states[name][1]
 
 
 def fold(id_col: Column, n: int) -> Column:

@@ -117,7 +117,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, coordinates
         import pyarrow as pa
         import xxhash
 
-        hashes = worker_state("near-dup-words", _Hashes)
+        hashes = worker_state("near-dup", "words", None, _Hashes)
         mult = _multipliers(coordinates)
         for batch in batches:
             n, prints, tokens = [], [], []
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -
     def full(batches):
         import pyarrow as pa
 
-        hashes = worker_state("near-dup-words", _Hashes)
+        hashes = worker_state("near-dup", "words", None, _Hashes)
         for batch in batches:
             sets = [shingle_set(t, k, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["cid", "shingles"])

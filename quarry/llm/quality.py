@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fold, labelled_sample
+from ._common import fold, labelled_sample, worker_state
 
 STATISTICS = ["word_length", "upper", "symbols", "digits", "stops", "variety", "repeats", "line_length"]
 _SENTENCE = b".,;:?-'\"()"  # marks that prose has too
@@ -151,6 +151,7 @@ def score(model: Discriminant, text):
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
+        worker_state("quality", "nothing", None, lambda: None)  # other operators' caches go
         if not len(texts):
             return pd.Series([], dtype=float)
         return pd.Series(model.scores([statistics(t) for t in texts]))

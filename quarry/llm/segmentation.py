@@ -499,7 +499,7 @@ def sample_segmentations(docs: DataFrame, id_col: str, text_col: str, model: byt
         import numpy as np
         import pyarrow as pa
 
-        lat = worker_state(("lattices", hash(shared.value), alpha), lambda: Lattices(Vocabulary(shared.value), alpha))
+        lat = worker_state("segmentation", "lattices", (hash(shared.value), alpha), lambda: Lattices(Vocabulary(shared.value), alpha))
 
         def emit(ids, keys, texts, starts):
             lat.store()
@@ -544,7 +544,7 @@ def decode(rows: DataFrame, ids_col: str, out_col: str, model: bytes) -> DataFra
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def texts(ids):
-        v = worker_state(("vocabulary", hash(shared.value)), lambda: Vocabulary(shared.value))
+        v = worker_state("segmentation", "vocabulary", hash(shared.value), lambda: Vocabulary(shared.value))
         return pd.Series([None if x is None else v.decode(list(x)) for x in ids], dtype=object)
 
     return rows.withColumn(out_col, F.pandas_udf(texts, T.StringType())(F.col(ids_col)))

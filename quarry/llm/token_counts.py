@@ -135,7 +135,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, tokenizer_json: str,
     def summarise(batches):
         import pyarrow as pa
 
-        state = worker_state(("counter", hash(shared.value)), lambda: _Counter(shared.value))
+        state = worker_state("token-counts", "counter", hash(shared.value), lambda: _Counter(shared.value))
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -184,8 +184,8 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer_json: st
         import pyarrow as pa
 
         source, frequent = shared.value
-        state = worker_state(("counter", hash(source)), lambda: _Counter(source))
-        cache = worker_state(("lengths", run), lambda: _Lengths(frequent, state.tok))
+        state = worker_state("token-counts", "counter", hash(source), lambda: _Counter(source))
+        cache = worker_state("token-counts", "lengths", run, lambda: _Lengths(frequent, state.tok))
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),

@@ -275,7 +275,7 @@ def score(lexicon: Lexicon, text, spark):
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
-        scorer = worker_state(("toxicity", run), lambda: Scorer(shared.value))
+        scorer = worker_state("toxicity", "scorer", run, lambda: Scorer(shared.value))
         return pd.Series([scorer.score(t) for t in texts], dtype=float)
 
     return scored(text)
