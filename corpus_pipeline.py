@@ -27,8 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: boilerplate lines of a source go; ``n_chars`` follows the text."""
-    out = line_dedup.drop_lines(docs, "source", "text", ratio=LINE_RATIO, min_pages=LINE_PAGES)
+    """Operator 3: boilerplate lines of a source go, near copies as the next stage links them
+    counting once; ``n_chars`` follows the text."""
+    out = line_dedup.drop_lines(docs, "source", "text", ratio=LINE_RATIO, min_pages=LINE_PAGES,
+                                similarity=SIMILARITY, shingle=SHINGLE)
     n = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n).select(*docs.columns)
 
