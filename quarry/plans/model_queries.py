@@ -139,9 +139,8 @@ def model_ranking(spark, sf):
     run = MD.train_models(train, valid, ["linear_regression", "ridge_regression",
                                          "decision_tree_regressor", "random_forest_regressor",
                                          "gbt_regressor"], MD.REGRESSION,
-                          overrides={"decision_tree_regressor": {"maxDepth": 8},
-                                     "random_forest_regressor": {"numTrees": 20, "maxDepth": 8},
-                                     "gbt_regressor": {"maxIter": 20, "maxDepth": 4}})
+                          # deeper than the catalogue's forest, which has MLlib's depth of 5
+                          overrides={"random_forest_regressor": {"maxDepth": 8}})
     return run.rankings(spark)
 
 
@@ -166,8 +165,7 @@ def stacking_oof(spark, sf):
     df = SP.kfold(MD.assemble(t, fm.feature_names), "doc_id", 5)
     stats = MD.data_stats(df, "label", MD.CLASSIFICATION)
     base = {"lr": lambda: MD.make_estimator("logistic_regression", MD.CLASSIFICATION, stats),
-            "dt": lambda: MD.make_estimator("decision_tree_classifier", MD.CLASSIFICATION, stats,
-                                            maxDepth=5)}
+            "dt": lambda: MD.make_estimator("decision_tree_classifier", MD.CLASSIFICATION, stats)}
     model, oof = MD.stacking_fit(df, base, LogisticRegression(), "fold", MD.CLASSIFICATION, "doc_id")
     whole = MD.assemble(fm.transform(docs, keep=("doc_id",)), fm.feature_names)
     final = model.transform(whole).select("doc_id", F.col("prediction").alias("stacked_prediction"))
@@ -181,7 +179,7 @@ def tfidf_logistic_scores(spark, sf):
     docs, labels = _documents(spark, sf).select("doc_id", "text"), _doc_labels(spark, sf)
     d = docs.join(labels, "doc_id")
     n = d.count()
-    model = MD.tfidf_estimator("text", "label", "logistic", num_features=1 << 16, n=n).fit(d)
+    model = MD.tfidf_estimator("text", "label", "logistic", n=n).fit(d)
     out = MD.positive_score(model.transform(docs.join(labels, "doc_id", "left")))
     return out.select("doc_id", "label", "prediction", "score")
 
@@ -196,8 +194,7 @@ def gbt_scores(spark, sf):
     t = fm.transform(li, keep=("l_orderkey", "l_linenumber", "label"))
     df = MD.assemble(t, fm.feature_names)
     stats = MD.data_stats(df, "label", MD.CLASSIFICATION)
-    est = MD.make_estimator("gradient_boosting_classifier", MD.CLASSIFICATION, stats,
-                            maxIter=20, maxDepth=4)
+    est = MD.make_estimator("gradient_boosting_classifier", MD.CLASSIFICATION, stats)
     out = MD.positive_score(est.fit(df).transform(df))
     return out.select("l_orderkey", "l_linenumber", "label", "prediction", "score")
 
@@ -220,7 +217,7 @@ def _submission(spark, sf):
     train = feats.where(F.col("split") == "train")
     test = feats.where(F.col("split") == "valid").drop("label", "o_orderstatus")
     stats = MD.data_stats(train, "label", MD.CLASSIFICATION)
-    model = MD.make_estimator("logistic_regression", MD.CLASSIFICATION, stats, maxIter=50).fit(train)
+    model = MD.make_estimator("logistic_regression", MD.CLASSIFICATION, stats).fit(train)
     return SC.score(model, test.withColumnRenamed("o_orderkey", "id"), "o_orderstatus",
                     label_names=indexer.labels)
 
