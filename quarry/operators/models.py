@@ -295,7 +295,8 @@ def cross_validate(df: DataFrame, model_factory, fold_col: str, task: str, label
     ``fold_col`` comes from :mod:`splits` (kfold / stratified / time series).
     ``ordered=True`` trains fold i on rows with ``train_from_fold <= i`` and tests
     on ``test_fold == i`` (expanding window); otherwise fold i is the test part.
-    ``model_factory()`` returns a fresh Estimator (X2).
+    ``model_factory()`` returns a fresh Estimator (X2). Folds that ``time_budget_s`` leaves
+    no time for have a null score and the status 'skipped', and take no part in the summary.
     """
     spark = df.sparkSession
     folds = k if k is not None else df.agg(F.max(fold_col)).first()[0] + 1
@@ -303,7 +304,8 @@ def cross_validate(df: DataFrame, model_factory, fold_col: str, task: str, label
     start = time.time()
     for i in range(folds):
         if time_budget_s is not None and time.time() - start > time_budget_s:
-            break
+            scores.append((i, None, "skipped"))
+            continue
         if ordered:
             tr = df.where((F.col("train_from_fold") >= 0) & (F.col("train_from_fold") <= i))
             te = df.where(F.col("test_fold") == i)
@@ -315,9 +317,9 @@ def cross_validate(df: DataFrame, model_factory, fold_col: str, task: str, label
             s = pred.agg(metric_fn(c(label), F.col("prediction")).alias("s")).first()["s"]
         else:
             s = score_predictions(pred, task, "neg_mse" if task == REGRESSION else "accuracy", label)
-        scores.append((i, float(s)))
-    fs = spark.createDataFrame(scores, "fold int, score double")
-    return fs, M.cv_summary(fs)
+        scores.append((i, float(s), "done"))
+    fs = spark.createDataFrame(scores, "fold int, score double, status string")
+    return fs, M.cv_summary(fs.where("status = 'done'"))
 
 
 # ---------------------------------------------------------------- hybrid
