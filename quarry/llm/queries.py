@@ -154,9 +154,10 @@ def sentencepiece_model(name: str = "piece_bpe_32k.model") -> bytes:
 
 @_query("op9_segmentation")
 def op9_segmentation(spark, sf):
-    """Two sampled segmentations of every whole text of ``documents``, without replacement."""
+    """Two sampled segmentations of every whole text of ``documents``, without replacement: the
+    piece ids, and their hash to compare them by."""
     from . import segmentation
 
     out = segmentation.sample_segmentations(table(spark, sf, "documents"), "doc_id", "text", sentencepiece_model(), k=2)
-    return out.select("doc_id", "rank", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed",
-                      "log_inclusion", "round_trip")
+    return out.select("doc_id", "rank", "n_pieces", "ids", F.xxhash64("ids").alias("ids_hash"), "log_prob",
+                      "perturbed", "log_inclusion", "round_trip")
