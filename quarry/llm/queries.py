@@ -161,3 +161,11 @@ def op9_segmentation(spark, sf):
     out = segmentation.sample_segmentations(table(spark, sf, "documents"), "doc_id", "text", sentencepiece_model(), k=2)
     return out.select("doc_id", "rank", "n_pieces", "ids", F.xxhash64("ids").alias("ids_hash"), "log_prob",
                       "perturbed", "log_inclusion", "round_trip")
+
+
+@_query("op11_suffix_dedup")
+def op11_suffix_dedup(spark, sf):
+    """Every whole text of ``documents`` without the bytes that 200-byte strings met elsewhere cover."""
+    from . import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"), "doc_id", "text")
