@@ -204,3 +204,11 @@ def op13_source_divergence(spark, sf):
     from . import divergence
 
     return divergence.audit(table(spark, sf, "documents"), "text", "lang", "source")
+
+
+@_query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf):
+    """Every conversation of ``conversations``, damaged by the contract's rule and repaired at least cost."""
+    from . import repair
+
+    return repair.repair(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
