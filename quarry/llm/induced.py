@@ -63,21 +63,30 @@ class Runs:
         return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n).copy()
 
     def pop(self, symbol: int):
-        """The symbol's tuples in order of arrival, also those added meanwhile."""
+        """The symbol's tuples in order of arrival, also those added meanwhile, in blocks."""
         parts, at = self.parts.get(symbol, []), 0
         while at < len(parts):
-            part, parts[at] = parts[at], None
-            yield self._load(part)
-            at += 1
-            if at == 64:
+            got, n = [], 0
+            while at < len(parts) and n < BLOCK:
+                part, parts[at] = parts[at], None
+                got.append(self._load(part))
+                n += len(got[-1][0])
+                at += 1
+            if at > 64:
                 del parts[:at]
                 at = 0
+            yield _joined(got)
         self.parts.pop(symbol, None)
 
     def pop_reversed(self, symbol: int):
+        """Blocks of the symbol's tuples from the last to the first, each in order of arrival."""
         parts = self.parts.get(symbol, [])
         while parts:
-            yield self._load(parts.pop())
+            got, n = [], 0
+            while parts and n < BLOCK:
+                got.append(self._load(parts.pop()))
+                n += len(got[-1][0])
+            yield _joined(got[::-1])
         self.parts.pop(symbol, None)
 
     def close(self) -> None:
@@ -85,6 +94,11 @@ class Runs:
             self.file.close()
 
 
+def _joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    pos, lcp = zip(*parts)
+    return np.concatenate(pos), np.concatenate(lcp)
+
+
 class Queue(Runs):
     """Runs popped by symbol, least (or, ``descending``, greatest) first."""
 
@@ -181,8 +195,14 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarr
 
 def _refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> None:
     """Split the groups of equal rank among ``live`` by ``key``; a rank is its group's first place."""
-    order = np.lexsort((key, rank[live]))
-    r, k = rank[live][order], key[order]
+    r = rank[live]
+    if r[0] == r[-1] and (r == r[0]).all():
+        order = np.argsort(key)
+    elif key.dtype == np.int64 and len(rank) < 1 << 31 and int(key.max()) < 1 << 32:
+        order = np.argsort((r << 32) | (key + 1))
+    else:
+        order = np.lexsort((key, r))
+    r, k = r[order], key[order]
     new_group = np.empty(len(r), bool)
     new_group[0], new_group[1:] = True, r[1:] != r[:-1]
     new_key = new_group.copy()
@@ -199,16 +219,17 @@ def names(t: np.ndarray, at: np.ndarray) -> np.ndarray:
     rank = np.zeros(len(at), np.int64)
     small = t.dtype == np.uint8
     unit, live, r = 7 if small else 1, np.arange(len(at)), 0
+    if small:
+        words = np.ndarray((len(t),), ">u8", np.concatenate([t, np.zeros(8, np.uint8)]), strides=(1,))
+        fill = np.array([(1 << 8 * (8 - i)) - 256 for i in range(8)], np.uint64)  # 255 for what lies beyond the end
     while len(live):
         q, left = at[live] + unit * r, np.clip(size[live] - unit * r, 0, unit)
+        q = np.minimum(q, len(t) - 1)
         if small:
-            key = np.zeros(len(live), np.uint64)
-            for b in range(7):
-                got = np.where(b < left, t[np.minimum(q + b, len(t) - 1)], 255).astype(np.uint64)
-                key = (key << np.uint64(8)) | got
-            key = (key << np.uint64(8)) | (7 - left).astype(np.uint64)
+            got = words[q].astype(np.uint64) | fill[left]
+            key = (got & ~np.uint64(255)) | (7 - left).astype(np.uint64)
         else:
-            key = np.where(left > 0, t[np.minimum(q, len(t) - 1)], np.iinfo(np.int64).max)
+            key = np.where(left > 0, t[q], np.iinfo(np.int64).max)
         _refine(rank, live, key)
         r += 1
         live = live[size[live] >= unit * r]
@@ -340,12 +361,12 @@ def induce(t: np.ndarray, length: int, visit, memory: int = MEMORY, base: int =
 class _Classes:
     """Sums weights over runs of suffixes that share ``length`` bytes; marks those of 2 or more."""
 
-    def __init__(self, n: int, length: int, weight_of):
-        self.mark, self.length, self.weight_of = np.zeros(n, bool), length, weight_of
+    def __init__(self, weights: np.ndarray, length: int):
+        self.mark, self.length, self.weights = np.zeros(len(weights), bool), length, weights
         self.open, self.first, self.low = 0, -1, 255  # weight and first member of the open class
 
     def visit(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        weight = self.weight_of(pos)
+        weight = self.weights[pos]
         at = np.flatnonzero(weight)
         if not len(at):
             self.low = min(self.low, int(lcp.min()))
@@ -355,7 +376,7 @@ class _Classes:
         pos, weight = pos[at], weight[at]
         new = low < self.length
         group = np.cumsum(new)  # 0: the class left open
-        total = np.bincount(group, weights=np.minimum(weight, 2), minlength=group[-1] + 1)
+        total = np.bincount(group, weights=weight, minlength=group[-1] + 1)
         total[0] += self.open
         hit = total[group] >= 2
         self.mark[pos[hit]] = True
@@ -387,14 +408,11 @@ def windows_repeated(texts, length: int, memory: int = MEMORY, base: int = BASE)
         ends = np.cumsum(sizes)
         begins = ends - np.array(sizes)
         last = np.maximum(ends - length, begins - 1)  # last window of each text
-        weights = np.minimum(np.array(weights, np.int64), 2)
         spans = np.column_stack([begins, last])[last >= begins]
-
-        def weight_of(pos):
-            i = np.searchsorted(ends, pos, "right")
-            return np.where(pos <= last[i], weights[i], 0)
-
-        classes = _Classes(n, length, weight_of)
+        weight = np.zeros(n, np.uint8)
+        for b, e, w in zip(begins, last + 1, weights):
+            weight[b:e] = min(w, 2)
+        classes = _Classes(weight, length)
         if len(spans):
             induce(t, length, classes.visit, memory, base, spans)
         return [np.flatnonzero(classes.mark[b:e]) for b, e in zip(begins, ends)]

@@ -37,7 +37,8 @@ from .induced import windows_repeated
 
 LENGTH = 200
 GRAM = 64
-BLOCK = 1 << 20  # window starts hashed at once
+BLOCK = 1 << 16  # window starts hashed at once, about
+PLACE = np.uint64((1 << 24) - 1)  # bits of a hash that give way to its place in the block
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -79,33 +80,45 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def _chosen(h: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
-    """Places of the hashes that are least in one of the windows that hold them."""
-    pad = np.zeros(width - 1, np.uint64)  # a hash is chosen if it equals the greatest minimum over it
-    return np.flatnonzero(~_least(~np.concatenate([pad, low, pad]), width) == h)
+def _anchor_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` hashes, the place of the least; of equal ones (by their first 40
+    bits) the leftmost, so that equal windows have it at the same distance."""
+    low = _least((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width)
+    return (low & PLACE).astype(np.int64)
 
 
-def _toward(h: np.ndarray, hits: np.ndarray, at: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
-    """From index ``at`` in ``hits`` on (or back), the first whose hash is ``key``."""
-    while (bad := np.flatnonzero(h[hits[at]] != key)).size:
-        at[bad] += step
-    return hits[at]
-
-
-def pieces(data: np.ndarray, length: int, gram: int, hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of its anchors: 1, or 2 for more) of the pieces of one text,
-    in order; each piece ends where the next starts."""
+def pieces(texts: list[bytes], length: int, hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor, first window) of the pieces of texts, in order; each ends where the text's next
+    one starts. Texts are hashed some at a time, long ones in blocks."""
     found = [(np.empty(0, np.int64),) * 3]
-    width = length - gram + 1
-    for a in range(0, max(0, len(data) - length + 1), BLOCK):
-        h = hasher(data[a:min(len(data), a + BLOCK + length - 1)])
-        low = _least(h, width)
-        first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-        key, last = low[first], np.append(first[1:], len(low)) - 1
-        hits = _chosen(h, low, width)
-        left = _toward(h, hits, np.searchsorted(hits, first), key, 1)
-        right = _toward(h, hits, np.searchsorted(hits, last + width) - 1, key, -1)
-        found.append((key.view(np.int64), first + a, 1 + (right > left)))
+    width = length - hasher.gram + 1
+
+    def hashed(group):
+        data = np.frombuffer(b"".join(x for _, _, x in group), np.uint8)
+        sizes = np.array([len(x) for _, _, x in group])
+        begins = np.cumsum(sizes) - sizes
+        h = hasher(data)
+        place = _anchor_places(h, width)
+        new = np.empty(len(place), bool)
+        new[0], new[1:] = True, place[1:] != place[:-1]
+        new[begins] = True
+        for e in begins[1:]:  # windows that reach into the next text
+            new[e - length + 1:e] = False
+        at = np.flatnonzero(new)
+        part = np.searchsorted(begins, at, "right") - 1
+        text, offset = (np.array([x[i] for x in group]) for i in (0, 1))
+        found.append((text[part], h[place[at]].view(np.int64), at - begins[part] + offset[part]))
+
+    group, total = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text) - length + 1, BLOCK):
+            group.append((i, a, text[a:a + BLOCK + length - 1]))
+            total += len(group[-1][2])
+            if total >= BLOCK:
+                hashed(group)
+                group, total = [], 0
+    if group:
+        hashed(group)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -118,17 +131,15 @@ def _anchors(length: int, gram: int):
         hasher = _Hasher(gram)
         for batch in batches:
             texts = _binary(batch.column("_text"))
-            found = [pieces(np.frombuffer(x, np.uint8), length, gram, hasher) for x in texts]
-            at = pa.array(np.cumsum([0] + [len(x[0]) for x in found]), pa.int32())
-            flat = [np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3)]
+            text, keys, firsts = pieces(texts, length, hasher)
+            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column("_id"),
                 pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                 pa.array([len(x) for x in texts], pa.int64()),
-                pa.ListArray.from_arrays(at, pa.array(flat[0], pa.int64())),
-                pa.ListArray.from_arrays(at, pa.array(flat[1], pa.int64())),
-                pa.ListArray.from_arrays(at, pa.array(flat[2], pa.int64())),
-            ], names=["_id", "sha", "n_bytes", "keys", "firsts", "anchors"])
+                pa.ListArray.from_arrays(at, pa.array(keys, pa.int64())),
+                pa.ListArray.from_arrays(at, pa.array(firsts, pa.int64())),
+            ], names=["_id", "sha", "n_bytes", "keys", "firsts"])
     return run
 
 
@@ -159,14 +170,15 @@ def _batched(rows: Iterator, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(length: int):
-    """Pieces of each text, from its list of (first, end, anchor)."""
+    """Pieces of each text whose anchors are met twice (``at``: their places in the text's list)."""
     def rows(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("uid", "n", "at")]
-            for text, uid, n, at in zip(_binary(batch.column("text")), *cols):
-                for x in at:
-                    piece = text[x["first"]:x["end"] + length - 1]
-                    yield uid, x["first"], x["key"], n, _piece_id(x["key"], piece), piece
+            cols = [batch.column(c).to_pylist() for c in ("uid", "n", "at", "keys", "firsts")]
+            for text, uid, n, at, keys, firsts in zip(_binary(batch.column("text")), *cols):
+                firsts.append(len(text) - length + 1)
+                for i in at:
+                    piece = text[firsts[i]:firsts[i + 1] + length - 1]
+                    yield uid, firsts[i], keys[i], n, _piece_id(keys[i], piece), piece
     return lambda batches: _batched(rows(batches))
 
 
@@ -180,11 +192,7 @@ def _split(length: int, gram: int, grid: int):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("uid", "first", "n")]
             for piece, uid, first, n in zip(_binary(batch.column("piece")), *cols):
-                h = hasher(np.frombuffer(piece, np.uint8))
-                width, m = length - gram + 1, len(piece) - length + 1
-                low = _least(h, width)
-                hits = _chosen(h, low, width)
-                place = _toward(h, hits, np.searchsorted(hits, np.arange(m)), low, 1)  # the window's first anchor
+                place, m = _anchor_places(hasher(np.frombuffer(piece, np.uint8)), length - gram + 1), len(piece) - length + 1
                 ahead = place - np.arange(m)
                 cell = ahead // grid
                 cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (place[1:] != place[:-1])) + 1, [m]])
@@ -254,6 +262,17 @@ def _keep(length: int):
     return run
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows that may have their key in ``wanted``, so that long rows need not be shuffled for a join
+    that drops them. A bitmap of 2**24 bits is broadcast, at most 4 MB whatever the tables hold."""
+    h = F.xxhash64(key)
+    word, bit = F.shiftrightunsigned(h, 46).alias("word"), h.bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(word, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+    bits = bits.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    asked = F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(asked).drop("word", "bits")
+
+
 def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int | None = None,
                    shard: int = 4 << 20, hot: int = 256 << 10, memory: int = 64 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``; see the module text.
@@ -266,29 +285,25 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
     seen = rows.mapInArrow(_anchors(length, gram), f"_id {id_type}, sha binary, n_bytes bigint, "
-                                                   "keys array<bigint>, firsts array<bigint>, anchors array<bigint>")
+                                                   "keys array<bigint>, firsts array<bigint>")
     seen = write_stage(seen.withColumn("uid", F.monotonically_increasing_id()), "repeats-anchors")
     # One row per distinct text, with the number of its copies.
     classes = seen.where(F.size("keys") > 0).groupBy("sha").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
-    ends = F.expr(f"concat(slice(firsts, 2, size(firsts)), array(n_bytes - {length - 1}))")
-    each = write_stage(seen.join(classes.select("uid", "n"), "uid").select("uid", "sha", "n", "keys", "firsts", ends.alias("ends"), "anchors"),
-                       "repeats-texts")
-    at = each.select("uid", "n", F.explode(F.arrays_zip("firsts", "ends", "keys", "anchors")).alias("x")).select(
-        "uid", "n", F.col("x.firsts").alias("first"), F.col("x.ends").alias("end"), F.col("x.keys").alias("key"), "x.anchors")
-    twice = at.groupBy("key").agg(F.sum(F.col("n") * F.col("anchors")).alias("c")).where("c > 1").select("key")
-    lists = at.join(twice, "key").groupBy("uid").agg(F.collect_list(F.struct("first", "end", "key")).alias("at"))
-    lists = lists.join(each.select("uid", "sha", "n"), "uid")
+    each = write_stage(seen.select("uid", "keys", "firsts").join(classes, "uid"), "repeats-texts")
+    met = each.select("n", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("n").alias("c")).where("c > 1").select("key")
+    lists = each.select("uid", F.posexplode("keys").alias("no", "key")).join(met, "key").groupBy("uid").agg(F.collect_list("no").alias("at"))
+    lists = write_stage(each.join(lists, "uid"), "repeats-lists")
     texts = rows.where(F.octet_length("_text") >= length).select(
         F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("sha"), "_text")
-    texts = texts.groupBy("sha").agg(F.first("_text").alias("text"))
-    held = write_stage(texts.join(lists, "sha").select("sha", "uid", "n", "at", "text"), "repeats-held")
+    texts = _sieved(texts, lists, "sha").groupBy("sha").agg(F.first("_text").alias("text"))
+    held = write_stage(texts.join(lists, "sha"), "repeats-held", "zstd")
 
-    found = write_stage(held.select("uid", "n", "at", "text").mapInArrow(_cut(length), _PIECE), "repeats-pieces")
+    found = write_stage(held.select("uid", "n", "at", "keys", "firsts", "text").mapInArrow(_cut(length), _PIECE), "repeats-pieces", "zstd")
     grid = max(1, length // 4)
     places, parts = [], []
     while True:
         distinct = write_stage(found.groupBy("cid").agg(F.first("key").alias("key"), F.first("piece").alias("piece"),
-                                                        F.sum("n").alias("n")), "repeats-distinct")
+                                                        F.sum("n").alias("n")), "repeats-distinct", "zstd")
         bytes_of = distinct.groupBy("key").agg(F.sum(F.length("piece")).alias("bytes"), F.max(F.length("piece")).alias("widest"))
         busy = write_stage(bytes_of.where(f"bytes > {hot} and widest > {length}").select("key"), "repeats-hot")
         if grid == 0 or busy.isEmpty():
@@ -298,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LE
         places.append(found.join(busy, "key", "left_anti").select("uid", "first", "cid"))
         parts.append(distinct.join(busy, "key", "left_anti"))
         split = found.join(busy, "key", "left_semi").select("uid", "first", "n", "piece")
-        found = write_stage(split.mapInArrow(_split(length, gram, grid), _PIECE), "repeats-pieces")
+        found = write_stage(split.mapInArrow(_split(length, gram, grid), _PIECE), "repeats-pieces", "zstd")
         grid //= 2
     distinct, where = parts[0], places[0]
     for part, place in zip(parts[1:], places[1:]):
