@@ -291,6 +291,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     classes = seen.where(F.size("keys") > 0).groupBy("sha").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
     each = write_stage(seen.select("uid", "keys", "firsts").join(classes, "uid"), "repeats-texts")
     met = each.select("n", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("n").alias("c")).where("c > 1").select("key")
+    met = write_stage(met, "repeats-met")  # stored, so that the join below reads shuffles on both sides and a hot key can be split
     lists = each.select("uid", F.posexplode("keys").alias("no", "key")).join(met, "key").groupBy("uid").agg(F.collect_list("no").alias("at"))
     lists = write_stage(each.join(lists, "uid"), "repeats-lists")
     texts = rows.where(F.octet_length("_text") >= length).select(
