@@ -21,6 +21,7 @@ holds about 4 million counts at most, whatever the number of sources.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -279,7 +280,7 @@ def audit(docs: DataFrame, text_col: str, lang_col: str, source_col: str, min_do
         at_hand = placed.where(F.col("round") == r).select("lang", "shards", "shard", "size", "seed", "disp", "terms", "first").collect()
         if at_hand:
             shared = spark.sparkContext.broadcast([x.asDict() for x in at_hand])
-            part = rows.mapInArrow(_recount(shared, f"{id(shared)}-{r}", held), slots)
+            part = rows.mapInArrow(_recount(shared, uuid.uuid4().hex, held), slots)
             part = write_stage(part.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n")), "divergence-counts")
             shared.destroy()
             counts = counts.unionByName(part)
