@@ -18,11 +18,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c
+from .persistence import StoredModel, frame_of_trees, trees_of_frame
 from .quantiles import quantiles
 
 
@@ -154,9 +155,21 @@ class IsolationForestEstimator:
         return IsolationForestModel(fit(df, cols, self.key_col, self.n_trees, self.max_samples, self.seed))
 
 
-class IsolationForestModel:
+class IsolationForestModel(StoredModel):
+    """A grown forest; stored as one row per node."""
+
     def __init__(self, forest: dict):
+        super().__init__()
         self.forest = forest
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def state(self):
+        spark = SparkSession.active()
+        plain = {k: v for k, v in self.forest.items() if k != "trees"}
+        return plain, {"trees": frame_of_trees(spark, self.forest["trees"])}, {}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls({**values, "trees": trees_of_frame(frames["trees"])})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         return score(df, self.forest)

@@ -22,12 +22,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
 from ..functions.hashing import key_hash
+from .persistence import StoredModel
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -229,11 +230,23 @@ class KNNEstimator(Estimator):
         return KNNModel(self, df)
 
 
-class KNNModel(Model):
+class KNNModel(StoredModel):
+    """The training rows and the settings; stored as a frame of id, features and label."""
+
     def __init__(self, est: KNNEstimator, train: DataFrame):
         super().__init__()
         self.est, self.train = est, train
 
+    def state(self):
+        e = self.est
+        values = {"task": e.task, "k": e.k, "featuresCol": e.features_col, "labelCol": e.label_col,
+                  "idCol": e.id_col, "block_rows": e.block_rows}
+        return values, {"train": self.train.select(c(e.id_col), c(e.features_col), c(e.label_col))}, {}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls(KNNEstimator(**values), frames["train"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         e = self.est
         vec_of = (lambda d: d.withColumn("__vec", F.col(e.features_col) if

@@ -22,15 +22,19 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
+from ..session import cut_lineage
 from . import metrics as M
+from . import persistence
+from .persistence import ModelSet, StoredModel
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -56,7 +60,58 @@ def data_stats(df: DataFrame, label: str = "label", task: str = REGRESSION) -> D
     return DataStats(row["n"], row["s"] or 1.0, k or 2)
 
 
+class ShiftedNaiveBayes(Estimator, HasFeaturesCol, HasLabelCol):
+    """Multinomial naive Bayes that takes any numbers: a feature with negative values (a standardised
+    one) is shifted by its least training value, as counts cannot be negative; others stay as they are."""
+
+    def __init__(self, featuresCol: str = "features", labelCol: str = "label", **kw):
+        super().__init__()
+        self._set(featuresCol=featuresCol, labelCol=labelCol)
+        self.settings = kw
+
+    def setFeaturesCol(self, value: str):
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value: str):
+        return self._set(labelCol=value)
+
+    def _fit(self, df: DataFrame):
+        low = df.agg(Summarizer.min(F.col(self.getFeaturesCol())).alias("low")).first()["low"]
+        least = [min(0.0, float(x)) for x in low.toArray()] if low is not None else []
+        inner = NaiveBayes(modelType="multinomial", featuresCol="__counts", labelCol=self.getLabelCol(), **self.settings)
+        model = ShiftedModel(least, self.getFeaturesCol(), None)
+        model.inner = inner.fit(model.shifted(df))
+        return model
+
+
+class ShiftedModel(StoredModel):
+    """Shifts features to be non-negative, then applies the inner model."""
+
+    def __init__(self, least: list, features_col: str, inner: Model):
+        super().__init__()
+        self.least, self.features_col, self.inner = least, features_col, inner
+
+    def state(self):
+        return {"least": self.least, "features_col": self.features_col}, {}, {"inner": self.inner}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls(inner=models["inner"], **values)
+
+    def shifted(self, df: DataFrame) -> DataFrame:
+        if not any(self.least):
+            return df.withColumn("__counts", F.col(self.features_col))
+        least = F.array(*[F.lit(x) for x in self.least])
+        # A value below the training minimum counts as the minimum.
+        moved = F.zip_with(vector_to_array(F.col(self.features_col)), least, lambda x, low: F.greatest(x - low, F.lit(0.0)))
+        return df.withColumn("__counts", array_to_vector(moved))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.inner.transform(self.shifted(df)).drop("__counts")
+
+
 def _gbt_classifier(stats: DataStats, **kw):
+    kw.setdefault("maxDepth", 3)
     gbt = GBTClassifier(maxIter=kw.pop("maxIter", 100), stepSize=kw.pop("stepSize", 0.1), seed=42, **kw)
     if stats.n_classes > 2:
         return OneVsRest(classifier=gbt)
@@ -85,7 +140,7 @@ def _catalogue():
         "logistic_regression": ((CLASSIFICATION,), lambda s, **kw: LogisticRegression(
             maxIter=kw.pop("maxIter", 1000), regParam=1.0 / s.n, standardization=False, **kw)),
         "gaussian_nb": ((CLASSIFICATION,), lambda s, **kw: NaiveBayes(modelType="gaussian", **kw)),
-        "multinomial_nb": ((CLASSIFICATION,), lambda s, **kw: NaiveBayes(modelType="multinomial", **kw)),
+        "multinomial_nb": ((CLASSIFICATION,), lambda s, **kw: ShiftedNaiveBayes(**kw)),
         "decision_tree_classifier": ((CLASSIFICATION,), lambda s, **kw: DecisionTreeClassifier(
             maxDepth=kw.pop("maxDepth", 30), seed=42, **kw)),
         "decision_tree_regressor": ((REGRESSION,), lambda s, **kw: DecisionTreeRegressor(
@@ -100,7 +155,7 @@ def _catalogue():
         "lightgbm": ((CLASSIFICATION, REGRESSION), None),
         "catboost": ((CLASSIFICATION, REGRESSION), None),
         "gbt_regressor": ((REGRESSION,), lambda s, **kw: GBTRegressor(
-            maxIter=kw.pop("maxIter", 100), stepSize=kw.pop("stepSize", 0.1), seed=42, **kw)),
+            maxIter=kw.pop("maxIter", 100), stepSize=kw.pop("stepSize", 0.1), maxDepth=kw.pop("maxDepth", 3), seed=42, **kw)),
         "tfidf_logistic": ((CLASSIFICATION,), lambda s, **kw: tfidf_estimator(
             kw.pop("textCol", "text"), kw.pop("labelCol", "label"), "logistic", n=s.n, **kw)),
         "tfidf_svm": ((CLASSIFICATION,), lambda s, **kw: tfidf_estimator(
@@ -245,19 +300,50 @@ class MultiModelRun:
         return spark.createDataFrame(rows, "model string, error string")
 
 
+def at_once(jobs: list, parallelism: int) -> list:
+    """Results of ``jobs`` (functions without arguments) in their order, ``parallelism`` at a time.
+
+    Each runs in a thread that inherits the caller's Spark properties, in a scheduler pool of its
+    own, so that with ``spark.scheduler.mode`` FAIR their stages share the cluster instead of
+    queueing; jobs leave executors idle between their stages, which the others then use."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    spark = SparkSession.active()
+
+    def pooled(i, job):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i}")
+            try:
+                return job()
+            finally:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(min(parallelism, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(pooled(i, job)) for i, job in enumerate(jobs)]]
+
+
+PARALLEL_FITS = 4
+
+
 def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: str = "label",
                  features_col: str = "features", metric: str | None = None,
-                 overrides: dict | None = None, time_budget_s: float | None = None) -> MultiModelRun:
-    """Fit each named model on ``train``, score it on ``valid``; a failing model
-    is recorded with its error instead of stopping the run (M5)."""
+                 overrides: dict | None = None, time_budget_s: float | None = None,
+                 parallelism: int = PARALLEL_FITS) -> MultiModelRun:
+    """Fit each named model on ``train``, score it on ``valid``, ``parallelism`` at once; a failing
+    model is recorded with its error instead of stopping the run (M5). Results keep the order of
+    ``names`` whatever finishes first; a model that a used-up time budget leaves is 'skipped'."""
     stats = data_stats(train, label, task)
     metric = metric or ("r2" if task == REGRESSION else "accuracy")
-    run = MultiModelRun()
     start = time.time()
-    for name in names:
+
+    def fit(name: str) -> TrainResult:
         if time_budget_s is not None and time.time() - start > time_budget_s:
-            run.results.append(TrainResult(name, None, metric, 0.0, error="skipped: time budget used up"))
-            continue
+            return TrainResult(name, None, metric, 0.0, error="skipped: time budget used up")
         try:
             est = make_estimator(name, task, stats, features_col, label,
                                  **(overrides or {}).get(name, {}))
@@ -266,11 +352,11 @@ def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: st
             fit_s = time.time() - t0
             pred = model.transform(valid)
             used = metric_in_use(pred, task, metric, label)
-            run.results.append(TrainResult(name, score_predictions(pred, task, used, label),
-                                           used, fit_s, model, predictions=pred))
+            return TrainResult(name, score_predictions(pred, task, used, label), used, fit_s, model, predictions=pred)
         except Exception as e:  # noqa: BLE001 - recorded per model
-            run.results.append(TrainResult(name, None, metric, 0.0, error=str(e)[:500]))
-    return run
+            return TrainResult(name, None, metric, 0.0, error=str(e)[:500])
+
+    return MultiModelRun(at_once([lambda name=name: fit(name) for name in names], parallelism))
 
 
 # ---------------------------------------------------------------- single train (M9)
@@ -336,16 +422,25 @@ class GroupMeanRegressor(Estimator, HasLabelCol, HasPredictionCol):
         means = df.groupBy(c(self.group_col).alias("__g")).agg(
             F.avg(c(self.getLabelCol()).cast("double")).alias("__m"))
         overall = df.agg(F.avg(c(self.getLabelCol()).cast("double"))).first()[0]
-        from ..session import cut_lineage
         # Fitted state is materialised once (one row per group).
         return GroupMeanModel(self.group_col, cut_lineage(means), overall, self.getPredictionCol())
 
 
-class GroupMeanModel(Model):
+class GroupMeanModel(StoredModel):
+    """Means by group and over all rows; stored as one row per group."""
+
     def __init__(self, group_col, means, overall, prediction_col):
         super().__init__()
         self.group_col, self.means, self.overall, self.prediction_col = group_col, means, overall, prediction_col
 
+    def state(self):
+        values = {"group_col": self.group_col, "overall": self.overall, "prediction_col": self.prediction_col}
+        return values, {"means": self.means}, {}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls(means=frames["means"], **values)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         from .features import sized
         j = df.join(sized(self.means), c(self.group_col).eqNullSafe(F.col("__g")), "left")
@@ -353,15 +448,24 @@ class GroupMeanModel(Model):
             .drop("__g", "__m")
 
 
-@dataclass
-class HybridModel:
+class HybridModel(StoredModel):
     """Base regressor plus a model of its residuals; prediction = base + residual."""
-    base: Model
-    residual: Model
-    base_pred_col: str = "base_prediction"
-    resid_pred_col: str = "residual_prediction"
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def __init__(self, base: Model, residual: Model, base_pred_col: str = "base_prediction",
+                 resid_pred_col: str = "residual_prediction"):
+        super().__init__()
+        self.base, self.residual = base, residual
+        self.base_pred_col, self.resid_pred_col = base_pred_col, resid_pred_col
+
+    def state(self):
+        values = {"base_pred_col": self.base_pred_col, "resid_pred_col": self.resid_pred_col}
+        return values, {}, {"base": self.base, "residual": self.residual}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls(models["base"], models["residual"], **values)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         b = self.base.transform(df).withColumnRenamed("prediction", self.base_pred_col)
         r = self.residual.transform(b).withColumnRenamed("prediction", self.resid_pred_col)
         return r.withColumn("prediction", F.col(self.base_pred_col) + F.col(self.resid_pred_col))
@@ -377,12 +481,19 @@ def hybrid_fit(df: DataFrame, base: Estimator, residual: Estimator, label: str =
 
 
 # ---------------------------------------------------------------- stacking
-@dataclass
-class StackingModel:
-    base_models: dict
-    meta_model: Model
-    meta_cols: list
-    task: str
+class StackingModel(StoredModel):
+    """Base models whose predictions are the features of a meta model."""
+
+    def __init__(self, base_models: dict, meta_model: Model, meta_cols: list, task: str):
+        super().__init__()
+        self.base_models, self.meta_model, self.meta_cols, self.task = base_models, meta_model, meta_cols, task
+
+    def state(self):
+        return {"meta_cols": self.meta_cols, "task": self.task}, {}, {"base": ModelSet(self.base_models), "meta": self.meta_model}
+
+    @classmethod
+    def from_state(cls, values, frames, models):
+        return cls(models["base"].models, models["meta"], **values)
 
     def base_features(self, df: DataFrame) -> DataFrame:
         out = df
@@ -393,38 +504,39 @@ class StackingModel:
             out = p.drop(*[x for x in ("prediction", "probability", "rawPrediction") if x in p.columns])
         return out
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         feats = self.base_features(df)
         feats = VectorAssembler(inputCols=self.meta_cols, outputCol="__meta").transform(feats)
         return self.meta_model.transform(feats)
 
 
 def stacking_fit(df: DataFrame, base: dict, meta: Estimator, fold_col: str, task: str,
-                 key: str, label: str = "label", k: int = 5):
+                 key: str, label: str = "label", k: int = 5, parallelism: int = PARALLEL_FITS):
     """Out-of-fold base predictions as meta features, meta model on them, base
-    models refitted on all rows (M12, J6). Returns (model, oof frame).
+    models refitted on all rows (M12, J6). Returns (model, oof frame). All
+    models x (k + 1) fits are independent and run ``parallelism`` at once.
 
     For each fold the base models fit on the other folds and predict the fold;
     the per-fold outputs are unioned (each row appears once) instead of
     scattered into a positional array.
     """
-    oof = None
     names = list(base)
+    frozen = cut_lineage(df)  # every fit reads the stored rows instead of recomputing the features
+    fold = lambda i: (frozen.where(F.col(fold_col) != i), frozen.where(F.col(fold_col) == i))
+    jobs = [lambda i=i, n=n: base[n]().fit(fold(i)[0]) for i in range(k) for n in names]
+    jobs += [lambda n=n: base[n]().fit(frozen) for n in names]
+    models = at_once(jobs, parallelism)
+    oof = None
     for i in range(k):
-        tr, te = df.where(F.col(fold_col) != i), df.where(F.col(fold_col) == i)
-        part = te
-        for name in names:
-            p = base[name]().fit(tr).transform(part)
-            p = positive_score(p, name) if task == CLASSIFICATION else \
-                p.withColumn(name, F.col("prediction").cast("double"))
-            part = p.drop(*[x for x in ("prediction", "probability", "rawPrediction") if x in p.columns])
+        part = StackingModel(dict(zip(names, models[i * len(names):])), None, names, task).base_features(fold(i)[1])
         oof = part if oof is None else oof.unionByName(part)
+    oof = cut_lineage(oof)
     meta_in = VectorAssembler(inputCols=names, outputCol="__meta").transform(oof)
     if hasattr(meta, "setFeaturesCol"):
         meta.setFeaturesCol("__meta")
     meta.setLabelCol(label)
     meta_model = meta.fit(meta_in)
-    full = {name: base[name]().fit(df) for name in names}
+    full = dict(zip(names, models[k * len(names):]))
     return StackingModel(full, meta_model, names, task), oof.select(key, label, *names)
 
 
@@ -477,7 +589,12 @@ def tune(estimator: Estimator, grid: dict, df: DataFrame, task: str, fold_col: s
 
 # ---------------------------------------------------------------- persistence
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Store a fitted model of the catalogue, a composed one or a dict of models."""
+    persistence.save(model, path)
+
+
+def load_model(path: str):
+    return persistence.load(path)
 
 
 def load_pipeline(path: str):
