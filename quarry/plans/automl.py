@@ -15,8 +15,9 @@ from ..operators import models as MD
 from ..operators import rules as R
 from ..operators import scoring as SC
 from ..operators import splits as SP
+from ..operators.prediction_store import PredictionStore
 from ..session import cut_lineage
-from ..sources.scan import normalise_missing
+from ..sources.scan import normalise_missing, read_path
 
 # Model lists per task (at most five per automatic run).
 DEFAULT_MODELS = {
@@ -72,9 +73,16 @@ def _task_family(task_type: str) -> str:
 
 def auto_train(df: DataFrame, target: str | None = None, models=None, metric: str | None = None,
                overrides: dict | None = None, time_budget_s: float | None = None,
-               key: str | None = None) -> AutoTrainResult:
+               key: str | None = None, store: PredictionStore | None = None,
+               version: str | None = None) -> AutoTrainResult:
     """Detect task, encode features, split 80/20 by hash, train the task's models,
-    rank them (M7). Each fit is an MLlib job; the driver only loops over names."""
+    rank them (M7). Each fit is an MLlib job; the driver only names and ranks them.
+
+    With a ``store`` (whose key type is that of ``key``) the version's validation labels, the
+    predictions and scores of every model and the best model are kept there. That needs a unique
+    ``key``: the hash that stands in for a missing one is shared by identical rows."""
+    if store is not None and (key is None or version is None):
+        raise ValueError("storing a training needs a key column and a version")
     df = normalise_missing(df)
     target = target or guess_target(df.columns)
     task_type = R.task_type(df, target).first()["task_type"]
@@ -107,6 +115,8 @@ def auto_train(df: DataFrame, target: str | None = None, models=None, metric: st
                           time_budget_s=time_budget_s)
     if run.best() is None:
         raise ValueError("no model could be fitted: " + "; ".join(f"{r.model_name}: {r.error}" for r in run.results))
+    if store is not None:
+        store.write_training(version, task, run, valid, key, probability=MD.positive_score if task == MD.CLASSIFICATION else None)
     return AutoTrainResult(task, target, feats, run, labels, feats.feature_names)
 
 
@@ -155,4 +165,14 @@ def submission(result: AutoTrainResult, test: DataFrame, id_col: str | None = No
     return sub, report
 
 
-__all__ = ["build_features", "auto_train", "benchmark", "evaluate", "submission", "type_class"]
+def auto_train_path(spark, path: str, target: str | None = None, **kw) -> AutoTrainResult:
+    """:func:`auto_train` of the table under ``path`` (csv, tsv, parquet, json, jsonl)."""
+    return auto_train(read_path(spark, path), target, **kw)
+
+
+def submission_path(spark, result: AutoTrainResult, path: str, id_col: str | None = None, out_path: str | None = None):
+    """:func:`submission` of the rows under ``path``."""
+    return submission(result, read_path(spark, path), id_col, out_path)
+
+
+__all__ = ["auto_train_path", "submission_path", "build_features", "auto_train", "benchmark", "evaluate", "submission", "type_class"]
