@@ -20,6 +20,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers its queries on import)."""
-    from . import (feature_queries, metric_queries, model_queries, profile_queries,  # noqa: F401
-                   report_queries, rule_queries, run_queries, series_queries, split_queries,
-                   text_queries)
+    from . import (feature_queries, linear_queries, metric_queries, model_queries,  # noqa: F401
+                   profile_queries, report_queries, rule_queries, run_queries, series_queries,
+                   split_queries, store_queries, text_queries)
