@@ -336,6 +336,51 @@ def one_hot(df: DataFrame, cols=None, keep=(), max_categories: int | None = None
     return df.select(*out)
 
 
+@dataclass
+class OneHotDictionary:
+    """(column, value, index) of every category value, sorted; ``size`` values in all."""
+    table: DataFrame
+    cols: list
+    size: int
+
+
+def fit_one_hot(df: DataFrame, cols=None) -> OneHotDictionary:
+    """Number the values of all category columns, by column (in the given order) and value. The
+    table stays a frame, so a column may have more values than a schema could have columns."""
+    df = normalise_missing(df)
+    cols = list(cols) if cols is not None else categorical_columns(df)
+    place = F.create_map(*[x for i, n in enumerate(cols) for x in (F.lit(n), F.lit(i))]) if cols else F.lit(None)
+    values = value_counts_long(df, cols).withColumn("__place", place[F.col("column")]) if cols else \
+        df.sparkSession.createDataFrame([], "column string, value string, count bigint, __place int")
+    table = cut_lineage(row_index(values, ["__place", "value"], out="index").select("column", "value", "index"))
+    return OneHotDictionary(table, cols, table.count())
+
+
+def one_hot_entries(df: DataFrame, key_cols, fitted: OneHotDictionary) -> DataFrame:
+    """(key columns, index, value): the ones of the one-hot matrix, one row per row and column.
+
+    Missing values and values that the dictionary does not hold have no entry (their row of the
+    matrix is all zero there). One join with the dictionary for all columns: broadcast under the
+    size check, else by value, where AQE splits a value that many rows share."""
+    df = normalise_missing(df)
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in fitted.cols])
+    pairs = pairs.cast("array<struct<column: string, value: string>>")  # also where there is no column
+    long = df.select(*[c(k) for k in key_cols], F.explode(pairs).alias("__p")).select(*[c(k) for k in key_cols], "__p.column", "__p.value")
+    hit = long.where(F.col("value").isNotNull()).join(sized(fitted.table), ["column", "value"])
+    return hit.select(*[c(k) for k in key_cols], "index", F.lit(1.0).alias("value"))
+
+
+def one_hot_vectors(df: DataFrame, key: str, fitted: OneHotDictionary, out: str = "features") -> DataFrame:
+    """(key, sparse vector) for models: entries gathered by a unique key, at most one per column."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    size = fitted.size
+    made = F.udf(lambda at: SparseVector(size, at or [], [1.0] * len(at or [])), VectorUDT())
+    lists = one_hot_entries(df, [key], fitted).groupBy(c(key).alias("__key")).agg(F.sort_array(F.collect_list("index")).alias("__at"))
+    joined = df.select(c(key)).join(lists, c(key) == F.col("__key"), "left")
+    return joined.select(c(key), made(F.col("__at").cast("array<int>")).alias(out))
+
+
 def polynomial(df: DataFrame, cols, degree: int = 2, keep=()) -> DataFrame:
     """All monomials of the columns up to ``degree`` (degree 1 included) as projections."""
     if not 1 <= degree <= 3:

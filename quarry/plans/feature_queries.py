@@ -170,3 +170,20 @@ def _poly_sql():
 def feat_polynomial(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return FE.polynomial(li, LI_POLY, 2, keep=("l_orderkey", "l_linenumber"))
+
+
+LI_CAT = ["l_returnflag", "l_linestatus"]
+_ONE_HOT_ROWS = "\nUNION ALL\n".join(
+    f"SELECT l_orderkey, l_linenumber, {i} AS place, CAST({x} AS VARCHAR) AS v FROM lineitem WHERE {x} IS NOT NULL"
+    for i, x in enumerate([*LI_CAT, "l_partkey", "l_quantity"]))
+
+
+@register("feat_one_hot_sparse", f"""
+WITH r AS ({_ONE_HOT_ROWS}),
+k AS (SELECT place, v, row_number() OVER (ORDER BY place, v) - 1 AS index FROM (SELECT DISTINCT place, v FROM r))
+SELECT l_orderkey, l_linenumber, index, CAST(1 AS DOUBLE) AS value FROM r JOIN k USING (place, v)""")
+def feat_one_hot_sparse(spark, sf):
+    """Entries of the sparse one-hot matrix of lineitem, a column of which has thousands of values."""
+    li = read_table(spark, sf, "lineitem")
+    fitted = FE.fit_one_hot(li, [*LI_CAT, "l_partkey", "l_quantity"])
+    return FE.one_hot_entries(li, ["l_orderkey", "l_linenumber"], fitted)

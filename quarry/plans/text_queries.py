@@ -136,3 +136,20 @@ def text_columns(spark, sf):
             F.lit(label_col).alias("label_column"), "avg_text_length")
         out = part if out is None else out.unionByName(part)
     return round_doubles(out)
+
+
+@register("tfidf_weights", f"""
+WITH d AS (SELECT doc_id, unnest({vocab_sql('text')}) AS term FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY term) - 1 AS term_id FROM t GROUP BY term),
+n AS (SELECT count(text) AS n FROM documents),
+r AS (SELECT doc_id, term, term_id, tf, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS raw FROM t JOIN v USING (term), n)
+SELECT doc_id, term, term_id, tf, {rnd('raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))')} AS weight FROM r""")
+def tfidf_weights(spark, sf):
+    """tf-idf weight of every term of every document, over the exact vocabulary."""
+    from ..operators import tfidf as TF
+
+    docs, t = _documents(spark, sf)
+    vocabulary = TF.fit(docs, "doc_id", t)
+    out = TF.weights(docs, "doc_id", t, vocabulary)
+    return round_doubles(out.withColumnRenamed("key", "doc_id"))
