@@ -38,6 +38,17 @@ def _sort_cols(cols):
     return out
 
 
+def join_groups(df: DataFrame, table: DataFrame, group_cols) -> DataFrame:
+    """Inner join of ``df`` with a table of one row per group; a NULL group meets the NULL group."""
+    other = {x: f"__g{i}" for i, x in enumerate(group_cols)}
+    table = table.withColumnsRenamed(other)
+    same = None
+    for x, y in other.items():
+        one = F.col(f"`{x}`").eqNullSafe(F.col(y))
+        same = one if same is None else same & one
+    return df.join(table, same).drop(*other.values())
+
+
 def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
               rows_per_range: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position by ``order_cols`` (within ``partition_cols``)."""
@@ -77,8 +88,7 @@ def row_index(df: DataFrame, order_cols, partition_cols=None, out: str = IDX,
         # The group table is aggregated map-side; AQE splits a skewed group in the join.
         from .features import sized
         starts = indexed.groupBy(*partition_cols).agg(F.min(out).alias("__start"))
-        indexed = (indexed.join(sized(starts), partition_cols, "inner")
-                   .withColumn(out, F.col(out) - F.col("__start")).drop("__start"))
+        indexed = join_groups(indexed, sized(starts), partition_cols).withColumn(out, F.col(out) - F.col("__start")).drop("__start")
     return indexed.drop("__pid", "__pos")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TS_TIME_NAMES, c, datetime_columns, numeric_columns
 from ..sources.scan import normalise_missing
-from .ordering import IDX, blocked_window, rolling, row_index
+from .ordering import IDX, blocked_window, join_groups, rolling, row_index
 from .quantiles import quantiles
 
 MICROS_PER_DAY = 86_400_000_000
@@ -151,7 +151,7 @@ def stationarity(series: DataFrame, series_cols=()) -> DataFrame:
         from .features import sized
         ix = indexed(series, series_cols)
         n = ix.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("n"))
-        j = ix.join(sized(n), series_cols)
+        j = join_groups(ix, sized(n), series_cols)
         first = F.col(IDX) < F.floor(F.col("n") / 2)
         agg = j.groupBy(*series_cols).agg(
             F.first("n").alias("n"),

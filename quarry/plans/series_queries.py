@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as S
-from ..sources.scan import read_table
+from ..operators.ordering import row_index
+from ..sources.scan import DIRTY_EVENTS_NORM_SQL, DIRTY_EVENTS_SQL, dirty_events, read_table
 from .common import round_sig_doubles as round_doubles
 from .common import rsig as rnd
 from .registry import register
@@ -222,3 +223,34 @@ def ts_lag_by_series(spark, sf):
     """Lag 1 / 7, 7-row rolling mean and calendar fields within each order-status series."""
     s = S.as_series(daily_orders_by_status(spark, sf), "o_orderdate", "value", ["o_orderstatus"])
     return round_doubles(S.lag_features(s, series_cols=["o_orderstatus"]))
+
+
+# ---------------------------------------------------------------- groups without a name
+NULL_SERIES_SQL = f"(SELECT event_type, ts, value FROM {DIRTY_EVENTS_NORM_SQL} WHERE ts IS NOT NULL AND value IS NOT NULL)"
+
+
+@register("row_index_null_groups", f"""
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx
+FROM {DIRTY_EVENTS_SQL}""")
+def row_index_null_groups(spark, sf):
+    """Positions within groups, one of them NULL, by the range-partitioned path that large tables take."""
+    ev = dirty_events(spark, sf)
+    n = ev.count()
+    out = row_index(ev, ["ts", "event_id"], ["event_type"], out="idx", rows_per_range=max(1, -(-n // 8)))
+    return out.select("event_id", "event_type", "idx")
+
+
+@register("ts_stationarity_null_series", f"""
+WITH i AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS idx,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM {NULL_SERIES_SQL}),
+h AS (SELECT event_type, any_value(n) AS n, var_samp(value) FILTER (WHERE idx < n // 2) AS a,
+             var_samp(value) FILTER (WHERE idx >= n // 2) AS b FROM i GROUP BY event_type)
+SELECT event_type, CAST(n AS BIGINT) AS n, {rnd('a')} AS first_half_var, {rnd('b')} AS second_half_var,
+       {rnd('CASE WHEN n > 20 THEN greatest(a, b) / (least(a, b) + 1e-10) END')} AS variance_ratio,
+       CASE WHEN n > 20 THEN greatest(a, b) / (least(a, b) + 1e-10) < 2 END AS likely_stationary
+FROM h""")
+def ts_stationarity_null_series(spark, sf):
+    """Stationarity of the event values per type; the events without a type are a series, too."""
+    ev = dirty_events(spark, sf)
+    series = S.as_series(ev, "ts", "value", ["event_type"])
+    return round_doubles(S.stationarity(series, ["event_type"]))
