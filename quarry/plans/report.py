@@ -16,6 +16,7 @@ from ..operators import profile as P
 from ..operators import rules as R
 from ..operators import series as S
 from ..operators import text as X
+from ..sources import scan as SC
 
 SCHEMA = "section string, subject string, metric string, value string"
 
@@ -102,6 +103,34 @@ def image_report(spark, root: str) -> DataFrame:
                    to_long(IM.image_stats(inv), "image_stats")])
 
 
+def load_path(spark, path: str) -> tuple[str, DataFrame | None]:
+    """(modality, table) of a file or folder; a folder of images has no table."""
+    modality = SC.path_modality(spark, path)
+    if modality == "vision":
+        return modality, None
+    suffix = SC.path_suffix(path)
+    if not suffix and modality == "nlp":
+        return modality, SC.read_text_files(spark, path)
+    df = SC.read_path(spark, path)
+    if suffix in (".json", ".jsonl"):  # a text file by name, but its columns say what it holds
+        modality = R.detect_modality(df)
+    return (modality if modality == "nlp" else R.detect_modality(df)), df
+
+
+def report_path(spark, path: str, target: str | None = None) -> DataFrame:
+    """The report of whatever lies under ``path``: images, texts, a series or a table."""
+    modality, df = load_path(spark, path)
+    return image_report(spark, path) if df is None else eda_report(df, modality, target)
+
+
+def strategy_path(spark, path: str, target: str | None = None) -> DataFrame:
+    """Summary, quality, risks and steps of a table under ``path``."""
+    _, df = load_path(spark, path)
+    if df is None:
+        raise ValueError(f"{path} holds images, not a table")
+    return strategy_report(df, target)
+
+
 def strategy_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """Detect -> summarise -> quality -> risks and preprocessing steps, as one long
     frame (the reference's planning entry point, without its fixed model lists)."""

@@ -123,14 +123,39 @@ def path_listing(spark: SparkSession, path: str) -> DataFrame:
             .groupBy("suffix").agg(F.count(F.lit(1)).alias("files")))
 
 
+# Suffixes that count as texts when a folder or file is told by its names.
+TEXT_SUFFIXES = [".txt", ".json", ".jsonl"]
+
+
+def path_suffix(path: str) -> str:
+    """Lower-cased suffix of the last part of a path, also of a table that Spark wrote as a folder."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return "." + name.rsplit(".", 1)[-1].lower() if "." in name.lstrip(".") else ""
+
+
 def path_modality(spark: SparkSession, path: str) -> str:
-    """``vision`` for a folder that holds images, ``nlp`` where over half of the files are text
-    files, else ``tabular`` (to be refined by the columns)."""
+    """``vision`` for an image or a folder that holds one, ``nlp`` for a text file or a folder where
+    over half of the files are, else ``tabular`` (to be refined by the columns)."""
     from .images import IMAGE_EXTENSIONS
+    suffix = path_suffix(path)
+    if suffix in IMAGE_EXTENSIONS:
+        return "vision"
+    if suffix in TEXT_SUFFIXES:
+        return "nlp"
+    if suffix in SUFFIXES:
+        return "tabular"
     counts = {r["suffix"]: r["files"] for r in path_listing(spark, path).collect()}
     if any(counts.get(x) for x in IMAGE_EXTENSIONS):
         return "vision"
-    return "nlp" if counts.get(".txt", 0) * 2 > sum(counts.values()) else "tabular"
+    texts = sum(counts.get(x, 0) for x in TEXT_SUFFIXES)
+    return "nlp" if texts * 2 > sum(counts.values()) else "tabular"
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): one row per text file of a folder, whole, whatever lies deeper."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return named.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(TEXT_SUFFIXES))
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
