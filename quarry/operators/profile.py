@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (c, categorical_columns, numeric_columns, type_class,
                                  value_comparable)
 from ..sources.scan import normalise_missing
-from .quantiles import quantiles
+from .quantiles import bracket_quantiles, quantiles
 
 
 def _schema_kinds(df: DataFrame) -> dict:
@@ -276,9 +276,8 @@ def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
 def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: str = "brackets") -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column.
 
-    One wide aggregation for the moments, then the quartiles of all columns from
-    :func:`quantiles.quantiles` (exact at any size; ``approx=True`` uses
-    ``percentile_approx``). Only a few numbers per column reach the driver.
+    The moments come from the first scan of :func:`quantiles.bracket_quantiles`, which gives the
+    quartiles of all columns (exact at any size; ``approx=True`` uses ``percentile_approx``). Only a few numbers per column reach the driver.
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
@@ -287,15 +286,19 @@ def describe(df: DataFrame, cols=None, approx: bool = False, quantile_method: st
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], schema)
-    aggs = []
-    for i, name in enumerate(cols):
-        x = c(name).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-    m = df.agg(*aggs).first()
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else quantile_method)
-    rows = [(name, i, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"min{i}"], *qs[name], m[f"max{i}"])
-            for i, name in enumerate(cols)]
+    probs, moments = [0.25, 0.5, 0.75], {}
+    if approx or quantile_method != "brackets":
+        qs = quantiles(df, cols, probs, "approx" if approx else quantile_method)
+        aggs = []
+        for i, name in enumerate(cols):
+            x = c(name).cast("double")
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        m = df.agg(*aggs).first()
+        moments = {x: tuple(m[f"{k}{i}"] for k in ("n", "mean", "std", "lo", "hi")) for i, x in enumerate(cols)}
+    else:
+        qs = bracket_quantiles(df, cols, probs, moments=moments)
+    rows = [(name, i, *moments[name][:4], *qs[name], moments[name][4]) for i, name in enumerate(cols)]
     return spark.createDataFrame(rows, schema)
 
 

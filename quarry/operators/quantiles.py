@@ -4,12 +4,14 @@ One path for all columns and sizes. Spark's exact ``percentile`` keeps a value -
 map per group and merges every map in one task, which a continuous column fills at scale.
 Instead each wanted rank (two per column and probability) has a bracket of values that holds it:
 
-* first scan: counts, and brackets from ``percentile_approx`` a little below and above the rank;
+* first scan: counts (and moments, if asked for), and brackets from ``percentile_approx`` a little
+  below and above the rank;
 * next scan: for all brackets at once, how many values lie below and how many inside;
 * brackets that hold at most ``INSIDE`` values give them, counted, to a grouped sort bounded by
-  that number; the others are narrowed to a part of about 3 / 64, cut by ``percentile_approx``
-  inside. A bracket of one hot value is that value. A column that is not done after ``ROUNDS``
-  scans (values that crowd at a bracket's ends) takes the distributed selection below.
+  that number. Only brackets that hold more are cut, by ``percentile_approx`` inside, in a scan of
+  their own, and narrowed to a part of about 3 / 64. A bracket of one hot value is that value. A
+  column that is not done after ``ROUNDS`` rounds (values that crowd at a bracket's ends) takes the
+  distributed selection below.
 """
 
 from __future__ import annotations
@@ -57,15 +59,21 @@ def select_quantiles(df: DataFrame, col: str, probs) -> list:
     return [_interpolate(values_at, n, p) for p in probs]
 
 
-def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy: int = ACCURACY) -> dict:
-    """{column: [quantile per prob]}, exact, by narrowing brackets (all columns in each scan)."""
+def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy: int = ACCURACY,
+                      moments: dict | None = None) -> dict:
+    """{column: [quantile per prob]}, exact, by narrowing brackets (all columns in each scan).
+
+    ``moments`` is filled with column: (count, mean, std (n-1), min, max), from the first scan."""
     slack = 2.0 / accuracy
     wide = df.select(*[c(x).cast("double").alias(f"v{i}") for i, x in enumerate(cols)])
     steps = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
     first = wide.agg(*[e for i in range(len(cols)) for e in (
         F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
-        F.percentile_approx(f"v{i}", steps, accuracy).alias(f"q{i}"))]).first()
+        F.percentile_approx(f"v{i}", steps, accuracy).alias(f"q{i}"),
+        *([F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_samp(f"v{i}").alias(f"std{i}")] if moments is not None else []))]).first()
     ns = {i: first[f"n{i}"] for i in range(len(cols))}
+    if moments is not None:
+        moments.update({x: tuple(first[f"{m}{i}"] for m in ("n", "mean", "std", "lo", "hi")) for i, x in enumerate(cols)})
     found: dict = {}  # (column, rank) -> value
     # (column, lo, hi, LO, HI) -> ranks wanted: looked for in lo .. hi, known to be in LO .. HI
     todo: dict = {}
@@ -83,7 +91,11 @@ def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy
         if not todo:
             break
         brackets = list(todo)
-        scan = wide.agg(*[e for b, (i, lo, hi, _, _) in enumerate(brackets) for e in _bracket_counts(b, i, lo, hi, accuracy)]).first()
+        scan = wide.agg(*[e for b, (i, lo, hi, _, _) in enumerate(brackets) for e in _bracket_counts(b, i, lo, hi)]).first()
+        full = [(b, i, lo, hi) for b, (i, lo, hi, _, _) in enumerate(brackets) if scan[f"held{b}"] > inside and lo != hi]
+        cuts = [k / 64 for k in range(65)]
+        inner = wide.agg(*[F.percentile_approx(F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")), cuts, accuracy).alias(f"cuts{b}")
+                           for b, i, lo, hi in full]).first() if full else None
         listed, after = [], {}
         for b, (i, lo, hi, low, high) in enumerate(brackets):
             below, held = scan[f"below{b}"], scan[f"held{b}"]
@@ -97,7 +109,7 @@ def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy
                 elif held <= inside:
                     listed.append((b, i, lo, hi, below, r))
                 else:
-                    after.setdefault((i, *_narrower(lo, hi, scan[f"cuts{b}"], (r - below) / (held - 1)), lo, hi), set()).add(r)
+                    after.setdefault((i, *_narrower(lo, hi, inner[f"cuts{b}"], (r - below) / (held - 1)), lo, hi), set()).add(r)
         if listed:
             spans = {b: (i, lo, hi) for b, i, lo, hi, _, _ in listed}
             kept = [F.when(F.col(f"v{i}").between(lo, hi), F.struct(F.lit(b).alias("b"), F.col(f"v{i}").alias("v")))
@@ -133,12 +145,9 @@ def bracket_quantiles(df: DataFrame, cols, probs, inside: int = INSIDE, accuracy
     return out
 
 
-def _bracket_counts(b: int, i: int, lo, hi, accuracy: int) -> list:
+def _bracket_counts(b: int, i: int, lo, hi) -> list:
     v = F.col(f"v{i}")
-    held = F.when(v.between(lo, hi), v)
-    cuts = [k / 64 for k in range(65)]
-    return [F.count_if(v < lo).alias(f"below{b}"), F.count(held).alias(f"held{b}"),
-            F.percentile_approx(held, cuts, accuracy).alias(f"cuts{b}")]
+    return [F.count_if(v < lo).alias(f"below{b}"), F.count_if(v.between(lo, hi)).alias(f"held{b}")]
 
 
 def _narrower(lo, hi, cuts, at: float) -> tuple:
