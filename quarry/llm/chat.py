@@ -7,8 +7,9 @@ turn, show how much of the span stands before and after the text, and so where t
 lies. A template whose newer output does not begin with the older one rewrites history; the
 turn that did it is marked, with the length both outputs share.
 
-Rows stream through a task in (conversation, turn) order, and a task holds a window of turns
-of one conversation, not the conversation.
+Rows stream through a task in (conversation, turn) order. For a template that declares its turns
+independent, a task holds a window of turns of one conversation; for any other, the conversation's
+turns so far, which each new turn renders again.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ class TurnTemplate:
     one that already has backslashes there gets one more, so the escape can be undone. A
     turn without a role has an empty one."""
 
+    local = True  # a turn's rendering depends on that turn alone
+
     def __init__(self, control: Iterable[str] = CONTROL_STRINGS):
         heads: dict[str, list[str]] = {}
         for c in control:
@@ -71,9 +74,10 @@ def shared_suffix(a: str, b: str) -> int:
 class Conversation:
     """Renders one conversation's prefixes as its turns come in.
 
-    Prefixes start at the first turn for up to ``2 * window`` turns. Beyond that they start
-    at a later turn, if the template renders the newest turn alike from there (else the whole
-    prefix stays)."""
+    Prefixes start at the first turn, however many there are, so that a template that rewrites
+    history late is noticed. Only where the template's own class (not one it derives from) declares
+    ``local``, prefixes of more than ``2 * window`` turns start at a later turn, if the newest turn
+    renders alike from there."""
 
     def __init__(self, template, window: int = 32):
         self.template, self.window = template, window
@@ -97,7 +101,7 @@ class Conversation:
         else:
             row |= {"text_from": head - kept, "text_to": len(new) - tail - kept}
         self.turns, self.out = turns, new
-        if len(turns) >= self.retry:
+        if vars(type(self.template)).get("local", False) and len(turns) >= self.retry:
             self._shorten(added)
         return row
 
@@ -125,7 +129,8 @@ def format_turns(rows: DataFrame, id_col: str, turn_col: str, role_col: str, tex
     a null id are one conversation; repeated rows are turns of their own; other columns,
     whatever their names, are not read; an empty table gives an empty result. Rows come
     conversation by conversation, in turn order, within each partition. A conversation is
-    read by one task, turn by turn, which keeps at most ``2 * window`` of its turns.
+    read by one task, turn by turn, which keeps at most ``2 * window`` of its turns, or all of
+    them for a template that does not declare its turns independent.
     """
     template = template or TurnTemplate()
     kind = rows.schema[id_col].dataType.simpleString()

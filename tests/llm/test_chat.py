@@ -62,6 +62,25 @@ def test_templates_that_rewrite_or_count():
         assert out == System().render([("u", f"t{j}") for j in range(i + 1)])
 
 
+class Late(chat.TurnTemplate):
+    """Rewrites the first turn when the 70th comes."""
+
+    def render(self, turns):
+        return "".join(f"<{r}>{'-' if i == 0 and len(turns) >= 70 else t}|" for i, (r, t) in enumerate(turns))
+
+
+def test_late_rewrites_are_noticed():
+    talk, out = chat.Conversation(Late()), ""
+    turns = [("u", f"t{i}") for i in range(100)]
+    rewrites = []
+    for i, turn in enumerate(turns):
+        row = talk.add(*turn)
+        out = out[:row["kept"]] + row["added"]
+        assert out == Late().render(turns[:i + 1])
+        rewrites += [i] if row["rewrites"] else []
+    assert rewrites == [69]
+
+
 def brute(rows):
     out = {}
     for cid in {r[0] for r in rows}:
