@@ -91,12 +91,12 @@ def drop_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float = 0.1
     never dropped. A null host is the host ''; a null text stays null (0 lines); an empty one
     stays empty; the order of the kept lines stays; repeated rows are cleaned alike; an empty
     table gives an empty result. Columns whose names begin with an underscore must not be named
-    ``_host``, ``_bad``, ``_kept``, ``_lines`` or ``_dropped``.
+    ``_host``, ``_bad``, ``_bad_host``, ``_kept``, ``_lines`` or ``_dropped``.
 
     The texts are not shuffled where the hosts' lists are small enough for a broadcast by
     Spark's own size estimate of the written list; beyond that the join shuffles by host, and
     the adaptive join splits a hot host."""
-    clash = {"_host", "_bad", "_kept", "_lines", "_dropped"} & {c.lower() for c in docs.columns}
+    clash = {"_host", "_bad", "_bad_host", "_kept", "_lines", "_dropped"} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"column names in use by the operator: {sorted(clash)}")
     bad = boilerplate(docs, host_col, text_col, ratio, min_pages, similarity, shingle).withColumnRenamed("_host", "_bad_host")

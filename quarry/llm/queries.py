@@ -95,7 +95,7 @@ p AS (SELECT DISTINCT host, coalesce(text, '') AS text, lines FROM d),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 l AS (SELECT host, line, count(*) AS n
       FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) WHERE trim(line) <> '' GROUP BY host, line),
-b AS (SELECT host, list(line) AS bad FROM l JOIN t USING (host) WHERE n >= 5 AND n > 0.1 * pages GROUP BY host),
+b AS (SELECT host, list(line) AS bad FROM l JOIN t USING (host) WHERE n >= 5 AND n > 0.001 * pages GROUP BY host),
 k AS (SELECT d.*, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept
       FROM d LEFT JOIN b USING (host))
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
@@ -106,10 +106,10 @@ FROM k"""
 
 @_query("op3_line_dedup", _OP3_SQL)
 def op3_line_dedup(spark, sf):
-    """``documents`` without the lines that stand in over a tenth of their source's pages."""
+    """``documents`` without the lines that stand in over a thousandth of their source's pages."""
     from . import line_dedup
 
-    out = line_dedup.drop_lines(table(spark, sf, "documents"), "source", "text", ratio=0.1, min_pages=5)
+    out = line_dedup.drop_lines(table(spark, sf, "documents"), "source", "text", ratio=0.001, min_pages=5)
     return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
