@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..functions.text import STOP_WORDS
 from ..operators import text as X
-from ..sources.scan import read_table
+from ..session import ensure_checkpoint_dir
+from ..sources.scan import CSV_NA_TOKENS, read_csv, read_table
 from .common import lit, rnd, round_doubles
 from .registry import register
 
@@ -153,3 +158,15 @@ def tfidf_weights(spark, sf):
     vocabulary = TF.fit(docs, "doc_id", t)
     out = TF.weights(docs, "doc_id", t, vocabulary)
     return round_doubles(out.withColumnRenamed("key", "doc_id"))
+
+
+@register("csv_round_trip", f"""
+SELECT doc_id, CASE WHEN text NOT IN ({", ".join(lit(x) for x in CSV_NA_TOKENS)}) THEN md5(text) END AS text_md5, lang, source, n_chars FROM
+  (SELECT doc_id, '"' || lang || '", ' || text || chr(10) || '""' || source AS text, lang, source, n_chars FROM documents)""")
+def csv_round_trip(spark, sf):
+    """Texts with quotes, delimiters and newlines, written as csv and read again without one task per file."""
+    docs = read_table(spark, sf, "documents")
+    hard = F.concat(F.lit('"'), F.col("lang"), F.lit('", '), F.col("text"), F.lit("\n"), F.lit('""'), F.col("source"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    docs.select("doc_id", hard.alias("text"), "lang", "source", "n_chars").write.option("header", True).option("escape", '"').csv(path)
+    return read_csv(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")

@@ -7,7 +7,7 @@ profiling aggregates downstream treat both as one concept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,67 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, normalise: bool = Tr
     return normalise_missing(df) if normalise else df
 
 
+def _quotes(line):
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, record): the records of csv files whose quoted values may hold newlines.
+
+    ``multiLine`` would make every file one task. Here files are split as text: a line starts inside
+    a quoted value if the quotes before it in the file are odd in number (a quote written twice
+    counts two). Each split adds up its quotes; the sums of the splits before (a row per split) tell
+    how it starts. Lines that start outside and hold an even number of quotes are records as they
+    are; only the lines of the others are shuffled and put together, each to the last line before it
+    that starts outside. A file that ends inside a quote gives its rest as one record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    # Rows of a split come in file order, so ``at`` orders them; splits of a file are ordered by ``block``.
+    in_split = Window.partitionBy("file", "block").orderBy("at")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("odd", _quotes(F.col("line")) % 2)
+    lines = lines.withColumn("run", F.coalesce(F.sum("odd").over(before), F.lit(0)))
+    splits = lines.groupBy("file", "block").agg(F.sum("odd").alias("odds"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("odds").over(earlier), F.lit(0)).alias("base"))
+    same = (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))
+    lines = lines.join(splits, same).drop("f", "b").withColumn("inside", (F.col("base") + F.col("run")) % 2 == 1)
+    alone = lines.where(~F.col("inside") & (F.col("odd") == 0)).select("file", "block", "at", F.col("line").alias("record"))
+    # Lines of longer records, led by one that starts outside and holds an odd number of quotes.
+    parts = lines.where(F.col("inside") | (F.col("odd") == 1))
+    heads = parts.where(~F.col("inside"))
+    last = heads.groupBy(F.col("file").alias("f"), F.col("block").alias("b")).agg(F.max(F.struct("block", "at")).alias("last"))
+    every = splits.join(last, ["f", "b"], "left")
+    carried = every.select("f", "b", F.last("last", ignorenulls=True).over(
+        Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    head = F.max(F.when(~F.col("inside"), F.struct("block", "at"))).over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    owned = parts.withColumn("own", head).join(carried, same).withColumn("head", F.coalesce("own", "carried"))
+    joined = owned.groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("ls"))
+    long = joined.select("file", F.col("head.block").alias("block"), F.col("head.at").alias("at"), F.array_join(F.col("ls.line"), "\n").alias("record"))
+    return alone.unionByName(long)
+
+
+def _csv_rows(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+    """All columns of csv files as strings, the names from their header."""
+    odd = spark.read.option("lineSep", "\n").text(path).where(_quotes(F.col("value")) % 2 == 1)
+    plain = spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option("escape", '"')
+    if odd.isEmpty():  # no quoted value goes on in another line
+        return plain.csv(path)
+    records = csv_records(spark, path).where("trim(record) != ''")
+    first = records.groupBy("file").agg(F.min(F.struct("block", "at", "record")).alias("first"))  # a row per file
+    header = first.orderBy("file").select("first.record").first()["record"].rstrip("\r")
+    import csv
+    names = next(csv.reader([header], delimiter=delimiter))
+    schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(names)])
+    body = records.join(first.select("file", F.col("first.block").alias("b"), F.col("first.at").alias("a")), "file").where(
+        (F.col("block") != F.col("b")) | (F.col("at") != F.col("a")))
+    options = {"sep": delimiter, "escape": '"', "multiLine": "true"}
+    parsed = F.from_csv(F.regexp_replace("record", "\r$", ""), F.lit(schema.toDDL()), options)
+    return body.select(parsed.alias("r")).select("r.*")
+
+
 def read_csv(spark: SparkSession, path: str, na_tokens=None, delimiter: str = ",") -> DataFrame:
     """CSV scan with type inference.
 
@@ -74,11 +135,10 @@ def read_csv(spark: SparkSession, path: str, na_tokens=None, delimiter: str = ",
     ``try_cast`` fails on no non-null value (one aggregation job for all
     columns), else kept as string. Only the words true and false make a boolean
     column, and only values with a date make a timestamp column; a quote inside a
-    quoted value is written twice.
+    quoted value is written twice. Quoted values may hold newlines (:func:`csv_records`).
     """
     na = list(CSV_NA_TOKENS if na_tokens is None else na_tokens)
-    raw = spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option(
-        "escape", '"').csv(path)
+    raw = _csv_rows(spark, path, delimiter)
     cleaned = raw.select(*[
         F.when(~F.col(f"`{c}`").isin(na), F.col(f"`{c}`")).alias(c) for c in raw.columns
     ])
