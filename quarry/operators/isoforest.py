@@ -1,10 +1,11 @@
 """Isolation forest (M2 isolation_forest): anomaly scores for every row.
 
 Fit: every tree takes the ``max_samples`` rows with the lowest hashes of (tree,
-key) out of all rows. A row is offered to a tree only if that hash is under a
+key) out of all rows; one md5 of the key gives a row's hashes for all trees. A row is offered to a tree only if that hash is under a
 threshold that far more than ``max_samples`` rows meet (tested in the scan, before
 any row is copied), then one ``row_number() <= max_samples`` per tree, with a
-partial group limit before the shuffle, takes the lowest. The tree
+partial group limit before the shuffle, takes the lowest. Splits are drawn by hashes of (tree, node), so a forest depends on its rows alone,
+not on partitions or the order of rows, and any engine can grow it again. The tree
 grows in a grouped ``applyInPandas`` task (one task per tree). Trees are small
 (< 2 * max_samples nodes), so the forest is broadcast.
 Score: ``mapInPandas`` walks every tree for each Arrow batch; score =
@@ -13,6 +14,7 @@ Score: ``mapInPandas`` walks every tree for each Arrow batch; score =
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -27,6 +29,9 @@ from .persistence import StoredModel, frame_of_trees, trees_of_frame
 from .quantiles import quantiles
 
 
+HASHES = 1 << 48  # a tree's hash of a row: (a + tree * b) mod HASHES, a and b from the md5 of the row's key
+
+
 def _number(x: str):
     """A column as double; NaN and infinities count as missing."""
     v = c(x).cast("double")
@@ -42,11 +47,21 @@ def _c(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
-    """Array-encoded tree: feature, threshold, left, right, size (leaf when feature < 0)."""
+def draw(seed: int, tree: int, node: int, what: str) -> float:
+    """A number in [0, 1) from the md5 of its place in the forest: the same in any engine."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int):
+    """Array-encoded tree: feature, threshold, left, right, size (leaf when feature < 0).
+
+    Node 1 is the root, nodes 2i and 2i + 1 are the children of node i. A node with rows that differ,
+    above the depth limit, splits on the feature (among those with two values or more, by place) that
+    its first draw picks, at the part of the feature's span that its second draw gives; rows under
+    the threshold go left."""
     feat, thr, left, right, size = [], [], [], [], []
 
-    def node(rows, depth):
+    def grow(rows, depth, number):
         i = len(feat)
         feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); size.append(len(rows))
         if depth >= limit or len(rows) <= 1:
@@ -56,15 +71,17 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
         cand = np.flatnonzero(hi > lo)
         if cand.size == 0:
             return i
-        f = int(rng.choice(cand))
-        t = float(rng.uniform(lo[f], hi[f]))
+        f = int(cand[int(draw(seed, tree, number, "feature") * cand.size)])
+        t = float(lo[f] + draw(seed, tree, number, "threshold") * (hi[f] - lo[f]))
         mask = sub[:, f] < t
+        if not mask.any():  # the threshold fell on the least value
+            return i
         feat[i], thr[i] = f, t
-        left[i] = node(rows[mask], depth + 1)
-        right[i] = node(rows[~mask], depth + 1)
+        left[i] = grow(rows[mask], depth + 1, 2 * number)
+        right[i] = grow(rows[~mask], depth + 1, 2 * number + 1)
         return i
 
-    node(np.arange(len(x)), 0)
+    grow(np.arange(len(x)), 0, 1)
     return {"f": feat, "t": thr, "l": left, "r": right, "s": size}
 
 
@@ -96,29 +113,32 @@ def fit(df: DataFrame, feature_cols, key: str, n_trees: int = 100, max_samples:
     base = df.select(c(key).alias("__key"), *[F.coalesce(_number(x), F.lit(medians[x] or 0.0)).alias(x) for x in cols])
     # The m lowest hashes of n are all under (m + 12 * sqrt(m) + 60) / n but for a chance below 1e-30.
     share = min(1.0, (m + 12 * math.sqrt(m) + 60) / max(n, 1))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__key").cast("string")))
+    base = base.withColumn("__a", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")) \
+        .withColumn("__b", F.conv(F.substring(digest, 13, 12), 16, 10).cast("bigint"))
     hashes = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.col("__key"), F.lit(seed)).alias("h")))
-    low = F.filter(hashes, lambda x: (x["h"].bitwiseAND(F.lit((1 << 62) - 1)) <= F.lit(int(share * ((1 << 62) - 1)))))
-    cand = base.withColumn("__t", F.explode(low)).select("*", "__t.tree", "__t.h").drop("__t")
-    w = Window.partitionBy("tree").orderBy(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)), F.col("__key"))
+                         lambda t: F.struct(t.alias("tree"), ((F.col("__a") + t * F.col("__b")) % HASHES).alias("h")))
+    low = F.filter(hashes, lambda x: x["h"] <= F.lit(int(share * HASHES)))
+    cand = base.withColumn("__t", F.explode(low)).select("*", "__t.tree", "__t.h").drop("__t", "__a", "__b")
+    w = Window.partitionBy("tree").orderBy("h", F.col("__key"))
     sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree"].iloc[0])
         pdf = pdf.sort_values("__key")
         x = pdf[cols].to_numpy(dtype=np.float64)
-        rng = np.random.default_rng(seed + tree_id)
-        return pd.DataFrame({"tree": [tree_id], "model": [json.dumps(_grow(x, rng, limit))]})
+        return pd.DataFrame({"tree": [tree_id], "model": [json.dumps(_grow(x, seed, tree_id, limit))]})
 
     grown = sample.groupBy("tree").applyInPandas(grow, "tree int, model string").collect()
     return {"cols": cols, "m": m, "medians": medians, "trees": [json.loads(r["model"]) for r in sorted(grown, key=lambda r: r["tree"])]}
 
 
-def score(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
-    """Adds ``out`` in (0, 1]; higher is more anomalous."""
+def score(df: DataFrame, forest: dict, out: str = "anomaly_score", path_out: str | None = None) -> DataFrame:
+    """Adds ``out`` in (0, 1]; higher is more anomalous. ``path_out``, if named, gets the mean path length."""
     cols, trees, cm = forest["cols"], forest["trees"], _c(forest["m"])
     bc = df.sparkSession.sparkContext.broadcast(trees)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+    added = [out] + ([path_out] if path_out else [])
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(x, T.DoubleType()) for x in added])
 
     fill = np.array([forest["medians"].get(x) or 0.0 for x in cols])
 
@@ -128,13 +148,14 @@ def score(df: DataFrame, forest: dict, out: str = "anomaly_score") -> DataFrame:
             x = pdf[cols].to_numpy(dtype=np.float64)
             x = np.where(np.isfinite(x), x, fill)
             if len(x) == 0:
-                pdf[out] = pd.Series([], dtype="float64")
-                yield pdf
+                yield pdf.assign(**{x: pd.Series([], dtype="float64") for x in added})
                 continue
             total = np.zeros(len(x))
             for t in ts:
                 total += _path_lengths(t, x)
             pdf[out] = np.power(2.0, -(total / len(ts)) / cm) if cm > 0 else 0.5
+            if path_out:
+                pdf[path_out] = total / len(ts)
             yield pdf
 
     return df.mapInPandas(run, schema)

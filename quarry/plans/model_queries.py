@@ -207,6 +207,48 @@ def isolation_scores(spark, sf):
     return ISO.score(ev, forest)
 
 
+PATH_TREES, PATH_ROWS, PATH_SEED = 4, 64, 42
+
+
+def _isolation_sql() -> str:
+    """The forest level by level: rows of the samples and all events walk down the splits together."""
+    depth = 6  # log2 of the rows a tree is grown on
+    draw = lambda what: f"(('0x' || substr(md5('{PATH_SEED}:' || t || ':' || node || ':{what}'), 1, 8))::BIGINT / 4294967296.0)"
+    c = lambda n: (f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 "
+                   f"ELSE 2.0 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} END")
+    ctes = [f"""e AS (SELECT event_id, coalesce(CAST(user_id AS DOUBLE), (SELECT median(user_id) FROM events)) AS x0,
+       coalesce(CAST(value AS DOUBLE), (SELECT median(value) FROM events)) AS x1, md5('{PATH_SEED}:' || event_id) AS d FROM events)""",
+            f"""h AS (SELECT event_id, x0, x1, t, (('0x' || substr(d, 1, 12))::BIGINT + t * ('0x' || substr(d, 13, 12))::BIGINT) % {1 << 48} AS h
+       FROM e, (SELECT unnest(range({PATH_TREES})) AS t))""",
+            f"""r0 AS (SELECT t, 1::BIGINT AS node, x0, x1 FROM h QUALIFY row_number() OVER (PARTITION BY t ORDER BY h, event_id) <= {PATH_ROWS})""",
+            "p0 AS (SELECT event_id, t, 1::BIGINT AS node, x0, x1 FROM h)"]
+    for i in range(depth + 1):
+        ctes.append(f"g{i} AS (SELECT t, node, count(*) AS n, min(x0) AS l0, max(x0) AS h0, min(x1) AS l1, max(x1) AS h1 FROM r{i} GROUP BY t, node)")
+        if i < depth:
+            ctes.append(f"""f{i} AS (SELECT *, CASE WHEN h0 > l0 AND h1 > l1 THEN CAST(floor({draw('feature')} * 2) AS INTEGER)
+       WHEN h0 > l0 THEN 0 ELSE 1 END AS f, {draw('threshold')} AS u FROM g{i} WHERE n > 1 AND (h0 > l0 OR h1 > l1))""")
+            ctes.append(f"""s{i} AS (SELECT * FROM (SELECT t, node, f, CASE WHEN f = 0 THEN l0 + u * (h0 - l0) ELSE l1 + u * (h1 - l1) END AS thr,
+       CASE WHEN f = 0 THEN l0 ELSE l1 END AS low FROM f{i}) WHERE thr > low)""")
+            down = "2 * node + CASE WHEN CASE WHEN f = 0 THEN x0 ELSE x1 END < thr THEN 0 ELSE 1 END AS node, x0, x1"
+            ctes.append(f"r{i + 1} AS (SELECT t, {down} FROM r{i} JOIN s{i} USING (t, node))")
+            ctes.append(f"p{i + 1} AS (SELECT event_id, t, {down} FROM p{i} JOIN s{i} USING (t, node))")
+            ctes.append(f"q{i} AS (SELECT event_id, t, {i} + {c('n')} AS path FROM p{i} JOIN g{i} USING (t, node) ANTI JOIN s{i} USING (t, node))")
+        else:
+            ctes.append(f"q{i} AS (SELECT event_id, t, {i} + {c('n')} AS path FROM p{i} JOIN g{i} USING (t, node))")
+    paths = " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(depth + 1))
+    whole = f"least({PATH_ROWS}, (SELECT count(*) FROM events))"
+    return f"""WITH {", ".join(ctes)}, a AS (SELECT event_id, sum(path) / {PATH_TREES} AS path FROM ({paths}) GROUP BY event_id)
+SELECT event_id, {rnd('path')} AS mean_path, {rnd(f'pow(2.0, -path / ({c(whole)}))')} AS anomaly_score FROM a"""
+
+
+@register("isolation_paths", _isolation_sql())
+def isolation_paths(spark, sf):
+    """Mean path length and score of every event in a small forest with hash-drawn splits."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "value")
+    forest = ISO.fit(ev, ["user_id", "value"], "event_id", n_trees=PATH_TREES, max_samples=PATH_ROWS, seed=PATH_SEED)
+    return round_doubles(ISO.score(ev, forest, path_out="mean_path").select("event_id", "mean_path", "anomaly_score"))
+
+
 # ---------------------------------------------------------------- submission
 def _submission(spark, sf):
     o = read_table(spark, sf, "orders")
