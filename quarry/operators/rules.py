@@ -8,6 +8,8 @@ Reports are small frames of (code, detail) rows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +109,39 @@ def dataset_summary(df: DataFrame, target: str | None = None) -> DataFrame:
              "numeric_features int, categorical_features int, datetime_features int")
 
 
+class Findings:
+    """What the rules ask of one table, each part computed when first asked for and then shared: the
+    summary and quality rows, the outlier rows and the target profile (all bounded by the schema)."""
+
+    def __init__(self, df: DataFrame, target: str | None = None):
+        self.df, self.target = df, target
+
+    @cached_property
+    def summary(self):
+        return dataset_summary(self.df, self.target).first()
+
+    @cached_property
+    def quality(self):
+        return P.quality_report(self.df).first()
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        found = P.iqr_outliers(self.df)
+        return self.df.sparkSession.createDataFrame(found.collect(), found.schema)  # a row per numeric column
+
+    @cached_property
+    def target_profile(self) -> tuple:
+        return P.target_profile(self.df, self.target or self.df.columns[-1])
+
+
 def _report(spark, rows):
     return spark.createDataFrame(rows, "code string, detail string")
 
 
-def risks(df: DataFrame, target: str | None = None) -> DataFrame:
+def risks(df: DataFrame, target: str | None = None, found: Findings | None = None) -> DataFrame:
     """Risk rows from the summary and the quality report (V2)."""
-    s = dataset_summary(df, target).first()
-    qr = P.quality_report(df).first()
+    found = found or Findings(df, target)
+    s, qr = found.summary, found.quality
     n, k = s["n_samples"], s["n_features"]
     out = []
     if n < 100:
@@ -135,10 +162,10 @@ def risks(df: DataFrame, target: str | None = None) -> DataFrame:
     return _report(df.sparkSession, out)
 
 
-def preprocessing_steps(df: DataFrame, target: str | None = None) -> DataFrame:
+def preprocessing_steps(df: DataFrame, target: str | None = None, found: Findings | None = None) -> DataFrame:
     """Suggested preprocessing steps (V4) as code rows; see :func:`eda_flags` for V6."""
-    s = dataset_summary(df, target).first()
-    qr = P.quality_report(df).first()
+    found = found or Findings(df, target)
+    s, qr = found.summary, found.quality
     out = []
     if qr["columns_with_missing"]:
         out.append(("impute_missing", qr["columns_with_missing"]))
@@ -157,20 +184,21 @@ def preprocessing_steps(df: DataFrame, target: str | None = None) -> DataFrame:
     return _report(df.sparkSession, out)
 
 
-def eda_flags(df: DataFrame, target: str | None = None) -> DataFrame:
+def eda_flags(df: DataFrame, target: str | None = None, found: Findings | None = None) -> DataFrame:
     """Tabular EDA recommendations (V6): missing, duplicates, outliers, imbalance,
     encoding, scaling; 'clean' when none applies."""
-    qr = P.quality_report(df).first()
     target = target or df.columns[-1]
+    found = found or Findings(df, target)
+    qr = found.quality
     out = []
     if qr["n_columns_with_missing"] > 0:
         out.append(("handle_missing", qr["columns_with_missing"]))
     if qr["n_duplicates"] > 0:
         out.append(("remove_duplicates", str(qr["n_duplicates"])))
-    outl = P.iqr_outliers(df).select("column").collect()
+    outl = found.outliers.select("column").collect()
     if outl:
         out.append(("review_outliers", ",".join(r["column"] for r in outl)))
-    kind, prof = P.target_profile(df, target)
+    kind, prof = found.target_profile
     if kind == "categorical":
         first = prof.select("is_imbalanced").first()
         if first is not None and first["is_imbalanced"]:

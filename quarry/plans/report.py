@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..operators import profile as P
 from ..operators import rules as R
@@ -37,7 +38,8 @@ def _union(parts):
 
 def tabular_report(df: DataFrame, target: str | None = None) -> DataFrame:
     target = target or df.columns[-1]
-    kind, tprof = P.target_profile(df, target)
+    found = R.Findings(df, target)  # what several sections use is computed once
+    kind, tprof = found.target_profile
     parts = [
         to_long(df.agg(F.count(F.lit(1)).alias("n_samples")).withColumn("n_features", F.lit(len(df.columns))),
                 "basic_stats"),
@@ -49,9 +51,9 @@ def tabular_report(df: DataFrame, target: str | None = None) -> DataFrame:
             "correlations", "pair"),
         to_long(P.categorical_summary(df, hashed_cols="auto").withColumn(
             "subject", F.concat_ws("=", "column", "value")).drop("column", "value"), "categorical", "subject"),
-        to_long(P.iqr_outliers(df), "outliers", "column"),
+        to_long(found.outliers, "outliers", "column"),
         to_long(tprof, f"target_{kind}", "value" if kind == "categorical" else "column"),
-        to_long(R.eda_flags(df, target), "recommendations", "code"),
+        to_long(R.eda_flags(df, target, found), "recommendations", "code"),
     ]
     return _union(parts)
 
@@ -134,8 +136,10 @@ def strategy_path(spark, path: str, target: str | None = None) -> DataFrame:
 def strategy_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """Detect -> summarise -> quality -> risks and preprocessing steps, as one long
     frame (the reference's planning entry point, without its fixed model lists)."""
-    from ..operators import profile as P2
-    return _union([to_long(R.dataset_summary(df, target), "summary"),
-                   to_long(P2.quality_report(df), "quality"),
-                   to_long(R.risks(df, target), "risks", "code"),
-                   to_long(R.preprocessing_steps(df, target), "preprocessing", "code")])
+    found = R.Findings(df, target)
+    spark = df.sparkSession
+    row = lambda x: spark.createDataFrame([x], StructType([
+        StructField(n, {int: LongType(), float: DoubleType()}.get(type(v), StringType())) for n, v in x.asDict().items()]))
+    return _union([to_long(row(found.summary), "summary"), to_long(row(found.quality), "quality"),
+                   to_long(R.risks(df, target, found), "risks", "code"),
+                   to_long(R.preprocessing_steps(df, target, found), "preprocessing", "code")])

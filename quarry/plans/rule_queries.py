@@ -176,8 +176,8 @@ SELECT {lit(table)} AS table_name, code, detail FROM (
     FROM qr WHERE n_rows >= 100 AND n_rows < 1000
   UNION ALL SELECT 'more_features_than_samples', {ncols - 1} || ' features for ' || n_rows || ' rows'
     FROM qr WHERE {ncols - 1} > n_rows
-  UNION ALL SELECT 'high_missing', columns_with_missing FROM qr WHERE missing_cell_pct > 30
-  UNION ALL SELECT 'moderate_missing', columns_with_missing FROM qr
+  UNION ALL SELECT 'high_missing', CAST(round(missing_cell_pct, 2) AS VARCHAR) || ' % of cells missing' FROM qr WHERE missing_cell_pct > 30
+  UNION ALL SELECT 'moderate_missing', CAST(round(missing_cell_pct, 2) AS VARCHAR) || ' % of cells missing' FROM qr
     WHERE missing_cell_pct > 10 AND missing_cell_pct <= 30
   UNION ALL SELECT 'constant_features', constant_features FROM qr WHERE constant_features <> ''
   UNION ALL SELECT 'potential_id_columns', potential_id_columns FROM qr WHERE potential_id_columns <> ''
