@@ -34,7 +34,7 @@ def combine(long: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         return long.groupBy("key").agg(F.avg("prediction").alias("prediction"),
                                        F.count(F.lit(1)).alias("n_models"))
     from .features import sized
-    # One row per model; the hint is still behind a row-count check.
+    # One row per model; the hint is still behind a check of the bytes.
     w = sized(weights.select("model", F.col("weight").cast("double")), 100_000)
     j = long.join(w, "model", "inner")
     return j.groupBy("key").agg(

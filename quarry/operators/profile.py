@@ -311,7 +311,7 @@ def correlations(df: DataFrame, cols=None) -> DataFrame:
     of counts, sums, squares and products over the rows where both columns are
     present (four matrix products per batch); one row per pair and task is shuffled
     and summed. NULL when a column is constant on the pair's rows, or they are fewer
-    than two. Output (pair, feature1, feature2, correlation).
+    than two. Infinite values count as missing. Output (pair, feature1, feature2, correlation).
     """
     df = normalise_missing(df)
     cols = list(cols) if cols is not None else numeric_columns(df)
@@ -320,7 +320,8 @@ def correlations(df: DataFrame, cols=None) -> DataFrame:
     if not pairs:
         return spark.createDataFrame([], "pair int, feature1 string, feature2 string, correlation double")
     numbers = df.select(*[c(x).cast("double").alias(f"v{i}") for i, x in enumerate(cols)])
-    mean = numbers.agg(*[F.avg(x).alias(x) for x in numbers.columns]).first()
+    finite = lambda x: F.when(F.abs(x) < F.lit(float("inf")), F.col(x))
+    mean = numbers.agg(*[F.avg(finite(x)).alias(x) for x in numbers.columns]).first()
     centre = [m if m is not None else 0.0 for m in mean]
     k = len(cols)
 

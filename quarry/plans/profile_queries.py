@@ -289,3 +289,27 @@ def label_balance(spark, sf):
         part = P.target_distribution(labels, col).select(F.lit(col).alias("column_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+WIDE = 34
+
+
+def _wide_value(i: int) -> str:
+    """A number of lineitem's keys and quantity, missing in every (7 + i)-th place or so."""
+    return (f"CASE WHEN (l_orderkey + {i} * l_linenumber) % {7 + i} <> 0 "
+            f"THEN CAST((l_partkey * {i + 1} + l_suppkey * {i}) % {101 + i} + l_quantity * {i % 3} AS DOUBLE) END")
+
+
+_WIDE_PAIRS = [(i, j) for i in range(WIDE) for j in range(i + 1, WIDE)]
+
+
+@register("correlations_wide_missing", f"""
+WITH w AS (SELECT {", ".join(f"{_wide_value(i)} AS c{i}" for i in range(WIDE))} FROM lineitem),
+a AS (SELECT {", ".join(f"corr(c{i}, c{j}) AS r{n}" for n, (i, j) in enumerate(_WIDE_PAIRS))} FROM w)
+{union_all([f"SELECT CAST({n} AS INTEGER) AS pair, 'c{i}' AS feature1, 'c{j}' AS feature2, {rnd(f'r{n}')} AS correlation FROM a"
+            for n, (i, j) in enumerate(_WIDE_PAIRS)])}""")
+def correlations_wide_missing(spark, sf):
+    """Correlations of 34 columns with missing values, on the rows where both are present."""
+    li = read_table(spark, sf, "lineitem")
+    wide = li.select(*[F.expr(_wide_value(i)).alias(f"c{i}") for i in range(WIDE)])
+    return round_doubles(P.correlations(wide))
