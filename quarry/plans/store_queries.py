@@ -17,11 +17,11 @@ from .registry import register
 
 
 def _trained(spark, sf):
-    """A store with two versions trained on 80 % of ``lineitem`` and their predictions of the rest:
-    v1 a line of price on quantity against the overall mean by group, v2 the mean by return flag."""
-    li = read_table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("key"), "l_returnflag",
-        F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("label"))
+    """A store with two versions trained on 80 % of the orders of ``lineitem`` and their predictions
+    of the rest: v1 a line of an order's price on its quantity, v2 the mean price by least return flag."""
+    li = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("bigint").alias("key")).agg(
+        F.min("l_returnflag").alias("l_returnflag"), F.sum(F.col("l_quantity").cast("double")).alias("x"),
+        F.sum(F.col("l_extendedprice").cast("double")).alias("label"))
     df = SP.holdout(MD.assemble(li, ["x"]), "key")
     train, valid = df.where(F.col("split") == "train"), df.where(F.col("split") == "valid")
     store = PS.PredictionStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
@@ -37,8 +37,8 @@ def _trained(spark, sf):
 
 
 _STORED_SQL = f"""
-l AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS key, l_returnflag, CAST(l_quantity AS DOUBLE) AS x,
-             CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+l AS (SELECT CAST(l_orderkey AS BIGINT) AS key, min(l_returnflag) AS l_returnflag, sum(CAST(l_quantity AS DOUBLE)) AS x,
+             sum(CAST(l_extendedprice AS DOUBLE)) AS y FROM lineitem GROUP BY l_orderkey),
 s AS (SELECT *, {key_hash_sql('key')} % 1000 < 200 AS is_valid FROM l),
 b AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS base, avg(y) AS mean FROM s WHERE NOT is_valid),
 g AS (SELECT l_returnflag, avg(y) AS m FROM s WHERE NOT is_valid GROUP BY l_returnflag),
