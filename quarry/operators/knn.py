@@ -53,18 +53,19 @@ def _local_topk_fn(k: int, chunk: int):
         qv = np.vstack(qp["qv"].to_numpy()).astype(np.float64)
         qid = qp["qid"].to_numpy()
         kk = min(k, len(tid))
-        out_q, out_t, out_l, out_d = [], [], [], []
+        out = []
         for s in range(0, len(qid), chunk):
             diff = qv[s:s + chunk, None, :] - tv[None, :, :]
             d = np.sqrt(np.einsum("qtd,qtd->qt", diff, diff))
-            for r in range(d.shape[0]):
-                order = np.lexsort((tid, d[r]))[:kk]
-                out_q.append(np.full(kk, qid[s + r]))
-                out_t.append(tid[order])
-                out_l.append(tl[order])
-                out_d.append(d[r][order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "tid": np.concatenate(out_t),
-                             "label": np.concatenate(out_l), "dist": np.concatenate(out_d)})
+            # All candidates up to each query's k-th distance (ties stay), then the first k by (distance, id).
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+            row, col = np.nonzero(d <= kth)
+            order = np.lexsort((tid[col], d[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < kk], col[place < kk]
+            out.append((qid[s + row], tid[col], tl[col], d[row, col]))
+        return pd.DataFrame(dict(zip(cols, (np.concatenate(x) for x in zip(*out)))))
     return local_topk
 
 
