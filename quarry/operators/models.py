@@ -419,11 +419,12 @@ class GroupMeanRegressor(Estimator, HasLabelCol, HasPredictionCol):
         self._set(labelCol=labelCol, predictionCol=predictionCol)
 
     def _fit(self, df: DataFrame):
-        means = df.groupBy(c(self.group_col).alias("__g")).agg(
-            F.avg(c(self.getLabelCol()).cast("double")).alias("__m"))
-        overall = df.agg(F.avg(c(self.getLabelCol()).cast("double"))).first()[0]
-        # Fitted state is materialised once (one row per group).
-        return GroupMeanModel(self.group_col, cut_lineage(means), overall, self.getPredictionCol())
+        y = c(self.getLabelCol()).cast("double")
+        sums = df.groupBy(c(self.group_col).alias("__g")).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
+        sums = cut_lineage(sums)  # fitted state, made in one pass: one row per group
+        overall = sums.agg(F.try_divide(F.sum("__s"), F.sum("__n"))).first()[0]
+        means = sums.select("__g", F.try_divide(F.col("__s"), F.col("__n")).alias("__m"))
+        return GroupMeanModel(self.group_col, means, overall, self.getPredictionCol())
 
 
 class GroupMeanModel(StoredModel):
