@@ -99,6 +99,43 @@ def knn_vote(spark, sf):
     return KNN.vote(nb).select(F.col("qid").alias("vec_id"), F.col("prediction").alias("predicted_label"))
 
 
+@register("knn_mean", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, {H_EMB} % 1000 < 200 AS is_test
+           FROM embeddings),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, list_distance(q.v, t.v) AS dist
+      FROM e q JOIN e t ON q.is_test AND NOT t.is_test),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d)
+SELECT qid AS vec_id, {rnd('avg(CAST(label AS DOUBLE))')} AS prediction FROM r WHERE rn <= 5 GROUP BY qid""")
+def knn_mean(spark, sf):
+    """The catalogue's kNN regressor: mean label of the five nearest training vectors."""
+    split = SP.holdout(read_table(spark, sf, "embeddings"), "vec_id", 0.2)
+    train = split.where(F.col("split") == "train")
+    est = MD.make_estimator("knn_regressor", MD.REGRESSION, MD.DataStats(1), "embedding", idCol="vec_id")
+    out = est.fit(train).transform(split.where(F.col("split") == "valid"))
+    return round_doubles(out.select("vec_id", "prediction"))
+
+
+_MNB = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _mnb_sql(i: int, x: str) -> str:
+    total = " + ".join(f"sum(CAST({y} AS DOUBLE))" for y in _MNB)
+    return f"""SELECT l_returnflag AS class, '{x}' AS feature, {rnd(f'ln(sum(CAST({x} AS DOUBLE)) + 1) - ln({total} + {len(_MNB)})')} AS log_probability,
+       {rnd('ln(count(*) + 1) - ln((SELECT count(*) + count(DISTINCT l_returnflag) FROM lineitem))')} AS log_prior FROM lineitem GROUP BY l_returnflag"""
+
+
+@register("multinomial_nb_params", "\nUNION ALL\n".join(_mnb_sql(i, x) for i, x in enumerate(_MNB)))
+def multinomial_nb_params(spark, sf):
+    """Fitted parameters of the catalogue's multinomial naive Bayes, smoothing 1."""
+    li = read_table(spark, sf, "lineitem")
+    indexer = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(li)
+    df = MD.assemble(indexer.transform(li), _MNB)
+    model = MD.make_estimator("multinomial_nb", MD.CLASSIFICATION, MD.DataStats(1)).fit(df).inner
+    theta, pi = model.theta.toArray(), model.pi.toArray()
+    rows = [(cls, x, float(theta[i][j]), float(pi[i])) for i, cls in enumerate(indexer.labels) for j, x in enumerate(_MNB)]
+    return round_doubles(spark.createDataFrame(rows, "class string, feature string, log_probability double, log_prior double"))
+
+
 @register("hybrid_residual", f"""
 WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s,
                   regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem),
@@ -250,7 +287,7 @@ def isolation_paths(spark, sf):
 
 
 # ---------------------------------------------------------------- submission
-def _submission(spark, sf):
+def _submission(spark, sf, name="logistic_regression"):
     o = read_table(spark, sf, "orders")
     o = SP.holdout(o, "o_orderkey")
     indexer = StringIndexer(inputCol="o_orderstatus", outputCol="label",
@@ -259,7 +296,7 @@ def _submission(spark, sf):
     train = feats.where(F.col("split") == "train")
     test = feats.where(F.col("split") == "valid").drop("label", "o_orderstatus")
     stats = MD.data_stats(train, "label", MD.CLASSIFICATION)
-    model = MD.make_estimator("logistic_regression", MD.CLASSIFICATION, stats).fit(train)
+    model = MD.make_estimator(name, MD.CLASSIFICATION, stats).fit(train)
     return SC.score(model, test.withColumnRenamed("o_orderkey", "id"), "o_orderstatus",
                     label_names=indexer.labels)
 
@@ -270,6 +307,17 @@ def submission(spark, sf):
     return _submission(spark, sf)
 
 
+@register("submission_gaussian", f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS k, CAST(o_totalprice AS DOUBLE) AS x, {key_hash_sql('o_orderkey')} % 1000 < 200 AS is_test FROM orders),
+e AS (SELECT 1e-9 * var_pop(x) AS eps, count(*) AS n FROM o WHERE NOT is_test),
+c AS (SELECT k, avg(x) AS m, var_pop(x) + any_value(eps) AS v, ln(count(*) / any_value(n)) AS p FROM o, e WHERE NOT is_test GROUP BY k),
+s AS (SELECT o_orderkey, c.k, p - 0.5 * ln(2 * pi() * v) - (x - m) ** 2 / (2 * v) AS score FROM o, c WHERE is_test)
+SELECT o_orderkey AS id, k AS o_orderstatus FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, k) = 1""")
+def submission_gaussian(spark, sf):
+    """Submission of a closed-form model: Gaussian naive Bayes on the price, for the hold-out orders."""
+    return _submission(spark, sf, "gaussian_nb")
+
+
 @register("submission_validation", f"""
 SELECT count(*) AS n_rows, 2 AS n_columns, CAST(0 AS BIGINT) AS n_null_cells, TRUE AS is_valid,
        '' AS issues

@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_hash_sql
+from ..operators import features as FE
 from ..operators import models as MD
 from ..operators import prediction_store as PS
 from ..operators import splits as SP
 from ..session import ensure_checkpoint_dir
-from ..sources.scan import read_table
+from ..sources.scan import read_table, read_text_lines
+from . import feature_queries as FQ
+from . import model_queries as MQ
 from .common import rnd, round_doubles
-from .registry import register
+from .registry import ORACLES, register
 
 
 def _trained(spark, sf):
@@ -81,3 +84,38 @@ def ensemble_stored(spark, sf):
         part = rows.select("key", F.lit(method).alias("method"), "prediction", "n_models")
         out = part if out is None else out.unionByName(part)
     return round_doubles(out, 3)
+
+
+def _place(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("feat_state_stored", FQ._impute_scale_sql())
+def feat_state_stored(spark, sf):
+    """Imputed and scaled numbers by feature state that was stored and loaded."""
+    df = FQ._keyed_events(spark, sf)
+    path = _place(spark, "features")
+    FE.fit(df, strategy="basic", exclude=("key", *FQ.EV_CAT)).save(path)
+    model = FE.FeatureModel.load(spark, path)
+    return round_doubles(model.transform(df, keep=("key",)).select("key", *FQ.EV_NUM))
+
+
+@register("model_stored", ORACLES["hybrid_residual"])
+def model_stored(spark, sf):
+    """Predictions of a hybrid model that was stored and loaded."""
+    df = MQ._lineitem_xy(spark, sf)
+    base = MD.make_estimator("linear_regression", MD.REGRESSION, MD.data_stats(df))
+    path = _place(spark, "hybrid")
+    MD.save_model(MD.hybrid_fit(df, base, MD.GroupMeanRegressor(groupCol="l_returnflag")), path)
+    out = MD.load_model(path).transform(df)
+    return round_doubles(out.select("l_orderkey", "l_linenumber", "base_prediction", "residual_prediction", "prediction"), 4)
+
+
+@register("text_lines_stored", """
+SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+GROUP BY line""")
+def text_lines_stored(spark, sf):
+    """Lines of the documents, written as text files and read again (S3)."""
+    path = _place(spark, "lines")
+    read_table(spark, sf, "documents").where("text is not null").select("text").write.text(path)
+    return read_text_lines(spark, path).groupBy("text").count().select(F.md5("text").alias("line_md5"), F.col("count").alias("n"))
