@@ -21,6 +21,7 @@ lattice. Characters without a piece become their bytes' pieces.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from itertools import islice
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from ._common import worker_state
 
 SPACE = "▁"
-ARCS_KEPT = 3_000_000    # arcs in a worker's lattice table before it starts anew
-UNITS_TOGETHER = 150_000  # units of several texts rolled on together
+ARCS_KEPT = 1_600_000    # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
+UNITS_TOGETHER = 80_000  # units of several texts rolled on together
+ROWS_TOGETHER = 512      # rows of an Arrow batch turned into Python texts at once
 _NEVER = -math.inf
 
 
@@ -57,6 +59,11 @@ class Vocabulary:
                 rank = min(-self.sp.get_score(i), n)
                 self.pieces[piece] = (i, -math.log(rank + 2.0))
                 self.bytes_of.append(piece.encode())
+        import numpy as np
+
+        self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.bytes_len = np.array(list(map(len, self.bytes_of)), dtype=np.int64)
+        self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.rare = -math.log(n + 2.0)
         self.longest = max(map(len, self.pieces), default=1)
         # Units: no piece holds a blank after another character, or a newline.
@@ -71,10 +78,20 @@ class Vocabulary:
     def decode(self, ids) -> str:
         """The text of a sequence of ids: bytes put together, blanks restored, the blank that
         normalising put in front taken off."""
-        table = self.bytes_of
-        data = b"".join(map(table.__getitem__, ids))
-        text = data.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return next(self.decode_all(ids, [0, len(ids)]))
+
+    def decode_all(self, ids, bounds):
+        """The texts of the stretches of ``ids`` between neighbouring ``bounds``."""
+        import numpy as np
+
+        ids = np.asarray(ids, dtype=np.int64)
+        size = self.bytes_len[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.flat[np.repeat(self.bytes_at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.asarray(bounds)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            text = data[a:b].decode("utf-8", "replace").replace(SPACE, " ")
+            yield text[1:] if text.startswith(" ") else text
 
 
 class Lattices:
@@ -102,9 +119,10 @@ class Lattices:
                     ends.append(-1)
                 state = new
             ends[state] = code
-        self.trie = np.zeros((len(steps), 256), dtype=np.int32)
-        for state, after in enumerate(steps):
-            self.trie[state, list(after)] = list(after.values())
+        # The trie's edges, sorted by (state, byte): most states have one or two.
+        edges = sorted((state * 256 + x, to) for state, after in enumerate(steps) for x, to in after.items())
+        self.edge = np.array([e for e, _ in edges] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.edge_to = np.array([t for _, t in edges] + [0], dtype=np.int64)
         self.ends = np.array(ends, dtype=np.int64)
         self.piece_logp = np.zeros(len(vocabulary.bytes_of))
         for code, lp in vocabulary.pieces.values():
@@ -118,30 +136,29 @@ class Lattices:
 
         self.node: dict[str, int] = {"": -1}
         self.nodes, self.rows, self.size = 0, 0, 0
-        self.row = np.empty(1 << 16, dtype=np.int64)
-        self.shorter = np.empty(1 << 16, dtype=np.int64)  # node of the rest without its first character
-        self.first = np.empty(1 << 16, dtype=np.int64)
+        self.row = np.empty(1 << 16, dtype=np.int32)
+        self.shorter = np.empty(1 << 16, dtype=np.int32)  # node of the rest without its first character
+        self.first = np.empty(1 << 16, dtype=np.int32)
         self.back = np.zeros(1 << 16)
         self.upto = np.empty(1 << 18)
         self.logp = np.empty(1 << 18)
-        self.to = np.empty(1 << 18, dtype=np.int64)
+        self.to = np.empty(1 << 18, dtype=np.int32)
         self.code = np.empty(1 << 18, dtype=np.int32)
         self.new: tuple = ([], [], [])
 
     def add(self, unit: str) -> int:
         """Name the rests of a unit that are new; gives the unit's node."""
-        node, at, known = self.node, self.nodes, 1
-        while unit[known:] not in node:
+        node, at, known, rest = self.node, self.nodes, 0, unit
+        while rest not in node:
+            node[rest] = at + known
             known += 1
-        for i in range(known - 1, -1, -1):
-            node[unit[i:]] = at
-            at += 1
+            rest = unit[known:]
         units, counts, joins = self.new
         units.append(unit)
         counts.append(known)
-        joins.append(node[unit[known:]])
-        self.nodes = at
-        return at - 1
+        joins.append(node[rest])
+        self.nodes = at + known
+        return at
 
     def _spell(self, ids: tuple) -> int:
         if ids not in self.spelt_of:
@@ -154,7 +171,7 @@ class Lattices:
 
         old = getattr(self, name)
         if end > len(old):
-            grown = np.empty(max(end, 2 * len(old)), dtype=old.dtype)
+            grown = np.empty(max(end, len(old) + len(old) // 2), dtype=old.dtype)
             grown[:len(old)] = old
             setattr(self, name, grown)
         return getattr(self, name)
@@ -180,12 +197,12 @@ class Lattices:
         of_unit = np.repeat(np.arange(len(units)), counts)
         char = np.arange(new) - np.repeat(np.cumsum(counts) - counts, counts)
         place = begin[of_unit] + char
-        node = base + np.cumsum(counts)[of_unit] - 1 - char
+        node = base + np.arange(new)
         at = np.full(len(char_at), -1, dtype=np.int64)
         at[place] = node
         now, where, end = joins, begin + counts, unit_end
         shorter = self._grow("shorter", self.nodes)
-        shorter[node] = np.where(char == counts[of_unit] - 1, joins[of_unit], node - 1)
+        shorter[node] = np.where(char == counts[of_unit] - 1, joins[of_unit], node + 1)
         for _ in range(self.v.longest):
             on = np.flatnonzero((now >= 0) & (where < end))
             if not len(on):
@@ -208,7 +225,9 @@ class Lattices:
         state = np.ones(new, dtype=np.int64)
         found, single = [], np.zeros(new, dtype=bool)
         while len(live):
-            state = self.trie[state, data[byte]].astype(np.int64)
+            step = state * 256 + data[byte]
+            edge = np.searchsorted(self.edge, step)
+            state = np.where(self.edge[edge] == step, self.edge_to[edge], 0)
             byte = byte + 1
             code = self.ends[state]
             hit = np.flatnonzero(code >= 0)
@@ -275,8 +294,8 @@ class Lattices:
         found = self.v.units.findall(text) if len(text) <= 1 << 20 else (m.group() for m in self.v.units.finditer(text))
         found = iter(found)
         while units := list(islice(found, 1 << 18)):
-            for unit in set(units):
-                if unit not in node:
+            for unit in set(units).difference(node):
+                if unit not in node:  # it may be the ending of one added just now
                     self.add(unit)
             blocks.append(np.fromiter(map(node.__getitem__, units), dtype=np.int64, count=len(units)))
         return np.concatenate(blocks) if blocks else np.empty(0, dtype=np.int64)
@@ -364,39 +383,47 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
         if not todo:
             break
         nodes, units, steps, keys_, texts_, heads = [], [], [], [], [], []
-        for i, opened in todo:
-            if opened is None:
-                root = _mix(_counter(key_of[i:i + 1], 0, 2, np.zeros(1), np.zeros(1)))[0]
-                head = {"arcs": np.empty(0, dtype=np.int64), "units": np.empty(0, dtype=np.int64),
-                        "steps": np.empty(0, dtype=np.int64), "logp": 0.0, "value": -math.log(-math.log(root))}
-                node, unit, step = starts[i], np.arange(len(starts[i])), np.zeros(len(starts[i]), dtype=np.int64)
-            else:
-                value, source, place, prefix, excluded = opened
-                path = done[i][source]
-                at = int(path["arcs"][place])
-                unit0, step0 = int(path["units"][place]), int(path["steps"][place])
-                origin = starts[i][unit0] if step0 == 0 else lat.to[path["arcs"][place - 1]]
-                a = int(lat.first[origin])
-                b = a
-                while lat.upto[b] < 2.0:
-                    b += 1
-                free = [x for x in range(a, b + 1) if x not in excluded]
-                p = np.exp(lat.logp[free])
-                u = _mix(_counter(key_of[i:i + 1], s, 3, np.array([unit0]), np.array([step0])))[0]
-                pick = free[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(free) - 1)]
-                # What is left of the set, below the path's value.
-                rest = [x for x in free if x != pick]
-                if rest:
-                    loc = prefix + math.log(np.exp(lat.logp[rest]).sum())
-                    u = _mix(_counter(key_of[i:i + 1], s, 4, np.array([unit0]), np.array([step0])))
-                    left = float(_truncated(np.array([loc]), value, u)[0])
-                    frontier[i].append((left, source, place, prefix, excluded | {pick}))
-                head = {"arcs": np.append(path["arcs"][:place], pick), "units": path["units"][:place + 1],
-                        "steps": path["steps"][:place + 1], "logp": prefix + float(lat.logp[pick]), "value": value}
-                node = np.concatenate([[lat.to[pick]], starts[i][unit0 + 1:]]).astype(np.int64)
-                unit = np.arange(unit0, len(starts[i]))
-                step = np.zeros(len(unit), dtype=np.int64)
-                step[0] = step0 + 1
+        # The single draws of all texts at once: of the roots, or of the sets opened.
+        some = key_of[[i for i, _ in todo]]
+        if s == 0:
+            roots = -np.log(-np.log(_mix(_counter(some, 0, 2, np.zeros(len(todo)), np.zeros(len(todo))))))
+            nodes.append(np.concatenate([starts[i] for i, _ in todo]).astype(np.int64))
+            texts_ = [len(starts[i]) for i, _ in todo]
+            ends = np.cumsum(texts_)
+            units.append(np.arange(ends[-1]) - np.repeat(ends - texts_, texts_))
+            steps.append(np.zeros(ends[-1], dtype=np.int64))
+            keys_.append(np.repeat(some, texts_))
+            none = np.empty(0, dtype=np.int64)
+            heads = [{"arcs": none, "units": none, "steps": none, "logp": 0.0, "value": x} for x in roots.tolist()]
+        else:
+            at_unit, at_step = (np.array([done[i][o[1]][x][o[2]] for i, o in todo]) for x in ("units", "steps"))
+            picks, rests = (_mix(_counter(some, s, stream, at_unit, at_step)) for stream in (3, 4))
+        for t, (i, opened) in enumerate(todo if s else []):
+            value, source, place, prefix, excluded = opened
+            path = done[i][source]
+            at = int(path["arcs"][place])
+            unit0, step0 = int(path["units"][place]), int(path["steps"][place])
+            origin = starts[i][unit0] if step0 == 0 else lat.to[path["arcs"][place - 1]]
+            a = int(lat.first[origin])
+            b = a
+            while lat.upto[b] < 2.0:
+                b += 1
+            free = [x for x in range(a, b + 1) if x not in excluded]
+            p = np.exp(lat.logp[free])
+            u = picks[t]
+            pick = free[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(free) - 1)]
+            # What is left of the set, below the path's value.
+            rest = [x for x in free if x != pick]
+            if rest:
+                loc = prefix + math.log(np.exp(lat.logp[rest]).sum())
+                left = float(_truncated(np.array([loc]), value, rests[t:t + 1])[0])
+                frontier[i].append((left, source, place, prefix, excluded | {pick}))
+            head = {"arcs": np.append(path["arcs"][:place], pick), "units": path["units"][:place + 1],
+                    "steps": path["steps"][:place + 1], "logp": prefix + float(lat.logp[pick]), "value": value}
+            node = np.concatenate([[lat.to[pick]], starts[i][unit0 + 1:]]).astype(np.int64)
+            unit = np.arange(unit0, len(starts[i]))
+            step = np.zeros(len(unit), dtype=np.int64)
+            step[0] = step0 + 1
             heads.append(head)
             nodes.append(node)
             units.append(unit)
@@ -418,19 +445,21 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
         prefix = run - lp
         with np.errstate(divide="ignore"):
             loc = prefix + np.log(-np.expm1(lp))
-        u = _mix(_counter(key[of], s, 1, unit[of], at))
+        u = _mix(_counter(key[of], s, 1, unit[of], at))  # one draw for each set left behind
         v = _truncated(loc, np.repeat(value, count), u)
         full = np.flatnonzero(count)
         total = base.copy()
         total[full] = run[bounds[1:][full] - 1]
+        unit_of = unit[of]
         best: list[list] = [[] for _ in todo]
         for _ in range(k):  # the k largest sets of each path, one after another
             if not len(full):
                 break
             top = np.maximum.reduceat(v, bounds[:-1][full])
             place = np.flatnonzero((v == np.repeat(top, count[full])) & (v > _NEVER)) if len(v) else np.empty(0, int)
-            for x in place:
-                best[int(np.searchsorted(bounds, x, side="right")) - 1].append(int(x))
+            of_text = np.searchsorted(bounds, place, side="right") - 1
+            for x, n, val in zip(place.tolist(), of_text.tolist(), v[place].tolist()):
+                best[n].append((x, val))
             if not len(place):
                 break
             v[place] = _NEVER
@@ -439,11 +468,12 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
             a, b = int(bounds[n]), int(bounds[n + 1])
             head = heads[n]
             offset = len(head["arcs"])
-            path = {"arcs": np.concatenate([head["arcs"], arcs[a:b]]), "units": np.concatenate([head["units"], unit[of[a:b]]]),
-                    "steps": np.concatenate([head["steps"], at[a:b]]), "logp": float(total[n]), "value": head["value"]}
+            made = {"arcs": arcs[a:b], "units": unit_of[a:b], "steps": at[a:b]}
+            if offset:
+                made = {x: np.concatenate([head[x], y]) for x, y in made.items()}
+            path = made | {"logp": float(total[n]), "value": head["value"]}
             done[i].append(path)
-            for x in best[n]:
-                val = float(_truncated(loc[x:x + 1], head["value"], u[x:x + 1])[0])
+            for x, val in best[n]:
                 frontier[i].append((val, len(done[i]) - 1, x - a + offset, float(prefix[x]), frozenset([int(arcs[x])])))
             frontier[i].sort(key=lambda f: -f[0])
             del frontier[i][k - s:]  # as many paths are to come, and one value more
@@ -462,6 +492,19 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
     return out
 
 
+def _all_ids(lat: Lattices, paths: list):
+    """Piece ids of several paths, one after the other, and their numbers."""
+    import numpy as np
+
+    counts = np.array(list(map(len, paths)), dtype=np.int64)
+    codes = lat.code[np.concatenate(paths)] if paths else np.empty(0, dtype=np.int32)
+    n = len(lat.v.bytes_of)
+    if not len(codes) or codes.max() < n:
+        return codes.astype(np.int32), counts
+    parts = [_ids(lat, p) for p in paths]
+    return np.concatenate(parts), np.array(list(map(len, parts)), dtype=np.int64)
+
+
 def _ids(lat: Lattices, arcs):
     """Piece ids of a path."""
     import numpy as np
@@ -504,17 +547,15 @@ def sample_segmentations(docs: DataFrame, id_col: str, text_col: str, model: byt
         def emit(ids, keys, texts, starts):
             lat.store()
             found = sample_paths(lat, [lat.row[x] for x in starts], keys, k)
-            take, flat, columns, sizes = [], [], [], [0]
-            for i, paths in enumerate(found):
-                for rank, (arcs, logp, value, inclusion) in enumerate(paths, 1):
-                    pieces = _ids(lat, arcs)
-                    take.append(i)
-                    flat.append(pieces)
-                    sizes.append(sizes[-1] + len(pieces))
-                    columns.append((rank, len(pieces), logp, value, inclusion, lat.v.decode(pieces.tolist()) == texts[i]))
+            take = [i for i, paths in enumerate(found) for _ in paths]
+            flat, counts = _all_ids(lat, [p[0] for paths in found for p in paths])
+            sizes = np.concatenate([[0], np.cumsum(counts)])
+            decoded = lat.v.decode_all(flat, sizes)
+            columns = [(rank, n, logp, value, inclusion, text == texts[i]) for (i, rank, logp, value, inclusion), n, text in zip(
+                ((i, rank, *p[1:]) for i, paths in enumerate(found) for rank, p in enumerate(paths, 1)), counts.tolist(), decoded, strict=True)]
             column = lambda j, t: pa.array([c[j] for c in columns], t)
             lists = pa.ListArray.from_arrays(pa.array(np.array(sizes, dtype=np.int32)),
-                                             pa.array(np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)))
+                                             pa.array(flat))
             if lat.size > ARCS_KEPT:
                 lat.clear()
             return pa.RecordBatch.from_arrays(
@@ -522,16 +563,21 @@ def sample_segmentations(docs: DataFrame, id_col: str, text_col: str, model: byt
                  column(2, pa.float64()), column(3, pa.float64()), column(4, pa.float64()), column(5, pa.bool_())],
                 names=["id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"])
 
-        for batch in batches:
-            ids, all_keys, all_texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            from_, starts, units = 0, [], 0
-            for i, text in enumerate(all_texts):
-                starts.append(lat.starts(lat.v.normalise(text)) if text else np.empty(0, dtype=np.int64))
-                units += len(starts[-1])
-                if units >= UNITS_TOGETHER or i + 1 == len(all_texts):
-                    part = slice(from_, i + 1)
-                    yield emit(ids[part], [x & (1 << 64) - 1 for x in all_keys[part]], all_texts[part], starts)
-                    from_, starts, units = i + 1, [], 0
+        # Nothing here makes cycles, and the collector would go through the tables again and again.
+        gc.disable()
+        try:
+            for batch in (b.slice(a, ROWS_TOGETHER) for b in batches for a in range(0, b.num_rows, ROWS_TOGETHER)):
+                ids, all_keys, all_texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                from_, starts, units = 0, [], 0
+                for i, text in enumerate(all_texts):
+                    starts.append(lat.starts(lat.v.normalise(text)) if text else np.empty(0, dtype=np.int64))
+                    units += len(starts[-1])
+                    if units >= UNITS_TOGETHER or i + 1 == len(all_texts):
+                        part = slice(from_, i + 1)
+                        yield emit(ids[part], [x & (1 << 64) - 1 for x in all_keys[part]], all_texts[part], starts)
+                        from_, starts, units = i + 1, [], 0
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(sample, schema).withColumnRenamed("id", id_col)
 
@@ -545,6 +591,6 @@ def decode(rows: DataFrame, ids_col: str, out_col: str, model: bytes) -> DataFra
 
     def texts(ids):
         v = worker_state("segmentation", "vocabulary", hash(shared.value), lambda: Vocabulary(shared.value))
-        return pd.Series([None if x is None else v.decode(list(x)) for x in ids], dtype=object)
+        return pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
 
     return rows.withColumn(out_col, F.pandas_udf(texts, T.StringType())(F.col(ids_col)))
