@@ -35,6 +35,7 @@ from ..session import cut_lineage
 from . import metrics as M
 from . import persistence
 from .persistence import ModelSet, StoredModel
+from .tree_cells import on_cells
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -345,8 +346,8 @@ def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: st
         if time_budget_s is not None and time.time() - start > time_budget_s:
             return TrainResult(name, None, metric, 0.0, error="skipped: time budget used up")
         try:
-            est = make_estimator(name, task, stats, features_col, label,
-                                 **(overrides or {}).get(name, {}))
+            est = on_cells(make_estimator(name, task, stats, features_col, label,
+                                          **(overrides or {}).get(name, {})))
             t0 = time.time()
             model = est.fit(train)
             fit_s = time.time() - t0
@@ -524,8 +525,8 @@ def stacking_fit(df: DataFrame, base: dict, meta: Estimator, fold_col: str, task
     names = list(base)
     frozen = cut_lineage(df)  # every fit reads the stored rows instead of recomputing the features
     fold = lambda i: (frozen.where(F.col(fold_col) != i), frozen.where(F.col(fold_col) == i))
-    jobs = [lambda i=i, n=n: base[n]().fit(fold(i)[0]) for i in range(k) for n in names]
-    jobs += [lambda n=n: base[n]().fit(frozen) for n in names]
+    jobs = [lambda i=i, n=n: on_cells(base[n]()).fit(fold(i)[0]) for i in range(k) for n in names]
+    jobs += [lambda n=n: on_cells(base[n]()).fit(frozen) for n in names]
     models = at_once(jobs, parallelism)
     oof = None
     for i in range(k):
