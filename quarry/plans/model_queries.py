@@ -14,6 +14,7 @@ from ..operators import knn as KNN
 from ..operators import models as MD
 from ..operators import scoring as SC
 from ..operators import splits as SP
+from ..operators.tree_cells import on_cells
 from ..sources.scan import read_table
 from .common import rnd, round_doubles
 from .registry import register
@@ -231,7 +232,7 @@ def gbt_scores(spark, sf):
     t = fm.transform(li, keep=("l_orderkey", "l_linenumber", "label"))
     df = MD.assemble(t, fm.feature_names)
     stats = MD.data_stats(df, "label", MD.CLASSIFICATION)
-    est = MD.make_estimator("gradient_boosting_classifier", MD.CLASSIFICATION, stats)
+    est = on_cells(MD.make_estimator("gradient_boosting_classifier", MD.CLASSIFICATION, stats))
     out = MD.positive_score(est.fit(df).transform(df))
     return out.select("l_orderkey", "l_linenumber", "label", "prediction", "score")
 
