@@ -5,8 +5,9 @@ sends data through the driver:
 
 * ``blocks`` - a block nested loop: training rows get a block ``tb`` (hash of
   id mod T), query rows a block ``qb``; each (tb, qb) meets in one ``cogroup``
-  group, NumPy computes the distances in chunks and only the k nearest per
-  query are emitted (ties by training id). Work is O(train x queries).
+  group, a matrix product in chunks leaves out the pairs that cannot be
+  among the nearest, the others get their exact distance, and only the k nearest
+  per query are emitted (ties by training id). Work is O(train x queries).
 * ``pivots`` - the same groups, but a query only meets the training cells
   that can hold one of its neighbours (triangle-inequality bound against
   pivots that are themselves training rows), so the work shrinks with data
@@ -32,6 +33,7 @@ from .persistence import StoredModel
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
+CHUNK_BYTES = 32 << 20  # of the arrays that a task makes at once, beside the rows of its group
 
 
 def _block(df: DataFrame, key: str, rows: int, out: str, seed: int):
@@ -40,6 +42,29 @@ def _block(df: DataFrame, key: str, rows: int, out: str, seed: int):
     return df.withColumn(out, (key_hash(c(key), seed) % blocks).cast("int")), blocks
 
 
+def _exact(qv: np.ndarray, tv: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of pairs (row of qv, row of tv), a bounded number of them at a time."""
+    out = np.empty(len(row))
+    step = max(1, CHUNK_BYTES // (16 * max(1, qv.shape[1])))
+    for s in range(0, len(row), step):
+        diff = qv[row[s:s + step]] - tv[col[s:s + step]]
+        out[s:s + step] = np.sqrt(np.einsum("nd,nd->n", diff, diff))
+    return out
+
+
+def _screen(qv, tv, kk: int):
+    """Pairs that may be among a query's ``kk`` nearest: all whose distance by a matrix product is
+    within its rounding error of the query's kk-th."""
+    mid = tv.mean(axis=0)
+    q, t = qv - mid, tv - mid
+    qq, tt = np.einsum("nd,nd->n", q, q), np.einsum("nd,nd->n", t, t)
+    d = qq[:, None] + tt[None, :] - 2.0 * (q @ t.T)
+    # Generous bound of the error of a sum of so many products, twice, and of taking off the middle.
+    slack = 16.0 * (qv.shape[1] + 8) * np.finfo(float).eps * (qq + tt.max() + np.abs(mid).max() ** 2 * qv.shape[1])
+    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+    return np.nonzero(d <= (kth + slack)[:, None])
+
+
 def _local_topk_fn(k: int, chunk: int):
     def local_topk(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "tid", "label", "dist"]
@@ -53,18 +78,25 @@ def _local_topk_fn(k: int, chunk: int):
         qv = np.vstack(qp["qv"].to_numpy()).astype(np.float64)
         qid = qp["qid"].to_numpy()
         kk = min(k, len(tid))
+        # A NaN, infinity or a number whose square may not be one takes the way without the screen.
+        plain = max(np.abs(x).max(initial=0.0) for x in (tv, qv)) < 1e100
+        step = chunk if plain else max(1, min(chunk, CHUNK_BYTES // (16 * tv.size or 1)))
         out = []
-        for s in range(0, len(qid), chunk):
-            diff = qv[s:s + chunk, None, :] - tv[None, :, :]
-            d = np.sqrt(np.einsum("qtd,qtd->qt", diff, diff))
-            # All candidates up to each query's k-th distance (ties stay), then the first k by (distance, id).
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-            row, col = np.nonzero(d <= kth)
-            order = np.lexsort((tid[col], d[row, col], row))
-            row, col = row[order], col[order]
+        for s in range(0, len(qid), step):
+            if plain:
+                row, col = _screen(qv[s:s + step], tv, kk)
+            else:
+                row, col = (x.ravel() for x in np.indices((len(qid[s:s + step]), len(tid))))
+            d = _exact(qv[s:s + step], tv, row, col)
+            if not plain:  # a query with fewer than kk distances that are numbers has no neighbours
+                known = np.bincount(row[~np.isnan(d)], minlength=len(qid[s:s + step])) >= kk
+                ok = ~np.isnan(d) & known[row]
+                row, col, d = row[ok], col[ok], d[ok]
+            order = np.lexsort((tid[col], d, row))
+            row, col, d = row[order], col[order], d[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < kk], col[place < kk]
-            out.append((qid[s + row], tid[col], tl[col], d[row, col]))
+            row, col, d = row[place < kk], col[place < kk], d[place < kk]
+            out.append((qid[s + row], tid[col], tl[col], d))
         return pd.DataFrame(dict(zip(cols, (np.concatenate(x) for x in zip(*out)))))
     return local_topk
 
@@ -84,7 +116,7 @@ def _prepare(train, queries, train_key, query_key, vec, label):
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str = "id",
                query_key: str = "id", vec: str = "features", label: str = "label",
-               block_rows: int = 4096, chunk: int = 64, method: str = "auto",
+               block_rows: int = 16384, chunk: int = 64, method: str = "auto",
                pivot_threshold: int = 50_000) -> DataFrame:
     """(qid, tid, label, dist, rank) for the k nearest training rows of every query.
 
@@ -108,17 +140,36 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str
     return _merge_topk(partial, k)
 
 
-def _dists_to(x: np.ndarray, piv: np.ndarray, chunk: int = 256) -> np.ndarray:
+def _dists_to(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(piv)))
+    chunk = max(1, CHUNK_BYTES // (8 * max(1, piv.size)))
     for s in range(0, len(x), chunk):
         diff = x[s:s + chunk, None, :] - piv[None, :, :]
         out[s:s + chunk] = np.sqrt(np.einsum("qpd,qpd->qp", diff, diff))
     return out
 
 
+def _blocks_of(sizes: dict, piv: np.ndarray, block_rows: int):
+    """First block and number of blocks of each cell, and the number of blocks in all."""
+    first, n_sub = np.zeros(len(piv), dtype=np.int64), np.zeros(len(piv), dtype=np.int64)
+    blocks, filled = 0, 0
+    # Cells by their pivot's distance from the first pivot: near ones tend to share blocks.
+    for cell in np.argsort(_dists_to(piv, piv[:1])[:, 0], kind="stable"):
+        n = sizes.get(int(cell), 0)
+        if not n:
+            continue
+        if filled and filled + n > block_rows:
+            blocks, filled = blocks + 1, 0
+        first[cell], n_sub[cell] = blocks, max(1, math.ceil(n / block_rows))
+        filled += n
+        if filled >= block_rows:
+            blocks, filled = blocks + int(n_sub[cell]), 0
+    return first, n_sub, blocks + (filled > 0)
+
+
 def neighbours_pivots(train: DataFrame, queries: DataFrame, k: int = 5, train_key: str = "id",
                       query_key: str = "id", vec: str = "features", label: str = "label",
-                      n_pivots: int | None = None, block_rows: int = 4096, chunk: int = 64,
+                      n_pivots: int | None = None, block_rows: int = 16384, chunk: int = 64,
                       max_pivots: int = 4096) -> DataFrame:
     """Exact k nearest neighbours with pivot pruning (one round).
 
@@ -129,9 +180,11 @@ def neighbours_pivots(train: DataFrame, queries: DataFrame, k: int = 5, train_ke
       k-th neighbour distance U. By the triangle inequality a cell can hold a
       neighbour only if d(q, pivot) - radius <= U; only those (query, cell)
       pairs are formed - the result is exact, the work shrinks with locality.
-    * Large cells are split into sub-blocks of ``block_rows`` training rows and
-      popular cells into query chunks, so every ``cogroup`` group stays bounded
-      even when one cell holds a third of the data.
+    * Cells make blocks of about ``block_rows`` training rows: a larger cell is split by the hash of
+      the id, smaller ones near each other share a block. A query goes once to every block with a
+      cell that can hold a neighbour, and queries are dealt into chunks of about as many rows, so
+      every ``cogroup`` group stays bounded even when one cell holds a third of the data, and
+      where nothing is pruned a vector is copied once per block, not once per cell.
     Only the pivot vectors (P x dim) and per-cell numbers (P rows) are collected.
     """
     t, q, label_type = _prepare(train, queries, train_key, query_key, vec, label)
@@ -161,41 +214,44 @@ def neighbours_pivots(train: DataFrame, queries: DataFrame, k: int = 5, train_ke
     radius = np.full(len(piv), -np.inf)
     for r in cells:
         radius[r["cell"]] = r["radius"]
-    bradius = spark.sparkContext.broadcast(radius)
+    first, n_sub, n_blocks = _blocks_of({r["cell"]: r["n"] for r in cells}, piv, block_rows)
+    n_chunks = max(1, math.ceil(q.count() / block_rows))
+    broute = spark.sparkContext.broadcast((radius, first, n_sub, n_blocks))
     kk = min(k, len(piv))
 
     def route(batches):
-        pv, rad = bpiv.value, bradius.value
+        pv, (rad, begin, subs, blocks) = bpiv.value, broute.value
         live = np.isfinite(rad)
-        for pdf in batches:
-            if pdf.empty:
-                yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "qv": pd.Series([], dtype=object),
-                                    "cell": pd.Series([], dtype="int32")})
-                continue
-            d = _dists_to(np.vstack(pdf["qv"].to_numpy()).astype(np.float64), pv)
-            u = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            slack = 1e-9 * (np.abs(u) + 1.0)
-            ok = (d - np.where(live, rad, np.inf)[None, :]) <= (u + slack)[:, None]
-            qi, ci = np.nonzero(ok)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "qv": pdf["qv"].to_numpy()[qi],
-                                "cell": ci.astype("int32")})
-
-    pairs = q.mapInPandas(route, "qid long, qv array<double>, cell int")
-    qcounts = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(r["cell"], max(1, math.ceil(r["n"] / block_rows)), max(1, math.ceil(qcounts.get(r["cell"], 0) / block_rows)))
-            for r in cells]
+        step = max(1, CHUNK_BYTES // (8 * max(blocks * pv.shape[1], len(pv))))
+        for whole in batches:
+            for pdf in (whole.iloc[s:s + step] for s in range(0, max(1, len(whole)), step)):
+                if pdf.empty:
+                    yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "qv": pd.Series([], dtype=object),
+                                        "block": pd.Series([], dtype="int32")})
+                    continue
+                d = _dists_to(np.vstack(pdf["qv"].to_numpy()).astype(np.float64), pv)
+                u = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                slack = 1e-9 * (np.abs(u) + 1.0)
+                ok = (d - np.where(live, rad, np.inf)[None, :]) <= (u + slack)[:, None]
+                to = np.zeros((len(pdf), blocks + 1), dtype=np.int32)
+                at, cell = np.nonzero(ok & live)
+                np.add.at(to, (at, begin[cell]), 1)
+                np.add.at(to, (at, begin[cell] + subs[cell]), -1)
+                qi, bi = np.nonzero(to.cumsum(axis=1)[:, :blocks])
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "qv": pdf["qv"].to_numpy()[qi],
+                                    "block": bi.astype("int32")})
+
+    pairs = q.mapInPandas(route, "qid long, qv array<double>, block int")
     # One row per cell (P rows): a bounded table.
-    cell_plan = F.broadcast(spark.createDataFrame(plan, "cell int, n_sub int, n_qchunk int"))
+    plan = [(r["cell"], int(first[r["cell"]]), int(n_sub[r["cell"]])) for r in cells]
+    cell_plan = F.broadcast(spark.createDataFrame(plan, "cell int, first int, n_sub int"))
     tk = (tc.join(cell_plan, "cell")
-          .withColumn("sub", (key_hash(F.col("tid"), 7) % F.col("n_sub")).cast("int"))
-          .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("n_qchunk") - 1)))
-          .select("cell", "sub", "qchunk", "tid", "tv", "tlabel"))
-    qk = (pairs.join(cell_plan, "cell")
-          .withColumn("qchunk", (key_hash(F.col("qid"), 11) % F.col("n_qchunk")).cast("int"))
-          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
-          .select("cell", "sub", "qchunk", "qid", "qv"))
+          .withColumn("block", (F.col("first") + key_hash(F.col("tid"), 7) % F.col("n_sub")).cast("int"))
+          .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+          .select("block", "qchunk", "tid", "tv", "tlabel"))
+    qk = pairs.withColumn("qchunk", (key_hash(F.col("qid"), 11) % n_chunks).cast("int"))
     schema = f"qid long, tid long, label {label_type}, dist double"
-    partial = (tk.groupBy("cell", "sub", "qchunk").cogroup(qk.groupBy("cell", "sub", "qchunk"))
+    partial = (tk.groupBy("block", "qchunk").cogroup(qk.groupBy("block", "qchunk"))
                .applyInPandas(_local_topk_fn(k, chunk), schema))
     return _merge_topk(partial, k)
 
@@ -214,7 +270,7 @@ class KNNEstimator(Estimator):
     """``fit`` keeps the training frame; ``transform`` runs the exact search."""
 
     def __init__(self, task: str = CLASSIFICATION, k: int = 5, featuresCol: str = "features",
-                 labelCol: str = "label", idCol: str = "id", block_rows: int = 4096):
+                 labelCol: str = "label", idCol: str = "id", block_rows: int = 16384):
         super().__init__()
         self.task, self.k, self.features_col, self.label_col = task, k, featuresCol, labelCol
         self.id_col, self.block_rows = idCol, block_rows
