@@ -133,6 +133,34 @@ def sized(table: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return F.broadcast(table) if n <= limit else table
 
 
+FREQUENT_ROWS = 200_000  # rows of a dictionary that may be broadcast by their counts, whatever its size
+
+
+def frequent_rows(table: DataFrame, count: str, total: int, most: int = FREQUENT_ROWS) -> DataFrame:
+    """The rows of a dictionary whose ``count`` is above ``total / most``: at most ``most`` rows
+    where ``total`` is the sum of the counts, and every value that many rows share."""
+    return table.where(F.col(count) > F.lit(total / most))
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list, count: str, most: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with a dictionary of one row per value of the string columns ``keys``,
+    in which ``count`` says how often a value occurs.
+
+    A small dictionary is broadcast. Of a larger one the frequent values are, so that only rows of
+    rare values are shuffled, and no value makes a partition much larger than others."""
+    whole = sized(table)
+    if whole is not table:
+        return rows.join(whole, keys)
+    total, most = table.agg(F.sum(count)).first()[0], most or FREQUENT_ROWS
+    frequent = frequent_rows(table, count, total, most).withColumn("__known", F.lit(True))
+    first = rows.join(F.broadcast(frequent), keys, "left")
+    added = [x for x in table.columns if x not in keys]
+    found = first.where("__known").drop("__known")
+    rest = first.where("__known is null").drop("__known", *added)
+    rare = table.where(~(F.col(count) > F.lit(total / most)))
+    return found.unionByName(rest.join(rare, keys))
+
+
 def join_code(df: DataFrame, key: F.Column, table: DataFrame, value_col: str, out: str,
               default) -> DataFrame:
     """Left join ``table(value, value_col)`` on ``key``; unmatched -> ``default``."""
@@ -338,7 +366,7 @@ def one_hot(df: DataFrame, cols=None, keep=(), max_categories: int | None = None
 
 @dataclass
 class OneHotDictionary:
-    """(column, value, index) of every category value, sorted; ``size`` values in all."""
+    """(column, value, index, count) of every category value, sorted; ``size`` values in all."""
     table: DataFrame
     cols: list
     size: int
@@ -352,7 +380,7 @@ def fit_one_hot(df: DataFrame, cols=None) -> OneHotDictionary:
     place = F.create_map(*[x for i, n in enumerate(cols) for x in (F.lit(n), F.lit(i))]) if cols else F.lit(None)
     values = value_counts_long(df, cols).withColumn("__place", place[F.col("column")]) if cols else \
         df.sparkSession.createDataFrame([], "column string, value string, count bigint, __place int")
-    table = cut_lineage(row_index(values, ["__place", "value"], out="index").select("column", "value", "index"))
+    table = cut_lineage(row_index(values, ["__place", "value"], out="index").select("column", "value", "index", "count"))
     return OneHotDictionary(table, cols, table.count())
 
 
@@ -360,13 +388,12 @@ def one_hot_entries(df: DataFrame, key_cols, fitted: OneHotDictionary) -> DataFr
     """(key columns, index, value): the ones of the one-hot matrix, one row per row and column.
 
     Missing values and values that the dictionary does not hold have no entry (their row of the
-    matrix is all zero there). One join with the dictionary for all columns: broadcast under the
-    size check, else by value, where AQE splits a value that many rows share."""
+    matrix is all zero there). One lookup in the dictionary for all columns, see :func:`lookup`."""
     df = normalise_missing(df)
     pairs = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in fitted.cols])
     pairs = pairs.cast("array<struct<column: string, value: string>>")  # also where there is no column
     long = df.select(*[c(k) for k in key_cols], F.explode(pairs).alias("__p")).select(*[c(k) for k in key_cols], "__p.column", "__p.value")
-    hit = long.where(F.col("value").isNotNull()).join(sized(fitted.table), ["column", "value"])
+    hit = lookup(long.where(F.col("value").isNotNull()), fitted.table, ["column", "value"], "count")
     return hit.select(*[c(k) for k in key_cols], "index", F.lit(1.0).alias("value"))
 
 
