@@ -6,8 +6,9 @@ counts the rows with a text, ``df`` the ones that hold the term. The vocabulary
 least ``min_df`` documents, numbered in term order by a distributed row index, so no two terms share
 an id (as hashed ids do) and its size has no bound that the driver sets.
 
-Documents are rows of a unique key. Terms are counted before they are joined with the vocabulary, so
-a term of a third of all documents is one row per document there, which AQE may split. NULL and empty
+Documents are rows of a unique key. Texts are dealt by key, shuffled once as they are; their terms are
+counted where a text lies, and frequent terms meet a broadcast part of the vocabulary there, so that of
+the many more (document, term) rows only those of rare terms are shuffled. NULL and empty
 texts, and texts of unknown terms, have no weights; :func:`vectors` gives them an empty vector.
 """
 
@@ -15,14 +16,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import c
 from ..functions.text import vocab_split
 from ..session import cut_lineage
+from .features import lookup
 from .ordering import row_index
 
+TEXT_BYTES = 16 << 20  # text of one shuffle partition: its terms take several times as much
+
 
 @dataclass
 class Vocabulary:
@@ -34,23 +38,27 @@ class Vocabulary:
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf)"""
-    rows = df.where(c(text).isNotNull()).select(c(key).alias("key"), F.explode(vocab_split(c(text))).alias("term"))
+    texts = df.where(c(text).isNotNull()).select(c(key).alias("key"), c(text).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TEXT_BYTES + 1)
+    rows = texts.repartition(parts, "key").select("key", F.explode(vocab_split(F.col("text"))).alias("term"))
     return rows.where("term != ''").groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit(df: DataFrame, key: str, text: str, min_df: int = 1) -> Vocabulary:
     """Document frequencies and ids of all terms."""
     seen = term_counts(df, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    terms = cut_lineage(row_index(seen, ["term"], out="term_id"))
+    terms = cut_lineage(row_index(cut_lineage(seen), ["term"], out="term_id"))
     return Vocabulary(terms, terms.count(), df.where(c(text).isNotNull()).count())
 
 
 def weights(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> DataFrame:
     """(key, term, term_id, tf, weight) of every term of every document that the vocabulary knows."""
     idf = F.log((1.0 + F.lit(vocabulary.n_docs)) / (1.0 + F.col("df"))) + 1.0
-    rows = term_counts(df, key, text).join(vocabulary.terms, "term").withColumn("raw", F.col("tf") * idf)
-    length = rows.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(length, "key").select("key", "term", "term_id", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+    rows = lookup(term_counts(df, key, text), vocabulary.terms, ["term"], "df").withColumn("raw", F.col("tf") * idf)
+    w = Window.partitionBy("key")  # where the whole vocabulary was broadcast, texts lie by key already
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w))
+    return rows.where(F.col("key").isNotNull()).select("key", "term", "term_id", "tf", (F.col("raw") / norm).alias("weight"))
 
 
 def vectors(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, out: str = "features") -> DataFrame:
