@@ -60,3 +60,10 @@ def test_query_matches_oracle(spark, con, name):
 def test_rows_only_query_runs(spark, name):
     df = E.queries()[name](spark, SF0001)
     assert df.count() > 0 and len(df.columns) > 0
+
+
+def test_wide_rows_are_compiled(spark):
+    """Methods too large for the JVM's compiler are split, also in a session of other settings."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    E.queries()["profile_missing"](spark, SF0001)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
