@@ -31,6 +31,8 @@ from .quantiles import quantiles
 
 HASHES = 1 << 48  # a tree's hash of a row: (a + tree * b) mod HASHES, a and b from the md5 of the row's key
 
+ROWS_TOGETHER = 4096  # rows that walk down a tree at once: their arrays stay in a core's cache
+
 
 def _number(x: str):
     """A column as double; NaN and infinities count as missing."""
@@ -85,20 +87,29 @@ def _grow(x: np.ndarray, seed: int, tree: int, limit: int):
     return {"f": feat, "t": thr, "l": left, "r": right, "s": size}
 
 
+def _flat(tree) -> tuple:
+    """(feature, threshold, children, path length at a leaf, steps): a leaf is its own child, so every
+    row takes the same number of steps and none has to be looked at on the way."""
+    f, t, left, right, size = (np.asarray(tree[k]) for k in ("f", "t", "l", "r", "s"))
+    leaf = f < 0
+    own = np.arange(len(f))
+    depth = np.zeros(len(f), dtype=np.int64)
+    for i in range(len(f)):  # children come after their parent
+        if not leaf[i]:
+            depth[left[i]] = depth[right[i]] = depth[i] + 1
+    kids = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).astype(np.intp).ravel()
+    path = depth.astype(np.float64) + np.array([_c(v) for v in size])
+    return np.where(leaf, 0, f).astype(np.intp), t.astype(np.float64), kids, path, int(depth.max())
+
+
 def _path_lengths(tree, x: np.ndarray) -> np.ndarray:
-    f, t, l, r, s = (np.asarray(tree[k]) for k in ("f", "t", "l", "r", "s"))
-    node = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x), dtype=np.float64)
-    active = f[node] >= 0
-    while active.any():
-        idx = np.flatnonzero(active)
-        nf = f[node[idx]]
-        go_left = x[idx, nf] < t[node[idx]]
-        node[idx] = np.where(go_left, l[node[idx]], r[node[idx]])
-        depth[idx] += 1
-        active = f[node] >= 0
-    leaf_sizes = s[node]
-    return depth + np.array([_c(v) for v in leaf_sizes])
+    """Path lengths of the rows of ``x`` in a tree as :func:`_flat` gives it."""
+    f, t, kids, path, steps = tree
+    node = np.zeros(len(x), dtype=np.intp)
+    values, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for _ in range(steps):
+        node = kids.take(2 * node + (values.take(first + f.take(node)) >= t.take(node)))
+    return path.take(node)
 
 
 def fit(df: DataFrame, feature_cols, key: str, n_trees: int = 100, max_samples: int = 256,
@@ -116,10 +127,25 @@ def fit(df: DataFrame, feature_cols, key: str, n_trees: int = 100, max_samples:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__key").cast("string")))
     base = base.withColumn("__a", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")) \
         .withColumn("__b", F.conv(F.substring(digest, 13, 12), 16, 10).cast("bigint"))
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.struct(t.alias("tree"), ((F.col("__a") + t * F.col("__b")) % HASHES).alias("h")))
-    low = F.filter(hashes, lambda x: x["h"] <= F.lit(int(share * HASHES)))
-    cand = base.withColumn("__t", F.explode(low)).select("*", "__t.tree", "__t.h").drop("__t", "__a", "__b")
+    bound = int(share * HASHES)
+    kept = [x for x in base.columns if x not in ("__a", "__b")]
+    fields = [base.schema[x] for x in kept] + [T.StructField("tree", T.IntegerType()), T.StructField("h", T.LongType())]
+
+    def offered(batches):
+        import pyarrow as pa
+
+        trees = np.arange(n_trees)
+        for batch in batches:
+            batch = batch.filter(batch.column("__a").is_valid())  # without a key there is no hash
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                a, b = (part.column(x).to_numpy() for x in ("__a", "__b"))
+                h = (a[:, None] + trees * b[:, None]) % HASHES
+                row, tree = np.nonzero(h <= bound)
+                found = part.select(kept).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(tree, pa.int32()), pa.array(h[row, tree])],
+                                                 names=[*kept, "tree", "h"])
+
+    cand = base.mapInArrow(offered, T.StructType(fields))
     w = Window.partitionBy("tree").orderBy("h", F.col("__key"))
     sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m)
 
@@ -136,7 +162,7 @@ def fit(df: DataFrame, feature_cols, key: str, n_trees: int = 100, max_samples:
 def score(df: DataFrame, forest: dict, out: str = "anomaly_score", path_out: str | None = None) -> DataFrame:
     """Adds ``out`` in (0, 1]; higher is more anomalous. ``path_out``, if named, gets the mean path length."""
     cols, trees, cm = forest["cols"], forest["trees"], _c(forest["m"])
-    bc = df.sparkSession.sparkContext.broadcast(trees)
+    bc = df.sparkSession.sparkContext.broadcast([_flat(t) for t in trees])
     added = [out] + ([path_out] if path_out else [])
     schema = T.StructType(list(df.schema.fields) + [T.StructField(x, T.DoubleType()) for x in added])
 
@@ -151,8 +177,10 @@ def score(df: DataFrame, forest: dict, out: str = "anomaly_score", path_out: str
                 yield pdf.assign(**{x: pd.Series([], dtype="float64") for x in added})
                 continue
             total = np.zeros(len(x))
-            for t in ts:
-                total += _path_lengths(t, x)
+            for i in range(0, len(x), ROWS_TOGETHER):
+                part = slice(i, i + ROWS_TOGETHER)
+                for t in ts:
+                    total[part] += _path_lengths(t, x[part])
             pdf[out] = np.power(2.0, -(total / len(ts)) / cm) if cm > 0 else 0.5
             if path_out:
                 pdf[path_out] = total / len(ts)
