@@ -24,7 +24,8 @@ from __future__ import annotations
 import gc
 import math
 import re
-from itertools import islice
+from collections import defaultdict
+from itertools import count, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 from ._common import worker_state
 
 SPACE = "▁"
-ARCS_KEPT = 1_600_000    # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
-UNITS_TOGETHER = 80_000  # units of several texts rolled on together
+ARCS_KEPT = 1_200_000    # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
+UNITS_TOGETHER = 40_000  # units of several texts rolled on together
 ROWS_TOGETHER = 512      # rows of an Arrow batch turned into Python texts at once
 _NEVER = -math.inf
+_STEP = 0xE7037ED1A0B428DB  # between the counters of a unit's steps
 
 
 class Vocabulary:
@@ -71,6 +73,15 @@ class Vocabulary:
         line = not any("\n" in p for p in self.pieces if len(p) > 1)
         self.units = re.compile(r"(?s).+" if inner else
                                 (rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if line else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"))
+        self.words = line and not inner
+
+    def cut(self, text: str):
+        """The units of a normalised text, in order."""
+        if len(text) > 1 << 20:
+            return (m.group() for m in self.units.finditer(text))
+        if self.words and "\0" not in text and SPACE * 2 not in text:  # the same units, cut faster
+            return filter(None, text.replace("\n", "\0\n\0").replace(SPACE, "\0" + SPACE).split("\0"))
+        return self.units.findall(text)
 
     def normalise(self, text: str) -> str:
         return self.sp.normalize(text)
@@ -95,13 +106,14 @@ class Vocabulary:
 
 
 class Lattices:
-    """Unit lattices in flat arrays. A node is a unit's rest from some character on, and units
-    with the same ending share its nodes. A node's arcs stand together, longer pieces first;
-    ``upto`` is the running probability within the node.
+    """Unit lattices in flat arrays. A row is a unit's rest from some character on, and units
+    with the same ending share its rows. A row's arcs stand together, longer pieces first;
+    ``upto`` is the running probability within the row.
 
-    New units are only named one by one; their arcs come from all of them together, by a walk
-    through a byte trie of the pieces. ``node`` names a rest, and ``row`` has its place in the
-    arrays (rests that came together stand by length, so that their sums can be made in turn)."""
+    A unit is only numbered when met; the rows and arcs of all new units come together. A rest is
+    its first character and the row of the rest after it, so rests are found or made from the
+    units' ends on, one length after the other (``link`` has the known pairs, sorted), and their
+    arcs by a walk through a byte trie of the pieces."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
         import numpy as np
@@ -129,36 +141,23 @@ class Lattices:
             self.piece_logp[code] = lp
         self.spelt: list[tuple] = []  # id sequences of characters without a piece
         self.spelt_of: dict[tuple, int] = {}
-        self.clear()
-
-    def clear(self):
-        import numpy as np
-
-        self.node: dict[str, int] = {"": -1}
-        self.nodes, self.rows, self.size = 0, 0, 0
-        self.row = np.empty(1 << 16, dtype=np.int32)
-        self.shorter = np.empty(1 << 16, dtype=np.int32)  # node of the rest without its first character
+        self.row = np.empty(1 << 16, dtype=np.int32)  # row of each unit's lattice
         self.first = np.empty(1 << 16, dtype=np.int32)
-        self.back = np.zeros(1 << 16)
+        self.back = np.empty(1 << 16)
         self.upto = np.empty(1 << 18)
         self.logp = np.empty(1 << 18)
         self.to = np.empty(1 << 18, dtype=np.int32)
         self.code = np.empty(1 << 18, dtype=np.int32)
-        self.new: tuple = ([], [], [])
-
-    def add(self, unit: str) -> int:
-        """Name the rests of a unit that are new; gives the unit's node."""
-        node, at, known, rest = self.node, self.nodes, 0, unit
-        while rest not in node:
-            node[rest] = at + known
-            known += 1
-            rest = unit[known:]
-        units, counts, joins = self.new
-        units.append(unit)
-        counts.append(known)
-        joins.append(node[rest])
-        self.nodes = at + known
-        return at
+        self.clear()
+
+    def clear(self):
+        """Forget all units; the arrays are written over."""
+        import numpy as np
+
+        self.unit: dict[str, int] = defaultdict(count().__next__)  # number of each unit
+        self.units, self.rows, self.size = 0, 0, 0
+        self.link = np.array([np.iinfo(np.int64).max])
+        self.link_row = np.zeros(1, dtype=np.int32)
 
     def _spell(self, ids: tuple) -> int:
         if ids not in self.spelt_of:
@@ -176,52 +175,72 @@ class Lattices:
             setattr(self, name, grown)
         return getattr(self, name)
 
+    def _rests(self, point, chars, end):
+        """Rows of the rests at each character of some units (``point``: their characters one after
+        the other); for the new rows, which stand by length, a place of each and the number of each
+        length. New pairs go into ``link``."""
+        import numpy as np
+
+        at = np.empty(len(point), dtype=np.int32)
+        last = end[np.argsort(-chars)]
+        longer = len(chars) - np.concatenate([[0], np.cumsum(np.bincount(chars))])  # units of at least n characters
+        now = np.full(len(chars), -1, dtype=np.int64)
+        places, pairs, each, rows = [], [], [], self.rows
+        known = (self.rows + 1) << 21  # pairs from here on go on with a new row
+        for n in range(1, len(longer) - 1):
+            place = last[:longer[n]] - n
+            pair = (now[:len(place)] + 1) << 21 | point[place]
+            order = np.argsort(pair)
+            pair = pair[order]
+            head = np.ones(len(pair), dtype=bool)
+            np.not_equal(pair[1:], pair[:-1], out=head[1:])
+            heads = np.flatnonzero(head)
+            some = pair[heads]
+            row = np.full(len(some), -1, dtype=np.int64)
+            old = some[:np.searchsorted(some, known)]
+            if len(old):
+                where = np.searchsorted(self.link, old)
+                row[:len(old)] = np.where(self.link[where] == old, self.link_row[where], -1)
+            fresh = np.flatnonzero(row < 0)
+            row[fresh] = np.arange(rows, rows + len(fresh))
+            rows += len(fresh)
+            now = np.empty(len(pair), dtype=np.int64)
+            now[order] = row[np.cumsum(head) - 1]
+            at[place] = now
+            places.append(place[order[heads[fresh]]])
+            pairs.append(some[fresh])
+            each.append(len(fresh))
+        pair = np.concatenate(pairs)
+        order = np.argsort(pair)
+        where = np.searchsorted(self.link, pair[order])
+        self.link = np.insert(self.link, where, pair[order])
+        self.link_row = np.insert(self.link_row, where, self.rows + order)
+        return at, np.concatenate(places), np.array(each)
+
     def store(self):
-        """Make the arcs of the units added since, and their probabilities."""
+        """Make the rows and arcs of the units met since, and their probabilities."""
         import numpy as np
 
-        units, counts, joins = self.new
+        units = list(islice(reversed(self.unit), len(self.unit) - self.units))[::-1]
         if not units:
             return
-        self.new = ([], [], [])
         text = "".join(units)
         data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
         char_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes where characters begin
-        chars = np.array([len(u) for u in units])
-        counts, joins = np.array(counts), np.array(joins, dtype=np.int64)
+        chars = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         unit_end = np.cumsum(chars)
-        begin = unit_end - chars
-        # Node of the rest at each character: the new ones of each unit, then the known rest's chain.
-        new = int(counts.sum())
-        base = self.nodes - new
-        of_unit = np.repeat(np.arange(len(units)), counts)
-        char = np.arange(new) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = begin[of_unit] + char
-        node = base + np.arange(new)
-        at = np.full(len(char_at), -1, dtype=np.int64)
-        at[place] = node
-        now, where, end = joins, begin + counts, unit_end
-        shorter = self._grow("shorter", self.nodes)
-        shorter[node] = np.where(char == counts[of_unit] - 1, joins[of_unit], node + 1)
-        for _ in range(self.v.longest):
-            on = np.flatnonzero((now >= 0) & (where < end))
-            if not len(on):
-                break
-            now, where, end = now[on], where[on], end[on]
-            at[where] = now
-            now, where = shorter[now], where + 1
-        # Rows: shorter rests first.
-        rest = unit_end[of_unit] - place
-        order = np.argsort(rest, kind="stable")
-        rank = np.empty(new, dtype=np.int64)
-        rank[order] = np.arange(new)
-        row = self._grow("row", self.nodes)
-        row[node] = self.rows + rank
-        # Walk all new nodes through the trie together; each end of a piece is an arc.
+        at, place, each = self._rests(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), chars, unit_end)
+        self._grow("row", len(self.unit))[self.units:len(self.unit)] = at[unit_end - chars]
+        self.units = len(self.unit)
+        new = len(place)
+        if not new:
+            return
+        end = place + np.repeat(np.arange(1, len(each) + 1), each)
+        # Walk all new rows through the trie together; each end of a piece is an arc.
         number_of = np.empty(len(data) + 1, dtype=np.int64)  # character of a byte place where one begins
         number_of[char_at] = np.arange(len(char_at))
         live, byte = np.arange(new), char_at[place]
-        stop = char_at[unit_end[of_unit]]
+        stop = char_at[end]
         state = np.ones(new, dtype=np.int64)
         found, single = [], np.zeros(new, dtype=bool)
         while len(live):
@@ -233,46 +252,44 @@ class Lattices:
             hit = np.flatnonzero(code >= 0)
             if len(hit):
                 to = number_of[byte[hit]]
-                found.append((live[hit], np.where(byte[hit] == stop[live[hit]], -1, at[to]), code[hit],
-                              self.piece_logp[code[hit]]))
+                dest = np.where(byte[hit] == stop[live[hit]], -1, at[np.minimum(to, len(at) - 1)])
+                found.append((live[hit], dest, code[hit], self.piece_logp[code[hit]]))
                 single[live[hit]] |= to == place[live[hit]] + 1
             on = np.flatnonzero((state > 0) & (byte < stop[live]))
             live, byte, state = live[on], byte[on], state[on]
         bare = np.flatnonzero(~single)
         if len(bare):  # characters without a piece of their own: their bytes
             spelt = [tuple([self.v.byte_ids[x] for x in text[int(p)].encode("utf-8", "replace")]) for p in place[bare]]
-            found.insert(0, (bare, np.where(place[bare] + 1 == unit_end[of_unit[bare]], -1, at[place[bare] + 1]),
+            after = np.minimum(place[bare] + 1, len(at) - 1)
+            found.insert(0, (bare, np.where(place[bare] + 1 == end[bare], -1, at[after]),
                              np.array([i[0] if len(i) == 1 else self._spell(i) for i in spelt]),
                              np.array([self.v.rare * len(i) for i in spelt])))
-        arcs_of = np.zeros(new, dtype=np.int64)  # by rank
+        arcs_of = np.zeros(new, dtype=np.int64)
         for owner, *_ in found:
-            arcs_of[rank[owner]] += 1
+            arcs_of[owner] += 1
         first = np.cumsum(arcs_of) - arcs_of
         n = int(arcs_of.sum())
         to, code, lp = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int32), np.empty(n)
-        free = first + arcs_of  # the arcs of a node are filled from the back
+        free = first + arcs_of  # the arcs of a row are filled from the back
         for owner, dest, c, piece_lp in found:
-            r = rank[owner]
-            free[r] -= 1
-            slot = free[r]
-            to[slot] = np.where(dest < 0, -1, row[dest])
-            code[slot], lp[slot] = c, piece_lp
+            free[owner] -= 1
+            slot = free[owner]
+            to[slot], code[slot], lp[slot] = dest, c, piece_lp
         # Backward sums, one length of rest after the other.
         back = self._grow("back", self.rows + new)
         lp *= self.alpha
-        lengths = rest[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1, [new]])
+        cuts = np.unique(np.concatenate([[0], np.cumsum(each)]))
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             a, z = int(first[x]), int(first[y]) if y < new else n
             score = lp[a:z] + np.where(to[a:z] < 0, 0.0, back[to[a:z]])
             heads = first[x:y] - a
             top = np.maximum.reduceat(score, heads)
-            each = arcs_of[x:y]
-            total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, each)), heads))
+            arcs = arcs_of[x:y]
+            total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, arcs)), heads))
             back[self.rows + x:self.rows + y] = total
-            lp[a:z] = score - np.repeat(total, each)
+            lp[a:z] = score - np.repeat(total, arcs)
         np.minimum(lp, 0.0, out=lp)
-        # Running probabilities node by node, so that no other unit's rounding gets in.
+        # Running probabilities row by row, so that no other unit's rounding gets in.
         upto, p = np.empty(n), np.exp(lp)
         total, some = np.zeros(new), np.arange(new)
         for i in range(int(arcs_of.max())):
@@ -287,17 +304,12 @@ class Lattices:
         self.size += n
 
     def starts(self, text: str):
-        """Nodes of the units of a normalised text (their rows are known after :meth:`store`)."""
+        """Numbers of the units of a normalised text (their rows are known after :meth:`store`)."""
         import numpy as np
 
-        node, blocks = self.node, []
-        found = self.v.units.findall(text) if len(text) <= 1 << 20 else (m.group() for m in self.v.units.finditer(text))
-        found = iter(found)
+        blocks, found = [], iter(self.v.cut(text))
         while units := list(islice(found, 1 << 18)):
-            for unit in set(units).difference(node):
-                if unit not in node:  # it may be the ending of one added just now
-                    self.add(unit)
-            blocks.append(np.fromiter(map(node.__getitem__, units), dtype=np.int64, count=len(units)))
+            blocks.append(np.fromiter(map(self.unit.__getitem__, units), dtype=np.int64, count=len(units)))
         return np.concatenate(blocks) if blocks else np.empty(0, dtype=np.int64)
 
 
@@ -306,18 +318,30 @@ def _mix(x):
     import numpy as np
 
     x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0 ** -53
+    return u
+
+
+def _of_unit(key, unit):
+    """The part of a counter that a unit's draws share."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return key + unit.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
 
 
-def _counter(key, sample: int, stream: int, unit, step):
+def _counter(of_unit, sample: int, stream: int, step):
     import numpy as np
 
     with np.errstate(over="ignore"):
-        return (key + np.uint64(sample * 8 + stream) * np.uint64(0xD1342543DE82EF95)
-                + unit.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + step.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+        return of_unit + np.uint64(sample * 8 + stream) * np.uint64(0xD1342543DE82EF95) + step.astype(np.uint64) * np.uint64(_STEP)
 
 
 def _truncated(location, bound, u):
@@ -329,38 +353,38 @@ def _truncated(location, bound, u):
     return np.where(np.isneginf(location), _NEVER, np.minimum(v, bound))
 
 
-def _roll(lat: Lattices, node, unit, step, key, sample: int):
+def _roll(lat: Lattices, node, of_unit, step, sample: int):
     """Follow winning arcs from each node to its unit's end.
 
-    ``node`` (-1: already there), ``unit`` (number in its text), ``step`` (arcs already taken in the
-    unit) and ``key`` are arrays over units in text order. Gives the arcs in that order, with the
-    index into ``node``, the unit and the step of each."""
+    ``node`` (-1: already there), ``of_unit`` (the unit's part of the counters) and ``step`` (arcs
+    already taken in the unit) are arrays over units in text order. Gives the arcs in that order,
+    with the index into ``node`` and the step of each, and the number of arcs of each unit."""
     import numpy as np
 
     live = np.flatnonzero(node >= 0)
-    now, t = node[live], step[live].copy()
+    now = node[live]
+    counter = _counter(of_unit[live], sample, 0, step[live])
     got = []
     length = np.zeros(len(node), dtype=np.int64)
     while len(live):
-        u = _mix(_counter(key[live], sample, 0, unit[live], t))
-        arc = lat.first[now]
-        over = np.flatnonzero(u >= lat.upto[arc])
+        u = _mix(counter)
+        arc = lat.first.take(now).astype(np.int64)
+        over = np.flatnonzero(u >= lat.upto.take(arc))
         while len(over):
             arc[over] += 1
-            over = over[u[over] >= lat.upto[arc[over]]]
-        got.append((live, length[live].copy(), arc, t.copy()))
-        length[live] += 1
-        now = lat.to[arc]
-        on = now >= 0
-        live, now, t = live[on], now[on], t[on] + 1
+            over = over[u[over] >= lat.upto.take(arc[over])]
+        got.append((live, arc))
+        length[live] = len(got)
+        now = lat.to.take(arc)
+        on = np.flatnonzero(now >= 0)
+        live, now, counter = live[on], now[on], counter[on]
+        counter += np.uint64(_STEP)
     begin = np.cumsum(length) - length
     arcs = np.empty(int(length.sum()), dtype=np.int64)
-    steps = np.empty(len(arcs), dtype=np.int64)
-    for idx, place, arc, at in got:
-        where = begin[idx] + place
-        arcs[where] = arc
-        steps[where] = at
-    return arcs, np.repeat(np.arange(len(node)), length), steps, length
+    for place, (idx, arc) in enumerate(got):
+        arcs[begin[idx] + place] = arc
+    of = np.repeat(np.arange(len(node)), length)
+    return arcs, of, np.arange(len(arcs)) - (begin - step)[of], length
 
 
 def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[list[tuple]]:
@@ -386,7 +410,7 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
         # The single draws of all texts at once: of the roots, or of the sets opened.
         some = key_of[[i for i, _ in todo]]
         if s == 0:
-            roots = -np.log(-np.log(_mix(_counter(some, 0, 2, np.zeros(len(todo)), np.zeros(len(todo))))))
+            roots = -np.log(-np.log(_mix(_counter(some, 0, 2, np.zeros(len(todo))))))
             nodes.append(np.concatenate([starts[i] for i, _ in todo]).astype(np.int64))
             texts_ = [len(starts[i]) for i, _ in todo]
             ends = np.cumsum(texts_)
@@ -397,7 +421,7 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
             heads = [{"arcs": none, "units": none, "steps": none, "logp": 0.0, "value": x} for x in roots.tolist()]
         else:
             at_unit, at_step = (np.array([done[i][o[1]][x][o[2]] for i, o in todo]) for x in ("units", "steps"))
-            picks, rests = (_mix(_counter(some, s, stream, at_unit, at_step)) for stream in (3, 4))
+            picks, rests = (_mix(_counter(_of_unit(some, at_unit), s, stream, at_step)) for stream in (3, 4))
         for t, (i, opened) in enumerate(todo if s else []):
             value, source, place, prefix, excluded = opened
             path = done[i][source]
@@ -431,10 +455,11 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
             keys_.append(np.full(len(node), key_of[i]))
             texts_.append(len(node))
         node, unit, step, key = map(np.concatenate, (nodes, units, steps, keys_))
-        arcs, of, at, length = _roll(lat, node, unit, step, key, s)
+        of_unit = _of_unit(key, unit)
+        arcs, of, at, length = _roll(lat, node, of_unit, step, s)
         bounds = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(texts_)])]
         count = np.diff(bounds)
-        lp = lat.logp[arcs]
+        lp = lat.logp.take(arcs)
         base = np.array([h["logp"] for h in heads])
         value = np.array([h["value"] for h in heads])
         # Log probabilities up to and with each arc, text by text.
@@ -445,14 +470,14 @@ def sample_paths(lat: Lattices, starts: list, keys: list[int], k: int) -> list[l
         prefix = run - lp
         with np.errstate(divide="ignore"):
             loc = prefix + np.log(-np.expm1(lp))
-        u = _mix(_counter(key[of], s, 1, unit[of], at))  # one draw for each set left behind
+        u = _mix(_counter(of_unit[of], s, 1, at))  # one draw for each set left behind
         v = _truncated(loc, np.repeat(value, count), u)
         full = np.flatnonzero(count)
         total = base.copy()
         total[full] = run[bounds[1:][full] - 1]
         unit_of = unit[of]
         best: list[list] = [[] for _ in todo]
-        for _ in range(k):  # the k largest sets of each path, one after another
+        for _ in range(k - s):  # the largest sets of each path, one after another: as many as are kept below
             if not len(full):
                 break
             top = np.maximum.reduceat(v, bounds[:-1][full])

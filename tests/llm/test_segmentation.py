@@ -88,6 +88,28 @@ def test_shared_endings_and_table_order(vocabulary):
     assert [[tuple(S._ids(lat, p[0]).tolist()) for p in ps] for ps in late] == [[p[0] for p in ps] for ps in together]
 
 
+def test_units_are_cut_as_the_pattern_says(vocabulary):
+    for text in [*ODD, "a\0b c", "\n\nno blank\n end ", "one", "\n", " \n ", "a b" * 500]:
+        u = vocabulary.normalise(text or "")
+        assert list(vocabulary.cut(u)) == vocabulary.units.findall(u)
+
+
+def test_a_table_keeps_units_and_a_row_per_rest(vocabulary):
+    """Only whole units are named; rests met in several groups have one row, and a cleared table starts anew."""
+    lat = S.Lattices(vocabulary, 1.0)
+    groups = ["the other mother", "another brother", "bother the weather\nother", "x" * 3000 + " 中文字符🙂 the other"]
+    for _ in range(2):
+        units, rests = set(), set()
+        for text in groups:
+            u = vocabulary.normalise(text)
+            lat.starts(u)
+            lat.store()
+            units |= set(vocabulary.cut(u))
+            rests |= {x[i:] for x in units for i in range(len(x))}
+            assert set(lat.unit) == units and lat.rows == len(rests) == len(lat.link) - 1
+        lat.clear()
+
+
 def test_texts_decode(spark, vocabulary):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (4, "the cat")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as ids", "1 as rank").repartition(3)
