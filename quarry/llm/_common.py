@@ -47,6 +47,13 @@ def worker_state(operator: str, name: str, key, build):
     return states[name][1]
 
 
+def sliced(batches, rows: int):
+    """Arrow batches in slices of at most ``rows`` rows: what a task makes of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id: of the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

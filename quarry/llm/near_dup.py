@@ -27,10 +27,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import worker_state, write_stage
+from ._common import sliced, worker_state, write_stage
 
 _M = (1 << 64) - 1
-WORD_CACHE = 1_000_000       # word hashes kept by one worker
+WORD_CACHE = 250_000         # word hashes kept by one worker, about 180 bytes each
+ROWS_TOGETHER = 512          # rows of an Arrow batch turned into Python texts at once
 BROADCAST_ROWS = 2_000_000   # ids; 8 bytes each
 
 
@@ -119,7 +120,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, coordinates
 
         hashes = worker_state("near-dup", "words", None, _Hashes)
         mult = _multipliers(coordinates)
-        for batch in batches:
+        for batch in sliced(batches, ROWS_TOGETHER):
             n, prints, tokens = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, k, hashes)
@@ -143,7 +144,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -
         import pyarrow as pa
 
         hashes = worker_state("near-dup", "words", None, _Hashes)
-        for batch in batches:
+        for batch in sliced(batches, ROWS_TOGETHER):
             sets = [shingle_set(t, k, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["cid", "shingles"])
 

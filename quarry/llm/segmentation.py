@@ -30,7 +30,7 @@ from itertools import count, islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import worker_state
+from ._common import sliced, worker_state
 
 SPACE = "▁"
 ARCS_KEPT = 1_200_000    # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
@@ -591,7 +591,7 @@ def sample_segmentations(docs: DataFrame, id_col: str, text_col: str, model: byt
         # Nothing here makes cycles, and the collector would go through the tables again and again.
         gc.disable()
         try:
-            for batch in (b.slice(a, ROWS_TOGETHER) for b in batches for a in range(0, b.num_rows, ROWS_TOGETHER)):
+            for batch in sliced(batches, ROWS_TOGETHER):
                 ids, all_keys, all_texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 from_, starts, units = 0, [], 0
                 for i, text in enumerate(all_texts):

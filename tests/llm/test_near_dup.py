@@ -94,3 +94,22 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF0001, "documents").collect()]
     got = sorted(tuple(r) for r in QUERIES["op7_near_dup"](spark, SF0001).collect())
     assert got == brute(rows, 3, 85)
+
+
+def test_few_texts_are_held_at_once(spark, monkeypatch):
+    """A large Arrow batch is worked on in slices, with the same rows as small batches."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "a b c")], "id long, text string")
+    made, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: made.append(f) or real(self, f, *a, **b))
+    near_dup._signatures(docs, "id", "text", 3, 64)
+    near_dup._sets(docs, "id", "text", 3, docs.selectExpr("id as cid"))
+    texts = [None if i % 7 == 0 else f"word{i % 50} and {i} other words" for i in range(1300)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1300)), "text": texts})
+    assert len(made) == 2
+    for f in made:
+        out = list(f(iter([batch, batch.slice(0, 0)])))
+        assert max(b.num_rows for b in out) <= near_dup.ROWS_TOGETHER < 1300
+        one_by_one = [r for i in range(1300) for b in f(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+        assert [r for b in out for r in b.to_pylist()] == one_by_one
