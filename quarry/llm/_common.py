@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that run inside give their shuffle files back when they end.
+
+    Otherwise the files of every query stay on the executors' disks until the driver happens to
+    collect its garbage, and those of many small queries add up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def write_stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor sees, so a lost executor costs a
     re-read and not a recomputation; the read-back frame has true sizes for the
-    optimizer's join choices."""
+    optimizer's join choices. The shuffle files of the write go when it ends: nothing reads them
+    again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    with shuffles_freed(spark):
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -176,27 +176,30 @@ def _prefix_postings(classes: DataFrame, coordinates: int, t: int) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node each node of an edge list (a, b) is connected with.
 
-    Alternating large-star and small-star steps; each leaves edges from a node to a smaller one
-    and the loop ends when a whole round changes nothing."""
-    def toward_min(pairs: DataFrame) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(low.select("u", F.least("m", "u").alias("m")), "u")
-
+    Alternating large-star and small-star steps; each leaves edges from a node to a smaller one.
+    The loop ends when every node has one edge, to a node that has none: that one is the smallest."""
     # Edges run from the larger node to the smaller one.
     now = write_stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                       .where("u <> v").distinct(), name)
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = toward_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = toward_min(large).select("u", "v", "m")
-        new = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    while not _stars(now):
+        # Large star: of a node's neighbours only the smaller ones can lower its minimum.
+        low = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = now.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Small star: the smaller neighbours of a node, and the node, go to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        new = large.join(low, "u").select(moved.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = write_stage(new, name)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no start u of an edge (u, v) has a second edge or ends another one."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("starts"), F.lit(0).alias("ended")),
+                             F.struct(F.col("v").alias("node"), F.lit(0).alias("starts"), F.lit(1).alias("ended"))))
+    return (edges.select(ends.alias("e")).select("e.*")
+            .groupBy("node").agg(F.sum("starts").alias("starts"), F.max("ended").alias("ended"))
+            .where("starts > 1 or (starts = 1 and ended = 1)").isEmpty())
 
 
 def _collide(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:

@@ -90,6 +90,30 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 205: 100, 301: 300}
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(3)
+    for n, m in ((40, 25), (200, 180), (30, 200)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(0, x) for x in range(n, n + 30)]
+        label = {x: x for e in edges for x in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        found = near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(found) == len({r["node"] for r in found})
+        assert {r["node"]: r["label"] for r in found} == {x: y for x, y in label.items() if x != y}
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that lead to the smallest node need no round, and what a round makes of others no second one."""
+    written, real = [], near_dup.write_stage
+    monkeypatch.setattr(near_dup, "write_stage", lambda df, name: written.append(name) or real(df, name))
+    for edges, rounds in (([], 0), ([(5, 1), (1, 7), (5, 1), (2, 2), (9, 3)], 0), ([(1, 2), (2, 3)], 1)):
+        written.clear()
+        got = sorted(tuple(r) for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect())
+        assert got == {0: [], 5: [(5, 1), (7, 1), (9, 3)], 2: [(2, 1), (3, 1)]}[len(edges)]
+        assert len(written) == 1 + rounds
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF0001, "documents").collect()]
     got = sorted(tuple(r) for r in QUERIES["op7_near_dup"](spark, SF0001).collect())
