@@ -56,11 +56,14 @@ def worker_state(operator: str, name: str, key, build):
     Functions of this package travel by value, so their module globals are new in each task;
     this holder lives in ``sys.modules`` of the worker. It keeps the values of one operator at a
     time, and of each ``name`` the one for the latest ``key``: a worker that goes on to another
-    stage gives the last one's caches back."""
+    stage gives the last one's caches back, and what Arrow keeps of its batches."""
+    import pyarrow as pa
+
     holder = sys.modules.setdefault("_quarry_llm_worker", types.ModuleType("_quarry_llm_worker"))
     states = holder.__dict__.setdefault("states", {})
     if holder.__dict__.get("operator") != operator:
         states.clear()
+        pa.default_memory_pool().release_unused()
         holder.operator = operator
     if name not in states or states[name][0] != key:
         states.pop(name, None)

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ._common import sliced, worker_state
 
 SPACE = "▁"
-ARCS_KEPT = 1_200_000    # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
-UNITS_TOGETHER = 40_000  # units of several texts rolled on together
+ARCS_KEPT = 400_000      # arcs in a worker's lattice table before it starts anew: most units are rare, so little is made twice
+UNITS_TOGETHER = 20_000  # units of several texts rolled on together
 ROWS_TOGETHER = 512      # rows of an Arrow batch turned into Python texts at once
 _NEVER = -math.inf
 _STEP = 0xE7037ED1A0B428DB  # between the counters of a unit's steps

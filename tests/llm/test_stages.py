@@ -38,3 +38,26 @@ def test_the_setting_comes_back(spark):
         assert spark.conf.get(KEY, None) == was
     spark.conf.unset(KEY)
     assert _common.write_stage(spark.range(0), "empty").count() == 0
+
+
+def test_a_worker_that_goes_on_gives_memory_back(monkeypatch):
+    """Caches of the operator before and the unused memory of Arrow's pool go once, as the operator changes."""
+    import sys
+
+    import pyarrow as pa
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    monkeypatch.delitem(sys.modules, "_quarry_llm_worker", raising=False)
+    first = _common.worker_state("one", "words", None, dict)
+    assert _common.worker_state("one", "words", None, dict) is first
+    begun = Pool.released
+    assert _common.worker_state("two", "words", None, dict) is not first
+    assert Pool.released == begun + 1
+    assert _common.worker_state("two", "more", None, dict) == {} and Pool.released == begun + 1
+    sys.modules.pop("_quarry_llm_worker")
