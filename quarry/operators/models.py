@@ -34,8 +34,9 @@ from ..functions.columns import c
 from ..session import cut_lineage
 from . import metrics as M
 from . import persistence
+from .forest_cells import forest_on_cells
 from .persistence import ModelSet, StoredModel
-from .tree_cells import on_cells
+from .tree_cells import SharedCells, on_cells
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -341,13 +342,14 @@ def train_models(train: DataFrame, valid: DataFrame, names, task: str, label: st
     stats = data_stats(train, label, task)
     metric = metric or ("r2" if task == REGRESSION else "accuracy")
     start = time.time()
+    shared = SharedCells(train)
 
     def fit(name: str) -> TrainResult:
         if time_budget_s is not None and time.time() - start > time_budget_s:
             return TrainResult(name, None, metric, 0.0, error="skipped: time budget used up")
         try:
-            est = on_cells(make_estimator(name, task, stats, features_col, label,
-                                          **(overrides or {}).get(name, {})))
+            est = make_estimator(name, task, stats, features_col, label, **(overrides or {}).get(name, {}))
+            est = forest_on_cells(on_cells(est, shared), shared)
             t0 = time.time()
             model = est.fit(train)
             fit_s = time.time() - t0

@@ -15,6 +15,7 @@ from ..operators import models as MD
 from ..operators import scoring as SC
 from ..operators import splits as SP
 from ..operators.tree_cells import on_cells
+from ..session import stored_rows
 from ..sources.scan import read_table
 from .common import rnd, round_doubles
 from .registry import register
@@ -172,14 +173,16 @@ def _lineitem_features(spark, sf):
 def model_ranking(spark, sf):
     """Train several regressors on an 80/20 hash split of lineitem and rank them by R^2."""
     df, _ = _lineitem_features(spark, sf)
-    df = SP.holdout(df, "key")
-    train, valid = df.where(F.col("split") == "train"), df.where(F.col("split") == "valid")
-    run = MD.train_models(train, valid, ["linear_regression", "ridge_regression",
-                                         "decision_tree_regressor", "random_forest_regressor",
-                                         "gbt_regressor"], MD.REGRESSION,
-                          # deeper than the catalogue's forest, which has MLlib's depth of 5
-                          overrides={"random_forest_regressor": {"maxDepth": 8}})
-    return run.rankings(spark)
+    df = SP.holdout(df, "key").select("features", "label", "split")
+    # Every fit and score reads the stored rows instead of making the features and the split again.
+    with stored_rows(df, "model-ranking", "split", writers=2) as df:
+        train, valid = df.where(F.col("split") == "train"), df.where(F.col("split") == "valid")
+        run = MD.train_models(train, valid, ["linear_regression", "ridge_regression",
+                                             "decision_tree_regressor", "random_forest_regressor",
+                                             "gbt_regressor"], MD.REGRESSION,
+                              # deeper than the catalogue's forest, which has MLlib's depth of 5
+                              overrides={"random_forest_regressor": {"maxDepth": 8}})
+        return run.rankings(spark)
 
 
 def _documents(spark, sf):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. Timestamps are compared with DuckDB, so the
 # session time zone is pinned to UTC; AQE re-plans joins and coalesces
@@ -72,6 +74,33 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+ROWS_PER_FILE = 1_000_000  # of stored rows, so that a few writers leave files for many readers
+
+
+@contextmanager
+def stored_rows(df: DataFrame, name: str, by: str, writers: int = 0):
+    """``df`` as Parquet under the shared checkpoint folder, read back, for as long as the block runs.
+
+    The column ``by`` partitions the files, so a filter on it reads its own rows only. A task that
+    meets at most ``writers`` values of it writes them side by side instead of sorting its rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    try:
+        if writers:
+            spark.conf.set(key, str(writers))
+        try:
+            df.write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(by).parquet(path)
+        finally:
+            if writers:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cluster_conf(total_cores: int, input_bytes: int | None = None) -> dict:
     """Settings for a large cluster, sized from the core count (and input size).
 
